@@ -72,3 +72,50 @@ SAMPLE = """sigma AS (
   FROM centred a JOIN centred b ON a.date = b.date GROUP BY 1, 2)"""
 MU = """mu AS (SELECT ticker, avg(ret) AS mu FROM full_ret GROUP BY ticker)"""
 RISK = [BRAND, MONTH, RET, FULL, CENTRED, SAMPLE, MU]
+VIEWS = """tops AS (
+  SELECT portfolio_id, arg_max(ticker, (weight, ticker)) AS top, max(weight) AS wt,
+         arg_min(ticker, (weight, ticker)) AS low, min(weight) AS wl FROM hold GROUP BY 1),
+views AS (
+  SELECT portfolio_id, 1 AS view_id, top AS long, NULL AS short, wt / 10 AS q, 0.5 AS conf FROM tops
+  UNION ALL
+  SELECT portfolio_id, 2, top, low, (wt - wl) / 20, greatest(wl, 0.25) FROM tops WHERE top <> low),
+picks AS (
+  SELECT portfolio_id, view_id, long AS ticker, 1.0::DOUBLE AS coef, q, conf FROM views
+  UNION ALL SELECT portfolio_id, view_id, short, -1.0::DOUBLE, q, conf FROM views WHERE short IS NOT NULL)"""
+CORR = """corr AS (
+  SELECT s.i, s.j, least(greatest(s.value / sqrt(a.value) / sqrt(b.value), -1), 1) AS value
+  FROM sigma s JOIN sigma a ON a.i = s.i AND a.j = s.i JOIN sigma b ON b.i = s.j AND b.j = s.j)"""
+BRAND_META = """bmeta AS (
+  SELECT DISTINCT p_brand AS ticker, 'm' || substr(p_brand, 7, 1) AS sector, 's' || substr(p_brand, 8, 1) AS country FROM part),
+expo AS (
+  SELECT 'sector:' || upper(sector) AS factor, ticker, 1.0::DOUBLE AS exposure FROM bmeta
+  UNION ALL SELECT 'country:' || upper(country), ticker, 1.0 FROM bmeta)"""
+# Customers' weights against the spending benchmark, every ticker of either side.
+ACTIVE = """active AS (
+  SELECT p.portfolio_id, t.ticker, coalesce(h.weight, 0) AS weight, coalesce(b.weight, 0) AS bench,
+         coalesce(h.weight, 0) - coalesce(b.weight, 0) AS v
+  FROM (SELECT DISTINCT portfolio_id FROM hold) p
+  CROSS JOIN (SELECT ticker FROM bench UNION SELECT ticker FROM hold) t
+  LEFT JOIN hold h ON h.portfolio_id = p.portfolio_id AND h.ticker = t.ticker
+  LEFT JOIN bench b ON b.ticker = t.ticker)"""
+PORT_RET = """port AS (
+  SELECT portfolio_id, date, sum(weight * ret) AS ret FROM hold JOIN ret USING (ticker) GROUP BY 1, 2)"""
+SEG_RET = """seg_px AS (
+  SELECT universe_id, date_trunc('quarter', date - INTERVAL 1 MICROSECOND) + INTERVAL 3 MONTHS AS date, ticker, arg_max(price, date) AS price
+  FROM (SELECT c_mktsegment AS universe_id, l_shipdate AS date, p_brand AS ticker, avg(l_extendedprice / l_quantity) AS price
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
+             JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3) GROUP BY 1, 2, 3),
+uret AS (
+  SELECT universe_id, date, ticker, ln(price / prev) AS ret
+  FROM (SELECT *, lag(price) OVER (PARTITION BY universe_id, ticker ORDER BY date) AS prev FROM seg_px) WHERE prev IS NOT NULL),
+ufull AS (
+  SELECT * FROM uret WHERE (universe_id, date) IN (
+    SELECT (universe_id, date) FROM uret JOIN (SELECT universe_id, count(DISTINCT ticker) AS n FROM uret GROUP BY 1) USING (universe_id)
+    GROUP BY universe_id, date, n HAVING count(ret) = n)),
+ucentred AS (
+  SELECT universe_id, date, ticker, ret - avg(ret) OVER (PARTITION BY universe_id, ticker) AS x FROM ufull),
+usigma AS (
+  SELECT a.universe_id, a.ticker AS i, b.ticker AS j, sum(a.x * b.x) / (any_value(t.n) - 1) AS value
+  FROM ucentred a JOIN ucentred b ON a.universe_id = b.universe_id AND a.date = b.date
+  JOIN (SELECT universe_id, count(DISTINCT date) AS n FROM ucentred GROUP BY 1) t ON t.universe_id = a.universe_id
+  GROUP BY 1, 2, 3)"""

@@ -97,3 +97,58 @@ def brand_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     amounts = items.join(parts, "l_partkey").groupBy("ticker").agg(F.sum("l_extendedprice").alias("amount"))
     total = amounts.agg(F.sum("amount")).scalar()
     return amounts.select("ticker", (F.col("amount") / total).alias("weight"))
+
+
+def segment_returns(spark: SparkSession, sf_dir: str, freq: str = "3mo", kind: str = "log") -> DataFrame:
+    """Brand returns seen by each market segment: one universe per segment."""
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_shipdate", (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price")
+    )
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("universe_id")
+    )
+    prices = (
+        items.join(parts, "l_partkey")
+        .join(orders, "l_orderkey")
+        .join(customers, "o_custkey")
+        .groupBy("universe_id", F.col("l_shipdate").alias("date"), "ticker")
+        .agg(F.avg("unit_price").alias("price"))
+    )
+    return returns_from_prices(prices, freq=freq, kind=kind)
+
+
+def brand_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brand labels split into two categories: maker digit as sector, line digit as country."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("ticker")).distinct()
+    return brands.select(
+        "ticker",
+        F.concat(F.lit("m"), F.substring("ticker", 7, 1)).alias("sector"),
+        F.concat(F.lit("s"), F.substring("ticker", 8, 1)).alias("country"),
+    )
+
+
+def customer_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two views per customer from its holdings: an absolute one on the largest position, and largest over smallest."""
+    ranked = customer_holdings(spark, sf_dir).groupBy("portfolio_id").agg(
+        F.max(F.struct("weight", "ticker")).alias("_top"), F.min(F.struct("weight", "ticker")).alias("_low")
+    )
+    views = F.array(
+        F.struct(
+            F.lit(1).cast("bigint").alias("view_id"),
+            F.col("_top.ticker").alias("long"),
+            F.lit(None).cast("string").alias("short"),
+            (F.col("_top.weight") / 10).alias("q"),
+            F.lit(0.5).alias("conf"),
+        ),
+        F.struct(
+            F.lit(2).cast("bigint").alias("view_id"),
+            F.col("_top.ticker").alias("long"),
+            F.col("_low.ticker").alias("short"),
+            ((F.col("_top.weight") - F.col("_low.weight")) / 20).alias("q"),
+            F.greatest(F.col("_low.weight"), F.lit(0.25)).alias("conf"),
+        ),
+    )
+    rows = ranked.select("portfolio_id", F.inline(views))
+    return rows.where(F.col("short").isNull() | (F.col("short") != F.col("long")))
