@@ -7,11 +7,14 @@ by the number of dates or tickers, and no pair of observations is ever emitted a
 
 from __future__ import annotations
 
+from typing import Any, Tuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import attach, grouped, one_of, universe_keys
+from ..session import Store, lazily
 from .panel import apply_fill_policy, calendar, date_totals
 from .quality import infer_periodicity
 
@@ -55,7 +58,7 @@ def cross_products(panel: DataFrame, col: str = "x") -> DataFrame:
     )
     id_fields = "".join(f"{c} string, " for c in by)
 
-    def multiply(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         blocks = {
             b: np.asarray(x, dtype=float).reshape(-1, width)
             for b, x, width in zip(pdf["_block"], pdf["_x"], pdf["_width"])
@@ -102,15 +105,17 @@ def covariance(
     annualize: bool = True,
     fill: str = "drop",
     psd: bool = False,
+    store: Store = lazily,
 ) -> DataFrame:
     """Covariance as a full long matrix. Short panels (T < min_periods) fall back to the sample estimate.
 
     The shrinkage intensities need only sums over the matrix and one sum per date, all plain aggregates.
-    ``psd`` adds an eigenvalue clip, which runs as one dense problem per universe.
+    ``psd`` adds an eigenvalue clip, which runs as one dense problem per universe. ``store`` (e.g. ``hand_off``) is
+    applied to the two intermediates that are read more than once: the filled panel and the cross products.
     """
     one_of(method, COV_METHODS, "method")
     by = universe_keys(returns)
-    panel = apply_fill_policy(returns, fill)
+    panel = store(apply_fill_policy(returns, fill), "panel")
     centred = _centred(panel)
     sizes = date_totals(panel).select(*by, F.col("n_dates").alias("_T"))
     enough = F.col("_T") >= max(2, min_periods)
@@ -126,7 +131,8 @@ def covariance(
         )
         upper = cross_products(scaled)
     else:
-        upper = attach(cross_products(centred), sizes, by)
+        products = cross_products(centred)
+        upper = attach(products if method == "sample" else store(products, "products"), sizes, by)
         sample = F.coalesce(F.try_divide(F.col("value"), (F.col("_T") - 1).cast("double")), F.lit(0.0))
         if method == "sample":
             upper = upper.withColumn("value", sample)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from typing import Any, Tuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import clip, shrink
 from ..schema import attach, grouped, one_of, require, universe_keys
+from ..session import Store, lazily
 from .covariance import covariance
 from .panel import apply_fill_policy, calendar
 from .quality import infer_periodicity
@@ -121,10 +124,12 @@ def mu_equilibrium(
     cov_method: str = "oas",
     annualize: bool = True,
     fill: str = "drop",
+    store: Store = lazily,
 ) -> DataFrame:
     """Equilibrium returns delta * Sigma * w; weights are normalised (a non-positive sum is an error) or equal."""
     by = universe_keys(returns)
-    sigma = covariance(returns, method=cov_method, annualize=False, fill=fill) if sigma is None else sigma
+    if sigma is None:
+        sigma = covariance(returns, method=cov_method, annualize=False, fill=fill, store=store)
     if market_weights is None:
         products = sigma.groupBy(*by, F.col("i").alias("ticker")).agg(F.avg("value").alias("_sw"))
     else:
@@ -206,6 +211,7 @@ def bl_posterior(
     scalar_conf: float | None = None,
     use_conf: bool = True,
     per_year: float = 1.0,
+    store: Store = lazily,
 ) -> DataFrame:
     """Posterior means per portfolio: mu + tau Sigma P' (P tau Sigma P' + Omega)^-1 (Q - P mu).
 
@@ -214,11 +220,12 @@ def bl_posterior(
     """
     prior = mu.select("ticker", (F.col("mu") / per_year).alias("_prior"))
     cov = sigma.select("i", "j", (F.col("value") / per_year).alias("value"))
-    spread = (
+    spread = store(
         picks.select("portfolio_id", "view_id", F.col("ticker").alias("i"), "coef")
         .join(cov, "i")
         .groupBy("portfolio_id", "view_id", F.col("j").alias("ticker"))
-        .agg((F.sum(F.col("coef") * F.col("value")) * tau).alias("_m"))
+        .agg((F.sum(F.col("coef") * F.col("value")) * tau).alias("_m")),
+        "spread",
     )
     other = picks.select("portfolio_id", F.col("view_id").alias("_l"), "ticker", "coef")
     gram = (
@@ -234,7 +241,7 @@ def bl_posterior(
     omega = bl_omega(picks, cov, tau=tau, scalar_conf=scalar_conf, use_conf=use_conf)
     system = gram.join(surprise, ["portfolio_id", "view_id"]).join(omega, ["portfolio_id", "view_id"])
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         square = pdf.pivot(index="view_id", columns="_l", values="_a")
         facts = pdf.drop_duplicates("view_id").set_index("view_id").loc[square.index]
         a = square[square.index].to_numpy() + np.diag(facts["omega"].to_numpy())

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ...operators import panel, quality, returns as R, stats
-from ...session import CHECKPOINT_CONF
+from ...session import hand_off, shared_folder
 from ...sources import artifacts, prices as src
 from ...functions.numeric import annualize, ewma_default_lambda
 from .. import derive as D
@@ -15,12 +13,6 @@ from ..registry import query, sql, tidy
 from . import ctes as C
 
 
-def shared_folder(spark) -> str:
-    """Folder the cluster names; a fresh temporary one only where it names none (local tests)."""
-    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    return named or tempfile.mkdtemp(prefix="tidefolio-")
-
-
 # --- sources ----------------------------------------------------------------------------------------------------
 
 ALL_EVENTS = ("click", "error", "purchase", "signup", "view")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import covariance as G, mu as M
+from ...session import hand_off
 from .. import derive as D
 from ..registry import query, sql, tidy
 from . import ctes as C
@@ -14,11 +15,21 @@ COV_COLS = dict(floats=["value"], plain=["i", "j"], digits=8)
 BASE = [C.BRAND, C.MONTH, C.RET, C.FULL]
 
 
+def brand_panel(spark, d, freq="1mo"):
+    return hand_off(D.brand_returns(spark, d, freq), "returns")
+
+
+def brand_sigma(spark, d):
+    """Sample covariance per month, stored: most queries below read it several times."""
+    returns = brand_panel(spark, d)
+    return hand_off(G.covariance(returns, method="sample", annualize=False, store=hand_off), "sigma")
+
+
 # --- expected returns ---------------------------------------------------------------------------------------------
 
 @query("mu_historical", sql(BASE, "SELECT ticker, 12 * avg(ret) AS mu FROM full_ret GROUP BY ticker", **MU_COLS))
 def mu_historical(spark, d):
-    return tidy(M.mu_historical(D.brand_returns(spark, d)))
+    return tidy(M.mu_historical(brand_panel(spark, d)))
 
 
 @query(
@@ -26,7 +37,7 @@ def mu_historical(spark, d):
     sql([C.BRAND, C.WEEK, C.RET_WEEK, C.FILLED], "SELECT ticker, 52 * avg(ret) AS mu FROM filled GROUP BY ticker", **MU_COLS),
 )
 def mu_historical_mean_fill(spark, d):
-    return tidy(M.mu_historical(D.brand_returns(spark, d, "1w"), fill="mean"))
+    return tidy(M.mu_historical(brand_panel(spark, d, "1w"), fill="mean"))
 
 
 @query(
@@ -40,7 +51,7 @@ def mu_historical_mean_fill(spark, d):
     ),
 )
 def mu_ema(spark, d):
-    return tidy(M.mu_ema(D.brand_returns(spark, d), span=60))
+    return tidy(M.mu_ema(brand_panel(spark, d), span=60))
 
 
 LAM = """base AS (SELECT ticker, avg(ret) AS m, var_samp(ret) AS v FROM full_ret GROUP BY ticker),
@@ -53,18 +64,18 @@ def _shrunk_sql(target: str) -> str:
 
 @query("mu_shrunk", _shrunk_sql("0"))
 def mu_shrunk(spark, d):
-    return tidy(M.mu_shrunk(D.brand_returns(spark, d)))
+    return tidy(M.mu_shrunk(brand_panel(spark, d)))
 
 
 @query("mu_shrunk_equal", _shrunk_sql("grand"))
 def mu_shrunk_equal(spark, d):
-    r = D.brand_returns(spark, d)
+    r = brand_panel(spark, d)
     return tidy(M.mu_shrunk(r, target=M.shrink_target(r, "equal")))
 
 
 @query("mu_shrunk_rf", _shrunk_sql("(0.03 / 12)"))
 def mu_shrunk_rf(spark, d):
-    r = D.brand_returns(spark, d)
+    r = brand_panel(spark, d)
     return tidy(M.mu_shrunk(r, target=M.shrink_target(r, "rf", rf_annual=0.03, per_year=12)))
 
 
@@ -74,7 +85,7 @@ def mu_shrunk_rf(spark, d):
                  FROM (SELECT ticker, avg(ret) AS m FROM full_ret GROUP BY ticker)""", **MU_COLS),
 )
 def shrink_mu(spark, d):
-    r = D.brand_returns(spark, d)
+    r = brand_panel(spark, d)
     return tidy(M.shrink_mu(M.mu_historical(r, annualize=False), M.shrink_target(r, "equal"), 0.3))
 
 
@@ -93,17 +104,17 @@ PROXY = "SELECT date, avg(ret) AS rm FROM full_ret GROUP BY date"
 
 @query("mu_capm", _capm_sql(PROXY, "covar_pop"))
 def mu_capm(spark, d):
-    return tidy(M.mu_capm(D.brand_returns(spark, d), rf=0.001))
+    return tidy(M.mu_capm(brand_panel(spark, d), rf=0.001))
 
 
 @query("mu_capm_market_ticker", _capm_sql("SELECT date, ret AS rm FROM full_ret WHERE ticker = 'Brand#11'", "covar_pop"))
 def mu_capm_market_ticker(spark, d):
-    return tidy(M.mu_capm(D.brand_returns(spark, d), market="Brand#11", rf=0.001))
+    return tidy(M.mu_capm(brand_panel(spark, d), market="Brand#11", rf=0.001))
 
 
 @query("mu_capm_textbook", _capm_sql(PROXY, "covar_samp"))
 def mu_capm_textbook(spark, d):
-    return tidy(M.mu_capm(D.brand_returns(spark, d), rf=0.001, textbook=True))
+    return tidy(M.mu_capm(brand_panel(spark, d), rf=0.001, textbook=True))
 
 
 # --- covariance ---------------------------------------------------------------------------------------------------
@@ -127,17 +138,17 @@ LW = """lw AS (
 
 @query("cov_sample", sql(C.RISK[:-1], "SELECT i, j, 12 * value AS value FROM sigma", **COV_COLS))
 def cov_sample(spark, d):
-    return tidy(G.covariance(D.brand_returns(spark, d), method="sample"), 8)
+    return tidy(G.covariance(brand_panel(spark, d), method="sample", store=hand_off), 8)
 
 
 @query("cov_oas", sql([*BASE, C.CENTRED, POP, OAS], "SELECT i, j, 12 * value AS value FROM oas", **COV_COLS))
 def cov_oas(spark, d):
-    return tidy(G.covariance(D.brand_returns(spark, d), method="oas"), 8)
+    return tidy(G.covariance(brand_panel(spark, d), method="oas", store=hand_off), 8)
 
 
 @query("cov_ledoit_wolf", sql([*BASE, C.CENTRED, POP, LW], "SELECT i, j, 12 * value AS value FROM lw", **COV_COLS))
 def cov_ledoit_wolf(spark, d):
-    return tidy(G.covariance(D.brand_returns(spark, d), method="lw"), 8)
+    return tidy(G.covariance(brand_panel(spark, d), method="lw", store=hand_off), 8)
 
 
 @query(
@@ -151,14 +162,14 @@ def cov_ledoit_wolf(spark, d):
     ),
 )
 def cov_ewma(spark, d):
-    return tidy(G.covariance(D.brand_returns(spark, d), method="ewma"), 8)
+    return tidy(G.covariance(brand_panel(spark, d), method="ewma", store=hand_off), 8)
 
 
 @query("cov_fallback", sql(C.RISK[:-1], "SELECT i, j, value FROM sigma", **COV_COLS))
 def cov_fallback(spark, d):
     """Fewer dates than asked for: the shrinkage estimate gives way to the sample one."""
-    r = D.brand_returns(spark, d)
-    return tidy(G.covariance(r, method="oas", min_periods=10_000, annualize=False), 8)
+    r = brand_panel(spark, d)
+    return tidy(G.covariance(r, method="oas", min_periods=10_000, annualize=False, store=hand_off), 8)
 
 
 FILLED_SIGMA = """fc AS (SELECT date, ticker, ret - avg(ret) OVER (PARTITION BY ticker) AS x FROM filled)"""
@@ -174,7 +185,7 @@ FILLED_SIGMA = """fc AS (SELECT date, ticker, ret - avg(ret) OVER (PARTITION BY
     ),
 )
 def cov_mean_fill(spark, d):
-    return tidy(G.covariance(D.brand_returns(spark, d, "1w"), method="sample", fill="mean", annualize=False), 8)
+    return tidy(G.covariance(brand_panel(spark, d, "1w"), method="sample", fill="mean", annualize=False, store=hand_off), 8)
 
 
 SUPP_SIGMA = """sfill AS (
@@ -194,7 +205,7 @@ SUPP_SIGMA = """sfill AS (
 )
 def cov_sample_supplier(spark, d):
     """The wide case: as many tickers as there are suppliers."""
-    return tidy(G.covariance(D.supplier_returns(spark, d), method="sample", fill="mean", annualize=False), 8)
+    return tidy(G.covariance(hand_off(D.supplier_returns(spark, d), "returns"), method="sample", fill="mean", annualize=False, store=hand_off), 8)
 
 
 @query(
@@ -202,11 +213,9 @@ def cov_sample_supplier(spark, d):
     sql([C.SEG_RET], "SELECT * FROM usigma", floats=["value"], plain=["universe_id", "i", "j"], digits=8),
 )
 def cov_by_universe(spark, d):
-    return tidy(G.covariance(D.segment_returns(spark, d), method="sample", annualize=False), 8)
-
-
-def brand_sigma(spark, d):
-    return G.covariance(D.brand_returns(spark, d), method="sample", annualize=False)
+    return tidy(G.covariance(
+        hand_off(D.segment_returns(spark, d), "returns"), method="sample", annualize=False, store=hand_off
+    ), 8)
 
 
 @query("correlation", sql([*C.RISK[:-1], C.CORR], "SELECT * FROM corr", **COV_COLS))
@@ -296,24 +305,25 @@ def spectrum_diagnostics(spark, d):
     "psd_clip",
     sql(
         [C.SEG_RET],
-        "SELECT universe_id, count(DISTINCT i) AS n, TRUE AS symmetric, TRUE AS psd, TRUE AS diag_not_below FROM usigma GROUP BY 1",
-        ints=["n"], plain=["universe_id", "symmetric", "psd", "diag_not_below"],
+        "SELECT universe_id, count(DISTINCT i) AS n, TRUE AS is_symmetric, TRUE AS psd, TRUE AS diag_not_below FROM usigma GROUP BY 1",
+        ints=["n"], plain=["universe_id", "is_symmetric", "psd", "diag_not_below"],
     ),
 )
 def psd_clip(spark, d):
     """Quarterly panels have about as many tickers as dates, so the clip has work to do; per universe."""
-    s = G.covariance(D.segment_returns(spark, d), method="sample", annualize=False)
-    p = G.psd_clip(s, 1e-6)
+    returns = hand_off(D.segment_returns(spark, d), "returns")
+    s = hand_off(G.covariance(returns, method="sample", annualize=False, store=hand_off), "sigma")
+    p = hand_off(G.psd_clip(s, 1e-6), "psd")
     lowest = G.spectrum_diagnostics(p).select("universe_id", (F.col("lambda_min") >= 1e-6 - 1e-10).alias("psd"))
     turned = p.select("universe_id", F.col("j").alias("i"), F.col("i").alias("j"), F.col("value").alias("t"))
     both = p.join(turned, ["universe_id", "i", "j"]).join(s.withColumnRenamed("value", "raw"), ["universe_id", "i", "j"])
     on_diag = F.col("i") == F.col("j")
     facts = both.groupBy("universe_id").agg(
         F.count_if(on_diag).alias("n"),
-        (F.max(F.abs(F.col("value") - F.col("t"))) < 1e-12).alias("symmetric"),
+        (F.max(F.abs(F.col("value") - F.col("t"))) < 1e-12).alias("is_symmetric"),
         F.bool_and(~on_diag | (F.col("value") >= F.col("raw") - 1e-12)).alias("diag_not_below"),
     )
-    return facts.join(lowest, "universe_id").select("universe_id", "n", "symmetric", "psd", "diag_not_below")
+    return facts.join(lowest, "universe_id").select("universe_id", "n", "is_symmetric", "psd", "diag_not_below")
 
 
 @query(
@@ -353,7 +363,7 @@ def cov_pca_factor(spark, d):
     ),
 )
 def mu_equilibrium(spark, d):
-    return tidy(M.mu_equilibrium(D.brand_returns(spark, d), market_weights=D.brand_benchmark(spark, d)))
+    return tidy(M.mu_equilibrium(brand_panel(spark, d), market_weights=D.brand_benchmark(spark, d), store=hand_off))
 
 
 @query(
@@ -361,7 +371,7 @@ def mu_equilibrium(spark, d):
     sql([*BASE, C.CENTRED, POP, OAS], "SELECT i AS ticker, 12 * 2.5 * avg(value) AS mu FROM oas GROUP BY i", **MU_COLS),
 )
 def mu_equilibrium_equal_weight(spark, d):
-    return tidy(M.mu_equilibrium(D.brand_returns(spark, d)))
+    return tidy(M.mu_equilibrium(brand_panel(spark, d), store=hand_off))
 
 
 @query(
@@ -441,10 +451,10 @@ y AS (
     ),
 )
 def bl_posterior(spark, d):
-    r = D.brand_returns(spark, d)
-    picks = M.bl_views(D.customer_views(spark, d), D.brand_benchmark(spark, d))
-    mu = M.mu_historical(r, annualize=False)
-    return tidy(M.bl_posterior(mu, G.covariance(r, method="sample", annualize=False), picks))
+    r = brand_panel(spark, d)
+    picks = hand_off(M.bl_views(D.customer_views(spark, d), D.brand_benchmark(spark, d)), "picks")
+    sigma = hand_off(G.covariance(r, method="sample", annualize=False, store=hand_off), "sigma")
+    return tidy(M.bl_posterior(M.mu_historical(r, annualize=False), sigma, picks, store=hand_off))
 
 
 @query(
@@ -457,11 +467,11 @@ def bl_posterior(spark, d):
     ),
 )
 def mu_prior_post(spark, d):
-    r = D.brand_returns(spark, d)
+    r = brand_panel(spark, d)
     post = M.mu_shrunk(r, target=M.shrink_target(r, "equal"), annualize=False)
     return tidy(M.mu_prior_post(M.mu_historical(r, annualize=False), post))
 
 
 @query("mu_ranking", sql(BASE, "SELECT ticker, 12 * avg(ret) AS mu FROM full_ret GROUP BY ticker", **MU_COLS))
 def mu_ranking(spark, d):
-    return tidy(M.mu_ranking(M.mu_historical(D.brand_returns(spark, d))))
+    return tidy(M.mu_ranking(M.mu_historical(brand_panel(spark, d))))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -25,14 +28,33 @@ def build_session(cores: str = "*", app: str = "tidefolio", shuffle_partitions:
     return spark
 
 
-def materialize(df, fallback_dir: str | None = None):
-    """Cut lineage with a reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+_fallback: dict[str, str] = {}
 
-    ``fallback_dir`` is used only where the cluster names none (tests).
+Store = Callable[[DataFrame, str], DataFrame]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it names none (tests)."""
+    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    if named:
+        return named.rstrip("/")
+    if "dir" not in _fallback:
+        _fallback["dir"] = tempfile.mkdtemp(prefix="tidefolio-")
+    return _fallback["dir"]
+
+
+def hand_off(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Used between steps whose result has several readers (a return panel, a covariance matrix): the steps before are
+    computed once, lost executors cannot undo them, and file statistics let later joins pick the small side.
     """
     spark = df.sparkSession
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF) or fallback_dir
-    if folder is None:
-        raise ValueError(f"{CHECKPOINT_CONF} is not set and no fallback folder was given")
-    spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/tidefolio/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def lazily(df: DataFrame, label: str = "") -> DataFrame:
+    """The other ``Store``: keep the plan, store nothing."""
+    return df
