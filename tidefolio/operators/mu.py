@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Any, Tuple
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -239,16 +239,39 @@ def bl_posterior(
         .agg((F.first("q") - F.sum(F.col("coef") * F.col("_prior"))).alias("_r"))
     )
     omega = bl_omega(picks, cov, tau=tau, scalar_conf=scalar_conf, use_conf=use_conf)
-    system = gram.join(surprise, ["portfolio_id", "view_id"]).join(omega, ["portfolio_id", "view_id"])
-
-    def solve(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        square = pdf.pivot(index="view_id", columns="_l", values="_a")
-        facts = pdf.drop_duplicates("view_id").set_index("view_id").loc[square.index]
-        a = square[square.index].to_numpy() + np.diag(facts["omega"].to_numpy())
-        y = np.linalg.solve(a, facts["_r"].to_numpy())
-        return pd.DataFrame({"portfolio_id": key[0], "view_id": square.index, "_y": y})
+    square = gram.groupBy("portfolio_id").agg(
+        F.array_sort(F.collect_list(F.struct("view_id", "_l", "_a"))).alias("_cells")
+    )
+    sides = (
+        surprise.join(omega, ["portfolio_id", "view_id"])
+        .groupBy("portfolio_id")
+        .agg(F.array_sort(F.collect_list(F.struct("view_id", "_r", "omega"))).alias("_sides"))
+    )
+    systems = square.join(sides, "portfolio_id").select(
+        "portfolio_id",
+        F.transform("_cells", lambda c: c["_a"]).alias("a"),
+        F.transform("_sides", lambda c: c["view_id"]).alias("ids"),
+        F.transform("_sides", lambda c: c["_r"]).alias("r"),
+        F.transform("_sides", lambda c: c["omega"]).alias("omega"),
+    )
 
-    multipliers = system.groupBy("portfolio_id").applyInPandas(solve, "portfolio_id string, view_id long, _y double")
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            answers = [
+                np.linalg.solve(np.asarray(a).reshape(len(r), -1) + np.diag(omega), r)
+                for a, r, omega in zip(pdf["a"], pdf["r"], pdf["omega"])
+            ]
+            sizes = [len(y) for y in answers]
+            if sizes:
+                yield pd.DataFrame(
+                    {
+                        "portfolio_id": np.repeat(pdf["portfolio_id"].to_numpy(), sizes),
+                        "view_id": np.concatenate(list(pdf["ids"])),
+                        "_y": np.concatenate(answers),
+                    }
+                )
+
+    multipliers = systems.mapInPandas(solve, "portfolio_id string, view_id long, _y double")
     moves = (
         spread.join(multipliers, ["portfolio_id", "view_id"])
         .groupBy("portfolio_id", "ticker")
