@@ -108,9 +108,9 @@ def risk_contributions_from_returns(weights: DataFrame, returns: DataFrame, norm
 
 
 def _as_shares(rows: DataFrame) -> DataFrame:
-    total = rows.groupBy(PID).agg(F.sum("rc").alias("_total"))
-    scale = F.when(F.abs("_total") > 1e-16, F.col("_total")).otherwise(F.lit(1.0))
-    return rows.join(total, PID).select(PID, "ticker", (F.col("rc") / scale).alias("rc"))
+    total = F.sum("rc").over(W.partitionBy(PID))
+    scale = F.when(F.abs(total) > 1e-16, total).otherwise(F.lit(1.0))
+    return rows.withColumn("rc", F.col("rc") / scale)
 
 
 def turnover(weights: DataFrame, ref: DataFrame, lam: float = 1.0) -> DataFrame:

@@ -1,9 +1,9 @@
 """Euclidean projection of weights onto {sum = 1, w_min <= w <= w_max}, for all portfolios in one window query.
 
 Subtracting a shift theta and clipping gives a sum that falls piecewise linearly in theta, with a knot at v - w_max
-and one at v - w_min for every weight. Running slopes over the sorted knots give the sum at each of them; the last
-knot with a sum of at least 1 starts the segment where the sum crosses 1, and theta is solved there exactly.
-A group holds two rows per ticker of one portfolio.
+and one at v - w_min for every weight. Running sums over the sorted knots give the clipped sum at each of them; the
+last knot with a sum of at least 1 starts the segment where the sum crosses 1, and theta is solved there exactly.
+Everything runs in one shuffle by portfolio; a group holds two rows per ticker of one portfolio.
 """
 
 from __future__ import annotations
@@ -29,42 +29,36 @@ def project_box_simplex(
     """Projected ``weight`` per row with ``status`` 'ok', or a NULL weight and 'infeasible' where the box cannot sum
     to 1. Bounds may be numbers or columns that are constant within a portfolio."""
     keys = list(group)
-    data = v.withColumn("_lo", _bound(w_min)).withColumn("_hi", _bound(w_max))
-    knots = data.select(
-        *keys,
-        "_hi",
+    lo, hi = F.col("_lo"), F.col("_hi")
+    knots = v.withColumn("_lo", _bound(w_min)).withColumn("_hi", _bound(w_max)).select(
+        "*",
         F.inline(
             F.array(
-                F.struct((F.col("weight") - F.col("_hi")).alias("_knot"), F.lit(-1).alias("_turn"), F.lit(1).alias("_one")),
-                F.struct((F.col("weight") - F.col("_lo")).alias("_knot"), F.lit(1).alias("_turn"), F.lit(0).alias("_one")),
+                F.struct((F.col("weight") - hi).alias("_knot"), F.lit(-1).alias("_turn")),
+                F.struct((F.col("weight") - lo).alias("_knot"), F.lit(1).alias("_turn")),
             )
         ),
     )
-    order = W.partitionBy(*keys).orderBy("_knot")
-    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    merged = knots.groupBy(*keys, "_knot").agg(
-        F.sum("_turn").alias("_turn"), F.sum("_one").alias("_ones"), F.max("_hi").alias("_hi")
-    )
+    whole = W.partitionBy(*keys)
+    passed = whole.orderBy("_knot").rangeBetween(W.unboundedPreceding, W.currentRow)
     walked = (
-        merged.withColumn("_slope", F.sum("_turn").over(upto))
-        .withColumn("_n", F.sum("_ones").over(W.partitionBy(*keys)))
-        .withColumn("_step", (F.col("_knot") - F.lag("_knot").over(order)) * F.lag("_slope").over(order))
-        .withColumn("_sum", F.col("_n") * F.col("_hi") + F.coalesce(F.sum("_step").over(upto), F.lit(0.0)))
+        knots.withColumn("_n", F.count(F.lit(1)).over(whole) / 2)
+        .withColumn("_slope", F.sum("_turn").over(passed))
+        .withColumn("_offset", F.sum(F.col("_turn") * F.col("_knot")).over(passed))
+        .withColumn("_sum", F.col("_n") * hi + F.col("_slope") * F.col("_knot") - F.col("_offset"))
     )
-    at = F.struct("_knot", "_sum", "_slope")
-    start = walked.groupBy(*keys).agg(
-        F.coalesce(
-            F.max_by(at, F.when(F.col("_sum") >= 1.0, F.col("_knot"))), F.min_by(at, F.col("_knot"))
-        ).alias("_at"),
-        F.first("_n").alias("_n"),
+    here = F.struct("_knot", "_sum", "_slope")
+    at = F.coalesce(
+        F.max_by(here, F.when(F.col("_sum") >= 1.0, F.col("_knot"))).over(whole),
+        F.min_by(here, F.col("_knot")).over(whole),
     )
+    found = walked.withColumn("_at", at).where(F.col("_turn") == 1)
     shift = F.when(
         F.col("_at._slope") < 0, F.col("_at._knot") + (F.col("_at._sum") - 1.0) / (-F.col("_at._slope"))
     ).otherwise(F.col("_at._knot"))
-    joined = data.join(start.select(*keys, shift.alias("_theta"), "_n"), keys)
-    feasible = (F.col("_n") * F.col("_lo") - 1.0 <= TOL) & (1.0 - F.col("_n") * F.col("_hi") <= TOL)
-    weight = F.least(F.greatest(F.col("weight") - F.col("_theta"), F.col("_lo")), F.col("_hi"))
-    return joined.select(
+    feasible = (F.col("_n") * lo - 1.0 <= TOL) & (1.0 - F.col("_n") * hi <= TOL)
+    weight = F.least(F.greatest(F.col("weight") - shift, lo), hi)
+    return found.select(
         *[c for c in v.columns if c != "weight"],
         F.when(feasible, weight).alias("weight"),
         F.when(feasible, F.lit("ok")).otherwise(F.lit("infeasible")).alias("status"),
@@ -80,12 +74,12 @@ def safe_project(
 ) -> DataFrame:
     """Projection that always answers: non-finite weights count as 0, infeasible boxes give equal weights, and the
     result is renormalised."""
-    keys = list(group)
     clean = v.withColumn("weight", F.coalesce(finite(F.col("weight")), F.lit(0.0)))
     done = project_box_simplex(clean, w_min, w_max, group=group)
-    totals = done.groupBy(*keys).agg(F.sum("weight").alias("_total"), F.count(F.lit(1)).alias("_n"))
-    weight = F.when(F.col("_total") > TOL, F.col("weight") / F.col("_total")).otherwise(1.0 / F.col("_n"))
-    return done.join(totals, keys).withColumn("weight", weight).drop("_total", "_n")
+    whole = W.partitionBy(*group)
+    total = F.sum("weight").over(whole)
+    weight = F.when(total > TOL, F.col("weight") / total).otherwise(1.0 / F.count(F.lit(1)).over(whole))
+    return done.withColumn("weight", weight)
 
 
 def topk_project(

@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from . import market, portfolios, risk  # noqa: F401
+from . import backtests, construction, market, portfolios, risk  # noqa: F401
