@@ -130,24 +130,42 @@ def descend(
     return w
 
 
+def equal_risk(sigma: np.ndarray, sweeps: int = 500, tol: float = 1e-13) -> np.ndarray:
+    """Weights with equal risk contributions: the minimum of 1/2 x'Sx - mean(log x), one coordinate at a time."""
+    var = np.diag(sigma)
+    n = len(var)
+    x = 1.0 / np.sqrt(var * n)
+    for _ in range(sweeps):
+        largest = 0.0
+        for i in range(n):
+            cross = sigma[i] @ x - var[i] * x[i]
+            new = (np.sqrt(cross * cross + 4.0 * var[i] / n) - cross) / (2.0 * var[i])
+            largest = max(largest, abs(new / x[i] - 1.0))
+            x[i] = new
+        if largest < tol:
+            break
+    return x / x.sum()
+
+
 def risk_parity(market: Market, lo: np.ndarray, hi: np.ndarray, iters: int = 500, tol: float = 1e-8) -> np.ndarray:
-    """Multiplicative steps towards equal risk contributions, rescaled to sum 1 and projected into the box; a row
-    stops once its spread is below tol."""
+    """Equal risk contributions where the box admits them. Elsewhere: multiplicative steps towards them, rescaled and
+    projected into the box, until a row's spread is below tol."""
     sigma = clean_psd(market.sigma, 1e-10)
     n = len(sigma)
-    w = np.full((len(lo), n), 1.0 / n)
-    busy = np.ones(len(lo), dtype=bool)
+    free = equal_risk(sigma)
+    inside = ((free >= lo) & (free <= hi)).all(axis=1)
+    w = np.where(inside[:, None], free, 1.0 / n)
+    busy = ~inside
     for _ in range(iters):
+        if not busy.any():
+            break
         now = w[busy]
         rc = now * (now @ sigma)
         goal = rc.mean(axis=1, keepdims=True)
         ratio = np.where(rc > 0, goal / np.maximum(rc, 1e-18), 1.0)
-        moved = now * np.sqrt(ratio)
+        moved = now * np.sqrt(np.maximum(ratio, 0.0))
         w[busy] = project_rows(moved / moved.sum(axis=1, keepdims=True), lo[busy], hi[busy])
-        done = np.linalg.norm(rc - goal, axis=1) < tol
-        busy[np.flatnonzero(busy)[done]] = False
-        if not busy.any():
-            break
+        busy[np.flatnonzero(busy)[np.linalg.norm(rc - goal, axis=1) < tol]] = False
     return w
 
 
