@@ -260,15 +260,15 @@ def _universe_products(w, sigma):
 def _hrp_sql():
     return sql(
         [C.SEG_RET],
-        """SELECT universe_id, count(DISTINCT i) AS n, 1.0 AS total, TRUE AS positive, TRUE AS below_equal_weight_risk
+        """SELECT universe_id, count(DISTINCT i) AS n, 1.0 AS total, TRUE AS positive, TRUE AS below_largest_variance
            FROM usigma GROUP BY 1""",
-        ints=["n"], floats=["total"], plain=["universe_id", "positive", "below_equal_weight_risk"],
+        ints=["n"], floats=["total"], plain=["universe_id", "positive", "below_largest_variance"],
     )
 
 
 @query("hrp", _hrp_sql())
 def hrp(spark, d):
-    """Positive weights with less risk than equal weights, in each segment's universe."""
+    """Positive weights that sum to 1 and diversify, in each segment's universe."""
     sigma = _segment_sigma(spark, d)
     problems = sigma.select("universe_id", F.col("universe_id").alias("portfolio_id")).distinct()
     w = hand_off(A.solve(problems, sigma, method="hrp"), "weights")
@@ -278,10 +278,10 @@ def hrp(spark, d):
         (F.min("weight") > 0).alias("positive"),
         F.sum(F.col("weight") * F.col("_sw")).alias("_var"),
     )
-    equal = sigma.groupBy("universe_id").agg(F.avg("value").alias("_equal"))
+    worst = sigma.where("i = j").groupBy("universe_id").agg(F.max("value").alias("_worst"))
     return tidy(
-        risk.join(equal, "universe_id").select(
-            "universe_id", "n", "total", "positive", (F.col("_var") < F.col("_equal")).alias("below_equal_weight_risk")
+        risk.join(worst, "universe_id").select(
+            "universe_id", "n", "total", "positive", (F.col("_var") < F.col("_worst")).alias("below_largest_variance")
         )
     )
 
@@ -311,7 +311,7 @@ def group_caps(spark, d):
 
 def _markowitz_parts(spark, d):
     _, mu, sigma = risk_inputs(spark, d)
-    mu = hand_off(mu, "mu")
+    mu, sigma = hand_off(mu, "mu"), hand_off(G.ridge(sigma, 1e-2), "sigma")
     return mu, sigma, hand_off(A.closed_form_vectors(mu, sigma), "vectors")
 
 

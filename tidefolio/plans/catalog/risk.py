@@ -125,13 +125,13 @@ facts AS (
   SELECT sum(s) FILTER (i = j) AS tr, count(*) FILTER (i = j) AS n, sum(s * s) AS sq,
          (SELECT count(DISTINCT date) FROM centred) AS t FROM pop)"""
 OAS = """oas AS (
-  SELECT i, j, (1 - k) * s + CASE WHEN i = j THEN k * m ELSE 0 END AS value
-  FROM pop, (SELECT m, least(1, (a + m * m) / ((t + 1) * (a - m * m / n))) AS k
+  SELECT i, j, CASE WHEN t < 60 THEN s * t / (t - 1) ELSE (1 - k) * s + CASE WHEN i = j THEN k * m ELSE 0 END END AS value
+  FROM pop, (SELECT t, m, least(1, (a + m * m) / ((t + 1) * (a - m * m / n))) AS k
              FROM (SELECT tr / n AS m, sq / (n * n) AS a, n, t FROM facts)))"""
 LW = """lw AS (
-  SELECT i, j, (1 - k) * s + CASE WHEN i = j THEN k * m ELSE 0 END AS value
-  FROM pop, (SELECT m, least(beta, delta) / delta AS k
-             FROM (SELECT tr / n AS m, (sq - 2 * tr / n * tr + tr * tr / n) / n AS delta,
+  SELECT i, j, CASE WHEN t < 60 THEN s * t / (t - 1) ELSE (1 - k) * s + CASE WHEN i = j THEN k * m ELSE 0 END END AS value
+  FROM pop, (SELECT t, m, least(beta, delta) / delta AS k
+             FROM (SELECT t, tr / n AS m, (sq - 2 * tr / n * tr + tr * tr / n) / n AS delta,
                           ((SELECT sum(r * r) FROM (SELECT sum(x * x) AS r FROM centred GROUP BY date)) / t - sq) / (n * t) AS beta
                    FROM facts)))"""
 
@@ -155,8 +155,9 @@ def cov_ledoit_wolf(spark, d):
     "cov_ewma",
     sql(
         [*BASE, C.CENTRED,
-         "aged AS (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS age FROM (SELECT DISTINCT date FROM full_ret))"],
-        """SELECT a.ticker AS i, b.ticker AS j, 12 * sum(0.06 * power(0.94, age) * a.x * b.x) AS value
+         """aged AS (SELECT date, CASE WHEN n < 60 THEN 1 / (n - 1) ELSE 0.06 * power(0.94, age) END AS w FROM (
+              SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS age, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM full_ret)))"""],
+        """SELECT a.ticker AS i, b.ticker AS j, 12 * sum(w * a.x * b.x) AS value
            FROM centred a JOIN centred b ON a.date = b.date JOIN aged ON aged.date = a.date GROUP BY 1, 2""",
         **COV_COLS,
     ),

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def build_session(cores: str = "*", app: str = "tidefolio", shuffle_partitions: int = 8) -> SparkSession:
-    spark = (
+def build_session(
+    cores: str = "*", app: str = "tidefolio", shuffle_partitions: int = 8, checkpoint_dir: str | None = None
+) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -22,8 +24,10 @@ def build_session(cores: str = "*", app: str = "tidefolio", shuffle_partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TIDEFOLIO_DRIVER_MEMORY", "12g"))
-        .getOrCreate()
     )
+    if checkpoint_dir is not None:
+        builder = builder.config(CHECKPOINT_CONF, checkpoint_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

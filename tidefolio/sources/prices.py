@@ -56,7 +56,8 @@ def load_prices_long(
         raw = raw.where(F.col(date) < F.lit(end).cast(raw.schema[date].dataType))
     if tickers is not None:
         asked = [str(t) for t in tickers]
-        raw = raw.where(F.col(ticker).isin(sorted({*asked, *normalize_names(asked)})))
+        spellings = {*asked, *(t.strip() for t in asked), *normalize_names(asked)}
+        raw = raw.where(F.col(ticker).isin(sorted(spellings)))
     named = raw.select(
         F.col(date).alias("date"),
         F.upper(F.trim(F.col(ticker).cast("string"))).alias("ticker"),
