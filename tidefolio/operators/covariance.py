@@ -1,8 +1,9 @@
 """Covariance estimators and matrix operators on long (i, j, value) tables.
 
-Cross products are computed tile by tile. A tile holds at most DATES x NAMES cells of the panel; pairs of tiles over
-the same dates are multiplied, and the partial products are summed per (i, j). Task size is bounded by the tile, not
-by the number of dates or tickers, and no pair of observations is ever emitted as a row.
+Cross products are computed tile by tile. Each date becomes one vector, cut into blocks of TILE_NAMES tickers; dates
+are dealt into chunks of about TILE_DATES. The two blocks of a pair are multiplied per chunk and the partial products
+are summed per (i, j). Task size is bounded by the tile, not by the number of dates or tickers, and no pair of
+observations is ever emitted as a row.
 """
 
 from __future__ import annotations
@@ -28,55 +29,56 @@ COV_METHODS = ("sample", "lw", "oas", "ewma")
 def cross_products(panel: DataFrame, col: str = "x") -> DataFrame:
     """Sum over dates of x_i * x_j for i <= j, from a dense panel (date, ticker, x)."""
     by = universe_keys(panel)
-    whole = W.partitionBy(*by)
-    names = panel.select(*by, "ticker").distinct().select(
+    sizes = date_totals(panel).select(*by, F.ceil(F.col("n_dates") / TILE_DATES).alias("_chunks"))
+    names = grouped(panel.select(*by, "ticker").distinct(), by, F.array_sort(F.collect_list("ticker")).alias("_names"))
+    vectors = panel.groupBy(*by, "date").agg(F.array_sort(F.collect_list(F.struct("ticker", F.col(col).alias("x")))).alias("_v"))
+    blocks = F.ceil(F.size("_v") / TILE_NAMES).cast("int")
+    every_block = F.sequence(F.lit(0), blocks - 1)
+    cut = attach(vectors, sizes, by).select(
         *by,
-        "ticker",
-        (F.row_number().over(whole.orderBy("ticker")) - 1).alias("_t"),
-        F.count(F.lit(1)).over(whole).alias("_n"),
+        F.pmod(F.xxhash64("date"), F.col("_chunks")).alias("_chunk"),
+        "date",
+        F.col("_v")["x"].alias("_x"),
+        every_block.alias("_all"),
+        F.explode(every_block).alias("_block"),
     )
-    days = calendar(panel).select(*by, "date", "idx")
-    cells = panel.select(*by, "date", "ticker", F.col(col).alias("_x")).join(names, [*by, "ticker"]).join(days, [*by, "date"])
-    tiles = (
-        cells.groupBy(
-            *by,
-            F.floor((F.col("idx") - 1) / TILE_DATES).cast("int").alias("_chunk"),
-            F.floor(F.col("_t") / TILE_NAMES).cast("int").alias("_block"),
-            "_n",
-        )
-        .agg(F.array_sort(F.collect_list(F.struct("idx", "_t", "_x"))).alias("_cells"))
-        .select(
-            *by,
-            "_chunk",
-            "_block",
-            F.transform("_cells", lambda c: c["_x"]).alias("_x"),
-            F.least(F.lit(TILE_NAMES), F.col("_n") - F.col("_block") * TILE_NAMES).cast("int").alias("_width"),
-            F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / TILE_NAMES).cast("int") - 1)).alias("_other"),
-        )
-        .withColumn("_bi", F.least("_block", "_other"))
-        .withColumn("_bj", F.greatest("_block", "_other"))
+    pairs = cut.select(
+        *by,
+        "_chunk",
+        "date",
+        "_block",
+        F.slice("_x", F.col("_block") * TILE_NAMES + 1, F.lit(TILE_NAMES)).alias("_part"),
+        F.explode("_all").alias("_other"),
+    ).select(
+        *by,
+        "_chunk",
+        F.least("_block", "_other").alias("_bi"),
+        F.greatest("_block", "_other").alias("_bj"),
+        "date",
+        "_block",
+        "_part",
     )
     id_fields = "".join(f"{c} string, " for c in by)
 
     def multiply(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = {
-            b: np.asarray(x, dtype=float).reshape(-1, width)
-            for b, x, width in zip(pdf["_block"], pdf["_x"], pdf["_width"])
-        }
         bi, bj = int(key[-2]), int(key[-1])
-        product = blocks[bi].T @ blocks[bj]
+        tiles = {b: np.stack(list(g.sort_values("date")["_part"])) for b, g in pdf.groupby("_block")}
+        product = tiles[bi].T @ tiles[bj]
         rows, cols = np.triu_indices(product.shape[0]) if bi == bj else np.indices(product.shape).reshape(2, -1)
         out = {c: key[k] for k, c in enumerate(by)}
         out |= {"_i": rows + bi * TILE_NAMES, "_j": cols + bj * TILE_NAMES, "_p": product[rows, cols]}
         return pd.DataFrame(out)
 
-    partial = tiles.groupBy(*by, "_chunk", "_bi", "_bj").applyInPandas(
+    partial = pairs.groupBy(*by, "_chunk", "_bi", "_bj").applyInPandas(
         multiply, f"{id_fields}_i int, _j int, _p double"
     )
     sums = partial.groupBy(*by, "_i", "_j").agg(F.sum("_p").alias("value"))
-    first = names.select(*by, F.col("_t").alias("_i"), F.col("ticker").alias("i"))
-    second = names.select(*by, F.col("_t").alias("_j"), F.col("ticker").alias("j"))
-    return sums.join(first, [*by, "_i"]).join(second, [*by, "_j"]).select(*by, "i", "j", "value")
+    return attach(sums, names, by).select(
+        *by,
+        F.element_at("_names", F.col("_i") + 1).alias("i"),
+        F.element_at("_names", F.col("_j") + 1).alias("j"),
+        "value",
+    )
 
 
 def mirror(upper: DataFrame) -> DataFrame:
