@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import attach, grouped, one_of, require, universe_keys
+from ..session import Store, lazily
 from .covariance import pack_matrix, unpack
 from .portfolio import PID, active_weights, portfolio_returns, portfolio_stats
 from .projection import project_box_simplex
@@ -356,9 +357,11 @@ def cvar_scores(
     alpha: float = 0.95,
     lam_l1: float = 0.0,
     ref: DataFrame | None = None,
+    store: Store = lazily,
 ) -> DataFrame:
     """CVaR of the losses of each candidate portfolio plus lam * L1 turnover against the reference."""
     losses = portfolio_returns(candidates, returns).select(PID, (-F.col("ret")).alias("loss"))
+    losses = store(losses, "losses")  # read three times by the quantile and once by the tail mean
     cuts = exact_quantiles(losses, [PID], "loss", {"var": alpha})
     tail = F.avg(F.when(F.col("loss") >= F.col("var"), F.col("loss")))
     scores = losses.join(cuts, PID).groupBy(PID).agg(F.first("var").alias("var"), tail.alias("cvar"))

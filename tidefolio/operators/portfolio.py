@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import finite
 from ..schema import attach, grouped, require
+from ..session import Store, lazily
 
 PID = "portfolio_id"
 GAP = 1e-12
@@ -113,10 +114,9 @@ def _as_shares(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rc", F.col("rc") / scale)
 
 
-def turnover(weights: DataFrame, ref: DataFrame, lam: float = 1.0) -> DataFrame:
-    """L1 and L2 distance to the reference weights, and the penalties lam*L1 and lam/2*L2^2."""
+def _distance(active: DataFrame, lam: float) -> DataFrame:
     v = F.col("active")
-    return active_weights(weights, ref).groupBy(PID).agg(
+    return active.groupBy(PID).agg(
         F.sum(F.abs(v)).alias("l1"),
         F.sqrt(F.sum(v * v)).alias("l2"),
         (lam * F.sum(F.abs(v))).alias("l1_penalty"),
@@ -124,9 +124,12 @@ def turnover(weights: DataFrame, ref: DataFrame, lam: float = 1.0) -> DataFrame:
     )
 
 
-def tracking_error(weights: DataFrame, bench: DataFrame, sigma: DataFrame, mu: DataFrame | None = None) -> DataFrame:
-    """Root of the active variance, and the active expected return where ``mu`` is given."""
-    active = active_weights(weights, bench)
+def turnover(weights: DataFrame, ref: DataFrame, lam: float = 1.0) -> DataFrame:
+    """L1 and L2 distance to the reference weights, and the penalties lam*L1 and lam/2*L2^2."""
+    return _distance(active_weights(weights, ref), lam)
+
+
+def _tracking(active: DataFrame, sigma: DataFrame, mu: DataFrame | None) -> DataFrame:
     rows = active.join(sigma_times(active, sigma, "active"), [PID, "ticker"], "left")
     if mu is not None:
         rows = rows.join(mu.select("ticker", "mu"), "ticker", "left")
@@ -135,22 +138,24 @@ def tracking_error(weights: DataFrame, bench: DataFrame, sigma: DataFrame, mu: D
     return rows.groupBy(PID).agg(te, *gain)
 
 
+def tracking_error(
+    weights: DataFrame, bench: DataFrame, sigma: DataFrame, mu: DataFrame | None = None, store: Store = lazily
+) -> DataFrame:
+    """Root of the active variance, and the active expected return where ``mu`` is given."""
+    return _tracking(store(active_weights(weights, bench), "active"), sigma, mu)
+
+
 def tracking_error_from_returns(weights: DataFrame, bench: DataFrame, returns: DataFrame) -> DataFrame:
     """Standard deviation of the active return series."""
     active = active_weights(weights, bench).select(PID, "ticker", F.col("active").alias("weight"))
     return portfolio_returns(active, returns).groupBy(PID).agg(F.stddev_samp("ret").alias("te"))
 
 
-def active_exposure(
-    weights: DataFrame, bench: DataFrame, exposures: DataFrame, lb: float | None = None, ub: float | None = None
-) -> DataFrame:
-    """Active exposure per factor, its excess over the bounds, and half the squared excess."""
-    x = F.sum(F.col("active") * F.col("exposure"))
+def _exposure(active: DataFrame, exposures: DataFrame, lb: float | None, ub: float | None) -> DataFrame:
     rows = (
-        active_weights(weights, bench)
-        .join(exposures.select("factor", "ticker", "exposure"), "ticker")
+        active.join(exposures.select("factor", "ticker", "exposure"), "ticker")
         .groupBy(PID, "factor")
-        .agg(x.alias("exposure"))
+        .agg(F.sum(F.col("active") * F.col("exposure")).alias("exposure"))
     )
     above = F.greatest(F.col("exposure") - ub, F.lit(0.0)) if ub is not None else F.lit(0.0)
     below = F.greatest(F.lit(lb) - F.col("exposure"), F.lit(0.0)) if lb is not None else F.lit(0.0)
@@ -164,6 +169,13 @@ def active_exposure(
     )
 
 
+def active_exposure(
+    weights: DataFrame, bench: DataFrame, exposures: DataFrame, lb: float | None = None, ub: float | None = None
+) -> DataFrame:
+    """Active exposure per factor, its excess over the bounds, and half the squared excess."""
+    return _exposure(active_weights(weights, bench), exposures, lb, ub)
+
+
 def te_objective(
     weights: DataFrame,
     bench: DataFrame,
@@ -177,15 +189,18 @@ def te_objective(
     lb: float | None = None,
     ub: float | None = None,
     rho: float = 0.0,
+    store: Store = lazily,
 ) -> DataFrame:
-    """Half active variance - gamma * active return + lam/2 |w - ref|^2 + rho * exposure penalty, with its parts."""
-    out = tracking_error(weights, bench, sigma, mu).withColumn("te2", F.col("te") * F.col("te"))
-    distance = turnover(weights, bench if ref is None else ref, lam_l2).select(PID, F.col("l2_penalty").alias("reg"))
-    out = out.join(distance, PID, "left")
+    """Half active variance - gamma * active return + lam/2 |w - ref|^2 + rho * exposure penalty, with its parts.
+
+    All parts read the same active weights; ``store`` keeps them from being computed once per part.
+    """
+    active = store(active_weights(weights, bench), "active")
+    out = _tracking(active, sigma, mu).withColumn("te2", F.col("te") * F.col("te"))
+    away = active if ref is None else active_weights(weights, ref)
+    out = out.join(_distance(away, lam_l2).select(PID, F.col("l2_penalty").alias("reg")), PID, "left")
     if exposures is not None and rho > 0:
-        penalty = active_exposure(weights, bench, exposures, lb, ub).groupBy(PID).agg(
-            F.sum("penalty").alias("expo_pen")
-        )
+        penalty = _exposure(active, exposures, lb, ub).groupBy(PID).agg(F.sum("penalty").alias("expo_pen"))
         out = out.join(penalty, PID, "left").withColumn("expo_pen", F.coalesce("expo_pen", F.lit(0.0)))
     else:
         out = out.withColumn("expo_pen", F.lit(0.0))

@@ -16,7 +16,7 @@ from ..pipelines import data_pipeline, optimise_portfolios, risk_model
 from ..registry import query, sql, tidy
 from . import ctes as C
 from .market import SUMMARY
-from .portfolios import holdings, risk_inputs
+from .portfolios import benchmark, holdings, risk_inputs
 from .risk import brand_panel, brand_sigma
 
 GAMMA = 1.0
@@ -90,7 +90,7 @@ def mv_l2(spark, d):
 @query("mean_te", CERTIFICATE)
 def mean_te(spark, d):
     _, mu, sigma = risk_inputs(spark, d)
-    mu, bench = hand_off(mu, "mu"), hand_off(D.brand_benchmark(spark, d), "bench")
+    mu, bench = hand_off(mu, "mu"), benchmark(spark, d)
     problems = hand_off(_customers(spark, d)[0], "problems")
     w = A.solve(problems, sigma, mu, method="mean_te", bench=bench, w_max=BOX[1], iters=5000)
     return _certificate(w, _quadratic_gradient(sigma, mu, problems, bench=bench), *BOX)
@@ -99,7 +99,7 @@ def mean_te(spark, d):
 @query("te_active", CERTIFICATE)
 def te_active(spark, d):
     _, mu, sigma = risk_inputs(spark, d)
-    mu, bench = hand_off(mu, "mu"), hand_off(D.brand_benchmark(spark, d), "bench")
+    mu, bench = hand_off(mu, "mu"), benchmark(spark, d)
     problems = hand_off(_customers(spark, d)[0], "problems")
     w = A.solve(problems, sigma, mu, method="te_active", bench=bench, lam=0.05, w_max=BOX[1], iters=3000)
     return _certificate(w, _quadratic_gradient(sigma, mu, problems, bench=bench, lam=0.05, ref=bench), *BOX)
@@ -116,7 +116,7 @@ def te_active(spark, d):
 def te_active_bounded(spark, d):
     """Penalised exposures: never further outside the bounds than the same portfolio without the penalty."""
     _, mu, sigma = risk_inputs(spark, d)
-    mu, bench = hand_off(mu, "mu"), hand_off(D.brand_benchmark(spark, d), "bench")
+    mu, bench = hand_off(mu, "mu"), benchmark(spark, d)
     problems = hand_off(_customers(spark, d)[0], "problems")
     x = hand_off(panel.onehot_exposure(bench, D.brand_meta(spark, d)), "exposures")
     common = dict(method="te_active", bench=bench, w_max=BOX[1], iters=800)
@@ -174,7 +174,7 @@ def min_te(spark, d):
     """With a benchmark inside the box, the least tracking error is the benchmark itself."""
     sigma = brand_sigma(spark, d)
     problems = _customers(spark, d)[0]
-    w = A.solve(problems, sigma, method="min_te", bench=D.brand_benchmark(spark, d), w_max=BOX[1])
+    w = A.solve(problems, sigma, method="min_te", bench=benchmark(spark, d), w_max=BOX[1])
     return tidy(w.select("portfolio_id", "ticker", "weight"))
 
 
@@ -441,7 +441,7 @@ def cvar_select(spark, d):
     returns = brand_panel(spark, d)
     return tidy(
         A.cvar_select(
-            candidates, returns, group="segment", alpha=0.95, lam_l1=0.1, ref=D.brand_benchmark(spark, d)
+            candidates, returns, group="segment", alpha=0.95, lam_l1=0.1, ref=benchmark(spark, d), store=hand_off
         )
     )
 

@@ -22,6 +22,10 @@ def holdings(spark, d):
     return hand_off(D.customer_holdings(spark, d), "holdings")
 
 
+def benchmark(spark, d):
+    return hand_off(D.brand_benchmark(spark, d), "bench")
+
+
 def risk_inputs(spark, d):
     """Stored monthly returns, per-period means and sample covariance."""
     returns = brand_panel(spark, d)
@@ -210,7 +214,7 @@ def risk_contributions_from_returns(spark, d):
     ),
 )
 def turnover(spark, d):
-    return tidy(P.turnover(holdings(spark, d), D.brand_benchmark(spark, d), lam=0.5))
+    return tidy(P.turnover(holdings(spark, d), benchmark(spark, d), lam=0.5))
 
 
 TE = """te AS (
@@ -225,7 +229,7 @@ TE = """te AS (
 )
 def tracking_error(spark, d):
     _, mu, sigma = risk_inputs(spark, d)
-    return tidy(P.tracking_error(holdings(spark, d), D.brand_benchmark(spark, d), sigma, mu))
+    return tidy(P.tracking_error(holdings(spark, d), benchmark(spark, d), sigma, mu, store=hand_off))
 
 
 @query(
@@ -239,7 +243,7 @@ def tracking_error(spark, d):
 )
 def tracking_error_from_returns(spark, d):
     returns = hand_off(panel.complete_rows_only(brand_panel(spark, d)), "panel")
-    return tidy(P.tracking_error_from_returns(holdings(spark, d), D.brand_benchmark(spark, d), returns))
+    return tidy(P.tracking_error_from_returns(holdings(spark, d), benchmark(spark, d), returns))
 
 
 EXPOSED = """exposed AS (
@@ -261,7 +265,7 @@ def _exposures(spark, d):
     ),
 )
 def active_exposure(spark, d):
-    bench = D.brand_benchmark(spark, d)
+    bench = benchmark(spark, d)
     return tidy(P.active_exposure(holdings(spark, d), bench, _exposures(spark, d), lb=-0.05, ub=0.05))
 
 
@@ -279,11 +283,11 @@ def active_exposure(spark, d):
 )
 def te_objective(spark, d):
     _, mu, sigma = risk_inputs(spark, d)
-    bench = hand_off(D.brand_benchmark(spark, d), "bench")
+    bench = benchmark(spark, d)
     return tidy(
         P.te_objective(
             holdings(spark, d), bench, sigma, mu, gamma=2.0, lam_l2=0.2, exposures=_exposures(spark, d),
-            lb=-0.05, ub=0.05, rho=10.0,
+            lb=-0.05, ub=0.05, rho=10.0, store=hand_off,
         )
     )
 
@@ -504,5 +508,5 @@ def topk_project(spark, d):
     ),
 )
 def soft_threshold(spark, d):
-    active = P.active_weights(holdings(spark, d), D.brand_benchmark(spark, d))
+    active = P.active_weights(holdings(spark, d), benchmark(spark, d))
     return tidy(active.select("portfolio_id", "ticker", shrink_towards_zero(F.col("active"), 0.02).alias("moved")))

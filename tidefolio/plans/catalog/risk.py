@@ -415,7 +415,7 @@ VIEW_RISK = """risk AS (
     ),
 )
 def bl_omega(spark, d):
-    picks = M.bl_views(D.customer_views(spark, d), D.brand_benchmark(spark, d))
+    picks = M.bl_views(hand_off(D.customer_views(spark, d), "views"), hand_off(D.brand_benchmark(spark, d), "bench"))
     return tidy(M.bl_omega(picks, brand_sigma(spark, d)).withColumn("omega", F.col("omega") * 1000))
 
 
@@ -453,7 +453,7 @@ y AS (
 )
 def bl_posterior(spark, d):
     r = brand_panel(spark, d)
-    picks = hand_off(M.bl_views(D.customer_views(spark, d), D.brand_benchmark(spark, d)), "picks")
+    picks = hand_off(M.bl_views(hand_off(D.customer_views(spark, d), "views"), hand_off(D.brand_benchmark(spark, d), "bench")), "picks")
     sigma = hand_off(G.covariance(r, method="sample", annualize=False, store=hand_off), "sigma")
     return tidy(M.bl_posterior(M.mu_historical(r, annualize=False), sigma, picks, store=hand_off))
 
