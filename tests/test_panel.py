@@ -219,3 +219,17 @@ def test_empty_windows_compound_to_zero(spark):
     rows = [(day("2024-01-10"), "A", 0.1), (day("2024-02-10"), "A", 0.2), (day("2024-02-20"), "B", 0.5)]
     got = {(r.ticker, r.date.month): r.ret for r in R.returns_to_frequency(rets(spark, rows), freq="1mo", kind="simple").collect()}
     assert got[("B", 2)] == 0.0 and abs(got[("A", 3)] - 0.2) < 1e-12 and len(got) == 4
+
+
+def test_last_price_follows_stamp_then_arrival(spark):
+    d = [day("2024-01-02 10:00:00"), day("2024-01-02 10:00:00.000001")]
+    rows = [(d[1], "A", 1.0, -5), (d[1], "A", 2.0, -4), (d[0], "A", 3.0, 2**62), (d[0], "B", 4.0, 1), (d[0], "B", 5.0, 0)]
+    got = {r.ticker: r.price for r in R.resample_last(prices(spark, rows, ", seq bigint"), "1d").collect()}
+    assert got == {"A": 2.0, "B": 4.0}
+
+
+def test_calendar_positions_across_days(spark):
+    stamps = [day("2024-01-01 09:00:00"), day("2024-01-01 10:00:00"), day("2024-01-03"), day("2023-12-31 23:59:59")]
+    df = rets(spark, [(s, t, 0.0) for s in stamps for t in "AB"])
+    got = {r.date: (r.idx, r.n_dates) for r in panel.calendar(df).collect()}
+    assert [got[s] for s in sorted(stamps)] == [(1, 4), (2, 4), (3, 4), (4, 4)]

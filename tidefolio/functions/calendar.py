@@ -11,6 +11,7 @@ MONTHS_PER_UNIT = {"mo": 1, "q": 3, "y": 12}
 DAYS_PER_UNIT = {"d": 1, "w": 7}
 EPOCH = "1970-01-01"
 EPOCH_MONDAY = "1970-01-05"
+MICROS_PER_DAY = 86_400_000_000
 
 
 def parse_every(every: str) -> tuple[int, str]:
@@ -61,3 +62,19 @@ def period_end(ts: Column, every: str) -> Column:
 def elapsed_days(later: Column, earlier: Column) -> Column:
     """Whole days between two instants."""
     return F.extract(F.lit("DAY"), later - earlier).cast("bigint")
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since the epoch on the stamp's own clock (the same in every session zone)."""
+    second = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    clock = F.hour(ts).cast("bigint") * 3_600_000_000 + F.minute(ts).cast("bigint") * 60_000_000 + second
+    return F.datediff(F.to_date(ts), F.lit(EPOCH).cast("date")).cast("bigint") * MICROS_PER_DAY + clock
+
+
+def arrival_order(ts: Column, seq: Column) -> Column:
+    """One number that orders by time and then by ``seq``.
+
+    A decimal keeps hash aggregation (its buffer has a fixed width), where a struct key would force sorting.
+    """
+    shift = F.lit("18446744073709551616").cast("decimal(20,0)")  # 2^64, above the span of any seq
+    return micros(ts).cast("decimal(18,0)") * shift + seq.cast("decimal(20,0)")

@@ -71,16 +71,26 @@ def drop_constant_series(df: DataFrame, col: str = "ret", eps: float = 1e-14) ->
 def calendar(panel: DataFrame) -> DataFrame:
     """Distinct dates per universe with position ``idx`` (from 1) and ``n_dates``.
 
-    The window runs over distinct dates only, so its size is the length of the calendar, not of the panel.
+    Positions are counted inside each calendar day and shifted by the days before. The one window that is not split
+    runs over calendar days, so intraday stamps never meet in a single task.
     """
     by = universe_keys(panel)
-    days = panel.select(*by, "date").distinct()
+    stamps = panel.select(*by, "date").distinct().withColumn("_day", F.to_date("date"))
     whole = W.partitionBy(*by)
-    return days.select(
-        *by,
-        "date",
-        F.row_number().over(whole.orderBy("date")).cast("bigint").alias("idx"),
-        F.count(F.lit(1)).over(whole).alias("n_dates"),
+    before = F.sum("_count").over(whole.orderBy("_day").rowsBetween(W.unboundedPreceding, -1))
+    per_day = (
+        stamps.groupBy(*by, "_day")
+        .agg(F.count(F.lit(1)).alias("_count"))
+        .select(
+            *by,
+            "_day",
+            F.coalesce(before, F.lit(0)).alias("_before"),
+            F.sum("_count").over(whole).alias("n_dates"),
+        )
+    )
+    inside = F.row_number().over(W.partitionBy(*by, "_day").orderBy("date"))
+    return stamps.withColumn("_inside", inside).join(per_day, [*by, "_day"]).select(
+        *by, "date", (F.col("_before") + F.col("_inside")).alias("idx"), "n_dates"
     )
 
 

@@ -4,28 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.calendar import bucket_label, period_end
+from ..functions.calendar import arrival_order, bucket_label, period_end
 from ..functions.numeric import period_return
 from ..schema import attach, grouped, one_of, require, universe_keys
-from .panel import calendar, canonicalize, dedupe_keep_last, spine
+from .panel import calendar, canonicalize, spine
 from .quality import infer_return_kind, infer_return_kind_by_series
 
 
 def resample_last(prices: DataFrame, every: str = "1w") -> DataFrame:
     """Last price per ticker and window (left, right], labelled with the right edge.
 
-    With a ``seq`` column repeated (date, ticker) rows are settled first (last one wins). Both steps are hash
-    aggregates with fixed-width buffers and map-side combine: raw ticks are never sorted or windowed.
+    With a ``seq`` column the last ingested of several rows with the same stamp wins. One hash aggregate with
+    fixed-width buffers and map-side combine: raw ticks are neither sorted nor shuffled row by row.
     """
     require(prices, "date", "ticker", "price")
     by = universe_keys(prices)
-    ticks = prices.select(*by, "date", "ticker", "price", *(["seq"] if "seq" in prices.columns else []))
-    ticks = canonicalize(ticks)
-    if "seq" in ticks.columns:
-        ticks = dedupe_keep_last(ticks, keys=(*by, "date", "ticker"))
+    ticks = canonicalize(
+        prices.select(*by, "date", "ticker", "price", *(["seq"] if "seq" in prices.columns else []))
+    )
+    order = arrival_order(F.col("date"), F.col("seq")) if "seq" in ticks.columns else F.col("date")
     return (
         ticks.groupBy(*by, "ticker", bucket_label(F.col("date"), every).alias("label"))
-        .agg(F.max_by("price", "date").alias("price"))
+        .agg(F.max_by("price", order).alias("price"))
         .select(*by, F.col("label").alias("date"), "ticker", "price")
     )
 
