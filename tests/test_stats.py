@@ -22,11 +22,11 @@ def panel(spark, table, drop=()):
     return spark.createDataFrame(rows, "date timestamp_ntz, ticker string, ret double")
 
 
-@pytest.mark.parametrize("open_rows", [10**9, 0])
+@pytest.mark.parametrize("small", [10**9, 22_000, 0])
 @pytest.mark.parametrize("method", ["linear", "nearest"])
-def test_exact_quantiles(spark, monkeypatch, open_rows, method):
-    """Both the whole-group path and the bracketed path of large groups are exact, ties included."""
-    monkeypatch.setattr(quantiles, "OPEN_BRACKET_ROWS", open_rows)
+def test_exact_quantiles(spark, monkeypatch, small, method):
+    """Sorted small groups, bracketed large ones and a mix of both are exact, ties included."""
+    monkeypatch.setattr(quantiles, "SMALL_GROUP", small)
     rng = np.random.default_rng(3)
     data = {"a": rng.normal(size=30_000), "b": np.round(rng.normal(size=25_001), 1), "c": np.zeros(20_000)}
     df = spark.createDataFrame(pd.concat([pd.DataFrame({"g": k, "x": v}) for k, v in data.items()]))

@@ -23,12 +23,18 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
 
 
 def sigma_times(weights: DataFrame, sigma: DataFrame, value: str = "weight") -> DataFrame:
-    """(Sigma w) per portfolio and ticker."""
-    vector = weights.select(PID, F.col("ticker").alias("j"), F.col(value).alias("_w")).where(F.col("_w") != 0)
+    """(Sigma w) as ``_sw`` per portfolio and ticker of the universe, next to the ticker's own weight ``_w``.
+
+    Weights are brought together by portfolio first: the products of a portfolio are then summed where they arise,
+    and what follows per portfolio needs no further shuffle. The own weight comes from the diagonal row, so nothing
+    is joined back. Tickers without covariance carry no risk and drop out.
+    """
+    vector = weights.select(PID, F.col("ticker").alias("j"), F.col(value).alias("_wj")).repartition(PID)
+    own = F.sum(F.when(F.col("i") == F.col("j"), F.col("_wj")))
     return (
         vector.join(sigma.select("i", "j", "value"), "j")
         .groupBy(PID, F.col("i").alias("ticker"))
-        .agg(F.sum(F.col("value") * F.col("_w")).alias("_sw"))
+        .agg(F.sum(F.col("value") * F.col("_wj")).alias("_sw"), own.alias("_w"))
     )
 
 
@@ -57,13 +63,14 @@ def active_weights(weights: DataFrame, bench: DataFrame) -> DataFrame:
 
 def portfolio_stats(weights: DataFrame, mu: DataFrame, sigma: DataFrame, rf: float = 0.0) -> DataFrame:
     """Expected return, risk and Sharpe ratio (NULL where the risk vanishes)."""
+    w = F.coalesce("_w", F.lit(0.0))
     rows = (
-        weights.join(mu.select("ticker", "mu"), "ticker", "left")
-        .join(sigma_times(weights, sigma), [PID, "ticker"], "left")
+        sigma_times(weights, sigma)
+        .join(mu.select("ticker", "mu"), "ticker", "left")
         .groupBy(PID)
         .agg(
-            F.sum(F.col("weight") * F.coalesce("mu", F.lit(0.0))).alias("mu_p"),
-            F.sqrt(F.greatest(F.sum(F.col("weight") * F.coalesce("_sw", F.lit(0.0))), F.lit(0.0))).alias("sigma_p"),
+            F.sum(w * F.coalesce("mu", F.lit(0.0))).alias("mu_p"),
+            F.sqrt(F.greatest(F.sum(w * F.col("_sw")), F.lit(0.0))).alias("sigma_p"),
         )
     )
     return rows.withColumn("sharpe", F.when(F.col("sigma_p") > GAP, (F.col("mu_p") - rf) / F.col("sigma_p")))
@@ -92,8 +99,8 @@ def risk_contributions(
     weights: DataFrame, sigma: DataFrame, normalize: bool = False
 ) -> DataFrame:
     """w_i (Sigma w)_i, or its share of the portfolio variance."""
-    rc = F.col("weight") * F.coalesce("_sw", F.lit(0.0))
-    rows = weights.join(sigma_times(weights, sigma), [PID, "ticker"], "left").select(PID, "ticker", rc.alias("rc"))
+    held = sigma_times(weights, sigma).where(F.col("_w").isNotNull())
+    rows = held.select(PID, "ticker", (F.col("_w") * F.col("_sw")).alias("rc"))
     return _as_shares(rows) if normalize else rows
 
 
@@ -130,11 +137,12 @@ def turnover(weights: DataFrame, ref: DataFrame, lam: float = 1.0) -> DataFrame:
 
 
 def _tracking(active: DataFrame, sigma: DataFrame, mu: DataFrame | None) -> DataFrame:
-    rows = active.join(sigma_times(active, sigma, "active"), [PID, "ticker"], "left")
+    rows = sigma_times(active, sigma, "active")
     if mu is not None:
         rows = rows.join(mu.select("ticker", "mu"), "ticker", "left")
-    te = F.sqrt(F.greatest(F.sum(F.col("active") * F.coalesce("_sw", F.lit(0.0))), F.lit(0.0))).alias("te")
-    gain = [F.sum(F.col("active") * F.coalesce("mu", F.lit(0.0))).alias("active_ret")] if mu is not None else []
+    v = F.coalesce("_w", F.lit(0.0))
+    te = F.sqrt(F.greatest(F.sum(v * F.col("_sw")), F.lit(0.0))).alias("te")
+    gain = [F.sum(v * F.coalesce("mu", F.lit(0.0))).alias("active_ret")] if mu is not None else []
     return rows.groupBy(PID).agg(te, *gain)
 
 

@@ -1,20 +1,20 @@
 """Exact order statistics per group, for groups of any size.
 
-A first aggregate brackets each wanted rank with an approximate quantile sketch (bounded state, combined on the map
-side). Only values inside the bracket, a few per ten thousand of a large group, are then ranked; values below it are
-merely counted. Groups smaller than the sketch can resolve keep an open bracket. The result is exact for every group.
+Groups of up to SMALL_GROUP values are sorted inside one aggregate buffer, after a check of the sizes. Larger ones get each wanted rank bracketed
+by an approximate quantile sketch (bounded state, combined on the map side); only values inside the bracket, a few per
+ten thousand, are then ranked, and values below it are merely counted. The result is exact either way.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import attach, grouped, one_of
 
 SKETCH_ACCURACY = 10_000  # the sketch's rank error is at most n / SKETCH_ACCURACY
-OPEN_BRACKET_ROWS = 4 * SKETCH_ACCURACY  # groups up to this size are ranked whole
+SMALL_GROUP = 4 * SKETCH_ACCURACY  # below this the bracket would hold too few ranks to be safe
 
 
 def exact_quantiles(
@@ -27,34 +27,63 @@ def exact_quantiles(
     one_of(method, ("linear", "nearest"), "method")
     x = F.col(value)
     data = df.where(x.isNotNull()).select(*by, x.alias("_x"))
+    sizes = grouped(data, by, F.count("_x").alias("_n"))
+    # One small job looks at the group sizes and picks the way; large groups are never gathered.
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest <= SMALL_GROUP:
+        return _sorted(data, by, probs, method)
+    if not by:
+        return _bracketed(data, sizes, by, probs, method)
+    large = sizes.where(F.col("_n") > SMALL_GROUP)
+    small = data.join(large.select(*by), by, "left_anti")
+    return _sorted(small, by, probs, method).unionByName(
+        _bracketed(data.join(large.select(*by), by, "left_semi"), large, by, probs, method)
+    )
+
+
+def _position(p: float, n: Column, method: str) -> tuple[Column, Column]:
+    """Rank from 0 and the part of the way to the next rank."""
+    exact = F.lit(float(p)) * (n - 1)
+    if method == "nearest":
+        return F.floor(exact + 0.5), F.lit(0.0)
+    return F.floor(exact), exact - F.floor(exact)
+
+
+def _between(a: Column, b: Column, part: Column) -> Column:
+    return F.when(part > 0, a + (b - a) * part).otherwise(a)
+
+
+def _sorted(data: DataFrame, by: list[str], probs: dict[str, float], method: str) -> DataFrame:
+    rows = grouped(data, by, F.sort_array(F.collect_list("_x")).alias("_s"))
+    picks = []
+    for name, p in probs.items():
+        rank, part = _position(p, F.size("_s"), method)
+        at = lambda k: F.get("_s", k.cast("int"))
+        picks.append(_between(at(rank), at(rank + 1), part).alias(name))
+    return rows.select(*by, *picks)
 
+
+def _bracketed(
+    data: DataFrame, sizes: DataFrame, by: list[str], probs: dict[str, float], method: str
+) -> DataFrame:
     margin = 2.0 / SKETCH_ACCURACY
     cuts = sorted({min(max(p + s * margin, 0.0), 1.0) for p in probs.values() for s in (-1, 1)})
     position = {c: i for i, c in enumerate(cuts)}
-    sketch = grouped(
-        data,
-        by,
-        F.count("_x").alias("_n"),
-        F.percentile_approx("_x", cuts, SKETCH_ACCURACY).alias("_cuts"),
-    )
+    sketch = grouped(data, by, F.percentile_approx("_x", cuts, SKETCH_ACCURACY).alias("_cuts"))
 
-    def target(name: str, p: float):
-        exact = F.lit(float(p)) * (F.col("_n") - 1)
-        rank = F.floor(exact + 0.5) if method == "nearest" else F.floor(exact)
-        part = F.lit(0.0) if method == "nearest" else exact - F.floor(exact)
-        low, high = p - margin, p + margin
-        open_ = F.col("_n") <= OPEN_BRACKET_ROWS
-        lo = F.lit(-math.inf) if low <= 0 else F.when(open_, F.lit(-math.inf)).otherwise(
-            F.col("_cuts")[position[min(low, 1.0)]]
-        )
-        hi = F.lit(math.inf) if high >= 1 else F.when(open_, F.lit(math.inf)).otherwise(
-            F.col("_cuts")[position[max(high, 0.0)]]
-        )
+    def target(name: str, p: float) -> Column:
+        rank, part = _position(p, F.col("_n"), method)
+        whole = F.col("_n") <= SMALL_GROUP
+        lo, hi = F.lit(-math.inf), F.lit(math.inf)
+        if p - margin > 0:
+            lo = F.when(whole, lo).otherwise(F.col("_cuts")[position[p - margin]])
+        if p + margin < 1:
+            hi = F.when(whole, hi).otherwise(F.col("_cuts")[position[p + margin]])
         return F.struct(
             F.lit(name).alias("name"), rank.alias("rank"), part.alias("part"), lo.alias("lo"), hi.alias("hi")
         )
 
-    targets = sketch.select(*by, F.array(*[target(n, p) for n, p in probs.items()]).alias("_targets"))
+    targets = attach(sketch, sizes, by).select(*by, F.array(*[target(n, p) for n, p in probs.items()]).alias("_targets"))
     probes = attach(data, targets, by).select(*by, "_x", F.explode("_targets").alias("_t")).where("_x <= _t.hi")
     counted = (
         probes.withColumn("_v", F.when(F.col("_x") < F.col("_t.lo"), F.lit(-math.inf)).otherwise(F.col("_x")))
@@ -70,12 +99,7 @@ def exact_quantiles(
             F.min(F.when(F.col("_upto") > F.col("_rank") + 1, F.col("_v"))).alias("_b"),
             F.first("_part").alias("_part"),
         )
-        .withColumn(
-            "_q",
-            F.when(F.col("_part") > 0, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).otherwise(
-                F.col("_a")
-            ),
-        )
+        .withColumn("_q", _between(F.col("_a"), F.col("_b"), F.col("_part")))
     )
     picks = [F.max(F.when(F.col("name") == n, F.col("_q"))).alias(n) for n in probs]
     return grouped(found, by, *picks)
