@@ -88,3 +88,18 @@ def test_hand_off_uses_the_named_folder(spark):
     assert shared_folder(spark) == named
     stored = hand_off(spark.range(3), "numbers")
     assert stored.count() == 3 and named in stored.inputFiles()[0] and "/tidefolio/numbers-" in stored.inputFiles()[0]
+
+
+def test_csv_dates_are_filtered_as_dates(spark, tmp_path):
+    path = tmp_path / "p.csv"
+    path.write_text("date,ticker,price\n2024-01-01,a,1\n2024-01-02,a,2\n2024-01-03,a,x\nnever,a,4\n")
+    got = src.load_prices_long(spark, str(path), fmt="csv", start="2024-01-02").collect()
+    assert [(r.ticker, r.price, r.date.day) for r in got] == [("A", 2.0, 2)]
+
+
+def test_top_moves_trim_before_the_shuffle(spark):
+    from tidefolio.operators.quality import top_abs_moves
+
+    returns = sample(spark).select("date", "ticker", F.col("price").alias("ret"))
+    plan = top_abs_moves(returns, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2

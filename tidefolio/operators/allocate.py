@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import attach, grouped, one_of, require, universe_keys
-from ..session import Store, lazily
+from ..session import Store, busy_partitions, lazily
 from .covariance import pack_matrix, unpack
 from .portfolio import PID, active_weights, portfolio_returns, portfolio_stats
 from .projection import project_box_simplex
@@ -38,10 +38,6 @@ def _with_lists(df: DataFrame, side: DataFrame, by: list[str], prefix: str, *col
     return df.join(packed, keys, "left") if keys else attach(df, packed, [])
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _spread(names: np.ndarray, tickers, values) -> np.ndarray:
     """Values of a (ticker, value) list in the order of ``names``; tickers not listed count 0."""
     out = np.zeros(len(names))
@@ -136,7 +132,7 @@ def solve(
     market = market.select(*[F.col(c).alias(c) for c in market.columns if c != "_parts"])
     keys = [*by, "_part"]
     # An explicit partition number keeps AQE from merging these byte-small but compute-heavy partitions.
-    n = _partitions(problems)
+    n = busy_partitions(problems)
     left = tasks.repartition(n, *keys).groupBy(*keys)
     right = market.repartition(n, *keys).groupBy(*keys)
     active = method in ("min_te", "mean_te", "te_active")

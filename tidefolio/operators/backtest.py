@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..schema import attach, grouped, require, universe_keys
-from ..session import Store, lazily
+from ..session import Store, busy_partitions, lazily
 from .panel import calendar, spine, ticker_totals
 from .returns import rebalance_dates, to_simple
 from .solvers import Market, optimise
@@ -76,9 +76,11 @@ def _by_window(returns: DataFrame, freq: str, lookback: int, allocator: Allocato
     """Weights from a function of the window's (dates x tickers) array.
 
     Each date becomes one row with the vector of its returns; a window collects ``lookback`` such rows, so a group's
-    size is lookback x tickers. Windows are spread over a fixed number of partitions.
+    size is lookback x tickers. The windows are spread by an explicit partition number before they are collected:
+    AQE would merge these byte-small but compute-heavy partitions, and a repartition after the aggregate is dropped.
     """
     by = universe_keys(returns)
+    n = busy_partitions(returns)
     cells = spine(returns).join(returns.select(*by, "date", "ticker", "ret"), [*by, "date", "ticker"], "left")
     names = grouped(returns.select(*by, "ticker").distinct(), by, F.array_sort(F.collect_list("ticker")).alias("names"))
     vectors = (
@@ -89,12 +91,12 @@ def _by_window(returns: DataFrame, freq: str, lookback: int, allocator: Allocato
     windows = (
         lookback_windows(returns, freq=freq, lookback=lookback)
         .join(vectors, [*by, "date"])
+        .repartition(n, *by, "rb_date")
         .groupBy(*by, "rb_date")
         .agg(F.array_sort(F.collect_list(F.struct("date", "_v"))).alias("_w"))
         .select(*by, "rb_date", F.flatten(F.col("_w")["_v"]).alias("cells"))
     )
     packed = attach(windows, names, by)
-    n = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -107,9 +109,7 @@ def _by_window(returns: DataFrame, freq: str, lookback: int, allocator: Allocato
                 yield out
 
     fields = "".join(f"{c} string, " for c in by)
-    return packed.repartition(n, *by, "rb_date").mapInPandas(
-        run, f"{fields}rb_date timestamp_ntz, ticker string, weight double"
-    )
+    return packed.mapInPandas(run, f"{fields}rb_date timestamp_ntz, ticker string, weight double")
 
 
 def window_moments(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

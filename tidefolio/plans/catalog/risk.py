@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import covariance as G, mu as M
-from ...session import hand_off
+from ...session import hand_off, shared_folder
+from ...sources import artifacts
 from .. import derive as D
 from ..registry import query, sql, tidy
 from . import ctes as C
@@ -219,6 +220,14 @@ def cov_by_universe(spark, d):
     ), 8)
 
 
+@query("matrix_roundtrip", sql(C.RISK[:-1], "SELECT i, j, value FROM sigma", **COV_COLS))
+def matrix_roundtrip(spark, d):
+    root, cfg = shared_folder(spark), {"data": d, "matrix": "sample"}
+    returns = brand_panel(spark, d)
+    artifacts.write_matrix(G.covariance(returns, method="sample", annualize=False, store=hand_off), root, "sigma", cfg)
+    return tidy(artifacts.read_matrix(spark, root, "sigma", cfg), 8)
+
+
 @query("correlation", sql([*C.RISK[:-1], C.CORR], "SELECT * FROM corr", **COV_COLS))
 def correlation(spark, d):
     return tidy(G.correlation(brand_sigma(spark, d)), 8)

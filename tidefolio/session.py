@@ -63,3 +63,9 @@ def hand_off(df: DataFrame, label: str = "table") -> DataFrame:
 def lazily(df: DataFrame, label: str = "") -> DataFrame:
     """The other ``Store``: keep the plan, store nothing."""
     return df
+
+
+def busy_partitions(df: DataFrame) -> int:
+    """Partitions for steps that are small in bytes but heavy in compute: several per shuffle partition, so that
+    uneven groups even out."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.panel import canonicalize, dedupe_keep_last, drop_nulls, long_to_wide
 from ..schema import ASSET_META, one_of, require
@@ -38,8 +38,8 @@ def load_prices_long(
     without one the stored rows are taken as unique.
     """
     one_of(fmt, FORMATS, "format")
-    reader = spark.read.option("header", True).option("inferSchema", True) if fmt == "csv" else spark.read
-    raw = reader.format(fmt).load(path)
+    # Text columns stay text (no inference pass over the files); canonicalize casts what is kept.
+    raw = spark.read.format(fmt).option("header", True).load(path)
     if wide:
         require(raw, date)
         ids, columns = [date], [c for c in raw.columns if c != date]
@@ -50,10 +50,13 @@ def load_prices_long(
         raw = numbers.unpivot(ids, [f"`{c}`" for c in columns], ticker, price)
         tickers = None
     require(raw, date, ticker, price, *([seq] if seq else []))
+    kind = raw.schema[date].dataType
+    if isinstance(kind, T.StringType):
+        raw, kind = raw.withColumn(date, F.col(date).try_cast("timestamp_ntz")), T.TimestampNTZType()
     if start is not None:
-        raw = raw.where(F.col(date) >= F.lit(start).cast(raw.schema[date].dataType))
+        raw = raw.where(F.col(date) >= F.lit(start).cast(kind))
     if end is not None:
-        raw = raw.where(F.col(date) < F.lit(end).cast(raw.schema[date].dataType))
+        raw = raw.where(F.col(date) < F.lit(end).cast(kind))
     if tickers is not None:
         asked = [str(t) for t in tickers]
         spellings = {*asked, *(t.strip() for t in asked), *normalize_names(asked)}
