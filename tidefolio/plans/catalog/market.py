@@ -756,7 +756,7 @@ def rebalance_dates(spark, d):
     ),
 )
 def winsorize(spark, d):
-    return tidy(stats.winsorize(D.supplier_returns(spark, d), q=0.05))
+    return tidy(stats.winsorize(hand_off(D.supplier_returns(spark, d), "returns"), q=0.05))
 
 
 @query(
@@ -769,7 +769,7 @@ def winsorize(spark, d):
     ),
 )
 def winsorize_linear(spark, d):
-    return tidy(stats.winsorize_linear(D.supplier_returns(spark, d), q=0.01))
+    return tidy(stats.winsorize_linear(hand_off(D.supplier_returns(spark, d), "returns"), q=0.01))
 
 
 SUMMARY = """SELECT ticker, mean, std, m3 / power(m2, 1.5) AS skew, m4 / (m2 * m2) - 3 AS kurt,
