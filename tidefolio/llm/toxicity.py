@@ -1,7 +1,7 @@
 """Toxicity scores from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Features are words and four-character word beginnings. A bounded sample of labelled rows (``sample`` per class, those with
-the smallest hash of their id) gives the examples and the vocabulary: features whose odds in toxic examples are surely
+Features are words and word beginnings of four to eight characters. A bounded sample of labelled rows (``sample`` per class, those with
+the smallest hash of their id, near-copies left out) gives the examples and the vocabulary: features whose odds in toxic examples are surely
 higher, at most ``FEATURES`` of them. Everything else covers all documents: each text is reduced to its counts of the
 vocabulary's features, document frequencies are counted over all of them, and every document is scored.
 
@@ -28,50 +28,67 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidefolio.llm.common import as_text, some_rows
+from tidefolio.llm.common import as_bytes, as_text, some_rows
 from tidefolio.session import hand_off
 
 #: Bounds of the labelled sample: toxic examples, others.
 SAMPLE = (1500, 4500)
 FEATURES = 4096
-BEGINNING = 4
-#: A feature's share of the toxic examples, and its odds ratio's lower limit (97.5 % one-sided).
-LEAST_SHARE = 0.004
+BEGINNINGS = (4, 5, 6, 7, 8)
+HEAD = min(BEGINNINGS)
+#: A feature's least share of the toxic examples, how many standard errors its log odds ratio must be above zero, and the
+#: ratio that must be surely exceeded (``LIMIT`` standard errors).
+LEAST_SHARE = 0.01
+SURE = 3.3
 ODDS = 4.0
 LIMIT = 1.96
 K = 15
 NEAR = 0.05
 BLOCK = 64
 THRESHOLD = 0.7
+SHINGLE = 5
+SKETCHES = 8
+SEED = 11
 WORDS = re.compile(r"\w+")
 
 
 def features(text: str) -> Counter:
-    """Words and, of words longer than ``BEGINNING``, their beginnings."""
+    """Words and, marked by ``^``, their shorter beginnings."""
     words = Counter(WORDS.findall(text.lower()))
     out = Counter(words)
     for w, n in words.items():
-        if len(w) > BEGINNING:
-            out["^" + w[:BEGINNING]] += n
+        for m in BEGINNINGS:
+            if len(w) > m:
+                out["^" + w[:m]] += n
     return out
 
 
-@dataclass
 class Vectorizer:
     """Counts of the vocabulary's features."""
 
-    numbers: dict[str, int]
+    def __init__(self, names: list[str]):
+        self.words = {f: i for i, f in enumerate(names) if not f.startswith("^")}
+        self.beginnings = {f[1:]: i for i, f in enumerate(names) if f.startswith("^")}
+        self.lengths = sorted({len(f) for f in self.beginnings})
+        #: How any feature starts: most words are ruled out by this alone.
+        self.heads = {f[:HEAD] for f in (*self.words, *self.beginnings)}
 
     def count(self, text: str) -> dict[int, int]:
         out: dict[int, int] = {}
-        get = self.numbers.get
+        words, beginnings, lengths, heads = self.words, self.beginnings, self.lengths, self.heads
         for w, n in Counter(WORDS.findall(text.lower())).items():
-            if (i := get(w)) is not None:
-                out[i] = out.get(i, 0) + n
-            if len(w) > BEGINNING and (i := get("^" + w[:BEGINNING])) is not None:
-                out[i] = out.get(i, 0) + n
+            if w[:HEAD] not in heads:
+                continue
+            if w in words:
+                out[words[w]] = out.get(words[w], 0) + n
+            for m in lengths:
+                if len(w) <= m:
+                    break
+                if (start := w[:m]) in beginnings:
+                    out[beginnings[start]] = out.get(beginnings[start], 0) + n
         return out
 
 
@@ -155,6 +172,36 @@ def _narrow(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of a bounded (doc_id, text, toxic), one per group of copies and near-copies in a class, so that
+    features of one text do not count as evidence from many.
+
+    Rows that share one of ``SKETCHES`` smallest shingle hashes are taken for copies; the sample is small enough to be
+    gone through on the driver.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = np.random.default_rng(SEED).integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
+        for b in some_rows(batches):
+            out = []
+            for text in as_bytes(b.column(1)):
+                words = text.lower().split()
+                grams = list(map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))) or [b" ".join(words)]
+                hashes = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams))
+                out.append([int((hashes * f).min() >> np.uint64(1)) for f in factors])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "toxic", "least"])
+
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(sketch, "doc_id long, toxic int, least array<long>").collect()
+    seen: set[tuple] = set()
+    kept: dict[int, int] = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["least"])):
+        marks = {(r["toxic"], i, x) for i, x in enumerate(r["least"])}
+        if not marks & seen:
+            kept.setdefault(r["doc_id"], r["toxic"])
+        seen |= marks
+    return sample.sparkSession.createDataFrame(list(kept.items()), "doc_id long, toxic int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> tuple[Model, DataFrame]:
     """The model, and (doc_id, features) of every document: array<struct<f, n>> of its counts."""
     learned = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -166,6 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     chosen = [learned.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(m) for c, m in ((1, sample[0]), (0, sample[1]))]
     picked = hand_off(chosen[0].union(chosen[1]), "tox-sample")
     # At most sum(sample) ids, so this side may be broadcast at any scale.
+    picked = without_copies(docs.join(F.broadcast(picked), "doc_id"))
+    n_picked = {r[0]: r[1] for r in picked.groupBy("toxic").agg(F.count("*")).collect()}
     texts = docs.join(F.broadcast(picked), "doc_id")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,21 +227,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
                 [pa.array(names), *[pa.array([tallies[c][f] for f in names], pa.int64()) for c in (1, 0)]], ["feature", "a", "b"]
             )
 
-    # Copies of one text speak once.
-    distinct = texts.select("text", "toxic", F.xxhash64("text").alias("tie")).dropDuplicates(["tie", "toxic"])
-    counted = distinct.select("text", "toxic").mapInArrow(tally, "feature string, a long, b long")
+    counted = texts.select("text", "toxic").mapInArrow(tally, "feature string, a long, b long")
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    ours, others = min(n_toxic, sample[0]), min(n_other, sample[1])
+    ours, others = n_picked.get(1, 0), n_picked.get(0, 0)
     c, d = F.greatest(F.lit(ours) - F.col("a"), F.lit(0)) + 0.5, F.greatest(F.lit(others) - F.col("b"), F.lit(0)) + 0.5
-    odds = F.log(a * d / (b * c)) - LIMIT * F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    log_odds, error = F.log(a * d / (b * c)), F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
     chosen_features = (
         counted.groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .filter(F.col("a") >= max(5, LEAST_SHARE * ours))
-        .withColumn("odds", odds).filter(F.col("odds") > float(np.log(ODDS)))
+        .withColumn("odds", log_odds - LIMIT * error)
+        .filter((F.col("odds") > float(np.log(ODDS))) & (log_odds > SURE * error))
         .orderBy(F.col("odds").desc(), "feature").limit(FEATURES)
     )
     names = sorted(r["feature"] for r in chosen_features.select("feature").collect())
-    vectorizer = Vectorizer({f: i for i, f in enumerate(names)})
+    vectorizer = Vectorizer(names)
 
     def reduce_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some_rows(batches):
