@@ -91,7 +91,7 @@ def objective(w, s, m, gamma, b=None, lam=0.0, ref=None):
 def test_mean_variance_is_optimal(spark, risk):
     s, m, sigma, mu = risk
     problems = spark.createDataFrame([(f"p{k}", g) for k, g in enumerate([0.0, 0.1, 1.0])], "portfolio_id string, gamma double")
-    got = rows_of(A.solve(problems, sigma, mu, method="mv_l2", w_max=0.5, iters=5000, part=2))
+    got = rows_of(A.solve(problems, sigma, mu, method="mv_l2", w_max=0.5, part=2))
     rng = np.random.default_rng(0)
     for k, gamma in enumerate([0.0, 0.1, 1.0]):
         w = got[f"p{k}"]
@@ -105,7 +105,7 @@ def test_parameters_and_references_are_per_portfolio(spark, risk):
     s, m, sigma, mu = risk
     problems = spark.createDataFrame([("a", 0.0), ("b", 1e6)], "portfolio_id string, lam double")
     ref = weights_table(spark, {"a": [1, 0, 0, 0, 0, 0], "b": [0.1, 0.1, 0.2, 0.2, 0.2, 0.2]})
-    got = rows_of(A.solve(problems, sigma, mu, method="mv_l2", ref=ref, gamma=0.0, iters=3000))
+    got = rows_of(A.solve(problems, sigma, mu, method="mv_l2", ref=ref, gamma=0.0))
     assert np.allclose(got["b"], [0.1, 0.1, 0.2, 0.2, 0.2, 0.2], atol=1e-6)
     assert not np.allclose(got["a"], [1, 0, 0, 0, 0, 0], atol=1e-2)
 
@@ -126,8 +126,8 @@ def test_active_methods(spark, risk):
     least = rows_of(A.solve(one, sigma, method="min_te", bench=bench))["p"]
     assert np.allclose(least, 1 / 6)
     b = np.full(6, 1 / 6)
-    te = rows_of(A.solve(one, sigma, mu, method="mean_te", bench=bench, gamma=0.05, iters=4000))["p"]
-    same = rows_of(A.solve(one, sigma, mu, method="te_active", bench=bench, gamma=0.05, iters=4000))["p"]
+    te = rows_of(A.solve(one, sigma, mu, method="mean_te", bench=bench, gamma=0.05))["p"]
+    same = rows_of(A.solve(one, sigma, mu, method="te_active", bench=bench, gamma=0.05))["p"]
     assert np.allclose(te, same) and objective(te, s, m, 0.05, b) <= objective(b, s, m, 0.05, b)
 
 
@@ -136,7 +136,7 @@ def test_exposure_bounds(spark, risk):
     bench = spark.createDataFrame([(f"T{k:03d}", 1 / 6) for k in range(6)], "ticker string, weight double")
     x = spark.createDataFrame([("f", f"T{k:03d}", 1.0) for k in range(3)], "factor string, ticker string, exposure double")
     one = spark.createDataFrame([("p", 1.0)], "portfolio_id string, gamma double")
-    common = dict(method="te_active", bench=bench, iters=3000)
+    common = dict(method="te_active", bench=bench)
     free = rows_of(A.solve(one, sigma, mu, **common))["p"]
     tied = rows_of(A.solve(one, sigma, mu, exposures=x, lb=-0.05, ub=0.05, rho=1000.0, **common))["p"]
     assert abs(tied[:3].sum() - 0.5) < 0.051 < abs(free[:3].sum() - 0.5)
@@ -148,7 +148,7 @@ def test_group_caps(spark, risk):
     caps = spark.createDataFrame([("g", 0.3)], "group string, cap double")
     one = spark.createDataFrame([("p",)], "portfolio_id string")
     ref = weights_table(spark, {"p": [0.5, 0.3, 0.05, 0.05, 0.05, 0.05]})
-    w = rows_of(A.solve(one, sigma, method="group_caps", ref=ref, groups=groups, caps=caps, iters=200))["p"]
+    w = rows_of(A.solve(one, sigma, method="group_caps", ref=ref, groups=groups, caps=caps))["p"]
     assert w[:2].sum() <= 0.3 + 1e-9 and abs(w.sum() - 1) < 1e-9
     with pytest.raises(ValueError):
         A.solve(one, sigma, method="group_caps")
@@ -165,6 +165,84 @@ def test_risk_parity(spark, risk):
     assert got["tight"].max() <= 0.2 + 1e-12 and abs(got["tight"].sum() - 1) < 1e-12
 
 
+def problem_batch(rows=40, n=12, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 0.05, (60, n))
+    market = S.Market(np.arange(n), np.cov(x, rowvar=False), rng.normal(0, 0.01, n))
+    one = lambda v: np.full((rows, 1), float(v))
+    ref = rng.dirichlet(np.ones(n), rows)
+    return market, ref, one, dict(gamma=rng.uniform(0.01, 1, (rows, 1)), lo=one(0), hi=one(0.3), bench=ref, ref=ref, rho=one(0))
+
+
+def test_l1_answers_cannot_be_improved_by_exchanges():
+    market, ref, one, common = problem_batch()
+    lam = 2e-3
+    w, status, residual = S.optimise(market, "mv_l1", lam=one(lam), **common)
+    assert set(status) == {"ok"} and residual.max() <= S.RESIDUAL
+
+    def loss(v, r):
+        return 0.5 * v @ market.sigma @ v - common["gamma"][r, 0] * market.mu @ v + lam * np.abs(v - ref[r]).sum()
+
+    for r in range(len(w)):
+        base = loss(w[r], r)
+        for i in range(w.shape[1]):
+            for j in range(w.shape[1]):
+                for d in (1e-2, 1e-3, 1e-4):
+                    if i != j and w[r, i] >= d and w[r, j] + d <= 0.3:
+                        other = w[r].copy()
+                        other[i] -= d
+                        other[j] += d
+                        assert loss(other, r) >= base - 1e-12
+
+
+def test_group_caps_give_the_nearest_point_or_say_infeasible():
+    market, ref, one, common = problem_batch()
+    market.members = np.array([[float(k % 4 == g) for k in range(12)] for g in range(4)])
+    market.caps = np.full(4, 0.27)
+    w, status, _ = S.optimise(market, "group_caps", lam=one(0), **common)
+    assert set(status) == {"ok"} and (w @ market.members.T).max() <= 0.27 + 1e-12
+    others = S.nearest_rows(np.random.default_rng(0).dirichlet(np.ones(12), 300), np.zeros((300, 1)), np.full((300, 1), 0.3), market)
+    for r in range(len(w)):  # the angle at the nearest point of a convex set is never acute
+        assert ((ref[r] - w[r]) * (others - w[r])).sum(axis=1).max() < 1e-12
+    market.caps = np.full(4, 0.2)
+    assert set(S.optimise(market, "group_caps", lam=one(0), **common)[1]) == {"infeasible"}
+    market.members[0] = 1.0
+    with pytest.raises(ValueError):
+        S.nearest_rows(ref, one(0), one(1), market)
+
+
+def test_solvers_say_when_a_limit_stops_them():
+    market, _, one, common = problem_batch()
+    w, status, residual = S.optimise(market, "mean_te", lam=one(0), iters=2, **common)
+    assert "not_converged" in set(status) and residual.max() > S.RESIDUAL and np.allclose(w.sum(axis=1), 1)
+
+
+def test_boxed_risk_parity_meets_its_conditions():
+    market, _, one, common = problem_batch(rows=3)
+    hi = np.array([[1.0], [0.12], [0.09]])
+    w, status, _ = S.optimise(market, "risk_parity", lam=one(0), **{**common, "hi": hi})
+    assert set(status) == {"ok"}
+    for row, top in zip(w, hi[:, 0]):
+        rc = row * (market.sigma @ row)
+        free = row < top - 1e-12
+        assert abs(row.sum() - 1) < 1e-12 and row.max() <= top + 1e-12
+        assert np.ptp(rc[free]) <= 1e-6 * rc[free].mean() and (rc[~free] <= rc[free].mean() * (1 + 1e-6)).all()
+
+
+def test_a_ticker_that_leaves_is_sold_and_one_that_returns_is_bought(spark):
+    rows = [(1, "A", 0.5), (1, "B", 0.5), (2, "A", 1.0), (3, "A", 0.25), (3, "B", 0.75)]
+    weights = spark.createDataFrame([(dt.datetime(2024, k, 1), t, w) for k, t, w in rows], "rb_date timestamp_ntz, ticker string, weight double")
+    got = {r.rb_date.month: r.turnover for r in B.rebalance_turnover_cost(weights, 10.0).collect()}
+    assert got == pytest.approx({1: 0.0, 2: 1.0, 3: 1.5})
+
+
+def test_unpriced_holdings_are_reported(spark, risk):
+    _, _, sigma, mu = risk
+    held = spark.createDataFrame([("p", "T000", 0.75), ("p", "X", 0.25), ("q", "X", 1.0)], "portfolio_id string, ticker string, weight double")
+    got = {r.portfolio_id: r for r in P.portfolio_stats(held, mu, sigma).collect()}
+    assert got["p"].unpriced == 0.25 and got["q"].unpriced == 1.0 and got["q"].sigma_p is None and got["p"].sigma_p > 0
+
+
 def test_hrp_of_two_names_is_inverse_variance():
     assert np.allclose(S.hrp(np.diag([1.0, 4.0])), [0.8, 0.2])
 

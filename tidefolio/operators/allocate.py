@@ -89,7 +89,10 @@ def solve(
     part: int = PART,
     **defaults: float,
 ) -> DataFrame:
-    """Weights (ticker, weight, status) of every problem row, all columns of ``problems`` kept.
+    """Weights (ticker, weight, status, residual) of every problem row, all columns of ``problems`` kept.
+
+    Solvers run until a further step changes nothing beyond their tolerance; ``iters`` is the caller's own limit.
+    ``status`` is 'ok', 'infeasible' (box and caps exclude each other; equal weights) or 'not_converged'.
 
     ``problems`` holds portfolio_id and any of gamma, lam, w_min, w_max, rho; parameters without a column come from
     ``defaults``. ``bench`` and ``ref`` are weight tables, per portfolio or common; a missing reference is the
@@ -140,7 +143,8 @@ def solve(
     def run(left_pdf: pd.DataFrame, right_pdf: pd.DataFrame) -> pd.DataFrame:
         if left_pdf.empty or right_pdf.empty:
             empty = left_pdf[keep].iloc[:0]
-            return empty.assign(ticker=pd.Series(dtype=str), weight=pd.Series(dtype=float), status=pd.Series(dtype=str))
+            new = {"ticker": str, "weight": float, "status": str, "residual": float}
+            return empty.assign(**{c: pd.Series(dtype=t) for c, t in new.items()})
         shared = right_pdf.iloc[0].to_dict()
         m = _market(shared)
         m.lb, m.ub = lb, ub
@@ -165,18 +169,19 @@ def solve(
         base = equal if base is None else base
         other = vectors("ref")
         other = (base if active else equal) if other is None else other
-        weights, ok = optimise(
+        weights, status, residual = optimise(
             m, method, gamma=column("gamma"), lam=column("lam"), lo=column("w_min"), hi=column("w_max"),
             rho=column("rho"), bench=base, ref=other, iters=iters, linkage=linkage,
         )
         out = left_pdf[keep].loc[np.repeat(left_pdf.index.to_numpy(), size)].reset_index(drop=True)
         out["ticker"] = np.tile(m.names, rows)
         out["weight"] = weights.ravel()
-        out["status"] = np.repeat(np.where(ok, "ok", "infeasible"), size)
+        out["status"] = np.repeat(status, size)
+        out["residual"] = np.repeat(residual, size)
         return out
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in problems.schema.fields)
-    return left.cogroup(right).applyInPandas(run, f"{fields}, ticker string, weight double, status string")
+    return left.cogroup(right).applyInPandas(run, f"{fields}, ticker string, weight double, status string, residual double")
 
 
 def te_frontier_sweep(
@@ -184,7 +189,7 @@ def te_frontier_sweep(
 ) -> DataFrame:
     """te_active for every portfolio and every gamma: gamma is one more key, so the sweep runs in parallel."""
     grid = portfolios.withColumn("gamma", F.explode(F.array(*[F.lit(float(g)) for g in gammas])))
-    options = {"w_max": 0.1, "iters": 600, **options}
+    options = {"w_max": 0.1, **options}
     return solve(grid, sigma, mu, method="te_active", bench=bench, **options)
 
 

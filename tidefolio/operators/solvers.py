@@ -13,10 +13,12 @@ import numpy as np
 from .covariance import clean_psd
 
 TOL = 1e-12
-STILL = 1e-13  # weights that move less than this have converged
+#: Largest change a full projected step may still make to any weight of a solved problem.
+RESIDUAL = 1e-10
+#: Steps without a new smallest residual after which a problem counts as not converged.
+PATIENCE = 20_000
 
-# Default iteration counts per method.
-ITERATIONS = {"mv_l2": 500, "mv_l1": 600, "min_te": 500, "mean_te": 600, "te_active": 800, "risk_parity": 500}
+OK, INFEASIBLE, NOT_CONVERGED = "ok", "infeasible", "not_converged"
 
 
 @dataclass
@@ -33,52 +35,88 @@ class Market:
     ub: float | None = None
 
 
-def project_rows(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Nearest point with row sums of 1 inside [lo, hi], exactly, by walking the sorted knots of the clipped sum."""
-    n = v.shape[1]
-    knots = np.concatenate([v - hi, v - lo], axis=1)
-    order = np.argsort(knots, axis=1, kind="stable")
-    t = np.take_along_axis(knots, order, axis=1)
-    slope = np.cumsum(np.where(order < n, -1.0, 1.0), axis=1)
-    total = np.empty_like(t)
-    total[:, :1] = n * hi
-    np.cumsum(slope[:, :-1] * np.diff(t, axis=1), axis=1, out=total[:, 1:])
-    total[:, 1:] += n * hi
-    last = np.maximum((total >= 1.0).sum(axis=1) - 1, 0)[:, None]
-    at = np.take_along_axis(t, last, axis=1)
+def _shifted(z: np.ndarray, ref: np.ndarray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """clip(ref + soft(z - theta - ref, t), lo, hi) with theta such that each row sums to ``goal``, exactly.
+
+    Each weight falls with theta from hi to the reference, rests there while theta moves by 2t, and falls on to lo; the
+    row sum is walked along the sorted ends of these stretches.
+    """
+    rest = np.clip(ref, lo, hi)
+    falls = np.concatenate([z - t - hi, z + t - rest], axis=1)
+    rests = np.concatenate([z - t - rest, z + t - lo], axis=1)
+    ends = np.concatenate([falls, rests], axis=1)
+    order = np.argsort(ends, axis=1, kind="stable")
+    at = np.take_along_axis(ends, order, axis=1)
+    slope = np.cumsum(np.where(order < falls.shape[1], -1.0, 1.0), axis=1)
+    top = np.broadcast_to(hi, z.shape).sum(axis=1, keepdims=True)
+    total = np.concatenate([top, top + np.cumsum(slope[:, :-1] * np.diff(at, axis=1), axis=1)], axis=1)
+    last = np.maximum((total >= goal).sum(axis=1) - 1, 0)[:, None]
     run = np.take_along_axis(slope, last, axis=1)
-    over = np.take_along_axis(total, last, axis=1) - 1.0
-    theta = at + np.divide(over, -run, out=np.zeros_like(over), where=run < 0)
-    return np.clip(v - theta, lo, hi)
-
-
-def feasible_rows(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    return ((n * lo - 1.0 <= TOL) & (1.0 - n * hi <= TOL) & (lo <= hi)).ravel()
-
-
-def cap_groups(w: np.ndarray, market: Market, lo: np.ndarray, hi: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Bring groups back under their caps: take the excess off in proportion to each weight's room above its lower
-    bound, re-project, and repeat while some group is still over."""
-    w = project_rows(w, lo, hi)
-    for _ in range(rounds):
-        touched = False
-        for inside, cap in zip(market.members.astype(bool), market.caps):
-            excess = w[:, inside].sum(axis=1, keepdims=True) - cap
-            over = excess > TOL
-            if not over.any():
-                continue
-            touched = True
-            room = np.maximum(w[:, inside] - lo, 0.0)
-            whole = room.sum(axis=1, keepdims=True)
-            cut = np.where(whole > 0, excess * room / np.where(whole > 0, whole, 1.0), np.inf)
-            trimmed = w.copy()
-            trimmed[:, inside] = np.maximum(w[:, inside] - cut, lo)
-            w = np.where(over, project_rows(trimmed, lo, hi), w)
-        if not touched:
+    over = np.take_along_axis(total, last, axis=1) - goal
+    theta = np.take_along_axis(at, last, axis=1) + np.divide(over, -run, out=np.zeros_like(over), where=run < 0)
+    moved = z - theta - ref
+    return np.clip(ref + np.sign(moved) * np.maximum(np.abs(moved) - t, 0.0), lo, hi)
+
+
+def nearest_rows(
+    z: np.ndarray,
+    lo: np.ndarray,
+    hi: np.ndarray,
+    market: Market | None = None,
+    ref: np.ndarray | float = 0.0,
+    t: np.ndarray | float = 0.0,
+) -> np.ndarray:
+    """Minimises 1/2 |w - z|^2 + t |w - ref|_1 over row sums of 1, the box, and the market's group caps, exactly.
+
+    Without caps one multiplier settles the row sum. A group whose sum is then beyond its cap is held at the cap, which
+    can only raise what the others get, so a held group stays held and each round holds at least one more. A held group
+    is settled on its own by a multiplier of its own.
+    """
+    ref, t = np.broadcast_to(ref, z.shape), np.broadcast_to(t, (len(z), 1))
+    lo, hi = np.broadcast_to(lo, z.shape), np.broadcast_to(hi, z.shape)
+    one = np.ones((len(z), 1))
+    if market is None or market.caps is None:
+        return _shifted(z, ref, t, lo, hi, one)
+    inside = market.members.astype(bool)
+    if inside.sum(axis=0).max(initial=0) > 1:
+        raise ValueError("groups must not overlap")
+    held = np.zeros((len(z), len(market.caps)), dtype=bool)
+
+    def part(keep: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        cut = [np.where(keep, x, 0.0) for x in (z, ref)]
+        return _shifted(*cut, t, np.where(keep, lo, 0.0), np.where(keep, hi, 0.0), goal)
+
+    while True:
+        taken = held @ inside
+        w = part(~taken, one - (held @ market.caps)[:, None])
+        over = (w @ inside.T > market.caps + TOL) & ~held
+        if not over.any():
             break
+        held |= over
+    for g, members in enumerate(inside):
+        rows = held[:, g]
+        if rows.any():
+            keep = np.broadcast_to(members, z.shape)
+            w = np.where(keep & rows[:, None], part(keep, one * market.caps[g]), w)
     return w
 
 
+def project_rows(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Nearest point with row sums of 1 inside [lo, hi]."""
+    return nearest_rows(v, lo, hi)
+
+
+def feasible_rows(n: int, lo: np.ndarray, hi: np.ndarray, market: Market | None = None) -> np.ndarray:
+    """Whether box, sum and caps of each row can be met together."""
+    ok = ((n * lo - 1.0 <= TOL) & (1.0 - n * hi <= TOL) & (lo <= hi)).ravel()
+    if market is None or market.caps is None:
+        return ok
+    size = market.members.sum(axis=1)
+    free = n - size.sum()
+    most = np.minimum(size * hi, market.caps).sum(axis=1) + free * hi.ravel()
+    return ok & (size * lo <= market.caps + TOL).all(axis=1) & (most >= 1.0 - TOL)
+
+
 def descend(
     market: Market,
     start: np.ndarray,
@@ -91,82 +129,112 @@ def descend(
     *,
     l1: bool = False,
     rho: np.ndarray | None = None,
-    iters: int = 500,
-) -> np.ndarray:
-    """Projected gradient on 1/2 (w-a)' S (w-a) - gamma mu'w + penalty(w - ref) [+ rho * exposure penalty].
+    iters: int | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Minimises 1/2 (w-a)' S (w-a) - gamma mu'w + penalty(w - ref) [+ rho * exposure penalty]; weights and residuals.
 
-    The penalty is lam/2 |.|^2, or lam |.|_1 through a soft threshold. The step is the inverse of the gradient's
-    Lipschitz constant, exposures included.
+    The penalty is lam/2 |.|^2 or lam |.|_1. Accelerated proximal steps whose momentum a row drops when it points uphill;
+    a step is the inverse of the smooth part's Lipschitz constant, exposures included, and ends in the exact nearest
+    point under all constraints. A row is done when a plain step moves no weight by more than ``RESIDUAL``; it is given
+    up after ``iters`` steps if the caller sets them, or when its residual has not fallen for ``PATIENCE`` steps.
     """
     sigma = clean_psd(market.sigma, 1e-10)
-    pull = 0.0 if market.mu is None else gamma * market.mu
-    lip = max(float(np.linalg.eigvalsh(sigma)[-1]), 1e-8) + (0.0 if l1 else lam)
+    pull = np.zeros_like(start) if market.mu is None else gamma * market.mu
+    lip = np.full(lo.shape, max(float(np.linalg.eigvalsh(sigma)[-1]), 1e-8)) + (0.0 if l1 else lam)
     x = market.exposures
     bounded = x is not None and rho is not None and np.any(rho > 0) and (market.lb, market.ub) != (None, None)
     if bounded:
         lip = lip + rho * float(np.linalg.eigvalsh(x @ x.T)[-1])
-    step = 1.0 / lip
-    w = project_rows(start, lo, hi)
-    for _ in range(iters):
-        grad = (w - anchor) @ sigma - pull
+
+    def step_from(y: np.ndarray, r: np.ndarray) -> np.ndarray:
+        grad = (y - anchor[r]) @ sigma - pull[r]
         if not l1:
-            grad = grad + lam * (w - ref)
+            grad = grad + lam[r] * (y - ref[r])
         if bounded:
-            active = (w - anchor) @ x.T
+            active = (y - anchor[r]) @ x.T
             high = np.maximum(active - market.ub, 0.0) if market.ub is not None else 0.0
             low = np.maximum(market.lb - active, 0.0) if market.lb is not None else 0.0
-            grad = grad + rho * ((high - low) @ x)
-        z = w - step * grad
-        if l1:
-            moved = z - ref
-            z = ref + np.sign(moved) * np.maximum(np.abs(moved) - step * lam, 0.0)
-        new = project_rows(z, lo, hi)
-        if market.caps is not None:
-            new = cap_groups(new, market, lo, hi)
-        still = np.max(np.abs(new - w)) < STILL
-        w = new
-        if still:
-            break
-    return w
-
-
-def equal_risk(sigma: np.ndarray, sweeps: int = 500, tol: float = 1e-13) -> np.ndarray:
-    """Weights with equal risk contributions: the minimum of 1/2 x'Sx - mean(log x), one coordinate at a time."""
-    var = np.diag(sigma)
-    n = len(var)
-    x = 1.0 / np.sqrt(var * n)
-    for _ in range(sweeps):
-        largest = 0.0
-        for i in range(n):
-            cross = sigma[i] @ x - var[i] * x[i]
-            new = (np.sqrt(cross * cross + 4.0 * var[i] / n) - cross) / (2.0 * var[i])
-            largest = max(largest, abs(new / x[i] - 1.0))
-            x[i] = new
-        if largest < tol:
+            grad = grad + rho[r] * ((high - low) @ x)
+        z = y - grad / lip[r]
+        shrink = lam[r] / lip[r] if l1 else 0.0
+        return nearest_rows(z, lo[r], hi[r], market, ref[r], shrink)
+
+    w = nearest_rows(start, lo, hi, market)
+    residual = np.full(len(w), np.inf)
+    rows = np.arange(len(w))
+    now, y, speed = w.copy(), w.copy(), np.ones((len(w), 1))
+    best, since, steps = np.full(len(w), np.inf), np.zeros(len(w), dtype=int), 0
+    while len(rows) and (iters is None or steps < iters):
+        steps += 1
+        new = step_from(y, rows)
+        uphill = ((y - new) * (new - now)).sum(axis=1, keepdims=True) > 0
+        faster = (1.0 + np.sqrt(1.0 + 4.0 * speed * speed)) / 2.0
+        ahead = new + np.where(uphill, 0.0, (speed - 1.0) / faster) * (new - now)
+        moved = np.abs(y - new).max(axis=1)
+        settled = moved <= RESIDUAL
+        if settled.any():  # a step from the point itself, without momentum, decides
+            moved[settled] = np.abs(step_from(new[settled], rows[settled]) - new[settled]).max(axis=1)
+        since = np.where(moved < best[rows], 0, since + 1)
+        best[rows] = np.minimum(best[rows], moved)
+        w[rows], residual[rows] = new, moved
+        go = ((moved > RESIDUAL) & (since < PATIENCE)).nonzero()[0]
+        now, y, since = new[go], ahead[go], since[go]
+        speed = np.where(uphill, 1.0, faster)[go]
+        rows = rows[go]
+    if len(rows):
+        residual[rows] = np.abs(step_from(w[rows], rows) - w[rows]).max(axis=1)
+    return w, residual
+
+
+def boxed_risk(sigma: np.ndarray, lo: np.ndarray, hi: np.ndarray, iters: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Risk parity in a box: the minimum of 1/2 w'Sw - c sum(log w) in [lo, hi] with c such that w sums to 1.
+
+    Weights inside the box contribute equally (c each), those at lo no less and those at hi no more. For a given c one
+    coordinate after the other moves to its own minimum, cut to the box; the sum rises with c, which is bisected. The
+    residual is the largest relative gap of these conditions, or the sum's distance from 1.
+    """
+    var, (rows, n) = np.diag(sigma), (len(lo), len(sigma))
+    lo, hi = lo.reshape(rows, 1), hi.reshape(rows, 1)
+    w = np.clip(np.full((rows, n), 1.0 / n), lo, hi)
+
+    def settle(c: np.ndarray, w: np.ndarray) -> np.ndarray:
+        sweeps = 0
+        while iters is None or sweeps < iters:
+            sweeps += 1
+            before = w.copy()
+            for i in range(n):
+                cross = w @ sigma[:, i] - var[i] * w[:, i]
+                free = (np.sqrt(cross * cross + 4.0 * var[i] * c) - cross) / (2.0 * var[i])
+                w[:, i] = np.clip(free, lo[:, 0], hi[:, 0])
+            if np.abs(w - before).max() <= 1e-14 or sweeps >= PATIENCE:
+                break
+        return w
+
+    low, high = np.full(rows, 1e-16), np.full(rows, float(np.abs(sigma).sum()) + 1e-8)
+    for _ in range(100):
+        c = np.sqrt(low * high)
+        w = settle(c, w)
+        over = w.sum(axis=1) > 1.0
+        low, high = np.where(over, low, c), np.where(over, c, high)
+        if (high - low <= 1e-15 * high).all():
             break
-    return x / x.sum()
+    rc = w * (w @ sigma)
+    gap = rc / c[:, None] - 1.0
+    # Too large a share is right at lo only, too small a one at hi only.
+    wrong = np.where(w <= lo, np.maximum(-gap, 0.0), np.where(w >= hi, np.maximum(gap, 0.0), np.abs(gap)))
+    return w, np.maximum(wrong.max(axis=1), np.abs(w.sum(axis=1) - 1.0))
 
 
-def risk_parity(market: Market, lo: np.ndarray, hi: np.ndarray, iters: int = 500, tol: float = 1e-8) -> np.ndarray:
-    """Equal risk contributions where the box admits them. Elsewhere: multiplicative steps towards them, rescaled and
-    projected into the box, until a row's spread is below tol."""
+def risk_parity(market: Market, lo: np.ndarray, hi: np.ndarray, iters: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and residuals; all rows share the unbounded answer where their box admits it."""
     sigma = clean_psd(market.sigma, 1e-10)
-    n = len(sigma)
-    free = equal_risk(sigma)
+    wide = np.ones((1, 1))
+    free, gap = boxed_risk(sigma, 0 * wide, wide, iters)
     inside = ((free >= lo) & (free <= hi)).all(axis=1)
-    w = np.where(inside[:, None], free, 1.0 / n)
-    busy = ~inside
-    for _ in range(iters):
-        if not busy.any():
-            break
-        now = w[busy]
-        rc = now * (now @ sigma)
-        goal = rc.mean(axis=1, keepdims=True)
-        ratio = np.where(rc > 0, goal / np.maximum(rc, 1e-18), 1.0)
-        moved = now * np.sqrt(np.maximum(ratio, 0.0))
-        w[busy] = project_rows(moved / moved.sum(axis=1, keepdims=True), lo[busy], hi[busy])
-        busy[np.flatnonzero(busy)[np.linalg.norm(rc - goal, axis=1) < tol]] = False
-    return w
+    w, residual = np.repeat(free, len(lo), axis=0), np.repeat(gap, len(lo))
+    if not inside.all():
+        w[~inside], residual[~inside] = boxed_risk(sigma, lo[~inside], hi[~inside], iters)
+    return w, residual
 
 
 # --- hierarchical risk parity -------------------------------------------------------------------------------------
@@ -248,28 +316,34 @@ def optimise(
     rho: np.ndarray,
     iters: int | None = None,
     linkage: str = "ward",
-) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of every problem of the batch and whether its box was feasible (equal weights where it is not)."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, status and residual of every problem of the batch: 'ok' where the residual is within tolerance,
+    'infeasible' where box and caps cannot be met (equal weights, no residual), 'not_converged' elsewhere."""
     rows, n = bench.shape
-    ok = feasible_rows(n, lo, hi)
-    lo, hi = np.where(ok[:, None], lo, 0.0), np.where(ok[:, None], hi, 1.0)
+    ok = feasible_rows(n, lo, hi, market)
     equal, zero = np.full((rows, n), 1.0 / n), np.zeros((rows, n))
-    steps = iters or ITERATIONS.get(method, 0)
-    common = dict(lo=lo, hi=hi, iters=steps)
-    if method in ("mv_l2", "mv_l1"):
-        w = descend(market, equal, zero, ref, gamma, lam, l1=method == "mv_l1", **common)
-    elif method == "min_te":
-        w = descend(market, bench, bench, bench, 0 * gamma, 0 * lam, **common)
-    elif method == "mean_te":
-        w = descend(market, bench, bench, bench, gamma, 0 * lam, **common)
-    elif method == "te_active":
-        w = descend(market, bench, bench, ref, gamma, lam, rho=rho, **common)
-    elif method == "risk_parity":
-        w = risk_parity(market, lo, hi, iters=steps)
-    elif method == "hrp":
-        w = project_rows(np.tile(hrp(market.sigma, linkage), (rows, 1)), lo, hi)
-    elif method == "group_caps":
-        w = cap_groups(ref, market, lo, hi, rounds=iters or 20)
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    return np.where(ok[:, None], w, 1.0 / n), ok
+    w, residual = equal.copy(), np.full(rows, np.nan)
+    some = np.flatnonzero(ok)
+    if len(some):
+        lo, hi, gamma, lam, rho = (x[some] for x in (lo, hi, gamma, lam, rho))
+        bench, ref, equal, zero = (x[some] for x in (bench, ref, equal, zero))
+        common = dict(lo=lo, hi=hi, iters=iters)
+        if method in ("mv_l2", "mv_l1"):
+            found = descend(market, equal, zero, ref, gamma, lam, l1=method == "mv_l1", **common)
+        elif method == "min_te":
+            found = descend(market, equal, bench, bench, 0 * gamma, 0 * lam, **common)
+        elif method == "mean_te":
+            found = descend(market, bench, bench, bench, gamma, 0 * lam, **common)
+        elif method == "te_active":
+            found = descend(market, bench, bench, ref, gamma, lam, rho=rho, **common)
+        elif method == "risk_parity":
+            found = risk_parity(market, lo, hi, iters=iters)
+        elif method == "hrp":
+            found = project_rows(np.tile(hrp(market.sigma, linkage), (len(some), 1)), lo, hi), np.zeros(len(some))
+        elif method == "group_caps":
+            found = nearest_rows(ref, lo, hi, market), np.zeros(len(some))
+        else:
+            raise ValueError(f"unknown method {method!r}")
+        w[some], residual[some] = found
+    within = residual <= (1e-6 if method == "risk_parity" else RESIDUAL)
+    return w, np.where(ok, np.where(within, OK, NOT_CONVERGED), INFEASIBLE), residual

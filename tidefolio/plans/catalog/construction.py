@@ -83,7 +83,7 @@ def mv_l2(spark, d):
     mu = hand_off(mu, "mu")
     problems, held = _customers(spark, d)
     problems = hand_off(problems, "problems")
-    w = A.solve(problems, sigma, mu, method="mv_l2", ref=held, lam=0.05, w_max=BOX[1], iters=3000)
+    w = A.solve(problems, sigma, mu, method="mv_l2", ref=held, lam=0.05, w_max=BOX[1])
     return _certificate(w, _quadratic_gradient(sigma, mu, problems, lam=0.05, ref=held), *BOX)
 
 
@@ -92,7 +92,7 @@ def mean_te(spark, d):
     _, mu, sigma = risk_inputs(spark, d)
     mu, bench = hand_off(mu, "mu"), benchmark(spark, d)
     problems = hand_off(_customers(spark, d)[0], "problems")
-    w = A.solve(problems, sigma, mu, method="mean_te", bench=bench, w_max=BOX[1], iters=5000)
+    w = A.solve(problems, sigma, mu, method="mean_te", bench=bench, w_max=BOX[1])
     return _certificate(w, _quadratic_gradient(sigma, mu, problems, bench=bench), *BOX)
 
 
@@ -101,81 +101,68 @@ def te_active(spark, d):
     _, mu, sigma = risk_inputs(spark, d)
     mu, bench = hand_off(mu, "mu"), benchmark(spark, d)
     problems = hand_off(_customers(spark, d)[0], "problems")
-    w = A.solve(problems, sigma, mu, method="te_active", bench=bench, lam=0.05, w_max=BOX[1], iters=3000)
+    w = A.solve(problems, sigma, mu, method="te_active", bench=bench, lam=0.05, w_max=BOX[1])
     return _certificate(w, _quadratic_gradient(sigma, mu, problems, bench=bench, lam=0.05, ref=bench), *BOX)
 
 
-@query(
-    "te_active_bounded",
-    sql(
-        [C.HOLD],
-        "SELECT DISTINCT portfolio_id, 1.0 AS total, TRUE AS in_box, TRUE AS closer_to_bounds FROM hold",
-        floats=["total"], plain=["portfolio_id", "in_box", "closer_to_bounds"],
-    ),
-)
+@query("te_active_bounded", CERTIFICATE)
 def te_active_bounded(spark, d):
-    """Penalised exposures: never further outside the bounds than the same portfolio without the penalty."""
+    """Exposures outside the bounds cost rho times half their squared excess: the gradient has that part too."""
     _, mu, sigma = risk_inputs(spark, d)
     mu, bench = hand_off(mu, "mu"), benchmark(spark, d)
     problems = hand_off(_customers(spark, d)[0], "problems")
     x = hand_off(panel.onehot_exposure(bench, D.brand_meta(spark, d)), "exposures")
-    common = dict(method="te_active", bench=bench, w_max=BOX[1], iters=800)
-    free = A.solve(problems, sigma, mu, **common)
-    tied = hand_off(A.solve(problems, sigma, mu, exposures=x, lb=-0.05, ub=0.05, rho=10.0, **common), "tied")
-    outside = lambda w, name: P.active_exposure(w, bench, x, -0.05, 0.05).groupBy("portfolio_id").agg(
-        F.sum("penalty").alias(name)
-    )
-    sums = tied.groupBy("portfolio_id").agg(
-        F.sum("weight").alias("total"), (F.max("weight") <= BOX[1] + 1e-9).alias("in_box")
-    )
-    both = outside(tied, "_tied").join(outside(free, "_free"), "portfolio_id")
-    return tidy(
-        sums.join(both, "portfolio_id").select(
-            "portfolio_id", "total", "in_box", (F.col("_tied") <= F.col("_free") + 1e-9).alias("closer_to_bounds")
-        )
-    )
+    lb, ub, rho = -0.05, 0.05, 1.0
+    w = A.solve(problems, sigma, mu, method="te_active", bench=bench, w_max=BOX[1], exposures=x, lb=lb, ub=ub, rho=rho)
+    plain = _quadratic_gradient(sigma, mu, problems, bench=bench)
 
+    def gradient(weights):
+        held = weights.select("portfolio_id", "ticker", "weight")
+        outside = P.active_exposure(held, bench, x, lb, ub).select("portfolio_id", "factor", (F.col("above") - F.col("below")).alias("_out"))
+        push = outside.join(x, "factor").groupBy("portfolio_id", "ticker").agg(F.sum(rho * F.col("_out") * F.col("exposure")).alias("_push"))
+        both = plain(weights).join(push, ["portfolio_id", "ticker"], "left")
+        return both.select("portfolio_id", "ticker", (F.col("grad") + F.coalesce("_push", F.lit(0.0))).alias("grad"))
 
-@query(
-    "mv_l1",
-    sql(
-        [C.HOLD],
-        """SELECT portfolio_id, 1.0 AS total, TRUE AS in_box, TRUE AS stays FROM hold
-           GROUP BY 1 HAVING max(weight) <= 0.2""",
-        floats=["total"], plain=["portfolio_id", "in_box", "stays"],
-    ),
-)
+    return _certificate(w, gradient, *BOX)
+
+
+@query("mv_l1", CERTIFICATE)
 def mv_l1(spark, d):
-    """A prohibitive L1 penalty keeps every portfolio that fits the box at its reference weights."""
+    """Moderate turnover costs against the holdings: no exchange between two tickers lowers the objective.
+
+    A weight may rise at the right derivative and fall at the left one; the penalty makes them differ at the reference.
+    """
+    lam, edge, tol = 0.002, 1e-7, 1e-6
     _, mu, sigma = risk_inputs(spark, d)
+    mu = hand_off(mu, "mu")
     problems, held = _customers(spark, d)
-    inside = held.groupBy("portfolio_id").agg(F.max("weight").alias("m")).where("m <= 0.2").select("portfolio_id")
-    problems = problems.join(inside, "portfolio_id", "left_semi")
-    w = A.solve(problems, sigma, mu, method="mv_l1", ref=held, lam=100.0, w_max=BOX[1])
-    both = P.active_weights(w.select("portfolio_id", "ticker", "weight"), held.join(inside, "portfolio_id", "left_semi"))
+    problems = hand_off(problems, "problems")
+    w = hand_off(A.solve(problems, sigma, mu, method="mv_l1", ref=held, lam=lam, w_max=BOX[1]), "weights")
+    away = P.active_weights(w.select("portfolio_id", "ticker", "weight"), held).select("portfolio_id", "ticker", F.col("active").alias("away"))
+    rows = w.join(_quadratic_gradient(sigma, mu, problems)(w), ["portfolio_id", "ticker"]).join(away, ["portfolio_id", "ticker"])
+    weight, grad = F.col("weight"), F.col("grad")
+    rise = grad + F.when(F.col("away") > -edge, lam).otherwise(-lam)
+    fall = grad + F.when(F.col("away") > edge, lam).otherwise(-lam)
+    best_fall = F.max(F.when(weight > BOX[0] + edge, fall))
+    least_rise = F.min(F.when(weight < BOX[1] - edge, rise))
     return tidy(
-        both.groupBy("portfolio_id").agg(
-            F.sum("weight").alias("total"),
-            (F.max("weight") <= BOX[1] + 1e-9).alias("in_box"),
-            (F.max(F.abs("active")) < 1e-6).alias("stays"),
+        rows.groupBy("portfolio_id").agg(
+            F.sum(weight).alias("total"),
+            ((F.min(weight) >= BOX[0] - 1e-9) & (F.max(weight) <= BOX[1] + 1e-9)).alias("in_box"),
+            F.coalesce(best_fall <= least_rise + tol, F.lit(True)).alias("optimal"),
+            F.count(F.lit(1)).alias("n"),
         )
     )
 
 
-@query(
-    "min_te",
-    sql(
-        [C.HOLD, C.BENCH, C.ACTIVE],
-        "SELECT portfolio_id, a.ticker, bench.weight FROM active a JOIN bench USING (ticker)",
-        floats=["weight"], plain=["portfolio_id", "ticker"],
-    ),
-)
+@query("min_te", CERTIFICATE)
 def min_te(spark, d):
-    """With a benchmark inside the box, the least tracking error is the benchmark itself."""
-    sigma = brand_sigma(spark, d)
-    problems = _customers(spark, d)[0]
-    w = A.solve(problems, sigma, method="min_te", bench=benchmark(spark, d), w_max=BOX[1])
-    return tidy(w.select("portfolio_id", "ticker", "weight"))
+    """The customers' own holdings as benchmarks, most of which the box does not admit."""
+    _, mu, sigma = risk_inputs(spark, d)
+    problems, held = _customers(spark, d)
+    problems = hand_off(problems.withColumn("gamma", F.lit(0.0)), "problems")
+    w = A.solve(problems, sigma, method="min_te", bench=held, w_max=0.06)
+    return _certificate(w, _quadratic_gradient(sigma, hand_off(mu, "mu"), problems, bench=held), 0.0, 0.06)
 
 
 @query(
@@ -195,7 +182,7 @@ def te_frontier_sweep(spark, d):
     segments = D.segment_holdings(spark, d).select("portfolio_id").distinct()
     bench = hand_off(D.segment_holdings(spark, d), "bench")
     w = hand_off(
-        A.te_frontier_sweep(segments, sigma, mu, bench, A.geometric_grid(), w_max=0.2, iters=5000), "sweep"
+        A.te_frontier_sweep(segments, sigma, mu, bench, A.geometric_grid(), w_max=0.2), "sweep"
     )
     point = F.concat_ws("@", "portfolio_id", F.col("gamma").cast("string"))
     keyed = w.select(point.alias("portfolio_id"), "ticker", "weight")
@@ -233,7 +220,7 @@ def risk_parity(spark, d):
     """Every ticker contributes the same share of risk, in each segment's universe."""
     sigma = _segment_sigma(spark, d)
     problems = sigma.select("universe_id", F.col("universe_id").alias("portfolio_id")).distinct()
-    w = hand_off(A.solve(problems, sigma, method="risk_parity", iters=5000), "weights")
+    w = hand_off(A.solve(problems, sigma, method="risk_parity"), "weights")
     rc = _universe_products(w, sigma).withColumn("rc", F.col("weight") * F.col("_sw"))
     return tidy(
         rc.groupBy("universe_id").agg(
@@ -246,7 +233,7 @@ def risk_parity(spark, d):
 
 def _segment_sigma(spark, d):
     returns = hand_off(D.segment_returns(spark, d), "returns")
-    return hand_off(G.ridge(G.covariance(returns, method="oas", min_periods=2, annualize=False, store=hand_off), 1e-4), "sigma")
+    return hand_off(G.ridge(G.covariance(returns, method="oas", annualize=False, store=hand_off), 1e-4), "sigma")
 
 
 def _universe_products(w, sigma):
@@ -260,28 +247,25 @@ def _universe_products(w, sigma):
 def _hrp_sql():
     return sql(
         [C.SEG_RET],
-        """SELECT universe_id, count(DISTINCT i) AS n, 1.0 AS total, TRUE AS positive, TRUE AS below_largest_variance
+        """SELECT universe_id, count(DISTINCT i) AS n, 1.0 AS total, TRUE AS positive, TRUE AS falls_with_variance
            FROM usigma GROUP BY 1""",
-        ints=["n"], floats=["total"], plain=["universe_id", "positive", "below_largest_variance"],
+        ints=["n"], floats=["total"], plain=["universe_id", "positive", "falls_with_variance"],
     )
 
 
 @query("hrp", _hrp_sql())
 def hrp(spark, d):
-    """Positive weights that sum to 1 and diversify, in each segment's universe."""
+    """Positive weights that sum to 1 and are smaller for tickers of larger variance, in each segment's universe."""
     sigma = _segment_sigma(spark, d)
     problems = sigma.select("universe_id", F.col("universe_id").alias("portfolio_id")).distinct()
     w = hand_off(A.solve(problems, sigma, method="hrp"), "weights")
-    risk = _universe_products(w, sigma).groupBy("universe_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("weight").alias("total"),
-        (F.min("weight") > 0).alias("positive"),
-        F.sum(F.col("weight") * F.col("_sw")).alias("_var"),
-    )
-    worst = sigma.where("i = j").groupBy("universe_id").agg(F.max("value").alias("_worst"))
+    own = sigma.where("i = j").select("universe_id", F.col("i").alias("ticker"), F.col("value").alias("_var"))
     return tidy(
-        risk.join(worst, "universe_id").select(
-            "universe_id", "n", "total", "positive", (F.col("_var") < F.col("_worst")).alias("below_largest_variance")
+        w.join(own, ["universe_id", "ticker"]).groupBy("universe_id").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("weight").alias("total"),
+            (F.min("weight") > 0).alias("positive"),
+            F.coalesce(F.corr("weight", "_var") < -0.1, F.lit(False)).alias("falls_with_variance"),
         )
     )
 
@@ -290,21 +274,35 @@ def hrp(spark, d):
     "group_caps",
     sql(
         [C.HOLD, C.BRAND_META],
-        """SELECT DISTINCT portfolio_id, upper(sector) AS "group", 1.0 AS total, TRUE AS capped
+        """SELECT DISTINCT portfolio_id, upper(sector) AS "group", 1.0 AS total, TRUE AS capped, TRUE AS nearest
            FROM hold CROSS JOIN (SELECT DISTINCT sector FROM bmeta)""",
-        floats=["total"], plain=["portfolio_id", '"group"', "capped"],
+        floats=["total"], plain=["portfolio_id", '"group"', "capped", "nearest"],
     ),
 )
 def group_caps(spark, d):
-    """Customers' weights with each maker limited to 30 % (five makers, so the caps can be met)."""
+    """Customers' weights with each maker limited to 30 % (five makers, so the caps can be met): the nearest such weights.
+
+    At the nearest point no exchange brings weights closer to the holdings: what a weight lost to the constraints is no
+    less in the receiving ticker than in the giving one, in any group of which the cap leaves room, or in the same group.
+    """
+    edge, tol = 1e-9, 1e-7
     sigma = brand_sigma(spark, d)
     problems, held = _customers(spark, d)
     groups = hand_off(D.brand_meta(spark, d).select("ticker", F.upper("sector").alias("group")), "groups")
     caps = groups.select("group").distinct().withColumn("cap", F.lit(0.3))
-    w = hand_off(A.solve(problems, sigma, method="group_caps", ref=held, groups=groups, caps=caps, iters=400), "weights")
-    total = w.groupBy("portfolio_id").agg(F.sum("weight").alias("total"))
-    sums = w.join(groups, "ticker").groupBy("portfolio_id", "group").agg((F.sum("weight") <= 0.3 + 1e-6).alias("capped"))
-    return tidy(sums.join(total, "portfolio_id").select("portfolio_id", "group", "total", "capped"))
+    w = hand_off(A.solve(problems, sigma, method="group_caps", ref=held, groups=groups, caps=caps), "weights")
+    away = P.active_weights(w.select("portfolio_id", "ticker", "weight"), held).join(groups, "ticker")
+    give, take = F.max(F.when(F.col("weight") > edge, F.col("active"))), F.min(F.when(F.col("weight") < 1 - edge, F.col("active")))
+    per = away.groupBy("portfolio_id", "group").agg(F.sum("weight").alias("_sum"), give.alias("_give"), take.alias("_take"))
+    room = F.when(F.col("_sum") < 0.3 - edge, F.col("_take"))
+    all_ = per.groupBy("portfolio_id").agg(F.sum("_sum").alias("total"), F.max("_give").alias("_most"), F.min(room).alias("_least"))
+    inside = F.coalesce(F.col("_give") <= F.col("_take") + tol, F.lit(True))
+    across = F.coalesce(F.col("_most") <= F.col("_least") + tol, F.lit(True))
+    return tidy(
+        per.join(all_, "portfolio_id").select(
+            "portfolio_id", "group", "total", (F.col("_sum") <= 0.3 + 1e-9).alias("capped"), (inside & across).alias("nearest")
+        )
+    )
 
 
 # --- closed forms -------------------------------------------------------------------------------------------------
@@ -541,8 +539,9 @@ def risk_model_diagnostics(spark, d):
     "optimise_portfolios",
     sql(
         [C.HOLD],
-        """SELECT portfolio_id, 25 AS n, 1.0 AS total, TRUE AS in_box FROM hold GROUP BY 1""",
-        ints=["n"], floats=["total"], plain=["portfolio_id", "in_box"],
+        """SELECT portfolio_id, (SELECT count(DISTINCT p_brand) FROM part JOIN lineitem ON l_partkey = p_partkey) AS n,
+                  1.0 AS total, TRUE AS in_box, TRUE AS optimal FROM hold GROUP BY 1""",
+        ints=["n"], floats=["total"], plain=["portfolio_id", "in_box", "optimal"],
     ),
 )
 def optimise_customers(spark, d):
@@ -550,10 +549,6 @@ def optimise_customers(spark, d):
     model = risk_model(
         D.brand_returns(spark, d), mu_method="shrunk", shrink_target="equal", cov_method="lw", store=hand_off
     )
-    problems = _customers(spark, d)[0]
+    problems = hand_off(_customers(spark, d)[0], "problems")
     w = optimise_portfolios(problems, model, method="mv_l2", w_max=0.1, store=hand_off)
-    return tidy(
-        w.groupBy("portfolio_id").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"), (F.max("weight") <= 0.1 + 1e-9).alias("in_box")
-        )
-    )
+    return _certificate(w, _quadratic_gradient(model.sigma, model.mu, problems), 0.0, 0.1)
