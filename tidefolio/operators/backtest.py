@@ -61,15 +61,15 @@ def _equal(returns: DataFrame, freq: str, lookback: int) -> DataFrame:
 
 
 def _inverse_variance(returns: DataFrame, freq: str, lookback: int) -> DataFrame:
-    """Weights in proportion to 1 / variance over the window."""
+    """Weights in proportion to 1 / variance over the window, 0 for a ticker with fewer than two returns in it."""
     by = universe_keys(returns)
     windows = lookback_windows(returns, freq=freq, lookback=lookback)
     risk = (
         windows.join(returns.select(*by, "date", "ticker", "ret"), [*by, "date"])
         .groupBy(*by, "rb_date", "ticker")
-        .agg((1.0 / F.greatest(F.var_samp("ret"), F.lit(1e-16))).alias("weight"))
+        .agg(F.coalesce(1.0 / F.greatest(F.var_samp("ret"), F.lit(1e-16)), F.lit(0.0)).alias("weight"))
     )
-    return risk.where(F.col("weight").isNotNull())
+    return risk
 
 
 def _by_window(returns: DataFrame, freq: str, lookback: int, allocator: Allocator) -> DataFrame:
@@ -131,7 +131,7 @@ def solver_allocator(
         n = len(mu)
         one = lambda x: np.full((1, 1), float(x))
         equal = np.full((1, n), 1.0 / n)
-        w, _ = optimise(
+        w, _, _ = optimise(
             Market(np.arange(n), sigma, mu), method, gamma=one(gamma), lam=one(lam), lo=one(w_min), hi=one(w_max),
             rho=one(0.0), bench=equal, ref=equal, **options,
         )
@@ -157,16 +157,27 @@ def rebalance_weights(
 
 # --- turnover, carried weights, equity ----------------------------------------------------------------------------
 
-def rebalance_turnover_cost(weights: DataFrame, cost_bps: float = 0.0) -> DataFrame:
-    """Turnover against the previous weights (equal ones at first) and its linear cost."""
+def rebalance_turnover_cost(weights: DataFrame, cost_bps: float = 0.0, universe: DataFrame | None = None) -> DataFrame:
+    """Turnover against the previous rebalance and its linear cost.
+
+    Each weight counts as bought at its own rebalance and as sold at the next one; the sum per rebalance and ticker is
+    what is traded, so a ticker that leaves is sold and one that returns is bought from zero. Before the first rebalance
+    every ticker of ``universe`` (default: every ticker that ever has a weight) holds 1/N.
+    """
     by = universe_keys(weights)
-    size = grouped(weights.select(*by, "ticker").distinct(), by, F.count(F.lit(1)).alias("_n"))
-    before = F.lag("weight").over(W.partitionBy(*by, "ticker").orderBy("rb_date"))
-    moved = F.abs(F.col("weight") - F.coalesce("_before", 1.0 / F.col("_n")))
+    names = (weights if universe is None else universe).select(*by, "ticker").distinct()
+    size = grouped(names, by, F.count(F.lit(1)).alias("_n"))
+    dates = weights.select(*by, "rb_date").distinct()
+    following = dates.withColumn("_next", F.lead("rb_date").over(W.partitionBy(*by).orderBy("rb_date")))
+    bought = weights.select(*by, "rb_date", "ticker", "weight")
+    sold = weights.join(following, [*by, "rb_date"]).where(F.col("_next").isNotNull())
+    sold = sold.select(*by, F.col("_next").alias("rb_date"), "ticker", (-F.col("weight")).alias("weight"))
+    first = attach(attach(names, size, by), grouped(dates, by, F.min("rb_date").alias("rb_date")), by)
+    first = first.where(F.col("rb_date").isNotNull()).select(*by, "rb_date", "ticker", (-1.0 / F.col("_n")).alias("weight"))
+    traded = bought.unionByName(sold).unionByName(first).groupBy(*by, "rb_date", "ticker").agg(F.sum("weight").alias("_d"))
     return (
-        attach(weights.withColumn("_before", before), size, by)
-        .groupBy(*by, "rb_date")
-        .agg(F.sum(moved).alias("turnover"))
+        traded.groupBy(*by, "rb_date")
+        .agg(F.sum(F.abs("_d")).alias("turnover"))
         .withColumn("cost", F.col("turnover") * (cost_bps / 10_000.0))
     )
 

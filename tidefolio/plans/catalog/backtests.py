@@ -21,12 +21,19 @@ points AS (SELECT rb_date, idx AS rb_idx FROM rb JOIN cal ON date = rb_date WHER
 names AS (SELECT DISTINCT ticker FROM ret),
 windows AS (SELECT rb_date, date FROM points JOIN cal ON idx BETWEEN rb_idx - 52 AND rb_idx - 1)"""
 EQUAL = "wts AS (SELECT rb_date, ticker, 1.0 / (SELECT count(*) FROM names) AS weight FROM points CROSS JOIN names)"
-INVERSE = """inv AS (SELECT rb_date, ticker, 1 / greatest(var_samp(ret), 1e-16) AS v FROM windows JOIN ret USING (date) GROUP BY 1, 2),
+INVERSE = """inv AS (SELECT rb_date, ticker, coalesce(1 / greatest(var_samp(ret), 1e-16), 0) AS v FROM windows JOIN ret USING (date) GROUP BY 1, 2),
 wts AS (SELECT rb_date, ticker, v / sum(v) OVER (PARTITION BY rb_date) AS weight FROM inv)"""
-CARRY = """turn AS (
+# Dense: every ticker at every rebalance, 0 where it has no weight.
+TURN = """dense AS (
+  SELECT p.rb_date, n.ticker, coalesce(w.weight, 0) AS weight
+  FROM (SELECT DISTINCT rb_date FROM wts) p CROSS JOIN (SELECT DISTINCT ticker FROM wts) n
+  LEFT JOIN wts w ON w.rb_date = p.rb_date AND w.ticker = n.ticker),
+turn AS (
   SELECT rb_date, sum(abs(weight - prev)) AS turnover, sum(abs(weight - prev)) * 2.0 / 10000 AS cost
-  FROM (SELECT *, coalesce(lag(weight) OVER (PARTITION BY ticker ORDER BY rb_date), 1.0 / (SELECT count(*) FROM names)) AS prev FROM wts)
-  GROUP BY 1),
+  FROM (SELECT *, coalesce(lag(weight) OVER (PARTITION BY ticker ORDER BY rb_date),
+                           1.0 / (SELECT count(DISTINCT ticker) FROM wts)) AS prev FROM dense)
+  GROUP BY 1)"""
+CARRY = TURN + """,
 held AS (
   SELECT c.date, r.ticker, exp(r.ret) - 1 AS ret, c.rb_date,
          CASE WHEN c.rb_date IS NULL THEN 1.0 / (SELECT count(*) FROM names) ELSE w.weight END AS weight
@@ -87,6 +94,23 @@ def rebalance_turnover(spark, d):
     return tidy(_run(spark, d, "inverse_variance").turnover, 8)
 
 
+SUPPLIER = """ret AS (SELECT date, ticker, ret FROM sret)"""
+
+
+@query(
+    "rebalance_turnover_gaps",
+    sql(
+        [C.SUPP, C.SUPP_MONTH, C.SUPP_RET, SUPPLIER, CAL.replace("52", "3"), INVERSE, TURN],
+        "SELECT * FROM turn", dates=["rb_date"], floats=["turnover", "cost"], digits=8,
+    ),
+)
+def rebalance_turnover_gaps(spark, d):
+    """Three-month windows of the suppliers, many of which trade in some of the months only: they leave and return."""
+    returns = hand_off(D.supplier_returns(spark, d), "returns")
+    weights = hand_off(B.rebalance_weights(returns, freq="1mo", lookback=3, allocator="inverse_variance"), "weights")
+    return tidy(B.rebalance_turnover_cost(weights, COST), 8)
+
+
 @query(
     "mean_turnover",
     sql([*BASE, INVERSE, CARRY], "SELECT avg(turnover) AS mean_turnover FROM turn", floats=["mean_turnover"]),
