@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidefolio.session import CHECKPOINT_CONF, hand_off, shared_folder
+from tidefolio.session import CHECKPOINT_CONF, hand_off, runs_here, shared_folder
 from tidefolio.sources import artifacts as art, prices as src
 
 
@@ -29,10 +29,23 @@ def test_filters_reach_the_scan(spark, tmp_path):
     df = src.load_prices_long(spark, path, tickers=["BB"], start="2024-01-02", end="2024-01-03")
     plan = df._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters") :].split("\n")[0]
-    assert "GreaterThanOrEqual(date" in pushed and "LessThan(date" in pushed and "ticker" in pushed
+    assert "GreaterThanOrEqual(date" in pushed and "LessThan(date" in pushed
     assert "seq" not in plan[plan.index("ReadSchema") :].split("\n")[0]
 
 
+def test_every_spelling_of_a_name_is_found(spark, tmp_path):
+    path = str(tmp_path / "p")
+    rows = [(dt.datetime(2024, 1, k), t, float(k)) for k, t in ((1, "Aapl"), (2, " aapl"), (3, "AAPL "), (4, "msft"))]
+    spark.createDataFrame(rows, "date timestamp_ntz, ticker string, price double").write.parquet(path)
+    got = src.load_prices_long(spark, path, tickers=["aapl"]).collect()
+    assert sorted((r.ticker, r.price) for r in got) == [("AAPL", 1.0), ("AAPL", 2.0), ("AAPL", 3.0)]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    assert runs_here("local[8]") and runs_here("local")
+    assert not any(map(runs_here, ("local-cluster[2,1,1024]", "spark://host:7077", "yarn", "k8s://https://host")))
+
+
 def test_wide_prices(spark, tmp_path):
     path = str(tmp_path / "w")
     wide = spark.createDataFrame([("2024-01-01", "1.5", "x"), ("2024-01-02", "2.5", "3")], "date string, AA string, BB string")

@@ -38,11 +38,22 @@ _fallback: dict[str, str] = {}
 Store = Callable[[DataFrame, str], DataFrame]
 
 
+def runs_here(master: str) -> bool:
+    """Whether all tasks of a session with this master run in the driver's process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it names none (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a temporary one serves sessions whose tasks all run in this process; on a cluster, where
+    executors would each write to a disk of their own, that is an error.
+    """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if named:
         return named.rstrip("/")
+    if not runs_here(spark.sparkContext.master):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     if "dir" not in _fallback:
         _fallback["dir"] = tempfile.mkdtemp(prefix="tidefolio-")
     return _fallback["dir"]

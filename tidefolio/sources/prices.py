@@ -1,4 +1,5 @@
-"""Price and metadata readers. Filters are plain comparisons on stored columns, so they reach the file scan."""
+"""Price and metadata readers. Date filters are plain comparisons on stored columns, so they reach the file scan; names
+are compared as normalised, so every stored spelling of a ticker is found."""
 
 from __future__ import annotations
 
@@ -57,16 +58,14 @@ def load_prices_long(
         raw = raw.where(F.col(date) >= F.lit(start).cast(kind))
     if end is not None:
         raw = raw.where(F.col(date) < F.lit(end).cast(kind))
-    if tickers is not None:
-        asked = [str(t) for t in tickers]
-        spellings = {*asked, *(t.strip() for t in asked), *normalize_names(asked)}
-        raw = raw.where(F.col(ticker).isin(sorted(spellings)))
     named = raw.select(
         F.col(date).alias("date"),
         F.upper(F.trim(F.col(ticker).cast("string"))).alias("ticker"),
         F.col(price).alias("price"),
         *([F.col(seq).cast("bigint").alias("seq")] if seq else []),
     )
+    if tickers is not None:
+        named = named.where(F.col("ticker").isin(normalize_names(tickers)))
     clean = drop_nulls(canonicalize(named))
     return dedupe_keep_last(clean).drop("seq") if seq else clean
 
