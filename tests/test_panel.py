@@ -170,10 +170,10 @@ def test_return_kind(spark, values, kind):
     assert quality.infer_return_kind(rets(spark, rows)).first().kind == kind
 
 
-def test_return_kind_samples_first_names(spark):
+def test_return_kind_reads_all_names_unless_told(spark):
     rows = [(day("2024-01-01"), f"T{k}", 0.1) for k in range(5)] + [(day("2024-01-01"), "U", -2.0)]
-    assert quality.infer_return_kind(rets(spark, rows)).first().kind == "simple"
-    assert quality.infer_return_kind(rets(spark, rows), sample_tickers=None).first().kind == "log"
+    assert quality.infer_return_kind(rets(spark, rows)).first().kind == "log"
+    assert quality.infer_return_kind(rets(spark, rows), sample_tickers=5).first().kind == "simple"
     assert quality.infer_return_kind_by_series(rets(spark, rows)).first().kind == "log"
 
 

@@ -88,8 +88,11 @@ def test_ewma(spark, sample):
 def test_short_panel_falls_back_to_sample(spark, sample):
     short = sample[:20]
     for method in ("oas", "lw", "ewma"):
-        got = matrix(G.covariance(returns(spark, short), method=method, annualize=False))
-        assert np.allclose(got, np.cov(short, rowvar=False), atol=1e-16)
+        full = G.covariance(returns(spark, short), method=method, min_periods=60, annualize=False)
+        assert np.allclose(matrix(full.drop("estimator")), np.cov(short, rowvar=False), atol=1e-16)
+        assert {r.estimator for r in full.select("estimator").distinct().collect()} == {"sample"}
+        own = G.covariance(returns(spark, short), method=method, annualize=False)
+        assert "estimator" not in own.columns and not np.allclose(matrix(own), np.cov(short, rowvar=False), atol=1e-16)
 
 
 def test_single_date_has_zero_covariance(spark, sample):

@@ -1,5 +1,7 @@
 """The streamed resample agrees with the batch one on closed windows."""
 
+from pyspark.sql import functions as F
+
 from tidefolio.operators.returns import resample_last
 from tidefolio.plans import derive as D
 from tidefolio.streaming.resample import resample_stream
@@ -13,7 +15,7 @@ def test_stream_matches_batch(spark, tmp_path):
     ticks.write.parquet(folder)
     feed = spark.readStream.schema(ticks.schema).parquet(folder)
     query = (
-        resample_stream(feed, "1d")
+        resample_stream(feed, "1d", lateness="0 seconds")
         .writeStream.outputMode("complete")
         .format("memory")
         .queryName("resampled")
@@ -26,3 +28,24 @@ def test_stream_matches_batch(spark, tmp_path):
         query.stop()
     batch = {(str(r.date), r.ticker): r.price for r in resample_last(ticks, "1d").collect()}
     assert streamed == batch
+
+
+def test_append_mode_closes_windows_and_honours_seq(spark, tmp_path):
+    rows = [
+        ("2024-01-01 10:00:00", "A", 1.0, 1), ("2024-01-01 10:00:00", "A", 2.0, 2), ("2024-01-02 09:00:00", "A", 3.0, 3),
+        ("2024-01-01 09:00:00", "B", 5.0, 4), ("2024-01-09 09:00:00", "B", 6.0, 5),
+    ]
+    ticks = spark.createDataFrame(rows, "date string, ticker string, price double, seq long")
+    ticks = ticks.withColumn("date", F.col("date").cast("timestamp_ntz"))
+    folder = str(tmp_path / "feed")
+    ticks.coalesce(1).write.parquet(folder)
+    feed = spark.readStream.schema(ticks.schema).parquet(folder)
+    out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
+    query = (
+        resample_stream(feed, "1d", lateness="1 day").writeStream.outputMode("append").format("parquet")
+        .option("checkpointLocation", marks).trigger(availableNow=True).start(out)
+    )
+    query.awaitTermination()
+    got = {(str(r.date)[:10], r.ticker): r.price for r in spark.read.parquet(out).collect()}
+    # The last day of B is still open; equal stamps are settled by seq.
+    assert got == {("2024-01-02", "A"): 2.0, ("2024-01-03", "A"): 3.0, ("2024-01-02", "B"): 5.0}

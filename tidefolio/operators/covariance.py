@@ -103,13 +103,16 @@ def covariance(
     *,
     method: str = "oas",
     ewma_lambda: float = 0.94,
-    min_periods: int = 60,
+    min_periods: int | None = None,
     annualize: bool = True,
     fill: str = "drop",
     psd: bool = False,
     store: Store = lazily,
 ) -> DataFrame:
-    """Covariance as a full long matrix. Short panels (T < min_periods) fall back to the sample estimate.
+    """Covariance as a full long matrix, by the named estimator for panels of any length.
+
+    A caller who sets ``min_periods`` has shorter panels estimated as the sample covariance instead; the column
+    ``estimator`` then says which one each universe got.
 
     The shrinkage intensities need only sums over the matrix and one sum per date, all plain aggregates.
     ``psd`` adds an eigenvalue clip, which runs as one dense problem per universe. ``store`` (e.g. ``hand_off``) is
@@ -120,14 +123,15 @@ def covariance(
     panel = store(apply_fill_policy(returns, fill), "panel")
     centred = _centred(panel)
     sizes = date_totals(panel).select(*by, F.col("n_dates").alias("_T"))
-    enough = F.col("_T") >= max(2, min_periods)
+    least = 2 if min_periods is None else max(2, min_periods)
+    enough = F.col("_T") >= least
 
     if method == "ewma":
         lam = float(ewma_lambda)
         age = F.col("n_dates") - F.col("idx")
         decay = F.lit(1.0 - lam) * F.pow(F.lit(lam), age.cast("double"))
         equal = F.try_divide(F.lit(1.0), (F.col("n_dates") - 1).cast("double"))
-        weight = F.when(F.col("n_dates") >= max(2, min_periods), decay).otherwise(F.coalesce(equal, F.lit(0.0)))
+        weight = F.when(F.col("n_dates") >= least, decay).otherwise(F.coalesce(equal, F.lit(0.0)))
         scaled = centred.join(calendar(panel), [*by, "date"]).select(
             *by, "date", "ticker", (F.col("x") * F.sqrt(weight)).alias("x")
         )
@@ -161,7 +165,11 @@ def covariance(
             "value", F.col("value") * F.col("per_year")
         )
     full = mirror(upper.select(*by, "i", "j", "value"))
-    return psd_clip(full, 1e-12) if psd else full
+    full = psd_clip(full, 1e-12) if psd else full
+    if min_periods is None:
+        return full
+    used = sizes.select(*by, F.when(enough, F.lit(method)).otherwise(F.lit("sample")).alias("estimator"))
+    return attach(full, used, by)
 
 
 def _oas_intensity() -> Column:

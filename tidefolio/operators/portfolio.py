@@ -27,7 +27,7 @@ def sigma_times(weights: DataFrame, sigma: DataFrame, value: str = "weight") ->
 
     Weights are brought together by portfolio first: the products of a portfolio are then summed where they arise,
     and what follows per portfolio needs no further shuffle. The own weight comes from the diagonal row, so nothing
-    is joined back. Tickers without covariance carry no risk and drop out.
+    is joined back. Tickers without covariance carry no risk and drop out; ``unpriced_share`` says how much that is.
     """
     vector = weights.select(PID, F.col("ticker").alias("j"), F.col(value).alias("_wj")).repartition(PID)
     own = F.sum(F.when(F.col("i") == F.col("j"), F.col("_wj")))
@@ -38,6 +38,17 @@ def sigma_times(weights: DataFrame, sigma: DataFrame, value: str = "weight") ->
     )
 
 
+def unpriced_share(weights: DataFrame, sigma: DataFrame, value: str = "weight") -> DataFrame:
+    """Per portfolio, the part of its absolute weights in tickers without a covariance, which carry no risk here."""
+    priced = sigma.where(F.col("i") == F.col("j")).select(F.col("i").alias("ticker"), F.lit(True).alias("_priced"))
+    size = F.abs(F.coalesce(F.col(value), F.lit(0.0)))
+    without = F.sum(F.when(F.col("_priced").isNull(), size).otherwise(0.0))
+    return (
+        weights.join(priced, "ticker", "left").groupBy(PID)
+        .agg(F.coalesce(F.try_divide(without, F.sum(size)), F.lit(0.0)).alias("unpriced"))
+    )
+
+
 def active_weights(weights: DataFrame, bench: DataFrame) -> DataFrame:
     """Weight, benchmark weight and their difference for every ticker held by either.
 
@@ -62,7 +73,10 @@ def active_weights(weights: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def portfolio_stats(weights: DataFrame, mu: DataFrame, sigma: DataFrame, rf: float = 0.0) -> DataFrame:
-    """Expected return, risk and Sharpe ratio (NULL where the risk vanishes)."""
+    """Expected return, risk, Sharpe ratio (NULL where the risk vanishes) and the unpriced share of every portfolio.
+
+    A portfolio without any priced ticker is kept, with NULL for what needs a covariance.
+    """
     w = F.coalesce("_w", F.lit(0.0))
     rows = (
         sigma_times(weights, sigma)
@@ -73,7 +87,8 @@ def portfolio_stats(weights: DataFrame, mu: DataFrame, sigma: DataFrame, rf: flo
             F.sqrt(F.greatest(F.sum(w * F.col("_sw")), F.lit(0.0))).alias("sigma_p"),
         )
     )
-    return rows.withColumn("sharpe", F.when(F.col("sigma_p") > GAP, (F.col("mu_p") - rf) / F.col("sigma_p")))
+    rows = rows.withColumn("sharpe", F.when(F.col("sigma_p") > GAP, (F.col("mu_p") - rf) / F.col("sigma_p")))
+    return unpriced_share(weights, sigma).join(rows, PID, "left").select(PID, "mu_p", "sigma_p", "sharpe", "unpriced")
 
 
 def portfolio_stats_from_returns(weights: DataFrame, returns: DataFrame, rf: float = 0.0) -> DataFrame:
@@ -149,8 +164,10 @@ def _tracking(active: DataFrame, sigma: DataFrame, mu: DataFrame | None) -> Data
 def tracking_error(
     weights: DataFrame, bench: DataFrame, sigma: DataFrame, mu: DataFrame | None = None, store: Store = lazily
 ) -> DataFrame:
-    """Root of the active variance, and the active expected return where ``mu`` is given."""
-    return _tracking(store(active_weights(weights, bench), "active"), sigma, mu)
+    """Root of the active variance, the active expected return where ``mu`` is given, and the unpriced share of the active
+    weights; a portfolio without any priced ticker is kept, with NULL for what needs a covariance."""
+    active = store(active_weights(weights, bench), "active")
+    return unpriced_share(active, sigma, "active").join(_tracking(active, sigma, mu), PID, "left")
 
 
 def tracking_error_from_returns(weights: DataFrame, bench: DataFrame, returns: DataFrame) -> DataFrame:

@@ -162,8 +162,9 @@ def _median_below(x: Column, bound: float) -> Column:
     return F.when(2 * below > n, F.lit(True)).when(2 * below == n, middle < bound).otherwise(F.lit(False))
 
 
-def infer_return_kind(returns: DataFrame, sample_tickers: int | None = 5, col: str = "ret") -> DataFrame:
-    """'log' if some value is at or below -1, else by whether the median |r| of the first tickers is below 0.3."""
+def infer_return_kind(returns: DataFrame, sample_tickers: int | None = None, col: str = "ret") -> DataFrame:
+    """'log' if some value is at or below -1, else by whether the median |r| is below 0.3, over all tickers; a caller who
+    names ``sample_tickers`` gets the answer for the first ones by name."""
     by = universe_keys(returns)
     data = returns
     if sample_tickers is not None:

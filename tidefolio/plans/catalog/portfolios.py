@@ -39,12 +39,13 @@ def risk_inputs(spark, d):
     "portfolio_stats",
     sql(
         RISKY,
-        """SELECT portfolio_id, mu_p, sigma_p, CASE WHEN sigma_p > 1e-12 THEN (mu_p - 0.001) / sigma_p END AS sharpe
-           FROM (SELECT portfolio_id, sum(weight * mu) AS mu_p FROM hold JOIN mu USING (ticker) GROUP BY 1)
-           JOIN (SELECT a.portfolio_id, sqrt(greatest(sum(a.weight * value * b.weight), 0)) AS sigma_p
+        """SELECT portfolio_id, mu_p, sigma_p, CASE WHEN sigma_p > 1e-12 THEN (mu_p - 0.001) / sigma_p END AS sharpe, unpriced
+           FROM (SELECT portfolio_id, sum(CASE WHEN ticker IN (SELECT i FROM sigma) THEN 0 ELSE weight END) / sum(weight) AS unpriced
+                 FROM hold GROUP BY 1) LEFT JOIN (SELECT portfolio_id, sum(weight * mu) AS mu_p FROM hold JOIN mu USING (ticker) GROUP BY 1) USING (portfolio_id)
+           LEFT JOIN (SELECT a.portfolio_id, sqrt(greatest(sum(a.weight * value * b.weight), 0)) AS sigma_p
                  FROM hold a JOIN hold b ON a.portfolio_id = b.portfolio_id JOIN sigma ON i = a.ticker AND j = b.ticker
                  GROUP BY 1) USING (portfolio_id)""",
-        floats=["mu_p", "sigma_p", "sharpe"], **PF,
+        floats=["mu_p", "sigma_p", "sharpe", "unpriced"], **PF,
     ),
 )
 def portfolio_stats(spark, d):
@@ -225,7 +226,13 @@ TE = """te AS (
 
 @query(
     "tracking_error",
-    sql([*ACTIVE, TE], "SELECT portfolio_id, te, active_ret FROM te", floats=["te", "active_ret"], **PF),
+    sql(
+        [*ACTIVE, TE],
+        """SELECT portfolio_id, te, active_ret, unpriced FROM (
+             SELECT portfolio_id, sum(CASE WHEN ticker IN (SELECT i FROM sigma) THEN 0 ELSE abs(v) END) / sum(abs(v)) AS unpriced
+             FROM active GROUP BY 1) LEFT JOIN te USING (portfolio_id)""",
+        floats=["te", "active_ret", "unpriced"], **PF,
+    ),
 )
 def tracking_error(spark, d):
     _, mu, sigma = risk_inputs(spark, d)

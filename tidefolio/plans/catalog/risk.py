@@ -156,7 +156,7 @@ def cov_ledoit_wolf(spark, d):
     "cov_ewma",
     sql(
         [*BASE, C.CENTRED,
-         """aged AS (SELECT date, CASE WHEN n < 60 THEN 1 / (n - 1) ELSE 0.06 * power(0.94, age) END AS w FROM (
+         """aged AS (SELECT date, 0.06 * power(0.94, age) AS w FROM (
               SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS age, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM full_ret)))"""],
         """SELECT a.ticker AS i, b.ticker AS j, 12 * sum(w * a.x * b.x) AS value
            FROM centred a JOIN centred b ON a.date = b.date JOIN aged ON aged.date = a.date GROUP BY 1, 2""",
@@ -167,7 +167,10 @@ def cov_ewma(spark, d):
     return tidy(G.covariance(brand_panel(spark, d), method="ewma", store=hand_off), 8)
 
 
-@query("cov_fallback", sql(C.RISK[:-1], "SELECT i, j, value FROM sigma", **COV_COLS))
+@query(
+    "cov_fallback",
+    sql(C.RISK[:-1], "SELECT i, j, value, 'sample' AS estimator FROM sigma", **{**COV_COLS, "plain": ["i", "j", "estimator"]}),
+)
 def cov_fallback(spark, d):
     """Fewer dates than asked for: the shrinkage estimate gives way to the sample one."""
     r = brand_panel(spark, d)
