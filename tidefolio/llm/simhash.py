@@ -9,8 +9,8 @@ labels, so two fingerprints that differ in at most ``radius`` bits agree on all
 the radius meets in one of the ``2 ** (radius + 1) - 1`` tables, with certainty.
 
 Buckets: a bucket of two fingerprints is decided from its minimum and maximum. In a larger one no pairs are formed:
-every fingerprint is sent to itself and to its neighbours at one flipped bit outside the mask. Two fingerprints of the
-bucket differ in at most two bits exactly if they share such a hub, and each hub links its members to its smallest one.
+every fingerprint is sent to itself and to its neighbours at one flipped bit outside its buckets' masks. Two fingerprints
+that share such a hub differ in at most two bits, and those of one bucket that do share one, and each hub links its members to its smallest one.
 Rows grow with the number of fingerprints, never with the square of a bucket. Components come from alternating star
 contraction over the links, written to the shared folder after every round.
 
@@ -101,11 +101,13 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     buckets = rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     twos = buckets.filter("n = 2").select("a", "b").filter(_near(F.col("a"), F.col("b"), radius))
     crowded = rows.join(buckets.filter("n > 2").select("t", "key"), ["t", "key"])
+    # A fingerprint is sent out once, however many crowded buckets it is in: over all bits that some of their masks leave out.
+    sent = crowded.groupBy("fp").agg(F.bit_or(F.bitwise_not("mask")).alias("open"))
     every = F.array(*[F.lit(_signed(1 << i)).cast("long") for i in range(BITS)])
-    flips = F.filter(every, lambda bit: bit.bitwiseAND(F.col("mask")) == 0)
+    flips = F.filter(every, lambda bit: bit.bitwiseAND(F.col("open")) != 0)
     own = F.array(F.col("fp"))
     reach = F.concat(own, F.transform(flips, lambda bit: F.col("fp").bitwiseXOR(bit))) if radius else own
-    hubs = crowded.select("fp", F.explode(reach).alias("hub")).distinct()
+    hubs = sent.select("fp", F.explode(reach).alias("hub"))
     if radius == 1:  # a shared hub may stand for two bits; only hubs that are members themselves are links of one bit
         met = hubs.filter("fp != hub").join(fps.select(F.col("fp").alias("hub")), "hub")
         stars = met.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
