@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -70,6 +71,8 @@ class Codec:
             else proto.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode()
             for p in proto.pieces
         ]
+        #: Pieces whose own mark stands for the one put before the text.
+        self.marked = [p.type == NORMAL and p.piece.startswith(MARK) for p in proto.pieces]
         alone = "".join(c for c in "\n\r\t" if not any(c in p and len(p) > 1 for p in self.ids))
         self.words = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + f"|[{alone}]" * bool(alone))
         self.vocabulary = MergeVocabulary(self.ids, ranks={p: -s for p, s in self.scores.items()})
@@ -131,8 +134,10 @@ class Codec:
         return [b"".join(map(known, words)) for words in cut]
 
     def decode(self, packed: bytes) -> str:
-        text = b"".join(map(self.surface.__getitem__, np.frombuffer(packed, INT).tolist())).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        ids = np.frombuffer(packed, INT).tolist()
+        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+        first = next((i for i in ids if self.surface[i]), None)
+        return text[1:] if first is not None and self.prefix and self.marked[first] else text
 
 
 @lru_cache(maxsize=2)
@@ -165,7 +170,7 @@ def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded")
     """``df`` with ``out``, the text of its ids (null for null)."""
 
     @F.pandas_udf("string")
-    def texts(batches):
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = load(path)
         for s in batches:
             yield s.map(lambda x: None if x is None else codec.decode(np.asarray(x, INT).tobytes()))
