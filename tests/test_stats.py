@@ -26,7 +26,7 @@ def panel(spark, table, drop=()):
 @pytest.mark.parametrize("method", ["linear", "nearest"])
 def test_exact_quantiles(spark, monkeypatch, small, method):
     """Sorted small groups, bracketed large ones and a mix of both are exact, ties included."""
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", small)
+    monkeypatch.setattr(quantiles, "WHOLE", small)
     rng = np.random.default_rng(3)
     data = {"a": rng.normal(size=30_000), "b": np.round(rng.normal(size=25_001), 1), "c": np.zeros(20_000)}
     df = spark.createDataFrame(pd.concat([pd.DataFrame({"g": k, "x": v}) for k, v in data.items()]))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..schema import attach, grouped, require, universe_keys
 from ..session import Store, busy_partitions, lazily
-from .panel import calendar, spine, ticker_totals
+from .panel import calendar, running, spine, ticker_totals
 from .returns import rebalance_dates, to_simple
 from .solvers import Market, optimise
 from .stats import drawdown
@@ -191,8 +191,7 @@ def weights_asof(returns: DataFrame, weights: DataFrame, lookback: int) -> DataF
     days = calendar(returns).where(F.col("idx") > lookback).select(*by, "date")
     marks = weights.select(*by, "rb_date").distinct()
     marked = days.join(marks.withColumn("date", F.col("rb_date")), [*by, "date"], "left")
-    carried = F.last("rb_date", ignorenulls=True).over(W.partitionBy(*by).orderBy("date"))
-    current = marked.select(*by, "date", carried.alias("rb_date"))
+    current = running(marked.withColumnRenamed("rb_date", "_mark"), by, F.col("_mark"), "last", "rb_date").drop("_mark")
     size = ticker_totals(returns)
     cells = returns.select(*by, "date", "ticker", "ret").join(current, [*by, "date"])
     held = cells.join(weights.select(*by, "rb_date", "ticker", "weight"), [*by, "rb_date", "ticker"], "left")
@@ -227,11 +226,9 @@ def equity_curve(held: DataFrame, costs: DataFrame, bench: DataFrame | None = No
         )
     charged = daily.join(costs.select(*by, F.col("rb_date").alias("date"), "cost"), [*by, "date"], "left")
     cost = F.coalesce("cost", F.lit(0.0))
-    path = F.product(1.0 + F.col("port_ret") - cost).over(
-        W.partitionBy(*by).orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
     extra = ["te_proxy"] if bench is not None else []
-    return charged.select(*by, "date", "port_ret", cost.alias("cost"), path.alias("equity"), *extra)
+    grown = running(charged.withColumn("cost", cost), by, 1.0 + F.col("port_ret") - F.col("cost"), "product", "equity")
+    return grown.select(*by, "date", "port_ret", "cost", "equity", *extra)
 
 
 def backtest(

@@ -94,6 +94,30 @@ def calendar(panel: DataFrame) -> DataFrame:
     )
 
 
+def with_previous(panel: DataFrame) -> DataFrame:
+    """Distinct dates per universe with the date before (``_prev_date``, NULL for the first), joined by position."""
+    by = universe_keys(panel)
+    days = calendar(panel).select(*by, "idx", "date")
+    return days.join(days.select(*by, (F.col("idx") + 1).alias("idx"), F.col("date").alias("_prev_date")), [*by, "idx"], "left")
+
+
+def running(df: DataFrame, by: list[str], value: Column, how: str, out: str) -> DataFrame:
+    """Adds ``out``: the product, maximum or last value (not NULL) of ``value`` over all rows of ``by`` up to this one's date.
+
+    Runs inside each calendar month and over one row per month, so a long run is not one task.
+    """
+    make = {"product": F.product, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    both = {"product": lambda a, b: a * b, "max": F.greatest, "last": lambda a, b: F.coalesce(b, a)}[how]
+    cut = df.withColumn("_month", F.date_trunc("month", "date")).withColumn("_value", value)
+    inside = W.partitionBy(*by, "_month").orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = W.partitionBy(*by).orderBy("_month").rowsBetween(W.unboundedPreceding, -1)
+    total = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("date"))) if how == "last" else make("_value")
+    months = cut.groupBy(*by, "_month").agg(total.alias("_total")).select(*by, "_month", make("_total").over(earlier).alias("_earlier"))
+    own = cut.withColumn("_own", make("_value").over(inside))
+    value_here = F.coalesce(both(F.col("_earlier"), F.col("_own")), F.col("_own"), F.col("_earlier"))
+    return own.join(months, [*by, "_month"]).withColumn(out, value_here).drop("_month", "_value", "_own", "_earlier")
+
+
 def date_totals(panel: DataFrame) -> DataFrame:
     by = universe_keys(panel)
     return grouped(

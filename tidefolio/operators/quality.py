@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.calendar import elapsed_days
 from ..functions.numeric import per_year
 from ..schema import attach, grouped, require, universe_keys
-from .panel import date_totals
+from .panel import date_totals, with_previous
 
 SEQ_CHUNK = 1_000_000  # ingest positions per chunk when following a series in ingest order
 
@@ -203,9 +203,7 @@ def infer_return_kind_by_series(returns: DataFrame, col: str = "ret") -> DataFra
 def infer_periodicity(returns: DataFrame) -> DataFrame:
     """Periods per year from the median step between distinct dates (252, 52 or 12)."""
     by = universe_keys(returns)
-    days = returns.select(*by, "date").distinct()
-    step = elapsed_days(F.col("date"), F.lag("date").over(W.partitionBy(*by).orderBy("date")))
-    steps = days.withColumn("_step", step)
+    steps = with_previous(returns).withColumn("_step", elapsed_days(F.col("date"), F.col("_prev_date")))
     # Few distinct whole-day steps exist, so the exact percentile keeps a tiny map.
     facts = grouped(steps, by, F.median("_step").alias("median_days"))
     return facts.select(*by, "median_days", per_year(F.col("median_days")).alias("per_year"))

@@ -1,20 +1,20 @@
-"""Exact order statistics per group, for groups of any size.
+"""Exact order statistics per group, for groups of any size, by one plan that looks at no data beforehand.
 
-Groups of up to SMALL_GROUP values are sorted inside one aggregate buffer, after a check of the sizes. Larger ones get each wanted rank bracketed
-by an approximate quantile sketch (bounded state, combined on the map side); only values inside the bracket, a few per
-ten thousand, are then ranked, and values below it are merely counted. The result is exact either way.
+Each wanted rank is bracketed by an approximate quantile sketch (bounded state, combined on the map side; the smallest and
+largest value for groups too small for its accuracy). The bracket is cut into equal bins whose counts are combined on the
+map side too; running sums over a group's bins tell which of them hold the wanted ranks, and only the values of those are
+ranked. Values below the bracket are merely counted, those above it are not read on.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import attach, grouped, one_of
 
 SKETCH_ACCURACY = 10_000  # the sketch's rank error is at most n / SKETCH_ACCURACY
-SMALL_GROUP = 4 * SKETCH_ACCURACY  # below this the bracket would hold too few ranks to be safe
+WHOLE = 4 * SKETCH_ACCURACY  # below this many values the bracket would hold too few ranks to be safe
+BINS = 1024
 
 
 def exact_quantiles(
@@ -27,79 +27,73 @@ def exact_quantiles(
     one_of(method, ("linear", "nearest"), "method")
     x = F.col(value)
     data = df.where(x.isNotNull()).select(*by, x.alias("_x"))
-    sizes = grouped(data, by, F.count("_x").alias("_n"))
-    # One small job looks at the group sizes and picks the way; large groups are never gathered.
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= SMALL_GROUP:
-        return _sorted(data, by, probs, method)
-    if not by:
-        return _bracketed(data, sizes, by, probs, method)
-    large = sizes.where(F.col("_n") > SMALL_GROUP)
-    small = data.join(large.select(*by), by, "left_anti")
-    return _sorted(small, by, probs, method).unionByName(
-        _bracketed(data.join(large.select(*by), by, "left_semi"), large, by, probs, method)
-    )
-
-
-def _position(p: float, n: Column, method: str) -> tuple[Column, Column]:
-    """Rank from 0 and the part of the way to the next rank."""
-    exact = F.lit(float(p)) * (n - 1)
-    if method == "nearest":
-        return F.floor(exact + 0.5), F.lit(0.0)
-    return F.floor(exact), exact - F.floor(exact)
-
-
-def _between(a: Column, b: Column, part: Column) -> Column:
-    return F.when(part > 0, a + (b - a) * part).otherwise(a)
-
-
-def _sorted(data: DataFrame, by: list[str], probs: dict[str, float], method: str) -> DataFrame:
-    rows = grouped(data, by, F.sort_array(F.collect_list("_x")).alias("_s"))
-    picks = []
-    for name, p in probs.items():
-        rank, part = _position(p, F.size("_s"), method)
-        at = lambda k: F.get("_s", k.cast("int"))
-        picks.append(_between(at(rank), at(rank + 1), part).alias(name))
-    return rows.select(*by, *picks)
-
-
-def _bracketed(
-    data: DataFrame, sizes: DataFrame, by: list[str], probs: dict[str, float], method: str
-) -> DataFrame:
     margin = 2.0 / SKETCH_ACCURACY
     cuts = sorted({min(max(p + s * margin, 0.0), 1.0) for p in probs.values() for s in (-1, 1)})
-    position = {c: i for i, c in enumerate(cuts)}
-    sketch = grouped(data, by, F.percentile_approx("_x", cuts, SKETCH_ACCURACY).alias("_cuts"))
+    place = {c: i for i, c in enumerate(cuts)}
+    facts = grouped(
+        data,
+        by,
+        F.count("_x").alias("_n"),
+        F.min("_x").alias("_min"),
+        F.max("_x").alias("_max"),
+        F.percentile_approx("_x", cuts, SKETCH_ACCURACY).alias("_cuts"),
+    )
 
     def target(name: str, p: float) -> Column:
         rank, part = _position(p, F.col("_n"), method)
-        whole = F.col("_n") <= SMALL_GROUP
-        lo, hi = F.lit(-math.inf), F.lit(math.inf)
-        if p - margin > 0:
-            lo = F.when(whole, lo).otherwise(F.col("_cuts")[position[p - margin]])
-        if p + margin < 1:
-            hi = F.when(whole, hi).otherwise(F.col("_cuts")[position[p + margin]])
+        whole = F.col("_n") <= WHOLE
+        lo = F.lit(None) if p - margin <= 0 else F.when(~whole, F.col("_cuts")[place[p - margin]])
+        hi = F.lit(None) if p + margin >= 1 else F.when(~whole, F.col("_cuts")[place[p + margin]])
         return F.struct(
-            F.lit(name).alias("name"), rank.alias("rank"), part.alias("part"), lo.alias("lo"), hi.alias("hi")
+            F.lit(name).alias("name"),
+            rank.alias("rank"),
+            part.alias("part"),
+            F.coalesce(lo, F.col("_min")).alias("lo"),
+            F.coalesce(hi, F.col("_max")).alias("hi"),
         )
 
-    targets = attach(sketch, sizes, by).select(*by, F.array(*[target(n, p) for n, p in probs.items()]).alias("_targets"))
-    probes = attach(data, targets, by).select(*by, "_x", F.explode("_targets").alias("_t")).where("_x <= _t.hi")
-    counted = (
-        probes.withColumn("_v", F.when(F.col("_x") < F.col("_t.lo"), F.lit(-math.inf)).otherwise(F.col("_x")))
-        .groupBy(*by, "_t.name", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_t.rank").alias("_rank"), F.first("_t.part").alias("_part"))
+    wanted = facts.select(*by, F.array(*[target(n, p) for n, p in probs.items()]).alias("_targets"))
+    probes = attach(data, wanted, by).select(*by, "_x", F.explode("_targets").alias("_t")).where("_x <= _t.hi")
+    width = F.col("_t.hi") - F.col("_t.lo")
+    at = F.least(F.floor((F.col("_x") - F.col("_t.lo")) / width * BINS), F.lit(BINS - 1))
+    # Infinite ends leave one bin.
+    bin_ = F.when(F.col("_x") < F.col("_t.lo"), -1).when((width > 0) & (width < float("inf")), at).otherwise(0)
+    probes = probes.select(*by, "_x", F.col("_t.name").alias("name"), "_t.rank", "_t.part", bin_.cast("int").alias("_bin"))
+    key = [*by, "name"]
+    counts = probes.groupBy(*key, "_bin").agg(
+        F.count(F.lit(1)).alias("_c"), F.first("rank").alias("rank"), F.first("part").alias("part")
+    )
+    upto = F.sum("_c").over(W.partitionBy(*key).orderBy("_bin"))
+    holding = (
+        counts.withColumn("_upto", upto)
+        .withColumn("_before", F.col("_upto") - F.col("_c"))
+        .where((F.col("_upto") > F.col("rank")) & (F.col("_before") <= F.col("rank") + 1))
+        .select(*key, "_bin", "_before", "rank", "part")
+    )
+    values = probes.select(*key, "_bin", "_x").join(holding, [*key, "_bin"]).groupBy(*key, "_bin", "_x").agg(
+        F.count(F.lit(1)).alias("_c"), F.first("_before").alias("_before"), F.first("rank").alias("rank"), F.first("part").alias("part")
     )
-    running = F.sum("_c").over(W.partitionBy(*by, "name").orderBy("_v"))
+    reached = F.col("_before") + F.sum("_c").over(W.partitionBy(*key, "_bin").orderBy("_x"))
     found = (
-        counted.withColumn("_upto", running)
-        .groupBy(*by, "name")
+        values.withColumn("_upto", reached)
+        .groupBy(*key)
         .agg(
-            F.min(F.when(F.col("_upto") > F.col("_rank"), F.col("_v"))).alias("_a"),
-            F.min(F.when(F.col("_upto") > F.col("_rank") + 1, F.col("_v"))).alias("_b"),
-            F.first("_part").alias("_part"),
+            F.min(F.when(F.col("_upto") > F.col("rank"), F.col("_x"))).alias("_a"),
+            F.min(F.when(F.col("_upto") > F.col("rank") + 1, F.col("_x"))).alias("_b"),
+            F.first("part").alias("part"),
         )
-        .withColumn("_q", _between(F.col("_a"), F.col("_b"), F.col("_part")))
+        .withColumn("_q", _between(F.col("_a"), F.col("_b"), F.col("part")))
     )
-    picks = [F.max(F.when(F.col("name") == n, F.col("_q"))).alias(n) for n in probs]
-    return grouped(found, by, *picks)
+    return grouped(found, by, *[F.max(F.when(F.col("name") == n, F.col("_q"))).alias(n) for n in probs])
+
+
+def _position(p: float, n: Column, method: str) -> tuple[Column, Column]:
+    """Rank from 0 and the part of the way to the next rank."""
+    exact = F.lit(float(p)) * (n - 1)
+    if method == "nearest":
+        return F.floor(exact + 0.5), F.lit(0.0)
+    return F.floor(exact), exact - F.floor(exact)
+
+
+def _between(a: Column, b: Column, part: Column) -> Column:
+    return F.when(part > 0, a + (b - a) * part).otherwise(a)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.calendar import arrival_order, bucket_label, period_end
 from ..functions.numeric import period_return
 from ..schema import attach, grouped, one_of, require, universe_keys
-from .panel import calendar, canonicalize, spine
+from .panel import canonicalize, spine, with_previous
 from .quality import infer_return_kind, infer_return_kind_by_series
 
 
@@ -49,8 +49,7 @@ def returns_on_grid(prices: DataFrame, kind: str = "log") -> DataFrame:
     """
     require(prices, "date", "ticker", "price")
     by = universe_keys(prices)
-    order = W.partitionBy(*by).orderBy("date")
-    days = calendar(prices).select(*by, "date", F.lag("date").over(order).alias("_prev_date"))
+    days = with_previous(prices).select(*by, "date", "_prev_date")
     now = prices.select(*by, "date", "ticker", "price").join(days, [*by, "date"])
     earlier = prices.select(*by, F.col("date").alias("_prev_date"), "ticker", F.col("price").alias("_before"))
     pairs = now.join(earlier, [*by, "_prev_date", "ticker"])

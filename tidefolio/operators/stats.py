@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import clip
 from ..schema import attach, grouped, require, universe_keys
-from .panel import calendar, date_totals, with_halo
+from .panel import calendar, date_totals, running, with_halo
 from .quantiles import exact_quantiles
 
 ROLL_CHUNK = 4096  # positions of one series per window partition
@@ -172,6 +172,6 @@ def loss_histogram(losses: DataFrame, bins: int = 60, *, value: str = "loss", by
 def drawdown(equity: DataFrame, *, value: str = "equity", by: list[str] | None = None) -> DataFrame:
     """Fall from the running peak; 0 while the peak is not positive. One row per run and date."""
     by = ["run_id"] if by is None else by
-    peak = F.max(value).over(W.partitionBy(*by).orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow))
+    peak = F.col("_peak")
     dd = F.when((peak > 0) & F.col(value).isNotNull(), F.col(value) / peak - 1.0).otherwise(F.lit(0.0))
-    return equity.withColumn("drawdown", dd)
+    return running(equity, by, F.col(value), "max", "_peak").withColumn("drawdown", dd).drop("_peak")

@@ -144,17 +144,35 @@ def backtest_inverse_variance(spark, d):
 
 WEIGHT_CHECK = sql(
     BASE,
-    "SELECT rb_date, (SELECT count(*) FROM names) AS n, 1.0 AS total, TRUE AS in_box FROM points",
-    dates=["rb_date"], floats=["total"], ints=["n"], plain=["in_box"],
+    "SELECT rb_date, (SELECT count(*) FROM names) AS n, 1.0 AS total, TRUE AS in_box, TRUE AS beats_equal FROM points",
+    dates=["rb_date"], floats=["total"], ints=["n"], plain=["in_box", "beats_equal"],
 )
 
 
+GAMMA = 0.1
+
+
 def _solver_weights(spark, d, method, w_max=0.3):
-    weights = B.rebalance_weights(
-        weekly(spark, d), lookback=LOOKBACK, allocator=B.solver_allocator(method, gamma=0.1, w_max=w_max)
+    """Weights per rebalance, and whether they beat equal ones: a lower variance over the window for the methods that
+    spread risk, weights that use the trade-off at all for the others (weeks without a price leave the solver other
+    moments than the window's own). Equal weights pass neither."""
+    returns = weekly(spark, d)
+    weights = B.rebalance_weights(returns, lookback=LOOKBACK, allocator=B.solver_allocator(method, gamma=GAMMA, w_max=w_max))
+    weights = hand_off(weights, "weights")
+    series = (
+        B.lookback_windows(returns, freq="1mo", lookback=LOOKBACK)
+        .join(returns.select("date", "ticker", "ret"), "date")
+        .join(weights, ["rb_date", "ticker"])
+        .groupBy("rb_date", "date")
+        .agg(F.sum(F.col("weight") * F.col("ret")).alias("_p"), F.avg("ret").alias("_e"))
     )
+    if method in ("risk_parity", "hrp"):
+        checks = series.groupBy("rb_date").agg((F.var_samp("_p") < F.var_samp("_e") * (1 - 1e-9)).alias("beats_equal"))
+    else:
+        apart = F.max(weights["weight"]) - F.min(weights["weight"])
+        checks = weights.groupBy("rb_date").agg((apart > 1e-6).alias("beats_equal"))
     return tidy(
-        weights.groupBy("rb_date").agg(
+        weights.join(checks, "rb_date").groupBy("rb_date", "beats_equal").agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("weight").alias("total"),
             ((F.min("weight") >= -1e-9) & (F.max("weight") <= w_max + 1e-9)).alias("in_box"),
@@ -196,7 +214,7 @@ def backtest_hrp(spark, d):
 
     equity = _run(spark, d, B.solver_allocator("hrp")).equity
     before = F.coalesce(F.lag("equity").over(W.orderBy("date")), F.lit(1.0))
-    step = F.abs(F.col("equity") - before * (1.0 + F.col("port_ret") - F.col("cost")))
+    step = F.abs(F.col("equity") / (before * (1.0 + F.col("port_ret") - F.col("cost"))) - 1.0)
     return equity.withColumn("_step", step).agg(
         F.count(F.lit(1)).alias("n_dates"),
         (F.max("_step") < 1e-9).alias("compounds"),

@@ -348,9 +348,9 @@ def markowitz_closed_form(spark, d):
 @query(
     "frontier_closed_form",
     sql(
-        [],
-        "SELECT 100 AS points, TRUE AS convex, TRUE AS rising_returns, TRUE AS above_minimum",
-        ints=["points"], plain=["convex", "rising_returns", "above_minimum"],
+        [*C.RISK[:4], C.MU],
+        "SELECT 100 AS points, TRUE AS convex, TRUE AS above_minimum, max(mu) AS highest FROM mu",
+        ints=["points"], floats=["highest"], plain=["convex", "above_minimum"],
     ),
 )
 def frontier_closed_form(spark, d):
@@ -363,13 +363,16 @@ def frontier_closed_form(spark, d):
     order = W.orderBy("point")
     var = F.pow("risk", 2)
     bend = F.lead(var).over(order) - 2 * var + F.lag(var).over(order)
-    rows = points.select("point", "ret", "risk", bend.alias("_bend"), (F.col("ret") - F.lag("ret").over(order)).alias("_up"))
+    rows = points.select("point", "ret", "risk", bend.alias("_bend"))
+    # The grid runs from a tenth to nine tenths of the way from the minimum-variance return to the best mean, so its two
+    # ends give that mean back.
+    first, last = F.min_by("ret", "point"), F.max_by("ret", "point")
     return tidy(
         rows.withColumn("_floor", floor).agg(
             F.count(F.lit(1)).alias("points"),
             F.bool_and(F.coalesce(F.col("_bend") > 0, F.lit(True))).alias("convex"),
-            F.bool_and(F.coalesce(F.col("_up") > 0, F.lit(True))).alias("rising_returns"),
             F.bool_and(F.col("risk") >= F.col("_floor") - 1e-12).alias("above_minimum"),
+            (last + (last - first) / 8.0).alias("highest"),
         )
     )
 
@@ -385,9 +388,9 @@ def frontier_range(spark, d):
 @query(
     "frontier_box",
     sql(
-        [],
-        "SELECT 40 AS points, TRUE AS above_closed_form, TRUE AS within_means",
-        ints=["points"], plain=["above_closed_form", "within_means"],
+        [*C.RISK[:4], C.MU],
+        """SELECT 40 AS points, TRUE AS above_closed_form, TRUE AS within_means, max(mu) AS highest_mean, min(mu) AS lowest_mean FROM mu""",
+        ints=["points"], floats=["highest_mean", "lowest_mean"], plain=["above_closed_form", "within_means"],
     ),
 )
 def frontier_box(spark, d):
@@ -410,6 +413,8 @@ def frontier_box(spark, d):
             F.count(F.lit(1)).alias("points"),
             F.bool_and(F.col("risk") >= best - 1e-9).alias("above_closed_form"),
             F.bool_and(r.between(F.col("k.lo") - 1e-9, F.col("k.hi") + 1e-9)).alias("within_means"),
+            F.max("k.hi").alias("highest_mean"),
+            F.max("k.lo").alias("lowest_mean"),
         )
     )
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.numeric import annualize as scale
 from ..operators import allocate, covariance as cov, mu as mus, panel, quality, returns as rets, stats
 from ..operators.portfolio import PID, benchmark_weights
-from ..operators.projection import safe_project
 from ..schema import attach, one_of, universe_keys
 from ..session import Store, lazily
 from ..sources.artifacts import with_fingerprint
@@ -78,6 +77,7 @@ class RiskModel(NamedTuple):
     sigma: DataFrame
     diagnostics: DataFrame
     fill_report: DataFrame
+    meta: DataFrame
 
 
 MU_METHODS = ("historical", "ema", "shrunk", "capm", "black-litterman")
@@ -109,7 +109,7 @@ def risk_model(
     market: str = "SPY",
     store: Store = lazily,
 ) -> RiskModel:
-    """Annual mu and Sigma with conditioning before and after ridge and stress.
+    """Annual mu and Sigma with conditioning before and after ridge and stress, and a row of settings with a fingerprint.
 
     CAPM and Black-Litterman means go with the sample covariance; 'pca' keeps ``n_factors`` of it.
     """
@@ -162,7 +162,13 @@ def risk_model(
     post = cov.spectrum_diagnostics(after).withColumnRenamed("condition", "condition_post")
     pre = cov.spectrum_diagnostics(before).select(*by, F.col("condition").alias("condition_pre"))
     diagnostics = attach(attach(post, pre, by), periods, by)
-    return RiskModel(mu, after, diagnostics, report)
+    settings = dict(
+        mu_method=mu_method, mu_span=mu_span, shrink_target=shrink_target, rf_annual=rf_annual, cov_method=cov_method,
+        ewma_lambda=ewma_lambda, n_factors=n_factors, fill=fill, ridge_eps=ridge_eps, stress=stress, psd=psd, market=market,
+    )
+    span = quality.dataset_stats(valid.withColumnRenamed("ret", "price"))
+    meta = span.select("*", *[F.lit(v).cast("string").alias(k) for k, v in settings.items()])
+    return RiskModel(mu, after, diagnostics, report, with_fingerprint(meta))
 
 
 def optimise_portfolios(
@@ -177,11 +183,15 @@ def optimise_portfolios(
     store: Store = lazily,
     **options,
 ) -> DataFrame:
-    """Weights per portfolio by any construction method, cleaned and projected once more for export."""
+    """Weights per portfolio by any construction method, with the solver's status.
+
+    The solvers answer inside box and sum to rounding, and infeasible problems get equal weights, so nothing is projected
+    again for export.
+    """
     sigma = store(cov.psd_clip(model.sigma, psd_eps), "sigma_psd")
     if bench is None:
         bench = benchmark_weights(model.mu)
     weights = allocate.solve(
         portfolios, sigma, model.mu, method=method, bench=bench, ref=bench, w_min=w_min, w_max=w_max, **options
     )
-    return safe_project(weights.drop("status"), w_min, w_max, group=(PID,))
+    return weights.drop("residual")
