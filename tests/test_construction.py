@@ -259,6 +259,32 @@ def test_clusters_keep_blocks_together(linkage):
         S.cluster_order(d, "median")
 
 
+def test_leaf_order_has_the_least_sum_of_neighbour_distances():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 7):
+        points = rng.normal(size=(n, 3))
+        d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+        plain, best = S.cluster_order(d, "average", ordered=False), S.cluster_order(d, "average")
+        assert sorted(best) == list(range(n))
+        length = lambda order: sum(d[a, b] for a, b in zip(order, order[1:]))
+
+        def turned(tree):  # every way of turning the clusters
+            if isinstance(tree, int):
+                return [[tree]]
+            a, b = map(turned, tree)
+            return [x + y for x in a for y in b] + [y + x for x in a for y in b]
+
+        trees = {k: (k, [k]) for k in range(n)}
+        while len(trees) > 1:
+            keys = sorted(trees)
+            mean = lambda a, b: np.mean([d[i, j] for i in trees[a][1] for j in trees[b][1]])
+            a, b = min(((a, b) for a in keys for b in keys if a < b), key=lambda p: mean(*p))
+            other = trees.pop(b)
+            trees[a] = ((trees[a][0], other[0]), trees[a][1] + other[1])
+        assert np.isclose(length(best), min(map(length, turned(trees[0][0]))))
+        assert length(best) <= length(plain) + 1e-12
+
+
 def test_closed_forms(spark, risk):
     s, m, sigma, mu = risk
     inv = np.linalg.inv(s)

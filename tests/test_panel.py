@@ -139,7 +139,7 @@ def test_onehot_ignores_case_and_unknown_names(spark):
 
 
 def test_price_validation_sees_backward_steps_across_chunks(spark, monkeypatch):
-    monkeypatch.setattr(quality, "SEQ_CHUNK", 2)
+    monkeypatch.setattr(quality, "SEQ_CHUNKS", 4)
     order = [3, 4, 2, 5, 6, 1]
     rows = [(day(f"2024-01-0{k}"), "A", float(k), s) for s, k in enumerate(order)]
     rows += [(day("2024-01-01"), "B", 0.0, 6), (day("2024-01-01"), "B", 0.0, 7)]

@@ -126,7 +126,8 @@ def mu_equilibrium(
     fill: str = "drop",
     store: Store = lazily,
 ) -> DataFrame:
-    """Equilibrium returns delta * Sigma * w; weights are normalised (a non-positive sum is an error) or equal."""
+    """Equilibrium returns delta * Sigma * w; weights are normalised over the tickers of Sigma (a non-positive sum is an
+    error) or equal."""
     by = universe_keys(returns)
     if sigma is None:
         sigma = covariance(returns, method=cov_method, annualize=False, fill=fill, store=store)
@@ -135,6 +136,8 @@ def mu_equilibrium(
     else:
         require(market_weights, "ticker", "weight")
         keys = universe_keys(market_weights)
+        names = sigma.where(F.col("i") == F.col("j")).select(*keys, F.col("i").alias("ticker")).distinct()
+        market_weights = market_weights.join(names, [*keys, "ticker"], "left_semi")
         total = grouped(market_weights, keys, F.sum("weight").alias("_total"))
         share = F.when(F.col("_total") > 0, F.col("weight") / F.col("_total")).otherwise(
             F.raise_error(F.lit("market weights must have a positive sum")).cast("double")
@@ -211,10 +214,12 @@ def bl_posterior(
     scalar_conf: float | None = None,
     use_conf: bool = True,
     per_year: float = 1.0,
+    portfolios: DataFrame | None = None,
     store: Store = lazily,
 ) -> DataFrame:
     """Posterior means per portfolio: mu + tau Sigma P' (P tau Sigma P' + Omega)^-1 (Q - P mu).
 
+    Without ``portfolios`` there is a row for each portfolio with views; those listed there without any keep the prior.
     ``mu`` and ``sigma`` are annual; views are per period. All products are joins and sums; only the small system of
     one portfolio's views is solved inside a group.
     """
@@ -277,6 +282,11 @@ def bl_posterior(
         .groupBy("portfolio_id", "ticker")
         .agg(F.sum(F.col("_m") * F.col("_y")).alias("_move"))
     )
+    if portfolios is not None:
+        silent = portfolios.select("portfolio_id").distinct().join(picks.select("portfolio_id"), "portfolio_id", "left_anti")
+        names = prior.agg(F.collect_list("ticker").alias("_names"))  # one universe's tickers
+        kept = attach(silent, names, []).select("portfolio_id", F.explode("_names").alias("ticker"), F.lit(0.0).alias("_move"))
+        moves = moves.unionByName(kept)
     return moves.join(prior, "ticker").select(
         "portfolio_id",
         "ticker",

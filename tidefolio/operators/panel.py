@@ -274,11 +274,3 @@ def onehot_exposure(universe: DataFrame, meta: DataFrame, cols: tuple[str, ...]
 def apply_universe(df: DataFrame, coverage: DataFrame, min_obs: int = 2, count_col: str = "n_valid") -> DataFrame:
     """Keep the tickers the coverage table shows with at least ``min_obs`` values."""
     return df.join(coverage.where(F.col(count_col) >= min_obs).select("ticker"), "ticker", "left_semi")
-
-
-def dropped_tickers(coverage: DataFrame, min_obs: int = 2, count_col: str = "n_valid") -> DataFrame:
-    return coverage.where(F.col(count_col) < min_obs).select("ticker")
-
-
-def has_min_coverage(n_obs: Column, min_obs: int = 2) -> Column:
-    return n_obs >= min_obs

@@ -9,14 +9,15 @@ from ..functions.numeric import per_year
 from ..schema import attach, grouped, require, universe_keys
 from .panel import date_totals, with_previous
 
-SEQ_CHUNK = 1_000_000  # ingest positions per chunk when following a series in ingest order
+SEQ_CHUNKS = 64  # a power of two: chunks when following a series in ingest order
 
 
 def price_validation(prices: DataFrame) -> DataFrame:
     """One row: exact duplicates, backward time steps in ingest order (``seq``), and prices at or below zero.
 
     A series is followed chunk by chunk of ``seq``; chunk borders are compared through one summary row per chunk,
-    so a ticker with most of the rows is still spread over many tasks.
+    so a ticker with most of the rows is still spread over many tasks. Chunks end at approximate quantiles of ``seq``,
+    whatever its scale, so they hold about equally many rows and are ``SEQ_CHUNKS`` at most.
     """
     require(prices, "date", "ticker", "price", "seq")
     copies = prices.groupBy("date", "ticker", "price").agg(F.count(F.lit(1)).alias("_copies"))
@@ -25,7 +26,15 @@ def price_validation(prices: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("n_duplicates"),
         F.coalesce(F.sum(F.when(F.col("price") <= 0, F.col("_copies"))), F.lit(0)).alias("n_nonpositive"),
     )
-    chunked = prices.select("ticker", "date", "seq", F.floor(F.col("seq") / SEQ_CHUNK).alias("_chunk"))
+    ends = prices.agg(
+        F.percentile_approx("seq", [k / SEQ_CHUNKS for k in range(1, SEQ_CHUNKS)], 100 * SEQ_CHUNKS).alias("_ends")
+    )
+    # The number of ends below a value, by halving the sorted list.
+    chunk, step = F.lit(0), SEQ_CHUNKS // 2
+    while step:
+        chunk = chunk + F.when(F.get("_ends", chunk + (step - 1)) < F.col("seq"), step).otherwise(0)
+        step //= 2
+    chunked = attach(prices.select("ticker", "date", "seq"), ends, []).select("ticker", "date", "seq", chunk.alias("_chunk"))
     inside = W.partitionBy("ticker", "_chunk").orderBy("seq")
     steps = chunked.withColumn("_back", (F.col("date") < F.lag("date").over(inside)).cast("bigint"))
     borders = chunked.groupBy("ticker", "_chunk").agg(

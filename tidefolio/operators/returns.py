@@ -107,8 +107,3 @@ def to_simple(returns: DataFrame, kind: str = "log") -> DataFrame:
     """Log returns as simple returns; simple returns pass through."""
     one_of(kind, ("log", "simple"), "kind")
     return returns if kind == "simple" else returns.withColumn("ret", F.exp("ret") - 1.0)
-
-
-def total_return(returns: DataFrame, kind: str = "simple") -> DataFrame:
-    by = universe_keys(returns)
-    return grouped(returns, [*by, "ticker"], *_compound(kind))

@@ -147,25 +147,23 @@ def loss_var_es(
 
 
 def loss_histogram(losses: DataFrame, bins: int = 60, *, value: str = "loss", by: list[str] | None = None) -> DataFrame:
-    """Equal-width bins between the smallest and the largest loss, with the share of observations in each."""
+    """Equal-width bins between the smallest and the largest loss, empty ones too, with the share of observations in each."""
     by = by or []
     x = F.col(value)
     clean = losses.where(x.isNotNull())
     span = grouped(clean, by, F.min(x).alias("_min"), F.max(x).alias("_max"), F.count(x).alias("_n"))
     width = (F.col("_max") - F.col("_min")) / bins
     bin_ = F.least(F.coalesce(F.floor(F.try_divide(x - F.col("_min"), width)), F.lit(0)), F.lit(bins - 1))
-    counts = (
-        attach(clean, span, by)
-        .groupBy(*by, bin_.cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"), F.first("_min").alias("_min"), F.first("_max").alias("_max"), F.first("_n").alias("_n"))
-    )
-    return counts.select(
+    counts = attach(clean, span, by).groupBy(*by, bin_.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    grid = span.where(F.col("_n") > 0).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    n = F.coalesce("n", F.lit(0))
+    return grid.join(counts, [*by, "bin"], "left").select(
         *by,
         "bin",
         (F.col("_min") + F.col("bin") * width).alias("left_edge"),
         (F.col("_min") + (F.col("bin") + 1) * width).alias("right_edge"),
-        "n",
-        (F.col("n") / F.col("_n")).alias("probability"),
+        n.alias("n"),
+        (n / F.col("_n")).alias("probability"),
     )
 
 

@@ -142,8 +142,9 @@ def loss_var_es_by_group(spark, d):
     "loss_histogram",
     sql(
         [LOSSES, "s AS (SELECT min(loss) AS lo, max(loss) AS hi, count(loss) AS total, (max(loss) - min(loss)) / 60 AS w FROM losses)"],
-        """SELECT bin, lo + bin * w AS left_edge, lo + (bin + 1) * w AS right_edge, n, n / total AS probability FROM s, (
-             SELECT least(floor((loss - lo) / w), 59) AS bin, count(*) AS n FROM losses, s GROUP BY 1)""",
+        """SELECT bin, lo + bin * w AS left_edge, lo + (bin + 1) * w AS right_edge, coalesce(n, 0) AS n, coalesce(n, 0) / total AS probability
+           FROM (SELECT unnest(range(60)) AS bin), s LEFT JOIN (
+             SELECT least(floor((loss - lo) / w), 59) AS b, count(*) AS n FROM losses, s GROUP BY 1) ON b = bin""",
         floats=["left_edge", "right_edge", "probability"], ints=["bin", "n"],
     ),
 )
