@@ -285,6 +285,39 @@ def test_leaf_order_has_the_least_sum_of_neighbour_distances():
         assert length(best) <= length(plain) + 1e-12
 
 
+def cvar(scenarios, w, alpha):
+    loss = np.sort(-(scenarios @ w))[::-1]
+    tail = (1 - alpha) * len(loss)
+    whole = int(tail + 1e-9)
+    return (loss[:whole].sum() + (tail - whole) * (loss[whole] if whole < len(loss) else 0.0)) / tail
+
+
+@pytest.mark.parametrize("lam", [0.0, 0.002, 1.0])
+def test_least_cvar_cannot_be_improved(lam):
+    rng = np.random.default_rng(6)
+    for t, n in ((40, 5), (83, 12)):
+        r, ref = rng.normal(0.002, 0.05, (t, n)), rng.dirichlet(np.ones(n))
+        w, gap = S.least_cvar(r, 0.9, lam, ref, 0.0, 0.4)
+        assert gap <= S.GAP and abs(w.sum() - 1) < 1e-12 and w.min() >= 0 and w.max() <= 0.4 + 1e-12
+        loss = lambda v: cvar(r, v, 0.9) + lam * np.abs(v - ref).sum()
+        for _ in range(300):  # convex: no direction into the set goes down
+            other = S.project_rows(rng.dirichlet(np.ones(n))[None, :], np.zeros((1, 1)), np.full((1, 1), 0.4))[0]
+            assert loss(0.999 * w + 0.001 * other) >= loss(w) - 1e-8
+
+
+def test_cvar_minimise_of_many_problems(spark):
+    x = np.random.default_rng(8).normal(0.001, 0.02, size=(60, 4))
+    problems = spark.createDataFrame([(f"p{k}", 0.3 + 0.1 * (k % 3)) for k in range(20)] + [("none", 0.1)], "portfolio_id string, w_max double")
+    out = A.cvar_minimise(problems, returns(spark, x), alpha=0.9, part=4)
+    got, status = rows_of(out), {r.portfolio_id: r.status for r in out.select("portfolio_id", "status").distinct().collect()}
+    assert status.pop("none") == "infeasible" and set(status.values()) == {"ok"} and np.allclose(got["none"], 0.25)
+    for k in range(20):
+        want, _ = S.least_cvar(x, 0.9, 0.0, np.full(4, 0.25), 0.0, 0.3 + 0.1 * (k % 3))
+        assert np.isclose(cvar(x, got[f"p{k}"], 0.9), cvar(x, want, 0.9), atol=1e-8)
+    with pytest.raises(ValueError):
+        A.cvar_minimise(problems, returns(spark, x), gamma=1.0)
+
+
 def test_closed_forms(spark, risk):
     s, m, sigma, mu = risk
     inv = np.linalg.inv(s)

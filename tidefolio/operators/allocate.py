@@ -19,7 +19,7 @@ from .covariance import pack_matrix, unpack
 from .portfolio import PID, active_weights, portfolio_returns, portfolio_stats
 from .projection import project_box_simplex
 from .quantiles import exact_quantiles
-from .solvers import Market, inverse_products, optimise
+from .solvers import GAP, Market, feasible_rows, inverse_products, least_cvar, optimise
 
 METHODS = ("mv_l2", "mv_l1", "min_te", "mean_te", "te_active", "risk_parity", "hrp", "group_caps")
 PART = 128  # problems per part
@@ -349,6 +349,73 @@ def frontier_box(
     )
 
 
+# --- tail risk ----------------------------------------------------------------------------------------------------
+
+def cvar_minimise(
+    problems: DataFrame,
+    returns: DataFrame,
+    *,
+    alpha: float = 0.95,
+    ref: DataFrame | None = None,
+    part: int = PART // 8,
+    **defaults: float,
+) -> DataFrame:
+    """Weights (ticker, weight, status, residual) with the least CVaR of the loss plus lam * L1 turnover, per problem row.
+
+    ``problems`` holds portfolio_id and any of lam, w_min, w_max; ``ref`` is a weight table, per portfolio or common, equal
+    weights by default. Scenarios are the dates of ``returns`` (a missing return earns 0); the universe's scenarios travel
+    once per part of problems. ``residual`` is the relative gap to the dual bound.
+    """
+    require(problems, PID)
+    by = universe_keys(returns)
+    settings = {"lam": 0.0, "w_min": 0.0, "w_max": 1.0, **defaults}
+    if set(settings) != {"lam", "w_min", "w_max"}:
+        raise ValueError(f"unknown parameters: {sorted(set(settings) - {'lam', 'w_min', 'w_max'})}")
+    # One row per universe: dates x tickers numbers in a task, as any dense program needs.
+    cell = F.struct(F.col("date").cast("string").alias("date"), "ticker", "ret")
+    market = grouped(returns, by, F.collect_list(cell).alias("cells"))
+    if ref is not None and PID not in ref.columns:
+        market = _with_lists(market, ref, by, "ref", "ticker", "weight")
+    tasks = problems
+    if ref is not None and PID in ref.columns:
+        tasks = tasks.join(_listed(ref, [PID], "ref", "ticker", "weight"), PID, "left")
+    keep = problems.columns
+    counts = grouped(problems, by, F.greatest(F.ceil(F.count(F.lit(1)) / part), F.lit(1)).cast("int").alias("_parts"))
+    tasks = attach(tasks, counts, by).withColumn("_part", F.pmod(F.xxhash64(*keep), F.col("_parts").cast("bigint")).cast("int"))
+    market = attach(market, counts, by).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    market = market.select(*[F.col(c).alias(c) for c in market.columns if c != "_parts"])
+    keys, n = [*by, "_part"], busy_partitions(problems)
+    left = tasks.drop("_parts").repartition(n, *keys).groupBy(*keys)
+    right = market.repartition(n, *keys).groupBy(*keys)
+    fields = {"ticker": str, "weight": float, "status": str, "residual": float}
+
+    def run(left_pdf: pd.DataFrame, right_pdf: pd.DataFrame) -> pd.DataFrame:
+        if left_pdf.empty or right_pdf.empty:
+            return left_pdf[keep].iloc[:0].assign(**{c: pd.Series(dtype=t) for c, t in fields.items()})
+        shared = right_pdf.iloc[0].to_dict()
+        cells = pd.DataFrame.from_records([tuple(x.values()) for x in shared["cells"]], columns=["date", "ticker", "ret"])
+        table = cells.pivot(index="date", columns="ticker", values="ret").sort_index(axis=1).astype(float).fillna(0.0)
+        names, scenarios = table.columns.to_numpy(dtype=object), table.to_numpy()
+        size = len(names)
+        out = []
+        for row in left_pdf.to_dict("records"):
+            lam, lo, hi = (float(row.get(k, settings[k])) for k in ("lam", "w_min", "w_max"))
+            listed = row if "ref_ticker" in row else shared
+            own = np.full(size, 1.0 / size)
+            if listed.get("ref_ticker") is not None:
+                own = _spread(names, listed["ref_ticker"], listed["ref_weight"])
+            weights, gap, status = np.full(size, 1.0 / size), np.nan, "infeasible"
+            if feasible_rows(size, np.array([[lo]]), np.array([[hi]]))[0]:
+                weights, gap = least_cvar(scenarios, alpha, lam, own, lo, hi)
+                status = "ok" if gap <= GAP else "not_converged"
+            block = pd.DataFrame({c: [row[c]] * size for c in keep})
+            out.append(block.assign(ticker=names, weight=weights, status=status, residual=gap))
+        return pd.concat(out, ignore_index=True)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in problems.schema.fields)
+    return left.cogroup(right).applyInPandas(run, f"{schema}, ticker string, weight double, status string, residual double")
+
+
 # --- choosing by tail risk ----------------------------------------------------------------------------------------
 
 def cvar_scores(

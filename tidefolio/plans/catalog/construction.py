@@ -7,7 +7,7 @@ step does not move the weights.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ...operators import allocate as A, covariance as G, mu as M, panel, portfolio as P, projection as J
 from ...session import hand_off
@@ -176,8 +176,6 @@ def min_te(spark, d):
 )
 def te_frontier_sweep(spark, d):
     """25 trade-offs per segment: tracking error and active return both rise with gamma."""
-    from pyspark.sql import Window as W
-
     _, mu, sigma = risk_inputs(spark, d)
     segments = D.segment_holdings(spark, d).select("portfolio_id").distinct()
     bench = hand_off(D.segment_holdings(spark, d), "bench")
@@ -355,8 +353,6 @@ def markowitz_closed_form(spark, d):
 )
 def frontier_closed_form(spark, d):
     """The squared risks of the frontier form a convex parabola above the minimum-variance point."""
-    from pyspark.sql import Window as W
-
     mu, sigma, vectors = _markowitz_parts(spark, d)
     points = A.frontier_closed_form(mu, sigma, npts=100, vectors=vectors)
     floor = vectors.agg(F.sqrt(1.0 / F.sum("inv_one"))).scalar()
@@ -449,6 +445,67 @@ def cvar_select(spark, d):
     )
 
 
+@query(
+    "cvar_minimise",
+    sql(
+        [C.SEG],
+        """SELECT portfolio_id, (SELECT count(DISTINCT p_brand) FROM part JOIN lineitem ON l_partkey = p_partkey) AS n,
+                  1.0 AS total, TRUE AS in_box, TRUE AS no_descent FROM seg GROUP BY 1""",
+        ints=["n"], floats=["total"], plain=["portfolio_id", "in_box", "no_descent"],
+    ),
+)
+def cvar_minimise(spark, d):
+    """Per market segment, least tail loss with turnover costs against the holdings.
+
+    The objective is convex: at its minimum a small step towards any admissible weights cannot lower it. Tried are steps
+    towards equal weights, towards the benchmark and towards the holdings, the latter two cut to the box.
+    """
+    alpha, lam, cap, step = 0.9, 0.01, 0.2, 0.02
+    returns = brand_panel(spark, d)
+    held = hand_off(D.segment_holdings(spark, d), "held")
+    problems = held.select("portfolio_id").distinct()
+    w = hand_off(A.cvar_minimise(problems, returns, alpha=alpha, ref=held, lam=lam, w_max=cap), "weights")
+    own = w.select("portfolio_id", "ticker", "weight")
+    goals = {
+        "equal": own.withColumn("goal", 1.0 / F.count(F.lit(1)).over(W.partitionBy("portfolio_id"))),
+        "bench": own.join(benchmark(spark, d).select("ticker", F.col("weight").alias("goal")), "ticker", "left"),
+        "held": own.join(held.select("portfolio_id", "ticker", F.col("weight").alias("goal")), ["portfolio_id", "ticker"], "left"),
+    }
+    tried = own.select("portfolio_id", F.lit("own").alias("way"), "ticker", "weight")
+    for way, rows in goals.items():
+        raw = rows.select("portfolio_id", "ticker", F.col("weight").alias("_w"), F.coalesce("goal", F.lit(0.0)).alias("weight"))
+        near = J.project_box_simplex(raw, 0.0, cap)
+        moved = near.select("portfolio_id", F.lit(way).alias("way"), "ticker", ((1 - step) * F.col("_w") + step * F.col("weight")).alias("weight"))
+        tried = tried.unionByName(moved)
+    keyed = hand_off(tried.withColumn("portfolio_id", F.concat_ws("@", "portfolio_id", "way")).drop("way"), "tried")
+    losses = hand_off(P.portfolio_returns(keyed, returns).select("portfolio_id", (-F.col("ret")).alias("loss")), "losses")
+    # The least over v of v + mean excess / (1 - alpha) is reached at one of the losses, the one of that rank.
+    ranked = losses.withColumn("_rank", F.row_number().over(W.partitionBy("portfolio_id").orderBy(F.desc("loss")))).withColumn(
+        "_tail", (1 - alpha) * F.count(F.lit(1)).over(W.partitionBy("portfolio_id"))
+    )
+    at = F.max(F.when(F.col("_rank") == F.ceil(F.col("_tail") - 1e-9), F.col("loss")))
+    facts = ranked.groupBy("portfolio_id", "_tail").agg(
+        at.alias("_v"), F.sum(F.when(F.col("_rank") <= F.floor(F.col("_tail") + 1e-9), F.col("loss")).otherwise(0.0)).alias("_sum")
+    )
+    cvar = (F.col("_sum") + (F.col("_tail") - F.floor(F.col("_tail") + 1e-9)) * F.col("_v")) / F.col("_tail")
+    origin = F.substring_index("portfolio_id", "@", 1)
+    moved = P.active_weights(
+        keyed, keyed.select("portfolio_id").distinct().withColumn("_o", origin)
+        .join(held.select(F.col("portfolio_id").alias("_o"), "ticker", "weight"), "_o").select("portfolio_id", "ticker", "weight"),
+    ).groupBy("portfolio_id").agg((lam * F.sum(F.abs("active"))).alias("_cost"))
+    scores = facts.join(moved, "portfolio_id").select(
+        origin.alias("_o"), F.substring_index("portfolio_id", "@", -1).alias("way"), (cvar + F.col("_cost")).alias("score")
+    )
+    best = scores.groupBy(F.col("_o").alias("portfolio_id")).agg(
+        (F.max(F.when(F.col("way") == "own", F.col("score"))) <= F.min(F.when(F.col("way") != "own", F.col("score"))) + 1e-8).alias("no_descent")
+    )
+    sums = own.groupBy("portfolio_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"),
+        ((F.min("weight") >= -1e-9) & (F.max("weight") <= cap + 1e-9)).alias("in_box"),
+    )
+    return tidy(sums.join(best, "portfolio_id").select("portfolio_id", "n", "total", "in_box", "no_descent"))
+
+
 # --- end-to-end flows ---------------------------------------------------------------------------------------------
 
 WINSOR = """wq AS (
