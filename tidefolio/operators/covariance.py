@@ -226,15 +226,22 @@ def effective_rank(sigma: DataFrame) -> DataFrame:
 
 # --- dense problems, one per universe -----------------------------------------------------------------------------
 
+MOST_NAMES = 8192  # half a gigabyte of cells
+
+
 def pack_matrix(sigma: DataFrame) -> DataFrame:
-    """One row per universe: sorted ``names`` and the row-major ``cells`` of its matrix."""
+    """One row per universe: sorted ``names`` and the row-major ``cells`` of its matrix.
+
+    First one array per matrix row, then one of those: no task holds names for every cell. More than ``MOST_NAMES`` names
+    are an error, since their cells would not fit into a row.
+    """
     by = universe_keys(sigma)
-    return grouped(
-        sigma,
-        by,
-        F.array_sort(F.collect_set("i")).alias("names"),
-        F.array_sort(F.collect_list(F.struct("i", "j", "value"))).alias("_m"),
-    ).select(*by, "names", F.transform("_m", lambda c: c["value"]).alias("cells"))
+    lines = sigma.groupBy(*by, "i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("_l"))
+    lines = lines.select(*by, "i", F.col("_l")["value"].alias("_row"))
+    whole = grouped(lines, by, F.array_sort(F.collect_list(F.struct("i", "_row"))).alias("_m"))
+    too_many = F.raise_error(F.lit(f"a universe has more than {MOST_NAMES} tickers")).cast("array<double>")
+    cells = F.when(F.size("_m") <= MOST_NAMES, F.flatten(F.col("_m")["_row"])).otherwise(too_many)
+    return whole.select(*by, F.col("_m")["i"].alias("names"), cells.alias("cells"))
 
 
 def unpack(cells, names) -> np.ndarray:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import finite
 from ..schema import attach, grouped, require
-from ..session import Store, lazily
+from ..session import Store, busy_partitions, lazily
+from .covariance import pack_matrix, unpack
 
 PID = "portfolio_id"
 GAP = 1e-12
@@ -22,30 +27,94 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
     )
 
 
+BLOCK = 512  # portfolios multiplied with the matrix at a time
+
+
+def _by_blocks(weights: DataFrame, sigma: DataFrame, value: str, make: Callable, schema: str) -> DataFrame:
+    """Rows that ``make(ids, names, W, held, S)`` gives for each block of portfolios: their dense weights over the universe,
+    which of them are held, and the covariance matrix.
+
+    Portfolios travel as lists of what they hold and the packed matrix once per block, so nothing is made per pair of
+    tickers.
+    """
+    lists = weights.groupBy(PID).agg(F.collect_list("ticker").alias("tickers"), F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).alias("values"))
+    blocks = weights.agg(F.greatest(F.ceil(F.approx_count_distinct(PID) / BLOCK), F.lit(1)).cast("long").alias("_blocks"))
+    tasks = attach(lists, blocks, []).withColumn("_block", F.pmod(F.xxhash64(PID), F.col("_blocks"))).drop("_blocks")
+    market = attach(pack_matrix(sigma), blocks, []).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    )
+    market = market.select(F.col("_block").alias("_block"), "names", "cells")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return make(np.array([], dtype=object), np.array([], dtype=object), np.zeros((0, 0)), np.zeros((0, 0), bool), np.zeros((0, 0)))
+        names = np.asarray(right["names"].iloc[0], dtype=object)
+        matrix = unpack(right["cells"].iloc[0], names)
+        sizes = left["tickers"].map(len).to_numpy()
+        tickers = np.concatenate(left["tickers"].to_list()) if sizes.sum() else np.array([], dtype=object)
+        values = np.concatenate(left["values"].to_list()).astype(float) if sizes.sum() else np.zeros(0)
+        at = np.minimum(np.searchsorted(names, tickers), len(names) - 1)
+        known = names[at] == tickers
+        rows = np.repeat(np.arange(len(left)), sizes)[known]
+        dense, held = np.zeros((len(left), len(names))), np.zeros((len(left), len(names)), dtype=bool)
+        np.add.at(dense, (rows, at[known]), values[known])
+        held[rows, at[known]] = True
+        return make(left[PID].to_numpy(dtype=object), names, dense, held, matrix)
+
+    n = busy_partitions(weights)
+    left, right = tasks.repartition(n, "_block").groupBy("_block"), market.repartition(n, "_block").groupBy("_block")
+    return left.cogroup(right).applyInPandas(run, schema)
+
+
+def _variances(weights: DataFrame, sigma: DataFrame, value: str = "weight") -> DataFrame:
+    """(portfolio_id, _var) of portfolios with at least one priced ticker."""
+
+    def make(ids, names, w, held, s) -> pd.DataFrame:
+        some = held.any(axis=1)
+        return pd.DataFrame({PID: ids[some], "_var": np.einsum("ij,ij->i", w[some] @ s, w[some]) if len(ids) else []})
+
+    return _by_blocks(weights, sigma, value, make, "portfolio_id string, _var double")
+
+
 def sigma_times(weights: DataFrame, sigma: DataFrame, value: str = "weight") -> DataFrame:
     """(Sigma w) as ``_sw`` per portfolio and ticker of the universe, next to the ticker's own weight ``_w``.
 
-    Weights are brought together by portfolio first: the products of a portfolio are then summed where they arise,
-    and what follows per portfolio needs no further shuffle. The own weight comes from the diagonal row, so nothing
-    is joined back. Tickers without covariance carry no risk and drop out; ``unpriced_share`` says how much that is.
+    Products are made for blocks of portfolios at a time. Tickers without covariance carry no risk and drop out;
+    ``unpriced_share`` says how much that is.
     """
-    vector = weights.select(PID, F.col("ticker").alias("j"), F.col(value).alias("_wj")).repartition(PID)
-    own = F.sum(F.when(F.col("i") == F.col("j"), F.col("_wj")))
-    return (
-        vector.join(sigma.select("i", "j", "value"), "j")
-        .groupBy(PID, F.col("i").alias("ticker"))
-        .agg(F.sum(F.col("value") * F.col("_wj")).alias("_sw"), own.alias("_w"))
-    )
+
+    def make(ids, names, w, held, s) -> pd.DataFrame:
+        some = held.any(axis=1)
+        ids, w, held = ids[some], w[some], held[some]
+        own = np.where(held, w, np.nan)
+        return pd.DataFrame(
+            {PID: np.repeat(ids, len(names)), "ticker": np.tile(names, len(ids)), "_sw": (w @ s).ravel() if len(ids) else [], "_w": own.ravel()}
+        )
+
+    out = _by_blocks(weights, sigma, value, make, "portfolio_id string, ticker string, _sw double, _w double")
+    return out.withColumn("_w", F.nanvl("_w", F.lit(None).cast("double")))
 
 
 def unpriced_share(weights: DataFrame, sigma: DataFrame, value: str = "weight") -> DataFrame:
     """Per portfolio, the part of its absolute weights in tickers without a covariance, which carry no risk here."""
+    return _priced_sums(weights, sigma, None, "_gain", value).drop("_gain")
+
+
+def _priced_sums(weights: DataFrame, sigma: DataFrame, mu: DataFrame | None, gain: str, value: str = "weight") -> DataFrame:
+    """Per portfolio: the sum of weight times mean over its priced tickers, and the unpriced share."""
     priced = sigma.where(F.col("i") == F.col("j")).select(F.col("i").alias("ticker"), F.lit(True).alias("_priced"))
-    size = F.abs(F.coalesce(F.col(value), F.lit(0.0)))
-    without = F.sum(F.when(F.col("_priced").isNull(), size).otherwise(0.0))
+    if mu is not None:
+        priced = priced.join(mu.select("ticker", "mu"), "ticker", "left")
+    else:
+        priced = priced.withColumn("mu", F.lit(0.0))
+    w = F.coalesce(F.col(value), F.lit(0.0))
+    without = F.sum(F.when(F.col("_priced").isNull(), F.abs(w)).otherwise(0.0))
     return (
-        weights.join(priced, "ticker", "left").groupBy(PID)
-        .agg(F.coalesce(F.try_divide(without, F.sum(size)), F.lit(0.0)).alias("unpriced"))
+        weights.select(PID, "ticker", F.col(value)).join(priced, "ticker", "left").groupBy(PID)
+        .agg(
+            F.sum(w * F.coalesce("mu", F.lit(0.0))).alias(gain),
+            F.coalesce(F.try_divide(without, F.sum(F.abs(w))), F.lit(0.0)).alias("unpriced"),
+        )
     )
 
 
@@ -77,18 +146,11 @@ def portfolio_stats(weights: DataFrame, mu: DataFrame, sigma: DataFrame, rf: flo
 
     A portfolio without any priced ticker is kept, with NULL for what needs a covariance.
     """
-    w = F.coalesce("_w", F.lit(0.0))
-    rows = (
-        sigma_times(weights, sigma)
-        .join(mu.select("ticker", "mu"), "ticker", "left")
-        .groupBy(PID)
-        .agg(
-            F.sum(w * F.coalesce("mu", F.lit(0.0))).alias("mu_p"),
-            F.sqrt(F.greatest(F.sum(w * F.col("_sw")), F.lit(0.0))).alias("sigma_p"),
-        )
-    )
-    rows = rows.withColumn("sharpe", F.when(F.col("sigma_p") > GAP, (F.col("mu_p") - rf) / F.col("sigma_p")))
-    return unpriced_share(weights, sigma).join(rows, PID, "left").select(PID, "mu_p", "sigma_p", "sharpe", "unpriced")
+    both = _priced_sums(weights, sigma, mu, "mu_p").join(_variances(weights, sigma), PID, "left")
+    risk = F.sqrt(F.greatest(F.col("_var"), F.lit(0.0)))
+    rows = both.select(PID, F.when(F.col("_var").isNotNull(), F.col("mu_p")).alias("mu_p"), risk.alias("sigma_p"), "unpriced")
+    sharpe = F.when(F.col("sigma_p") > GAP, (F.col("mu_p") - rf) / F.col("sigma_p"))
+    return rows.select(PID, "mu_p", "sigma_p", sharpe.alias("sharpe"), "unpriced")
 
 
 def portfolio_stats_from_returns(weights: DataFrame, returns: DataFrame, rf: float = 0.0) -> DataFrame:
@@ -152,13 +214,11 @@ def turnover(weights: DataFrame, ref: DataFrame, lam: float = 1.0) -> DataFrame:
 
 
 def _tracking(active: DataFrame, sigma: DataFrame, mu: DataFrame | None) -> DataFrame:
-    rows = sigma_times(active, sigma, "active")
-    if mu is not None:
-        rows = rows.join(mu.select("ticker", "mu"), "ticker", "left")
-    v = F.coalesce("_w", F.lit(0.0))
-    te = F.sqrt(F.greatest(F.sum(v * F.col("_sw")), F.lit(0.0))).alias("te")
-    gain = [F.sum(v * F.coalesce("mu", F.lit(0.0))).alias("active_ret")] if mu is not None else []
-    return rows.groupBy(PID).agg(te, *gain)
+    """te, active_ret where ``mu`` is given, and unpriced; NULL where nothing of a portfolio is priced."""
+    both = _priced_sums(active, sigma, mu, "active_ret", "active").join(_variances(active, sigma, "active"), PID, "left")
+    te = F.sqrt(F.greatest(F.col("_var"), F.lit(0.0))).alias("te")
+    gain = [F.when(F.col("_var").isNotNull(), F.col("active_ret")).alias("active_ret")] if mu is not None else []
+    return both.select(PID, te, *gain, "unpriced")
 
 
 def tracking_error(
@@ -166,8 +226,7 @@ def tracking_error(
 ) -> DataFrame:
     """Root of the active variance, the active expected return where ``mu`` is given, and the unpriced share of the active
     weights; a portfolio without any priced ticker is kept, with NULL for what needs a covariance."""
-    active = store(active_weights(weights, bench), "active")
-    return unpriced_share(active, sigma, "active").join(_tracking(active, sigma, mu), PID, "left")
+    return _tracking(store(active_weights(weights, bench), "active"), sigma, mu)
 
 
 def tracking_error_from_returns(weights: DataFrame, bench: DataFrame, returns: DataFrame) -> DataFrame:
