@@ -21,6 +21,20 @@ def as_text(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def slices(texts: list[str], size: int = 1 << 21) -> Iterator[list[str]]:
+    """Consecutive texts of about ``size`` characters together, so that what is made of them stays small; a longer text is
+    a slice of its own."""
+    part, held = [], 0
+    for t in texts:
+        if part and held + len(t) > size:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t)
+    if part:
+        yield part
+
+
 def some_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches that have rows."""
     return (b for b in batches if b.num_rows)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 #: Entries a cache of good pairs or words may hold before it starts anew.
-PAIRS = 1 << 20
+PAIRS = 1 << 19
 
 
 class MergeVocabulary:

@@ -20,6 +20,7 @@ kept under their names unless they are called ``ids`` or ``n_pieces``, which the
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidefolio.llm.common import as_text, some_rows
+from tidefolio.llm.common import as_text, slices, some_rows
 from tidefolio.llm.merges import MergeVocabulary, shared, walk
 
 MARK = "▁"
@@ -40,6 +41,10 @@ CACHE = 400_000
 INT = np.dtype("<i4")
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 class Codec:
     """Encoder and decoder of one model file (or its serialized bytes)."""
 
@@ -124,14 +129,17 @@ class Codec:
             while end:
                 pieces.append(last[end])
                 end -= len(last[end])
-            self.known[word] = np.array([i for p in reversed(pieces) for i in self._piece_ids(p)], INT).tobytes()
+            self.known[word] = pack([i for p in reversed(pieces) for i in self._piece_ids(p)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, packed as little-endian 32-bit integers."""
-        cut = [self.words.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn(set().union(*cut))
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in cut]
+        """Ids of each text, packed as little-endian 32-bit integers. Words are held for a slice of the texts at a time."""
+        out = []
+        for part in slices(texts):
+            cut = [self.words.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in part]
+            self.learn(set().union(*cut))
+            known = self.known.__getitem__
+            out += [b"".join(map(known, words)) for words in cut]
+        return out
 
     def decode(self, packed: bytes) -> str:
         ids = np.frombuffer(packed, INT).tolist()

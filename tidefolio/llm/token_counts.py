@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tidefolio.llm.common import as_text, some_rows
+from tidefolio.llm.common import as_text, slices, some_rows
 from tidefolio.llm.merges import MergeVocabulary, walk
 
 #: The pre-tokenizer's pattern, a fixed value of the vocabulary; its white space is Unicode's property.
@@ -180,12 +180,14 @@ def count_tokens(
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(path)
         for b in some_rows(batches):
-            texts = as_text(b.column(2))
-            chunks, totals = counter.counts(texts)
-            cuts = [
-                [len(t) if n <= budget else counter.longest_within(c, budget) for t, c, n in zip(texts, chunks, totals, strict=True)]
-                for budget in budgets
-            ]
+            totals: list[int] = []
+            cuts: list[list[int]] = [[] for _ in budgets]
+            for part in slices(as_text(b.column(2))):  # chunks are held for a slice of the batch at a time
+                chunks, counts = counter.counts(part)
+                totals += counts
+                for out, budget in zip(cuts, budgets, strict=True):
+                    both = zip(part, chunks, counts, strict=True)
+                    out += [len(t) if n <= budget else counter.longest_within(c, budget) for t, c, n in both]
             arrays = [b.column(0), b.column(1), pa.array(totals, pa.int64()), *[pa.array(c, pa.int64()) for c in cuts]]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_tokens", *names])
 
