@@ -264,24 +264,29 @@ def effective_rank(spark, d):
     return tidy(G.effective_rank(brand_sigma(spark, d)))
 
 
+def _segment_sigma(spark, d):
+    """One sample covariance per market segment, from quarterly returns."""
+    returns = hand_off(D.segment_returns(spark, d), "returns")
+    return hand_off(G.covariance(returns, method="sample", annualize=False, store=hand_off), "sigma")
+
+
 @query(
     "spectrum",
     sql(
-        C.RISK[:-1],
-        """SELECT count(DISTINCT i) AS n, sum(value) FILTER (i = j) AS total, sum(value * value) AS squares,
-                  TRUE AS descending, 1.0 AS last_cumulative FROM sigma""",
-        ints=["n"], floats=["total", "squares", "last_cumulative"], plain=["descending"],
+        [C.SEG_RET],
+        """SELECT universe_id, count(DISTINCT i) AS n, sum(value) FILTER (i = j) AS total, sum(value * value) AS squares,
+                  TRUE AS descending, 1.0 AS last_cumulative FROM usigma GROUP BY 1""",
+        ints=["n"], floats=["total", "squares", "last_cumulative"], plain=["universe_id", "descending"],
     ),
 )
 def spectrum(spark, d):
-    """Eigenvalues add up to the trace, their squares to the squared entries, and come in falling order."""
+    """Eigenvalues add up to the trace, their squares to the squared entries, and come in falling order; per universe."""
     from pyspark.sql import Window as W
 
-    values = G.spectrum(brand_sigma(spark, d)).withColumn(
-        "_down", F.coalesce(F.col("eigenvalue") <= F.lag("eigenvalue").over(W.orderBy("k")), F.lit(True))
-    )
+    falls = F.col("eigenvalue") <= F.lag("eigenvalue").over(W.partitionBy("universe_id").orderBy("k"))
+    values = G.spectrum(_segment_sigma(spark, d)).withColumn("_down", F.coalesce(falls, F.lit(True)))
     return tidy(
-        values.agg(
+        values.groupBy("universe_id").agg(
             F.count("k").alias("n"),
             F.sum("eigenvalue").alias("total"),
             F.sum(F.col("eigenvalue") * F.col("eigenvalue")).alias("squares"),
@@ -294,22 +299,30 @@ def spectrum(spark, d):
 @query(
     "spectrum_diagnostics",
     sql(
-        C.RISK[:-1],
-        """SELECT power(sum(value) FILTER (i = j), 2) / sum(value * value) AS effective_rank, TRUE AS min_below_mean,
-                  TRUE AS max_above_mean, TRUE AS condition_is_ratio FROM sigma""",
-        floats=["effective_rank"], plain=["min_below_mean", "max_above_mean", "condition_is_ratio"],
+        [C.SEG_RET],
+        """SELECT universe_id, TRUE AS min_below_mean, TRUE AS max_above_mean, TRUE AS condition_is_ratio, TRUE AS rank_is_ratio,
+                  sum(value) FILTER (i = j) / count(*) FILTER (i = j) AS mean_eigenvalue FROM usigma GROUP BY 1""",
+        floats=["mean_eigenvalue"], plain=["universe_id", "min_below_mean", "max_above_mean", "condition_is_ratio", "rank_is_ratio"],
     ),
 )
 def spectrum_diagnostics(spark, d):
-    s = brand_sigma(spark, d)
-    mean = s.agg((F.sum(F.when(F.col("i") == F.col("j"), F.col("value"))) / F.count_if(F.col("i") == F.col("j")))).scalar()
+    """Extreme eigenvalues lie around their mean, which is the mean variance; condition and effective rank follow from them
+    (clipping an eigenvalue that rounding made negative moves the rank a little)."""
+    s = _segment_sigma(spark, d)
+    on_diag = F.when(F.col("i") == F.col("j"), F.col("value"))
+    facts = s.groupBy("universe_id").agg(
+        F.avg(on_diag).alias("mean_eigenvalue"), (F.pow(F.sum(on_diag), 2) / F.sum(F.col("value") * F.col("value"))).alias("_rank")
+    )
     ratio = F.col("lambda_max") / F.greatest(F.col("lambda_min"), F.lit(1e-16))
+    mean = F.col("mean_eigenvalue")
     return tidy(
-        G.spectrum_diagnostics(s).select(
-            "effective_rank",
+        G.spectrum_diagnostics(s).join(facts, "universe_id").select(
+            "universe_id",
             (F.col("lambda_min") <= mean).alias("min_below_mean"),
             (F.col("lambda_max") >= mean).alias("max_above_mean"),
             (F.abs(F.col("condition") / ratio - 1) < 1e-9).alias("condition_is_ratio"),
+            (F.abs(F.col("effective_rank") / F.col("_rank") - 1) < 1e-6).alias("rank_is_ratio"),
+            "mean_eigenvalue",
         )
     )
 
@@ -342,27 +355,21 @@ def psd_clip(spark, d):
 @query(
     "cov_pca_factor",
     sql(
-        C.RISK[:-1], "SELECT i AS ticker, value AS variance, TRUE AS closer_than_diagonal FROM sigma WHERE i = j",
-        floats=["variance"], plain=["ticker", "closer_than_diagonal"], digits=8,
+        [C.SEG_RET], "SELECT universe_id, i AS ticker, value AS variance, TRUE AS closer_than_diagonal FROM usigma WHERE i = j",
+        floats=["variance"], plain=["universe_id", "ticker", "closer_than_diagonal"], digits=8,
     ),
 )
 def cov_pca_factor(spark, d):
-    """The factor model keeps every variance and explains more covariance than the diagonal alone."""
-    s = brand_sigma(spark, d)
-    model = G.cov_pca_factor(s, 5).withColumnRenamed("value", "model")
+    """The factor model keeps every variance and explains more covariance than the diagonal alone, in each universe."""
+    s = _segment_sigma(spark, d)
+    model = hand_off(G.cov_pca_factor(s, 5).withColumnRenamed("value", "model"), "model")
     off = F.col("i") != F.col("j")
-    gap = s.join(model, ["i", "j"]).agg(
-        (
-            F.sum(F.when(off, F.pow(F.col("value") - F.col("model"), 2)))
-            < F.sum(F.when(off, F.col("value") * F.col("value")))
-        ).alias("ok")
-    )
-    return tidy(
-        model.where("i = j").select(
-            F.col("i").alias("ticker"), F.col("model").alias("variance"), gap.scalar().alias("closer_than_diagonal")
-        ),
-        8,
+    missed = F.sum(F.when(off, F.pow(F.col("value") - F.col("model"), 2)))
+    gap = s.join(model, ["universe_id", "i", "j"]).groupBy("universe_id").agg(
+        (missed < F.sum(F.when(off, F.col("value") * F.col("value")))).alias("closer_than_diagonal")
     )
+    rows = model.where("i = j").join(gap, "universe_id")
+    return tidy(rows.select("universe_id", F.col("i").alias("ticker"), F.col("model").alias("variance"), "closer_than_diagonal"), 8)
 
 
 # --- equilibrium and views ----------------------------------------------------------------------------------------
