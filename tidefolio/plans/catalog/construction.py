@@ -305,66 +305,66 @@ def group_caps(spark, d):
 
 # --- closed forms -------------------------------------------------------------------------------------------------
 
+UMU = "umu AS (SELECT universe_id, ticker, avg(ret) AS mu FROM ufull GROUP BY 1, 2)"
+
+
 def _markowitz_parts(spark, d):
-    _, mu, sigma = risk_inputs(spark, d)
-    mu, sigma = hand_off(mu, "mu"), hand_off(G.ridge(sigma, 1e-2), "sigma")
+    """Means, covariance with a ridge, and the closed forms' vectors, one universe per market segment."""
+    returns = hand_off(D.segment_returns(spark, d), "returns")
+    mu = hand_off(M.mu_historical(returns, annualize=False), "mu")
+    sigma = hand_off(G.ridge(G.covariance(returns, method="sample", annualize=False, store=hand_off), 1e-2), "sigma")
     return mu, sigma, hand_off(A.closed_form_vectors(mu, sigma), "vectors")
 
 
 @query(
     "markowitz_closed_form",
     sql(
-        [C.HOLD],
-        """SELECT (SELECT count(DISTINCT ticker) FROM hold) AS n, 1.0 AS gmv_total, 1.0 AS tan_total,
-                  TRUE AS gmv_equal_marginals, TRUE AS tan_proportional""",
-        ints=["n"], floats=["gmv_total", "tan_total"], plain=["gmv_equal_marginals", "tan_proportional"],
+        [C.SEG_RET],
+        """SELECT universe_id, count(DISTINCT i) AS n, 1.0 AS gmv_total, 1.0 AS tan_total,
+                  TRUE AS gmv_equal_marginals, TRUE AS tan_proportional FROM usigma GROUP BY 1""",
+        ints=["n"], floats=["gmv_total", "tan_total"], plain=["universe_id", "gmv_equal_marginals", "tan_proportional"],
     ),
 )
 def markowitz_closed_form(spark, d):
     """Minimum variance: all marginal risks equal. Tangency: marginal risk proportional to excess return."""
     mu, sigma, vectors = _markowitz_parts(spark, d)
     w = hand_off(A.markowitz_closed_form(mu, sigma, rf=0.001, vectors=vectors), "weights")
-    both = w.select("ticker", F.inline(F.array(
-        F.struct(F.lit("gmv").alias("portfolio_id"), F.col("w_gmv").alias("weight")),
-        F.struct(F.lit("tan").alias("portfolio_id"), F.col("w_tan").alias("weight")),
-    )))
-    marginal = P.sigma_times(both, sigma).join(both, ["portfolio_id", "ticker"]).join(mu, "ticker")
-    gmv, tan = F.col("portfolio_id") == "gmv", F.col("portfolio_id") == "tan"
-    ratio = F.when(tan, F.col("_sw") / (F.col("mu") - 0.001))
-    level = F.when(gmv, F.col("_sw"))
-    return tidy(
-        marginal.agg(
-            F.count_if(gmv).alias("n"),
-            F.sum(F.when(gmv, F.col("weight"))).alias("gmv_total"),
-            F.sum(F.when(tan, F.col("weight"))).alias("tan_total"),
-            (F.max(level) - F.min(level) < 1e-8 * F.abs(F.avg(level)) + 1e-10).alias("gmv_equal_marginals"),
-            (F.max(ratio) - F.min(ratio) < 1e-5 * F.abs(F.avg(ratio))).alias("tan_proportional"),
-        )
+    own = lambda c: _universe_products(w.select("universe_id", "ticker", F.col(c).alias("weight")), sigma)
+    gmv = own("w_gmv").groupBy("universe_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("weight").alias("gmv_total"),
+        (F.max("_sw") - F.min("_sw") < 1e-8 * F.abs(F.avg("_sw")) + 1e-10).alias("gmv_equal_marginals"),
     )
+    ratio = F.col("_sw") / (F.col("mu") - 0.001)
+    tan = own("w_tan").join(mu, ["universe_id", "ticker"]).groupBy("universe_id").agg(
+        F.sum("weight").alias("tan_total"),
+        (F.max(ratio) - F.min(ratio) < 1e-5 * F.abs(F.avg(ratio))).alias("tan_proportional"),
+    )
+    return tidy(gmv.join(tan, "universe_id"))
 
 
 @query(
     "frontier_closed_form",
     sql(
-        [*C.RISK[:4], C.MU],
-        "SELECT 100 AS points, TRUE AS convex, TRUE AS above_minimum, max(mu) AS highest FROM mu",
-        ints=["points"], floats=["highest"], plain=["convex", "above_minimum"],
+        [C.SEG_RET, UMU],
+        "SELECT universe_id, 100 AS points, TRUE AS convex, TRUE AS above_minimum, max(mu) AS highest FROM umu GROUP BY 1",
+        ints=["points"], floats=["highest"], plain=["universe_id", "convex", "above_minimum"],
     ),
 )
 def frontier_closed_form(spark, d):
-    """The squared risks of the frontier form a convex parabola above the minimum-variance point."""
+    """The squared risks of the frontier form a convex parabola above the minimum-variance point, in each universe."""
     mu, sigma, vectors = _markowitz_parts(spark, d)
     points = A.frontier_closed_form(mu, sigma, npts=100, vectors=vectors)
-    floor = vectors.agg(F.sqrt(1.0 / F.sum("inv_one"))).scalar()
-    order = W.orderBy("point")
+    floor = vectors.groupBy("universe_id").agg(F.sqrt(1.0 / F.sum("inv_one")).alias("_floor"))
+    order = W.partitionBy("universe_id").orderBy("point")
     var = F.pow("risk", 2)
     bend = F.lead(var).over(order) - 2 * var + F.lag(var).over(order)
-    rows = points.select("point", "ret", "risk", bend.alias("_bend"))
+    rows = points.select("universe_id", "point", "ret", "risk", bend.alias("_bend")).join(floor, "universe_id")
     # The grid runs from a tenth to nine tenths of the way from the minimum-variance return to the best mean, so its two
     # ends give that mean back.
     first, last = F.min_by("ret", "point"), F.max_by("ret", "point")
     return tidy(
-        rows.withColumn("_floor", floor).agg(
+        rows.groupBy("universe_id").agg(
             F.count(F.lit(1)).alias("points"),
             F.bool_and(F.coalesce(F.col("_bend") > 0, F.lit(True))).alias("convex"),
             F.bool_and(F.col("risk") >= F.col("_floor") - 1e-12).alias("above_minimum"),
@@ -384,33 +384,29 @@ def frontier_range(spark, d):
 @query(
     "frontier_box",
     sql(
-        [*C.RISK[:4], C.MU],
-        """SELECT 40 AS points, TRUE AS above_closed_form, TRUE AS within_means, max(mu) AS highest_mean, min(mu) AS lowest_mean FROM mu""",
-        ints=["points"], floats=["highest_mean", "lowest_mean"], plain=["above_closed_form", "within_means"],
+        [C.SEG_RET, UMU],
+        """SELECT universe_id, 40 AS points, TRUE AS above_closed_form, TRUE AS within_means, max(mu) AS highest_mean,
+                  min(mu) AS lowest_mean FROM umu GROUP BY 1""",
+        ints=["points"], floats=["highest_mean", "lowest_mean"], plain=["universe_id", "above_closed_form", "within_means"],
     ),
 )
 def frontier_box(spark, d):
     """Inside the box no point beats the unconstrained frontier, and returns lie between the extreme means."""
     mu, sigma, vectors = _markowitz_parts(spark, d)
     points = A.frontier_box(mu, sigma, 0.0, 0.2, npts=40, vectors=vectors)
-    conic = vectors.agg(
-        F.struct(
-            F.sum("inv_one").alias("a"), F.sum("inv_mu").alias("b"), F.sum(F.col("mu") * F.col("inv_mu")).alias("c"),
-            F.min("mu").alias("lo"), F.max("mu").alias("hi"),
-        )
-    ).scalar()
-    r = F.col("ret")
-    best = F.sqrt(
-        (F.col("k.a") * r * r - 2 * F.col("k.b") * r + F.col("k.c"))
-        / (F.col("k.a") * F.col("k.c") - F.col("k.b") * F.col("k.b"))
+    conic = vectors.groupBy("universe_id").agg(
+        F.sum("inv_one").alias("a"), F.sum("inv_mu").alias("b"), F.sum(F.col("mu") * F.col("inv_mu")).alias("c"),
+        F.min("mu").alias("lo"), F.max("mu").alias("hi"),
     )
+    r, a, b, c = (F.col(x) for x in ("ret", "a", "b", "c"))
+    best = F.sqrt((a * r * r - 2 * b * r + c) / (a * c - b * b))
     return tidy(
-        points.withColumn("k", conic).agg(
+        points.join(conic, "universe_id").groupBy("universe_id").agg(
             F.count(F.lit(1)).alias("points"),
             F.bool_and(F.col("risk") >= best - 1e-9).alias("above_closed_form"),
-            F.bool_and(r.between(F.col("k.lo") - 1e-9, F.col("k.hi") + 1e-9)).alias("within_means"),
-            F.max("k.hi").alias("highest_mean"),
-            F.max("k.lo").alias("lowest_mean"),
+            F.bool_and(r.between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)).alias("within_means"),
+            F.max("hi").alias("highest_mean"),
+            F.max("lo").alias("lowest_mean"),
         )
     )
 
