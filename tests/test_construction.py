@@ -406,6 +406,19 @@ def test_backtest(spark, name):
     assert (got["drawdown"] <= 0).all()
 
 
+def test_solver_allocators_take_benchmark_exposures_and_tail_risk():
+    x = np.random.default_rng(4).normal(0.001, 0.03, (60, 4))
+    names, bench = np.array(["a", "b", "c", "d"], dtype=object), np.array([0.4, 0.3, 0.2, 0.1])
+    held = B.solver_allocator("te_active", gamma=0.0, lam=1.0)(x, B.Inputs(names, bench))
+    assert np.allclose(held, bench, atol=1e-9)
+    factor = np.array([[1.0, 1.0, 0.0, 0.0]])
+    tied = B.solver_allocator("te_active", gamma=5.0, lb=-0.01, ub=0.01, rho=1e4)(x, B.Inputs(names, bench, factor))
+    free = B.solver_allocator("te_active", gamma=5.0)(x, B.Inputs(names, bench))
+    assert abs((tied - bench) @ factor[0]) < 0.011 < abs((free - bench) @ factor[0])
+    tail = B.solver_allocator("cvar", alpha=0.9, w_max=0.5)(x)
+    assert np.isclose(cvar(x, tail, 0.9), cvar(x, S.least_cvar(x, 0.9, 0.0, np.full(4, 0.25), 0.0, 0.5)[0], 0.9))
+
+
 def test_backtest_rejects_unknown_allocator(spark):
     with pytest.raises(ValueError):
         B.rebalance_weights(returns(spark, np.zeros((3, 2))), allocator="magic")

@@ -13,10 +13,18 @@ from ..schema import attach, grouped, require, universe_keys
 from ..session import Store, busy_partitions, lazily
 from .panel import calendar, running, spine, ticker_totals
 from .returns import rebalance_dates, to_simple
-from .solvers import Market, optimise
+from .solvers import Market, feasible_rows, least_cvar, optimise
 from .stats import drawdown
 
-Allocator = Callable[[np.ndarray], np.ndarray]
+Allocator = Callable[..., np.ndarray]
+
+
+class Inputs(NamedTuple):
+    """What a solver allocator may use besides the window: its tickers, and a benchmark and factor exposures in their order."""
+
+    names: np.ndarray
+    bench: np.ndarray | None = None
+    exposures: np.ndarray | None = None
 
 
 class Backtest(NamedTuple):
@@ -72,8 +80,10 @@ def _inverse_variance(returns: DataFrame, freq: str, lookback: int) -> DataFrame
     return risk
 
 
-def _by_window(returns: DataFrame, freq: str, lookback: int, allocator: Allocator) -> DataFrame:
-    """Weights from a function of the window's (dates x tickers) array.
+def _by_window(
+    returns: DataFrame, freq: str, lookback: int, allocator: Allocator, bench: DataFrame | None, exposures: DataFrame | None
+) -> DataFrame:
+    """Weights from a function of the window's (dates x tickers) array and, for solver allocators, of ``Inputs``.
 
     Each date becomes one row with the vector of its returns; a window collects ``lookback`` such rows, so a group's
     size is lookback x tickers. The windows are spread by an explicit partition number before they are collected:
@@ -97,13 +107,23 @@ def _by_window(returns: DataFrame, freq: str, lookback: int, allocator: Allocato
         .select(*by, "rb_date", F.flatten(F.col("_w")["_v"]).alias("cells"))
     )
     packed = attach(windows, names, by)
+    # A benchmark and exposures are lists of one universe's tickers.
+    if bench is not None:
+        listed = bench.agg(F.collect_list("ticker").alias("bench_ticker"), F.collect_list("weight").alias("bench_weight"))
+        packed = attach(packed, listed, [])
+    if exposures is not None:
+        entry = F.array_sort(F.collect_list(F.struct("factor", "ticker", "exposure")))
+        listed = exposures.agg(entry.alias("_x")).select(*[F.col("_x")[c].alias(f"expo_{c}") for c in ("factor", "ticker", "exposure")])
+        packed = attach(packed, listed, [])
+    solver = getattr(allocator, "takes_inputs", False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 tickers = list(row["names"])
                 window = np.asarray(row["cells"], dtype=float).reshape(-1, len(tickers))
-                out = pd.DataFrame({"rb_date": row["rb_date"], "ticker": tickers, "weight": allocator(window)})
+                more = [_inputs(row, np.asarray(tickers, dtype=object))] if solver else []
+                out = pd.DataFrame({"rb_date": row["rb_date"], "ticker": tickers, "weight": allocator(window, *more)})
                 for k, c in enumerate(by):
                     out.insert(k, c, row[c])
                 yield out
@@ -112,6 +132,23 @@ def _by_window(returns: DataFrame, freq: str, lookback: int, allocator: Allocato
     return packed.mapInPandas(run, f"{fields}rb_date timestamp_ntz, ticker string, weight double")
 
 
+def _inputs(row: dict, names: np.ndarray) -> Inputs:
+    place = {t: k for k, t in enumerate(names)}
+    bench = exposures = None
+    if "bench_ticker" in row:
+        bench = np.zeros(len(names))
+        for t, w in zip(row["bench_ticker"], row["bench_weight"]):
+            if t in place:
+                bench[place[t]] += w
+    if "expo_factor" in row:
+        factors, at = np.unique(np.asarray(row["expo_factor"], dtype=object), return_inverse=True)
+        exposures = np.zeros((len(factors), len(names)))
+        for f, t, v in zip(at, row["expo_ticker"], row["expo_exposure"]):
+            if t in place:
+                exposures[f, place[t]] = v
+    return Inputs(names, bench, exposures)
+
+
 def window_moments(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance of a window; what missing values leave undefined counts as 0."""
     filled = ~np.isnan(window)
@@ -122,31 +159,63 @@ def window_moments(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def solver_allocator(
-    method: str, *, gamma: float = 10.0, lam: float = 0.0, w_min: float = 0.0, w_max: float = 1.0, **options
+    method: str,
+    *,
+    gamma: float = 10.0,
+    lam: float = 0.0,
+    w_min: float = 0.0,
+    w_max: float = 1.0,
+    lb: float | None = None,
+    ub: float | None = None,
+    rho: float = 0.0,
+    alpha: float = 0.95,
+    **options,
 ) -> Allocator:
-    """An allocator that runs one of the construction methods on the moments of each window."""
+    """An allocator that runs one of the construction methods on the moments of each window, or 'cvar' on its dates.
 
-    def allocate(window: np.ndarray) -> np.ndarray:
-        mu, sigma = window_moments(window)
-        n = len(mu)
+    Benchmark (the reference too, equal weights by default) and factor exposures, which ``rho`` holds between ``lb`` and
+    ``ub``, are those given to ``rebalance_weights`` or ``backtest``.
+    """
+
+    def allocate(window: np.ndarray, inputs: Inputs | None = None) -> np.ndarray:
+        n = window.shape[1]
+        equal = np.full(n, 1.0 / n)
+        bench = equal if inputs is None or inputs.bench is None else inputs.bench
         one = lambda x: np.full((1, 1), float(x))
-        equal = np.full((1, n), 1.0 / n)
+        if method == "cvar":
+            if not feasible_rows(n, one(w_min), one(w_max))[0]:
+                return equal
+            return least_cvar(np.nan_to_num(window), alpha, lam, bench, w_min, w_max)[0]
+        mu, sigma = window_moments(window)
+        market = Market(np.arange(n), sigma, mu)
+        if inputs is not None and inputs.exposures is not None:
+            market.exposures, market.lb, market.ub = inputs.exposures, lb, ub
         w, _, _ = optimise(
-            Market(np.arange(n), sigma, mu), method, gamma=one(gamma), lam=one(lam), lo=one(w_min), hi=one(w_max),
-            rho=one(0.0), bench=equal, ref=equal, **options,
-        )
+            market, method, gamma=one(gamma), lam=one(lam), lo=one(w_min), hi=one(w_max), rho=one(rho),
+            bench=bench[None, :], ref=bench[None, :], **options,
+        )
         return w[0]
 
+    allocate.takes_inputs = True
     return allocate
 
 
 def rebalance_weights(
-    returns: DataFrame, *, freq: str = "1mo", lookback: int = 252, allocator: str | Allocator = "equal"
+    returns: DataFrame,
+    *,
+    freq: str = "1mo",
+    lookback: int = 252,
+    allocator: str | Allocator = "equal",
+    bench: DataFrame | None = None,
+    exposures: DataFrame | None = None,
 ) -> DataFrame:
-    """Weights summing to 1 per rebalance date: 'equal', 'inverse_variance', or any function of a window."""
+    """Weights summing to 1 per rebalance date: 'equal', 'inverse_variance', or any function of a window.
+
+    ``bench`` (ticker, weight) and ``exposures`` (factor, ticker, exposure) reach solver allocators.
+    """
     by = universe_keys(returns)
     if callable(allocator):
-        raw = _by_window(returns, freq, lookback, allocator)
+        raw = _by_window(returns, freq, lookback, allocator, bench, exposures)
     elif allocator in ("equal", "inverse_variance"):
         raw = (_equal if allocator == "equal" else _inverse_variance)(returns, freq, lookback)
     else:
@@ -239,13 +308,20 @@ def backtest(
     cost_bps: float = 0.0,
     allocator: str | Allocator = "equal",
     bench: DataFrame | None = None,
+    exposures: DataFrame | None = None,
     kind: str = "simple",
     store: Store = lazily,
 ) -> Backtest:
-    """Equity (with drawdown), rebalance weights and turnover. Log returns are turned into simple ones to compound."""
+    """Equity (with drawdown), rebalance weights and turnover. Log returns are turned into simple ones to compound.
+
+    A solver allocator runs against the same ``bench`` that the active return is measured against.
+    """
     by = universe_keys(returns)
     weights = store(
-        rebalance_weights(returns, freq=rebalance_freq, lookback=lookback, allocator=allocator), "weights"
+        rebalance_weights(
+            returns, freq=rebalance_freq, lookback=lookback, allocator=allocator, bench=bench, exposures=exposures
+        ),
+        "weights",
     )
     turnover = rebalance_turnover_cost(weights, cost_bps)
     held = weights_asof(to_simple(returns, kind), weights, lookback)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import finite
-from ..schema import attach, grouped, require
+from ..schema import attach, require
 from ..session import Store, busy_partitions, lazily
 from .covariance import pack_matrix, unpack
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.calendar import arrival_order, bucket_label, period_end
 from ..functions.numeric import period_return
-from ..schema import attach, grouped, one_of, require, universe_keys
+from ..schema import attach, one_of, require, universe_keys
 from .panel import canonicalize, spine, with_previous
 from .quality import infer_return_kind, infer_return_kind_by_series
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import annualize as scale
 from ..operators import allocate, covariance as cov, mu as mus, panel, quality, returns as rets, stats
-from ..operators.portfolio import PID, benchmark_weights
+from ..operators.portfolio import benchmark_weights
 from ..schema import attach, one_of, universe_keys
 from ..session import Store, lazily
 from ..sources.artifacts import with_fingerprint
