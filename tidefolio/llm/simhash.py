@@ -1,23 +1,24 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-Fingerprints: words of the A-Z lower-cased text, 3-word shingles with repeats, XXH64 (seed 42) of each; a bit is 1 if it
-is set in more than half of the hashes. Distinct fingerprints only go on; copies meet again at the end.
+Fingerprints: words of the A-Z lower-cased text, 3-word shingles with repeats, XXH64 (seed 42) of each; a bit is 1 if
+it is set in more than half of the hashes. Distinct fingerprints only go on; copies meet again at the end.
 
 Covering masks: bit position i gets a label of ``radius + 1`` bits, not zero; the table of a vector v keeps the
 positions whose label has an odd scalar product with v. For any ``radius`` positions some v is orthogonal to all their
-labels, so two fingerprints that differ in at most ``radius`` bits agree on all that this table keeps: every pair within
-the radius meets in one of the ``2 ** (radius + 1) - 1`` tables, with certainty.
+labels, so two fingerprints that differ in at most ``radius`` bits agree on all that this table keeps: every pair
+within the radius meets in one of the ``2 ** (radius + 1) - 1`` tables, with certainty.
 
 Buckets: a bucket of two fingerprints is decided from its minimum and maximum. In a larger one no pairs are formed:
-every fingerprint is sent to itself and to its neighbours at one flipped bit outside its buckets' masks. Two fingerprints
-that share such a hub differ in at most two bits, and those of one bucket that do share one, and each hub links its members to its smallest one.
-Rows grow with the number of fingerprints, never with the square of a bucket. Components come from alternating star
-contraction over the links, written to the shared folder after every round.
-
-Defined cases: null text counts as empty; a text without words has fingerprint zero and is linked like any other; one or
-two words form one shingle; texts of any length are read whole; rows that repeat each get their row back; a null doc_id
-gets the component of its fingerprint, whose id is the smallest one that is not null (null if there is none); an empty
-table gives no rows; other columns are not read.
+every fingerprint is sent to itself and to its neighbours at one flipped bit outside its buckets' masks. Two
+fingerprints that share such a hub differ in at most two bits, and those of one bucket that differ in no more do share
+one; each hub links its members to its smallest one. Rows grow with the number of fingerprints, never with the square
+of a bucket. Components come from alternating star contraction over the links, written to the shared folder after
+every round.
+
+Defined cases: null text counts as empty; a text without words has fingerprint zero and is linked like any other; one
+or two words form one shingle; texts of any length are read whole; rows that repeat each get their row back; a null
+doc_id gets the component of its fingerprint, whose id is the smallest one that is not null (null if there is none);
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -123,15 +124,17 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two contractions until nothing changes: larger neighbours move to the smallest neighbour, then all
     neighbours that are not larger do. Each round is a minimum per node, written to the shared folder.
     """
-    pairs = hand_off(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "stars")
+    ordered = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    pairs = hand_off(ordered.filter("u != v").distinct(), "stars")
     before = None
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_low, "u")
-        small = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_low.select("u", F.col("m").alias("v")))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        others = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = others.union(least.select("u", F.col("m").alias("v")))
         pairs = hand_off(small.filter("u != v").distinct(), "stars")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.countDistinct("u")).first()
         if tuple(now) == before or now[0] == 0:

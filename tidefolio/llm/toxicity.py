@@ -1,21 +1,22 @@
 """Toxicity scores from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Features are words and word beginnings of four to eight characters. A bounded sample of labelled rows (``sample`` per class, those with
-the smallest hash of their id, near-copies left out) gives the examples and the vocabulary: features whose odds in toxic examples are surely
-higher, at most ``FEATURES`` of them. Everything else covers all documents: each text is reduced to its counts of the
-vocabulary's features, document frequencies are counted over all of them, and every document is scored.
-
-The index holds, per feature, postings in blocks of example numbers with the largest weight per block. For a document the
-blocks' upper bounds are sums of its weights times those maxima; blocks are scored by falling bound until none can reach
-the kth similarity, so the ``K`` nearest are exact (ties to the smaller example number). Votes weigh 1 / (distance +
-``NEAR``) times how many labelled rows an example of its class stands for, and one vote of the base rate, so a score
-estimates the share of toxic rows among equally close ones. A text without any feature gets the share among the examples
-without features. The nearest examples' ids are returned as evidence.
+Features are words and word beginnings of four to eight characters. A bounded sample of labelled rows (``sample`` per
+class, those with the smallest hash of their id, near-copies left out) gives the examples and the vocabulary: features
+whose odds in toxic examples are surely higher, at most ``FEATURES`` of them. Everything else covers all documents:
+each text is reduced to its counts of the vocabulary's features, document frequencies are counted over all of them,
+and every document is scored.
+
+The index holds, per feature, postings in blocks of example numbers with the largest weight per block. For a document
+the blocks' upper bounds are sums of its weights times those maxima; blocks are scored by falling bound until none can
+reach the kth similarity, so the ``K`` nearest are exact (ties to the smaller example number). Votes weigh 1 /
+(distance + ``NEAR``) times how many labelled rows an example of its class stands for, and one vote of the base rate,
+so a score estimates the share of toxic rows among equally close ones. A text without any feature gets the share among
+the examples without features. The nearest examples' ids are returned as evidence.
 
 Defined cases: null text counts as empty; empty texts get the score of texts without features; texts of any length are
 read whole; rows that repeat score alike; ids without or with a null label teach nothing, an id labelled twice teaches
-what the larger label says; without examples of both classes every score is the base rate (0 without any label); an empty
-table gives no rows; columns other than id and text are not read.
+what the larger label says; without examples of both classes every score is the base rate (0 without any label); an
+empty table gives no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
