@@ -282,6 +282,8 @@ def mixed_documents(df: DataFrame, *, block_words: int = BLOCK_WORDS, seed: int
     joined = rows.select("_row", F.struct(*keys).alias("key")).join(per, "key")
     words = F.regexp_extract_all("_row.text", F.lit(f"([\\x20\\x09-\\x0D]*{WORD})"), 1)
     chosen = F.transform("parts", lambda p: F.slice(F.col("words"), p["lo"].cast("int") + 1, p["n"].cast("int")))
-    texts = joined.withColumn("words", words).withColumn("mixed", F.array_join(F.flatten(chosen), ""))
+    # Two uses of ``words`` keep the optimizer from putting its expression into the lambda, once for every part.
+    mixed = F.when(F.size("words") > 0, F.array_join(F.flatten(chosen), ""))
+    texts = joined.withColumn("words", words).withColumn("mixed", mixed)
     own = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
     return texts.select(*[own.get(c, F.col(f"_row.`{c}`")).alias(c) for c in df.columns])
