@@ -101,3 +101,48 @@ def test_a_query_never_misses_a_match():
 def test_plan_is_native(spark, documents):
     plan = S.digest(S.scan(documents(["a"])))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+LINES = [("MIIE" + f"{i:02d}" + "aZ9+/" * 20)[:64] for i in range(30)]
+KEYS = [
+    f"{head}\n" + "\n".join([*more, *LINES, "q7=="]) + f"\n{end}"
+    for head, more, end in (
+        ("-----BEGIN PRIVATE KEY-----", [], "-----END PRIVATE KEY-----"),
+        ("-----BEGIN RSA PRIVATE KEY-----", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,0A1B", ""], "-----END RSA PRIVATE KEY-----"),
+        ("-----BEGIN PGP PRIVATE KEY BLOCK-----", ["Version: GnuPG v2", ""], "-----END PGP PRIVATE KEY BLOCK-----"),
+        ("-----BEGIN RSA PRIVATE KEY-----", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,0A1B", ""], ""),
+        ("-----BEGIN EC PRIVATE KEY-----", [], ""),
+    )
+]
+KEYS += [KEYS[0].replace("\n", x) for x in ("\r\n", "\\n", " ", "\n-", "\n    ")] + [KEYS[4].replace("\n", x) for x in ("\r\n", "\\n", "\n    ")]
+KEYS += [KEYS[4].replace("q7==", "\n".join(LINES * 1000)), KEYS[0].replace("q7==", "\n-".join(LINES * 1000))]
+TOKENS = ["ghp_" + "a1" * 2000, "xoxb-" + "1-b" * 2000, "sk_live_" + "z9" * 2000]
+
+
+def test_nothing_of_a_key_is_left(spark, documents):
+    got = {r.doc_id: r.text for r in S.redact(documents([f"before\n{k}\n. after all" for k in KEYS])).collect()}
+    for i in range(len(KEYS)):
+        assert got[i].split() == ["before", "[private_key]", ".", "after", "all"] or got[i] == "before\n[private_key]. after all"
+
+
+def test_nothing_of_a_long_token_is_left(spark, documents):
+    got = {r.doc_id: r.text for r in S.redact(documents([f"a {t} b" for t in TOKENS])).collect()}
+    assert [got[i] for i in range(3)] == ["a [github] b", "a [slack] b", "a [stripe] b"]
+
+
+def test_a_first_line_alone_leaves_other_text_and_keys_apart(spark, documents):
+    text = f"see -----BEGIN PRIVATE KEY----- in the manual - it says -----\nand {KEYS[0]} and {KEYS[1]} end"
+    assert S.redact(documents([text])).first().text == "see [private_key] in the manual - it says -----\nand [private_key] and [private_key] end"
+
+
+def test_key_spans_equal_their_sql(spark, documents):
+    import duckdb
+    import pandas as pd
+
+    from tidefolio.llm.queries import ORACLES
+
+    data = [f"é {x} \U0001f600 tail" for x in KEYS + TOKENS]
+    base = duckdb.connect()
+    base.register("documents", pd.DataFrame({"doc_id": range(len(data)), "text": data}))
+    want = {r[0]: r[-1] for r in base.execute(ORACLES["op6_secrets"]).fetchall()}
+    assert {r.doc_id: r.spans for r in S.digest(S.scan(documents(data))).collect()} == want

@@ -7,7 +7,8 @@ documents that survive are verified with the expression itself. A rule without a
 scans every text. Spans come from the matches and the pieces between them, in code points.
 
 Rules: ``assign``, ``access`` and ``hex`` give the base spans; ``private_key``, ``github``, ``slack``, ``stripe`` and
-``jwt`` are added by this module.
+``jwt`` are added by this module. A ``private_key`` span covers the key's body up to its END line, or all base64 lines that
+follow where there is none; tokens are taken to their last character.
 
 Defined cases: null text counts as empty and has no spans; the digest of no spans is that of the empty string; texts of any
 length are scanned whole; a null doc_id is a key like any other and rows that share an id are each verified on their own
@@ -44,11 +45,22 @@ BASE = (
     # Same matches as runs of any length of which the short ones are dropped.
     SecretRule("hex", r"[0-9a-f]{32,}"),
 )
+#: A key up to its END line: a body without spaces, or any in which no five dashes come between. Each repetition of a group
+#: takes stack, so they are bounded; 200 lone dashes are enough for headers and indented keys quoted in a diff.
+_END = r"-{5,}END [A-Z0-9 ]*-{0,5}"
+_CLOSED = rf"[A-Za-z0-9+/=_\r\n\\-]*?{_END}|[^-]*(?:-{{1,4}}[^-]+){{0,200}}{_END}"
+#: Without an END line: armour headers, then all base64 lines (also with escaped line ends), then indented ones, the last of
+#: any length. Where such lines stop inside a line, its first word counts as base64.
+_OPEN = (
+    r"(?:[\x20\t\r]*\n[\x20\t]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\n]*){0,20}"
+    # Indented lines have 24 characters at least; spelled out, as repetitions in repetitions are bounded in the SQL's engine.
+    rf"[A-Za-z0-9+/=\r\n\\]*(?:(?:[\x20\t]+{'[A-Za-z0-9+/=]' * 24}[A-Za-z0-9+/=\r\n\\]*){{1,200}}[\x20\t]*[A-Za-z0-9+/=]*)?"
+)
 ADDED = (
-    SecretRule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    SecretRule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
-    SecretRule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,250}"),
+    SecretRule("private_key", rf"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:{_CLOSED}|{_OPEN})"),
+    SecretRule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    SecretRule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + ADDED
