@@ -1,10 +1,12 @@
 """Slots, shards and round trips of the materialised order."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidefolio.llm import training_order as O
+from tidefolio.llm import queries as Q, training_order as O
+from tidefolio.llm.sentencepiece_codec import load
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
@@ -58,3 +60,27 @@ def test_files_hold_ranges_in_order(spark, tmp_path):
 def test_nothing_to_order(spark):
     for data in ([], [(1, None), (2, b"")]):
         assert O.materialise(spark.createDataFrame(data, "doc_id long, ids binary")).count() == 0
+
+
+def test_a_file_per_shard_in_slot_order(spark, tmp_path):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(b"x" * 40).alias("ids"))
+    O.write_shards(O.materialise(df, width=1, length=16, shard_slots=100), str(tmp_path / "shards"))
+    files = sorted((tmp_path / "shards").glob("shard=*/*.parquet"), key=lambda f: int(f.parent.name[6:]))
+    got = [pq.ParquetFile(f).read(["slot"])["slot"].to_pylist() for f in files]
+    assert got == [list(range(k * 100, k * 100 + 100)) for k in range(90)]
+    O.write_shards(O.materialise(df.limit(0)), str(tmp_path / "none"))
+    assert O.read_from(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_the_query_orders_piece_ids_and_reads_its_shards(spark, documents, tmp_path):
+    texts = ["one river and a stone " * 900, "short", "", None, "é\U0001f600 \n x"]
+    documents(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    out = Q.op4_training_order(spark, str(tmp_path))
+    assert all("order-shards" in f for f in out.inputFiles())
+    rows = out.collect()
+    assert [r.slot for r in rows] == list(range(len(rows))) and {len(r.tokens) for r in rows} == {2 * O.LENGTH}
+    codec = load(Q.tokenizer("piece_bpe_32k.model"))
+    for i, t in enumerate(texts):
+        parts = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.seq_no)
+        ids = b"".join(bytes(r.tokens)[: 2 * r.n_tokens] for r in parts)
+        assert np.frombuffer(ids, "<u2").tolist() == (np.frombuffer(codec.encode([t])[0], "<i4").tolist() if t else [])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,6 +21,7 @@ from tidefolio.llm import (
     vantage_tree,
 )
 from tidefolio.llm.common import table
+from tidefolio.session import hand_off, shared_folder
 
 #: Where the public tokenizer files are; a parameter of every operator that reads one.
 TOKENIZERS = os.environ.get("TIDEFOLIO_TOKENIZERS", "/opt/tokenizers")
@@ -56,9 +58,12 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids are the UTF-8 bytes of each text, one byte wide."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("ids"))
-    return training_order.materialise(docs, width=1)
+    """The documents' piece ids, two bytes wide, cut, ordered, written as shards and read back in order."""
+    # Read twice by the order (sizes, then ids), encoded once.
+    ids = hand_off(sentencepiece_codec.encode_packed(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")), "order-ids")
+    path = f"{shared_folder(spark)}/tidefolio/order-shards-{uuid.uuid4().hex}"
+    training_order.write_shards(training_order.materialise(ids, width=2), path)
+    return training_order.read_from(spark, path)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,6 +174,21 @@ def encode(df: DataFrame, path: str, *, text: str = "text", keep: list[str] | No
     return carried.mapInArrow(per_batch, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in names], "ids", "n_pieces")
 
 
+def encode_packed(df: DataFrame, path: str, *, width: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and ids: binary, little-endian integers of ``width`` bytes (1, 2 or 4), which must hold the model's ids."""
+    narrow = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = load(path)
+        if len(codec.surface) > 1 << (8 * width):
+            raise ValueError(f"ids of this model do not fit into {width} bytes")
+        for b in some_rows(batches):
+            packed = [np.frombuffer(p, INT).astype(f"<u{width}").tobytes() for p in codec.encode(as_text(b.column(1)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+
+    return narrow.mapInArrow(per_batch, "doc_id long, ids binary")
+
+
 def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``, the text of its ids (null for null)."""
 

@@ -7,8 +7,9 @@ numbers and slots are one to one for every N, and the inverse tells which sequen
 are dealt to partitions by equal ranges that are known beforehand, so nothing is sampled, and sorted there; each shard is
 ``shard_slots`` rows of one fixed stride, short sequences being padded.
 
-The written shards are read in order, from any slot on: shard and offset follow from the slot by division, and a filter on
-the slot skips all files and row groups before it. The same key, rows and settings give the same order again.
+Each shard is written as one file. They are read in order, from any slot on: shard and offset follow from the slot by
+division, and a filter on the slot skips all files and row groups before it. The same key, rows and settings give the same
+order again.
 
 Defined cases: null and empty ids make no sequence; texts of any length are cut whole; rows that repeat, also under one
 id, are numbered apart, in the order of their contents; a null doc_id is kept; an empty table gives no rows; other columns
@@ -29,6 +30,8 @@ CHUNKS = 4096
 ROUNDS = 8
 KEY = 20240229
 PAD = 0
+#: Columns of written shards, also where no rows were written; the shard is in the folder's name.
+WRITTEN = "slot long, offset int, doc_id long, seq_no int, n_tokens int, tokens binary, shard long"
 
 
 class Feistel:
@@ -134,10 +137,11 @@ def materialise(
 
 
 def write_shards(sequences: DataFrame, path: str) -> None:
-    """Writes the rows of ``materialise`` as they lie: files in slot order, none of them with a part of another's range."""
-    sequences.write.parquet(path)
+    """Writes the rows of ``materialise``: one file per shard, under ``shard=<number>``, in slot order."""
+    sequences.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def read_from(spark: SparkSession, path: str, slot: int = 0) -> DataFrame:
     """The written sequences from ``slot`` on, in order; what comes before is skipped by file and row-group statistics."""
-    return spark.read.parquet(path).filter(F.col("slot") >= slot).sort("slot")
+    rows = spark.read.schema(WRITTEN).parquet(path).filter(F.col("slot") >= slot)
+    return rows.select("slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", "tokens").sort("slot")
