@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidefolio.llm import (
     ball_tree,
+    collocations,
+    conversation_repair,
+    html_text,
     mixing,
     secrets,
     sentencepiece_codec,
@@ -92,6 +95,19 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage_tree.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.digest(rows, conversation_repair.repair(conversation_repair.damaged(rows)).summary)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sentencepiece,
         op9_simhash,
         op10_neighbours,
+        op11_conversation_repair,
+        op12_collocations,
+        op13_html_text,
     )
 }
 
@@ -168,4 +187,126 @@ FROM docs LEFT JOIN per USING (n)
 """
 
 
-ORACLES = {"op1_url_filter": _OP1, "op3_top_k": _OP3, "op6_secrets": _secrets_sql()}
+def _repair_sql() -> str:
+    """Edits by a recursion over the rows from the last one; a path is its cost in nine digits and its letters."""
+    r = conversation_repair
+
+    def put(letter: str, cost: str, after: str) -> str:
+        return f"(lpad(CAST(CAST(substr({after}, 1, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || '{letter}' || substr({after}, 10))"
+
+    after_row, after_insert = [], []
+    for x in r.STATES:
+        ways = [put(r.DELETE, str(r.COST[r.DELETE]), f"v{x}")]
+        inserts = [f"v{x}"]
+        for (state, role), to in r.NEXT.items():
+            if state != x:
+                continue
+            ways.append(f"CASE WHEN NOT gone AND initial = '{role}' THEN {put(r.KEEP, 'extra', f'v{to}')} END")
+            if role in r.SPOKEN:
+                ways.append(f"CASE WHEN NOT gone THEN {put(r.REROLE, f'{r.COST[r.REROLE]} + extra', f'v{to}')} END")
+                inserts.append(put(r.INSERT, str(r.COST[r.INSERT]), f"v{to}"))
+        after_row.append(f"least({', '.join(ways)}) AS v{x}")
+        after_insert.append(f"least({', '.join(inserts)}) AS v{x}")
+
+    def inserted(query: str) -> str:
+        for _ in range(r.MOST_INSERTS):
+            query = f"SELECT cid, i, {', '.join(after_insert)} FROM ({query})"
+        return query
+
+    # A least() of one argument is that argument.
+    start = ", ".join(("'000000000'" if x in r.ACCEPT else "CAST(NULL AS VARCHAR)") + f" AS v{x}" for x in r.STATES)
+    step = f"SELECT b.cid, b.i - 1 AS i, {', '.join(after_row)} FROM best b JOIN faulty f ON f.cid = b.cid AND f.nr = b.i"
+    following = " ".join(f"WHEN state = {x} AND spoken = '{c}' THEN {to}" for (x, c), to in r.NEXT.items())
+    return f"""
+WITH RECURSIVE filled AS (
+  SELECT coalesce('=' || CAST(conv_id AS VARCHAR), '') AS cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS named
+  FROM conversations
+), fated AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      flatten(list_transform(string_split(named, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 20 AS fate
+  FROM filled
+), damaged AS (
+  SELECT cid, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM fated WHERE fate <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, sha256(text)) AS nr, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut
+  FROM damaged
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY cid, role, text ORDER BY nr) > 1 AS again, substr(role, 1, 1) AS initial FROM placed
+), faulty AS (
+  SELECT *, cut = '' AS blank, cut <> '' AND again AS duplicate, cut = '' OR again AS gone,
+         CAST(cut <> '' AND NOT again AND right(cut, 1) NOT IN ('.', '!', '?') AS INTEGER) AS extra,
+         lag(initial) OVER (PARTITION BY cid ORDER BY nr) || initial NOT IN ('su', 'ua', 'au') AS illegal
+  FROM seen
+), best AS (
+  {inserted(f"SELECT cid, max(nr) AS i, {start} FROM faulty GROUP BY cid")}
+  UNION ALL
+  {inserted(step)}
+), chosen AS (
+  SELECT cid, CAST(substr(v0, 1, 9) AS BIGINT) AS cost, substr(v0, 10) AS audit FROM best WHERE i = 0
+), replay AS (
+  SELECT cid, audit, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS i, 0 AS state, CAST([] AS VARCHAR[]) AS lines FROM chosen
+  UNION ALL
+  SELECT cid, audit, pos, i, CASE {following} ELSE state END, CASE WHEN e = 'D' THEN lines ELSE list_append(lines, line) END FROM (
+    SELECT *, CASE WHEN e = 'D' THEN '' ELSE substr(line, 1, 1) END AS spoken FROM (
+      SELECT p.cid, p.audit, p.pos + 1 AS pos, p.i + CAST(e <> 'I' AS BIGINT) AS i, p.state, p.lines, e,
+             CASE WHEN e = 'K' THEN f.role ELSE CASE WHEN p.state = 2 THEN 'assistant' ELSE 'user' END END || ':'
+             || CASE WHEN e = 'I' THEN '' ELSE f.text END AS line
+      FROM (SELECT *, substr(audit, pos + 1, 1) AS e FROM replay WHERE pos < len(audit)) p
+      LEFT JOIN faulty f ON f.cid = p.cid AND f.nr = p.i + 1))
+), repaired AS (
+  SELECT cid, array_to_string(lines, chr(10)) AS whole FROM replay WHERE pos = len(audit)
+), per AS (
+  SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (duplicate) AS duplicate, sum(extra) AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM faulty GROUP BY cid
+)
+SELECT conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))},
+       coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || CAST(conv_id AS VARCHAR), '') AS cid FROM conversations) o
+LEFT JOIN per USING (cid) LEFT JOIN chosen USING (cid) LEFT JOIN repaired USING (cid)
+"""
+
+
+_OP12 = f"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents)
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (
+    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM pieces, (VALUES (1), (2), (3), (4)) s(size))
+), f AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+long AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cuts AS (
+  SELECT c.lang, c.size, c.phrase, c.a, k, l.a AS l, r.a AS r, CAST({collocations.SCALE}::HUGEINT * c.a // (l.a + r.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM long) c
+  JOIN f l ON l.lang = c.lang AND l.size = k AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.size = c.size - k AND r.phrase = array_to_string(w[k + 1:], ' ')
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, size, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, m AS size, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (
+    SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM long))
+  GROUP BY ALL
+), kept AS (
+  SELECT x.* FROM lowest x LEFT JOIN inside y USING (lang, size, phrase)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < {collocations.COVERED}::HUGEINT * x.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept JOIN totals USING (lang)
+) WHERE rank <= {collocations.TOP}
+"""
+
+ORACLES = {
+    "op1_url_filter": _OP1,
+    "op3_top_k": _OP3,
+    "op6_secrets": _secrets_sql(),
+    "op11_conversation_repair": _repair_sql(),
+    "op12_collocations": _OP12,
+}
