@@ -241,6 +241,9 @@ def test_unpriced_holdings_are_reported(spark, risk):
     held = spark.createDataFrame([("p", "T000", 0.75), ("p", "X", 0.25), ("q", "X", 1.0)], "portfolio_id string, ticker string, weight double")
     got = {r.portfolio_id: r for r in P.portfolio_stats(held, mu, sigma).collect()}
     assert got["p"].unpriced == 0.25 and got["q"].unpriced == 1.0 and got["q"].sigma_p is None and got["p"].sigma_p > 0
+    bench = spark.createDataFrame([("Y", 1.0)], "ticker string, weight double")
+    te = {r.portfolio_id: r for r in P.tracking_error(held, bench, sigma, mu).collect()}
+    assert te["q"].te is None and te["q"].active_ret is None and te["q"].unpriced == 1.0 and te["p"].te > 0
 
 
 def test_hrp_of_two_names_is_inverse_variance():

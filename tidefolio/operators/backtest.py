@@ -13,10 +13,12 @@ from ..schema import attach, grouped, require, universe_keys
 from ..session import Store, busy_partitions, lazily
 from .panel import calendar, running, spine, ticker_totals
 from .returns import rebalance_dates, to_simple
-from .solvers import Market, feasible_rows, least_cvar, optimise
+from .solvers import GAP, INFEASIBLE, NOT_CONVERGED, OK, Market, feasible_rows, least_cvar, optimise
 from .stats import drawdown
+from .window_moments import LEAST_DATES, pack_windows, pairwise_moments, repaired, unpack_window, window_moments
 
 Allocator = Callable[..., np.ndarray]
+NO_DATA = "no_data"
 
 
 class Inputs(NamedTuple):
@@ -83,7 +85,7 @@ def _inverse_variance(returns: DataFrame, freq: str, lookback: int) -> DataFrame
 def _by_window(
     returns: DataFrame, freq: str, lookback: int, allocator: Allocator, bench: DataFrame | None, exposures: DataFrame | None
 ) -> DataFrame:
-    """Weights from a function of the window's (dates x tickers) array and, for solver allocators, of ``Inputs``.
+    """Weights from a function of the window's (dates x tickers) array: a caller's own, or tail risk with its ``Inputs``.
 
     Each date becomes one row with the vector of its returns; a window collects ``lookback`` such rows, so a group's
     size is lookback x tickers. The windows are spread by an explicit partition number before they are collected:
@@ -106,8 +108,22 @@ def _by_window(
         .agg(F.array_sort(F.collect_list(F.struct("date", "_v"))).alias("_w"))
         .select(*by, "rb_date", F.flatten(F.col("_w")["_v"]).alias("cells"))
     )
-    packed = attach(windows, names, by)
-    # A benchmark and exposures are lists of one universe's tickers.
+    packed = _with_inputs(attach(windows, names, by), bench, exposures)
+    solver = getattr(allocator, "on_dates", None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                tickers = np.asarray(row["names"], dtype=object)
+                window = np.asarray(row["cells"], dtype=float).reshape(-1, len(tickers))
+                answer = (allocator(window), OK, np.nan) if solver is None else solver(window, _inputs(row, tickers))
+                yield _answer(row, by, tickers, *answer)
+
+    return packed.mapInPandas(run, _answer_schema(by))
+
+
+def _with_inputs(packed: DataFrame, bench: DataFrame | None, exposures: DataFrame | None) -> DataFrame:
+    """A benchmark and exposures, lists of one universe's tickers, on every window."""
     if bench is not None:
         listed = bench.agg(F.collect_list("ticker").alias("bench_ticker"), F.collect_list("weight").alias("bench_weight"))
         packed = attach(packed, listed, [])
@@ -115,21 +131,7 @@ def _by_window(
         entry = F.array_sort(F.collect_list(F.struct("factor", "ticker", "exposure")))
         listed = exposures.agg(entry.alias("_x")).select(*[F.col("_x")[c].alias(f"expo_{c}") for c in ("factor", "ticker", "exposure")])
         packed = attach(packed, listed, [])
-    solver = getattr(allocator, "takes_inputs", False)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                tickers = list(row["names"])
-                window = np.asarray(row["cells"], dtype=float).reshape(-1, len(tickers))
-                more = [_inputs(row, np.asarray(tickers, dtype=object))] if solver else []
-                out = pd.DataFrame({"rb_date": row["rb_date"], "ticker": tickers, "weight": allocator(window, *more)})
-                for k, c in enumerate(by):
-                    out.insert(k, c, row[c])
-                yield out
-
-    fields = "".join(f"{c} string, " for c in by)
-    return packed.mapInPandas(run, f"{fields}rb_date timestamp_ntz, ticker string, weight double")
+    return packed
 
 
 def _inputs(row: dict, names: np.ndarray) -> Inputs:
@@ -149,13 +151,34 @@ def _inputs(row: dict, names: np.ndarray) -> Inputs:
     return Inputs(names, bench, exposures)
 
 
-def window_moments(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance of a window; what missing values leave undefined counts as 0."""
-    filled = ~np.isnan(window)
-    seen = filled.sum(axis=0)
-    mu = np.divide(np.where(filled, window, 0.0).sum(axis=0), seen, out=np.zeros(len(seen)), where=seen > 0)
-    sigma = np.atleast_2d(np.cov(window, rowvar=False))
-    return mu, np.where(np.isfinite(sigma), sigma, 0.0)
+def _solve_windows(
+    returns: DataFrame, freq: str, lookback: int, allocator: Allocator, bench: DataFrame | None, exposures: DataFrame | None
+) -> DataFrame:
+    """Weights, status and residual from the moments of each window; see ``window_moments``."""
+    by = universe_keys(returns)
+    points = rebalance_points(returns, freq, lookback).withColumn("lookback", F.lit(lookback))
+    packed = _with_inputs(pack_windows(window_moments(returns, points)), bench, exposures)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                names = np.asarray(row["names"], dtype=object)
+                mu, sigma, seen = unpack_window(row["names"], row["_centres"], row["_lines"])
+                yield _answer(row, by, names, *allocator.solve(mu, sigma, seen, _inputs(row, names)))
+
+    return packed.mapInPandas(run, _answer_schema(by))
+
+
+def _answer_schema(by: list[str]) -> str:
+    fields = "".join(f"{c} string, " for c in by)
+    return f"{fields}rb_date timestamp_ntz, ticker string, weight double, status string, residual double"
+
+
+def _answer(row: dict, by: list[str], names: np.ndarray, weights: np.ndarray, status: str, residual: float) -> pd.DataFrame:
+    out = pd.DataFrame({"rb_date": row["rb_date"], "ticker": names, "weight": weights, "status": status, "residual": residual})
+    for k, c in enumerate(by):
+        out.insert(k, c, row[c])
+    return out
 
 
 def solver_allocator(
@@ -174,29 +197,46 @@ def solver_allocator(
     """An allocator that runs one of the construction methods on the moments of each window, or 'cvar' on its dates.
 
     Benchmark (the reference too, equal weights by default) and factor exposures, which ``rho`` holds between ``lb`` and
-    ``ub``, are those given to ``rebalance_weights`` or ``backtest``.
+    ``ub``, are those given to ``rebalance_weights`` or ``backtest``. Moments are taken pair by pair over the dates that have
+    both returns, and ``repaired``. Tickers with fewer than two returns in a window are left out of its problem and get weight 0; a window
+    without any other has equal weights and the status 'no_data'.
     """
-
-    def allocate(window: np.ndarray, inputs: Inputs | None = None) -> np.ndarray:
-        n = window.shape[1]
-        equal = np.full(n, 1.0 / n)
-        bench = equal if inputs is None or inputs.bench is None else inputs.bench
-        one = lambda x: np.full((1, 1), float(x))
-        if method == "cvar":
-            if not feasible_rows(n, one(w_min), one(w_max))[0]:
-                return equal
-            return least_cvar(np.nan_to_num(window), alpha, lam, bench, w_min, w_max)[0]
-        mu, sigma = window_moments(window)
-        market = Market(np.arange(n), sigma, mu)
+    one = lambda x: np.full((1, 1), float(x))
+
+    def solve(mu: np.ndarray, sigma: np.ndarray, seen: np.ndarray, inputs: Inputs | None) -> tuple[np.ndarray, str, float]:
+        live = np.diag(seen) >= LEAST_DATES
+        n = int(live.sum())
+        if not n:
+            return np.full(len(mu), 1.0 / len(mu)), NO_DATA, np.nan
+        market = Market(np.arange(n), repaired(sigma[np.ix_(live, live)], seen[np.ix_(live, live)]), mu[live])
+        bench = np.full(len(mu), 1.0 / n) if inputs is None or inputs.bench is None else inputs.bench
+        bench = bench[live]
         if inputs is not None and inputs.exposures is not None:
-            market.exposures, market.lb, market.ub = inputs.exposures, lb, ub
-        w, _, _ = optimise(
+            market.exposures, market.lb, market.ub = inputs.exposures[:, live], lb, ub
+        found, status, residual = optimise(
             market, method, gamma=one(gamma), lam=one(lam), lo=one(w_min), hi=one(w_max), rho=one(rho),
             bench=bench[None, :], ref=bench[None, :], **options,
         )
-        return w[0]
+        w = np.zeros(len(mu))
+        w[live] = found[0]
+        return w, str(status[0]), float(residual[0])
+
+    def on_dates(window: np.ndarray, inputs: Inputs | None) -> tuple[np.ndarray, str, float]:
+        n = window.shape[1]
+        equal = np.full(n, 1.0 / n)
+        if not feasible_rows(n, one(w_min), one(w_max))[0]:
+            return equal, INFEASIBLE, np.nan
+        bench = equal if inputs is None or inputs.bench is None else inputs.bench
+        w, gap = least_cvar(np.nan_to_num(window), alpha, lam, bench, w_min, w_max)
+        return w, OK if gap <= GAP else NOT_CONVERGED, gap
+
+    def allocate(window: np.ndarray, inputs: Inputs | None = None) -> np.ndarray:
+        return (on_dates(window, inputs) if method == "cvar" else solve(*pairwise_moments(window), inputs))[0]
 
     allocate.takes_inputs = True
+    allocate.on_dates = on_dates
+    if method != "cvar":
+        allocate.solve = solve
     return allocate
 
 
@@ -211,17 +251,21 @@ def rebalance_weights(
 ) -> DataFrame:
     """Weights summing to 1 per rebalance date: 'equal', 'inverse_variance', or any function of a window.
 
-    ``bench`` (ticker, weight) and ``exposures`` (factor, ticker, exposure) reach solver allocators.
+    ``bench`` (ticker, weight) and ``exposures`` (factor, ticker, exposure) reach solver allocators, whose weights come with
+    the ``status`` and ``residual`` of their window.
     """
     by = universe_keys(returns)
-    if callable(allocator):
+    extra = ["status", "residual"] if getattr(allocator, "takes_inputs", False) else []
+    if hasattr(allocator, "solve"):
+        raw = _solve_windows(returns, freq, lookback, allocator, bench, exposures)
+    elif callable(allocator):
         raw = _by_window(returns, freq, lookback, allocator, bench, exposures)
     elif allocator in ("equal", "inverse_variance"):
         raw = (_equal if allocator == "equal" else _inverse_variance)(returns, freq, lookback)
     else:
         raise ValueError("allocator must be 'equal', 'inverse_variance' or a function")
     total = F.greatest(F.sum("weight").over(W.partitionBy(*by, "rb_date")), F.lit(1e-12))
-    return raw.select(*by, "rb_date", "ticker", (F.col("weight") / total).alias("weight"))
+    return raw.select(*by, "rb_date", "ticker", (F.col("weight") / total).alias("weight"), *extra)
 
 
 # --- turnover, carried weights, equity ----------------------------------------------------------------------------

@@ -118,6 +118,11 @@ def _priced_sums(weights: DataFrame, sigma: DataFrame, mu: DataFrame | None, gai
     )
 
 
+def _root(variance: Column) -> Column:
+    """Square root of a variance that rounding may have put below 0; NULL stays NULL."""
+    return F.when(variance.isNotNull(), F.sqrt(F.greatest(variance, F.lit(0.0))))
+
+
 def active_weights(weights: DataFrame, bench: DataFrame) -> DataFrame:
     """Weight, benchmark weight and their difference for every ticker held by either.
 
@@ -147,7 +152,7 @@ def portfolio_stats(weights: DataFrame, mu: DataFrame, sigma: DataFrame, rf: flo
     A portfolio without any priced ticker is kept, with NULL for what needs a covariance.
     """
     both = _priced_sums(weights, sigma, mu, "mu_p").join(_variances(weights, sigma), PID, "left")
-    risk = F.sqrt(F.greatest(F.col("_var"), F.lit(0.0)))
+    risk = _root(F.col("_var"))
     rows = both.select(PID, F.when(F.col("_var").isNotNull(), F.col("mu_p")).alias("mu_p"), risk.alias("sigma_p"), "unpriced")
     sharpe = F.when(F.col("sigma_p") > GAP, (F.col("mu_p") - rf) / F.col("sigma_p"))
     return rows.select(PID, "mu_p", "sigma_p", sharpe.alias("sharpe"), "unpriced")
@@ -216,7 +221,7 @@ def turnover(weights: DataFrame, ref: DataFrame, lam: float = 1.0) -> DataFrame:
 def _tracking(active: DataFrame, sigma: DataFrame, mu: DataFrame | None) -> DataFrame:
     """te, active_ret where ``mu`` is given, and unpriced; NULL where nothing of a portfolio is priced."""
     both = _priced_sums(active, sigma, mu, "active_ret", "active").join(_variances(active, sigma, "active"), PID, "left")
-    te = F.sqrt(F.greatest(F.col("_var"), F.lit(0.0))).alias("te")
+    te = _root(F.col("_var")).alias("te")
     gain = [F.when(F.col("_var").isNotNull(), F.col("active_ret")).alias("active_ret")] if mu is not None else []
     return both.select(PID, te, *gain, "unpriced")
 

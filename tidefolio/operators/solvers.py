@@ -186,43 +186,101 @@ def descend(
     return w, residual
 
 
-def boxed_risk(sigma: np.ndarray, lo: np.ndarray, hi: np.ndarray, iters: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Risk parity in a box: the minimum of 1/2 w'Sw - c sum(log w) in [lo, hi] with c such that w sums to 1.
+def balanced(sigma: np.ndarray, limit: int = 200) -> tuple[np.ndarray, int]:
+    """Weights of equal risk contributions without a box, summing to 1, and the number of factorizations.
 
-    Weights inside the box contribute equally (c each), those at lo no less and those at hi no more. For a given c one
-    coordinate after the other moves to its own minimum, cut to the box; the sum rises with c, which is bisected. The
-    residual is the largest relative gap of these conditions, or the sum's distance from 1.
+    The minimum of 1/2 y'Cy - sum(log y) over the correlations C, by Newton steps that stay positive and go down; only the
+    scale of the answer depends on the budget, so it is set at the end.
     """
-    var, (rows, n) = np.diag(sigma), (len(lo), len(sigma))
-    lo, hi = lo.reshape(rows, 1), hi.reshape(rows, 1)
-    w = np.clip(np.full((rows, n), 1.0 / n), lo, hi)
-
-    def settle(c: np.ndarray, w: np.ndarray) -> np.ndarray:
-        sweeps = 0
-        while iters is None or sweeps < iters:
-            sweeps += 1
-            before = w.copy()
-            for i in range(n):
-                cross = w @ sigma[:, i] - var[i] * w[:, i]
-                free = (np.sqrt(cross * cross + 4.0 * var[i] * c) - cross) / (2.0 * var[i])
-                w[:, i] = np.clip(free, lo[:, 0], hi[:, 0])
-            if np.abs(w - before).max() <= 1e-14 or sweeps >= PATIENCE:
-                break
-        return w
-
-    low, high = np.full(rows, 1e-16), np.full(rows, float(np.abs(sigma).sum()) + 1e-8)
-    for _ in range(100):
-        c = np.sqrt(low * high)
-        w = settle(c, w)
-        over = w.sum(axis=1) > 1.0
-        low, high = np.where(over, low, c), np.where(over, c, high)
-        if (high - low <= 1e-15 * high).all():
+    sd = np.sqrt(np.diag(sigma))
+    c = sigma / sd[:, None] / sd[None, :]
+    y = np.full(len(c), np.sqrt(len(c) / max(c.sum(), 1e-12)))
+    value = lambda v: 0.5 * v @ c @ v - np.log(v).sum()
+    last = np.inf
+    for used in range(1, limit + 1):
+        slope = c @ y - 1.0 / y
+        step = np.linalg.solve(c + np.diag(1.0 / (y * y)), slope)
+        decrement = float(slope @ step)
+        fall = np.max(step / y)
+        t = 1.0 if fall < 0.95 else 0.95 / fall
+        now = value(y)
+        while decrement > 1e-12 and value(y - t * step) > now - 1e-4 * t * decrement and t > 1e-12:
+            t /= 2
+        y = y - t * step
+        if decrement <= 1e-24 or (decrement <= 1e-20 and decrement >= last):
             break
-    rc = w * (w @ sigma)
-    gap = rc / c[:, None] - 1.0
+        last = decrement
+    w = y / sd
+    return w / w.sum(), used
+
+
+def _share_gap(sigma: np.ndarray, w: np.ndarray, c: float, lo: np.ndarray, hi: np.ndarray) -> float:
+    """Largest relative gap of the contributions from c, where no bound allows one, or the sum's distance from 1."""
+    gap = w * (sigma @ w) / c - 1.0
     # Too large a share is right at lo only, too small a one at hi only.
     wrong = np.where(w <= lo, np.maximum(-gap, 0.0), np.where(w >= hi, np.maximum(gap, 0.0), np.abs(gap)))
-    return w, np.maximum(wrong.max(axis=1), np.abs(w.sum(axis=1) - 1.0))
+    return max(float(wrong.max()), abs(float(w.sum()) - 1.0))
+
+
+def _newton_in_box(
+    sigma: np.ndarray, w: np.ndarray, c: float, lo: np.ndarray, hi: np.ndarray, limit: int, budget: bool
+) -> tuple[np.ndarray, float]:
+    """Newton steps on the weights off their bounds, and on c too where the sum is to be 1; one factorization a step."""
+    best, best_gap = (w, c), np.inf
+    value = lambda v: 0.5 * v @ sigma @ v - c * np.log(v).sum()
+    for _ in range(limit):
+        slope = sigma @ w - c / w
+        free = ~(((w <= lo) & (slope > 0)) | ((w >= hi) & (slope < 0)))
+        gap = _share_gap(sigma, w, c, lo, hi) if budget else float(np.abs(np.where(free, slope * w / c, 0.0)).max())
+        if gap < best_gap:
+            best, best_gap = (w, c), gap
+        if gap <= 1e-13 or not free.any():
+            break
+        v = w[free]
+        to = np.linalg.solve(sigma[np.ix_(free, free)] + np.diag(c / (v * v)), np.stack([-slope[free], 1.0 / v], axis=1))
+        rise = float(to[:, 1].sum())
+        dc = (1.0 - w.sum() - to[:, 0].sum()) / rise if budget and rise > 0 else 0.0
+        dw = to[:, 0] + dc * to[:, 1]
+        t = min(1.0, 0.9 / max(np.max(-dw / v), -dc / c, 1e-300))
+        moved = w.copy()
+        moved[free] = np.clip(v + t * dw, lo[free], hi[free])
+        while not budget and t > 1e-12 and value(moved) > value(w) + 1e-4 * slope[free] @ (moved[free] - v):
+            t /= 2
+            moved[free] = np.clip(v + t * dw, lo[free], hi[free])
+        w, c = moved, c + t * dc
+    return best
+
+
+def boxed_risk(sigma: np.ndarray, lo: np.ndarray, hi: np.ndarray, iters: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Risk parity in a box: the minimum of 1/2 w'Sw - c sum(log w) in [lo, hi] with c such that w sums to 1.
+
+    Weights inside the box contribute equally (c each), those at lo no less and those at hi no more. Newton steps move the
+    weights off their bounds together with c. Where they do not settle, c is bisected (the sum rises with it) around the
+    same steps for a fixed c, a convex problem. The residual is the largest relative gap of these conditions, or the
+    sum's distance from 1.
+    """
+    rows, n = len(lo), len(sigma)
+    limit = 100 if iters is None else iters
+    start, _ = balanced(sigma, max(limit, 1))
+    out, residual = np.empty((rows, n)), np.empty(rows)
+    for k in range(rows):
+        low, high = np.full(n, max(float(lo[k, 0]), 0.0)), np.full(n, float(hi[k, 0]))
+        w = project_rows(start[None, :], low[None, :], high[None, :])[0]
+        w = np.maximum(w, 1e-12)
+        c = float(w @ sigma @ w) / n
+        w, c = _newton_in_box(sigma, w, c, low, high, limit, True)
+        gap = _share_gap(sigma, w, c, low, high)
+        if gap > 1e-9 and iters is None:
+            ends = [c * 1e-6, c * 1e6]
+            for _ in range(100):
+                c = float(np.sqrt(ends[0] * ends[1]))
+                w, _ = _newton_in_box(sigma, w, c, low, high, 200, False)
+                ends[1 if w.sum() > 1.0 else 0] = c
+                if ends[1] - ends[0] <= 1e-15 * ends[1]:
+                    break
+            gap = _share_gap(sigma, w, c, low, high)
+        out[k], residual[k] = w, gap
+    return out, residual
 
 
 def risk_parity(market: Market, lo: np.ndarray, hi: np.ndarray, iters: int | None = None) -> tuple[np.ndarray, np.ndarray]:

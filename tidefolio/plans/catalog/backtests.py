@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ...operators import backtest as B
+from ...operators.covariance import spectrum_diagnostics
+from ...operators.window_moments import FLOOR
+from ...schema import attach
 from ...session import hand_off
 from .. import derive as D
 from ..registry import query, sql, tidy
@@ -144,42 +147,96 @@ def backtest_inverse_variance(spark, d):
 
 WEIGHT_CHECK = sql(
     BASE,
-    "SELECT rb_date, (SELECT count(*) FROM names) AS n, 1.0 AS total, TRUE AS in_box, TRUE AS beats_equal FROM points",
-    dates=["rb_date"], floats=["total"], ints=["n"], plain=["in_box", "beats_equal"],
+    "SELECT rb_date, (SELECT count(*) FROM names) AS n, 1.0 AS total, TRUE AS in_box, TRUE AS solved, TRUE AS best FROM points",
+    dates=["rb_date"], floats=["total"], ints=["n"], plain=["in_box", "solved", "best"],
 )
 
 
 GAMMA = 0.1
-
-
-def _solver_weights(spark, d, method, w_max=0.3):
-    """Weights per rebalance, and whether they beat equal ones: a lower variance over the window for the methods that
-    spread risk, weights that use the trade-off at all for the others (weeks without a price leave the solver other
-    moments than the window's own). Equal weights pass neither."""
-    returns = weekly(spark, d)
-    weights = B.rebalance_weights(returns, lookback=LOOKBACK, allocator=B.solver_allocator(method, gamma=GAMMA, w_max=w_max))
-    weights = hand_off(weights, "weights")
-    series = (
-        B.lookback_windows(returns, freq="1mo", lookback=LOOKBACK)
-        .join(returns.select("date", "ticker", "ret"), "date")
-        .join(weights, ["rb_date", "ticker"])
-        .groupBy("rb_date", "date")
-        .agg(F.sum(F.col("weight") * F.col("ret")).alias("_p"), F.avg("ret").alias("_e"))
+W_MAX = 0.3
+
+
+def _window_risk(returns):
+    """Moments of each window by plain joins, as a check of the tiles: (universe_id, i, j, value) over the dates that have both
+    returns, with each rebalance date as a universe, and (universe_id, ticker, mu). Where pairs have different dates,
+    correlations are shrunk until their least eigenvalue is at the floor."""
+    label = F.date_format("rb_date", "yyyy-MM-dd HH:mm:ss").alias("universe_id")
+    windows = B.lookback_windows(returns, freq="1mo", lookback=LOOKBACK)
+    cells = hand_off(windows.join(returns.select("date", "ticker", "ret"), "date").select(label, "date", "ticker", "ret"), "cells")
+    left = cells.select("universe_id", "date", F.col("ticker").alias("i"), F.col("ret").alias("x"))
+    right = cells.select("universe_id", "date", F.col("ticker").alias("j"), F.col("ret").alias("y"))
+    both = left.join(right, ["universe_id", "date"]).groupBy("universe_id", "i", "j")
+    pairs = both.agg(F.covar_samp("x", "y").alias("value"), F.count(F.lit(1)).alias("dates"))
+    means = cells.groupBy("universe_id", "ticker").agg(F.avg("ret").alias("mu"), F.count("ret").alias("dates"))
+    live = means.where("dates >= 2").select("universe_id", "ticker")
+    grid = live.withColumnRenamed("ticker", "i").join(live.withColumnRenamed("ticker", "j"), "universe_id")
+    zero = F.lit(0).cast("bigint")
+    sigma = hand_off(
+        grid.join(pairs, ["universe_id", "i", "j"], "left").select(
+            "universe_id", "i", "j", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("dates", zero).alias("dates")
+        ),
+        "sigma",
     )
-    if method in ("risk_parity", "hrp"):
-        checks = series.groupBy("rb_date").agg((F.var_samp("_p") < F.var_samp("_e") * (1 - 1e-9)).alias("beats_equal"))
-    else:
-        apart = F.max(weights["weight"]) - F.min(weights["weight"])
-        checks = weights.groupBy("rb_date").agg((apart > 1e-6).alias("beats_equal"))
-    return tidy(
-        weights.join(checks, "rb_date").groupBy("rb_date", "beats_equal").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("weight").alias("total"),
-            ((F.min("weight") >= -1e-9) & (F.max("weight") <= w_max + 1e-9)).alias("in_box"),
+    uneven = sigma.groupBy("universe_id").agg((F.min("dates") < F.max("dates")).alias("uneven"))
+    own = sigma.where("i = j").select("universe_id", F.col("i").alias("ticker"), F.sqrt("value").alias("sd"))
+    sides = [own.withColumnRenamed("ticker", side).withColumnRenamed("sd", f"sd_{side}") for side in ("i", "j")]
+    # Beyond 1 in size where a pair's dates are others than each ticker's own.
+    rho = sigma.join(sides[0], ["universe_id", "i"]).join(sides[1], ["universe_id", "j"]).select(
+        "universe_id", "i", "j", (F.col("value") / (F.col("sd_i") * F.col("sd_j"))).alias("value")
+    )
+    low = spectrum_diagnostics(rho).select("universe_id", "lambda_min")
+    lift = (FLOOR - F.col("lambda_min")) / (1.0 - F.col("lambda_min"))
+    factor = 1.0 - F.when(F.col("uneven"), F.greatest(lift, F.lit(0.0))).otherwise(0.0)
+    value = F.when(F.col("i") == F.col("j"), F.col("value")).otherwise(F.col("value") * factor)
+    fixed = sigma.join(uneven, "universe_id").join(low, "universe_id").select(
+        "universe_id", "i", "j", value.alias("value"), factor.alias("kept")
+    )
+    return hand_off(fixed, "repaired"), means
+
+
+def _checked(returns, weights, method, w_max=W_MAX):
+    """Per rebalance, whether its weights are the best there are for its window: the conditions of the optimum in the box
+    for mean-variance and active risk, equal contributions off the bounds for risk parity, less risk than equal weights for
+    the clustered one. Weights from other moments than the window's own fail, as do equal weights."""
+    sigma, means = _window_risk(returns)
+    held = weights.select(F.date_format("rb_date", "yyyy-MM-dd HH:mm:ss").alias("universe_id"), "rb_date", "ticker", "weight", "status")
+    n = F.count(F.lit(1)).over(W.partitionBy("universe_id"))
+    held = hand_off(held.withColumn("even", 1.0 / n), "held")
+    against = F.col("weight") - F.col("even") if method == "te_active" else F.col("weight")
+    other = held.select("universe_id", F.col("ticker").alias("j"), against.alias("v"), F.col("even").alias("e"))
+    slope = sigma.join(other, ["universe_id", "j"]).groupBy("universe_id", F.col("i").alias("ticker")).agg(
+        F.sum(F.col("value") * F.col("v")).alias("sv"), F.sum(F.col("value") * F.col("e")).alias("se"), F.min("kept").alias("kept")
+    )
+    rows = held.join(slope, ["universe_id", "ticker"]).join(means, ["universe_id", "ticker"])
+    w, loose = F.col("weight"), F.col("weight") < w_max - 1e-7
+    if method in ("mv_l2", "te_active"):
+        gain = F.col("sv") - GAMMA * F.col("mu")
+        over, under = F.max(F.when(w > 1e-7, gain)), F.min(F.when(loose, gain))
+        best = over - under <= 1e-5 * F.max(F.abs(F.col("sv")) + GAMMA * F.abs(F.col("mu")))
+    elif method == "risk_parity":
+        share = w * F.col("sv")
+        inner = F.when(loose, share)
+        best = (F.max(inner) <= F.min(inner) * (1 + 1e-5)) & (
+            F.coalesce(F.max(F.when(~loose, share)), F.lit(0.0)) <= F.min(inner) * (1 + 1e-5)
         )
+    else:
+        # No such bound holds where most pairs have few dates in common and their correlations contradict each other.
+        best = (F.min("kept") < 0.95) | (F.sum(w * F.col("sv")) < F.sum(F.col("even") * F.col("se")) * (1 - 1e-9))
+    checks = rows.groupBy("rb_date").agg(best.alias("best"))
+    return held.join(checks, "rb_date", "left").groupBy("rb_date", "best").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("weight").alias("total"),
+        ((F.min("weight") >= -1e-9) & (F.max("weight") <= w_max + 1e-9)).alias("in_box"),
+        F.every(F.col("status") == "ok").alias("solved"),
     )
 
 
+def _solver_weights(spark, d, method):
+    returns = weekly(spark, d)
+    weights = B.rebalance_weights(returns, lookback=LOOKBACK, allocator=B.solver_allocator(method, gamma=GAMMA, w_max=W_MAX))
+    return tidy(_checked(returns, hand_off(weights, "weights"), method))
+
+
 @query("rebalance_mean_variance", WEIGHT_CHECK)
 def rebalance_mean_variance(spark, d):
     return _solver_weights(spark, d, "mv_l2")
@@ -223,22 +280,30 @@ def backtest_te_active(spark, d):
     "backtest_hrp",
     sql(
         BASE,
-        "SELECT count(*) AS n_dates, TRUE AS compounds, TRUE AS drawdown_ok FROM cal WHERE idx > 52",
-        ints=["n_dates"], plain=["compounds", "drawdown_ok"],
+        """SELECT count(*) AS n_dates, (SELECT count(*) FROM points) AS n_rebalances, TRUE AS compounds, TRUE AS drawdown_ok, TRUE AS best
+           FROM cal WHERE idx > 52""",
+        ints=["n_dates", "n_rebalances"], plain=["compounds", "drawdown_ok", "best"],
     ),
 )
 def backtest_hrp(spark, d):
-    """A full solver-driven run: equity compounds day by day and never stands above its peak."""
-    from pyspark.sql import Window as W
-
-    equity = _run(spark, d, B.solver_allocator("hrp")).equity
+    """A full solver-driven run: the weights of every rebalance carry less risk over their window than equal ones, equity
+    compounds day by day and never stands above its peak."""
+    returns = weekly(spark, d)
+    run = B.backtest(
+        returns, lookback=LOOKBACK, rebalance_freq="1mo", cost_bps=COST, allocator=B.solver_allocator("hrp"),
+        bench=_equal_bench(returns), kind="log", store=hand_off,
+    )
     before = F.coalesce(F.lag("equity").over(W.orderBy("date")), F.lit(1.0))
     step = F.abs(F.col("equity") / (before * (1.0 + F.col("port_ret") - F.col("cost"))) - 1.0)
-    return equity.withColumn("_step", step).agg(
+    checks = _checked(returns, run.weights, "hrp", 1.0).agg(
+        F.count(F.lit(1)).alias("n_rebalances"), F.every(F.col("best") & F.col("solved")).alias("best")
+    )
+    grown = run.equity.withColumn("_step", step).agg(
         F.count(F.lit(1)).alias("n_dates"),
         (F.max("_step") < 1e-9).alias("compounds"),
         (F.max("drawdown") <= 0).alias("drawdown_ok"),
     )
+    return attach(grown, checks, [])
 
 
 @query(
