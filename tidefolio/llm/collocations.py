@@ -47,6 +47,7 @@ HELD_ENTRIES = 1 << 20
 #: Occurrences per shard that bound a shard's memory when merged.
 SHARD_WORDS = 1 << 22
 LEAST_SHARDS = 64
+RANK_PARTS = 256
 MOST_BITS = 1 << 28
 BITS_PER_ENTRY = 16
 HASH_SEED = 42
@@ -428,8 +429,12 @@ def collocations(docs: DataFrame, *, least: int = LEAST, most_words: int = MOST_
     first = words.select(F.col("id").alias("head"), "lang")
     rows = scored(phrases).withColumn("head", part("key", F.lit(0), F.lit(1))).join(first, "head").drop("head")
     # Names are looked up for rows that can be among the first ones only, ties at the end included.
+    # Parts of a language are ranked first, so that what meets in one task is bounded by the parts and ``top``.
+    by_part = W.partitionBy("lang", F.pmod(F.xxhash64("key"), F.lit(RANK_PARTS))).orderBy(F.desc("score"), F.desc("a"))
     near = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    best = hand_off(rows.withColumn("at", F.rank().over(near)).where(F.col("at") <= top), "phrases-best")
+    for order in (by_part, near):
+        rows = rows.withColumn("at", F.rank().over(order)).where(F.col("at") <= top)
+    best = hand_off(rows, "phrases-best")
     places = best.select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos")).withColumn(
         "id", part("key", F.col("pos"), F.lit(1))
     )
