@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tidefolio.operators import allocate as A, backtest as B, portfolio as P, projection as J, solvers as S
+from tidefolio.operators import allocate as A, backtest as B, portfolio as P, projection as J, solvers as S, tail_risk as T
 from tidefolio.plans.pipelines import data_pipeline, optimise_portfolios, risk_model
 from tidefolio.session import hand_off
 from test_risk import START, matrix, returns, table
@@ -311,14 +311,14 @@ def test_least_cvar_cannot_be_improved(lam):
 def test_cvar_minimise_of_many_problems(spark):
     x = np.random.default_rng(8).normal(0.001, 0.02, size=(60, 4))
     problems = spark.createDataFrame([(f"p{k}", 0.3 + 0.1 * (k % 3)) for k in range(20)] + [("none", 0.1)], "portfolio_id string, w_max double")
-    out = A.cvar_minimise(problems, returns(spark, x), alpha=0.9, part=4)
+    out = T.cvar_minimise(problems, returns(spark, x), alpha=0.9)
     got, status = rows_of(out), {r.portfolio_id: r.status for r in out.select("portfolio_id", "status").distinct().collect()}
     assert status.pop("none") == "infeasible" and set(status.values()) == {"ok"} and np.allclose(got["none"], 0.25)
     for k in range(20):
         want, _ = S.least_cvar(x, 0.9, 0.0, np.full(4, 0.25), 0.0, 0.3 + 0.1 * (k % 3))
         assert np.isclose(cvar(x, got[f"p{k}"], 0.9), cvar(x, want, 0.9), atol=1e-8)
     with pytest.raises(ValueError):
-        A.cvar_minimise(problems, returns(spark, x), gamma=1.0)
+        T.cvar_minimise(problems, returns(spark, x), gamma=1.0)
 
 
 def test_closed_forms(spark, risk):

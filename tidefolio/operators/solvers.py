@@ -300,8 +300,8 @@ def risk_parity(market: Market, lo: np.ndarray, hi: np.ndarray, iters: int | Non
 GAP = 1e-9  # relative gap between the objective and its dual bound
 
 
-def linear_program(c: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int = 200) -> tuple[np.ndarray, float]:
-    """min c'x with a x = b, x >= 0, by a predictor-corrector interior point; the point and its relative gap.
+def linear_program(c: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+    """min c'x with a x = b, x >= 0, by a predictor-corrector interior point; the point, its multipliers and relative gap.
 
     Each step solves the normal equations twice: once straight for the optimum, which tells how much centring is needed,
     and once with that centring and the second-order term of the first.
@@ -309,12 +309,12 @@ def linear_program(c: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int = 200
     n = len(c)
     norm = 1.0 + max(np.abs(b).max(initial=0.0), np.abs(c).max(initial=0.0))
     x, y, s = np.ones(n), np.zeros(len(b)), np.ones(n)
-    best, best_gap = x, np.inf
+    best, best_y, best_gap = x, y, np.inf
     for _ in range(limit):
         primal, dual = b - a @ x, c - a.T @ y - s
         gap = max(abs(c @ x - b @ y) / (1.0 + abs(c @ x)), np.abs(primal).max() / norm, np.abs(dual).max() / norm)
         if gap < best_gap:
-            best, best_gap = x, gap
+            best, best_y, best_gap = x, y, gap
         if gap <= GAP / 10:
             break
         scale = x / s
@@ -341,7 +341,7 @@ def linear_program(c: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int = 200
         x = x + 0.995 * longest(x, dx) * dx
         step = 0.995 * longest(s, ds)
         y, s = y + step * dy, s + step * ds
-    return best, best_gap
+    return best, best_y, best_gap
 
 
 def least_cvar(
@@ -368,11 +368,61 @@ def least_cvar(
         right.append(ref - lo)
     tail = np.full(t, 1.0 / ((1.0 - alpha) * t))
     cost = np.concatenate([zero(2 * n), tail, zero(t), [1.0], np.full(2 * n * pay, lam)])
-    x, gap = linear_program(cost, np.vstack(blocks), np.concatenate(right), limit)
+    x, _, gap = linear_program(cost, np.vstack(blocks), np.concatenate(right), limit)
     w = x[:n] + lo
     return project_rows(w[None, :], np.array([[lo]]), np.array([[hi]]))[0], gap
 
 
+def tail_master(
+    cuts: np.ndarray, blocks: int, lam: float, ref: np.ndarray, lo: float, hi: float, floor: float
+) -> tuple[np.ndarray, float, float]:
+    """Weights, loss level v and value of the least v + sum of block excesses + lam |w - ref|_1 that the cuts allow.
+
+    A cut (block, n, g) says that the block's excess is at least g'w - n v. The last weight is one minus the others, so all
+    constraints are inequalities on free unknowns (weights, v, an excess per block, a distance per weight where it costs).
+    What is solved is the dual: as many equations as unknowns, and one variable at least 0 per cut or bound.
+    """
+    n, pay = cuts.shape[1] - 2, lam > 0
+    size = n - 1 + 1 + blocks + n * pay
+    level, excess, away = n - 1, n, n + blocks
+
+    def on_weights(rows: np.ndarray) -> np.ndarray:
+        return rows[:, :-1] - rows[:, -1:]
+
+    one = np.eye(n)
+    k = len(cuts)
+    lines = np.zeros((k, size))
+    lines[:, : n - 1], lines[:, level] = -on_weights(cuts[:, 2:]), cuts[:, 1]
+    lines[np.arange(k), excess + cuts[:, 0].astype(int)] = 1.0
+    spare = np.zeros((blocks + 1, size))
+    spare[np.arange(blocks), excess + np.arange(blocks)] = 1.0
+    spare[blocks, level] = 1.0
+    boxed = np.zeros((2 * n, size))
+    boxed[:n, : n - 1], boxed[n:, : n - 1] = on_weights(one), -on_weights(one)
+    last = one[-1]
+    parts, right = [lines, spare, boxed], [cuts[:, -1], np.zeros(blocks), [floor], lo - last, last - hi]
+    goal = np.zeros(size)
+    goal[level : excess + blocks] = 1.0
+    if pay:
+        moved = np.zeros((2 * n, size))
+        moved[:n, : n - 1], moved[n:, : n - 1] = -on_weights(one), on_weights(one)
+        moved[:n, away:] = moved[n:, away:] = one
+        parts.append(moved)
+        right += [last - ref, ref - last]
+        goal[away:] = lam
+    rows, bounds = np.vstack(parts), np.concatenate(right)
+    y, u, _ = linear_program(-bounds, rows.T, goal)
+    x = -u[: n - 1]
+    return np.append(x, 1.0 - x.sum()), float(-u[level]), float(bounds @ y)
+
+
+def tail_cuts(scenarios: np.ndarray, w: np.ndarray, v: float, share: float) -> np.ndarray:
+    """(value, n, g): the scenarios' excess of the loss over v, times ``share``, and its slopes in v and w."""
+    loss = -scenarios @ w
+    beyond = loss > v
+    return np.concatenate(([share * (loss[beyond] - v).sum(), share * beyond.sum()], -share * scenarios[beyond].sum(axis=0)))
+
+
 # --- hierarchical risk parity -------------------------------------------------------------------------------------
 
 def _least_sums(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ...operators import allocate as A, covariance as G, mu as M, panel, portfolio as P, projection as J
+from ...operators.tail_risk import cvar_minimise as cvar_least
 from ...session import hand_off
 from .. import derive as D
 from ..pipelines import data_pipeline, optimise_portfolios, risk_model
@@ -460,7 +461,7 @@ def cvar_minimise(spark, d):
     returns = brand_panel(spark, d)
     held = hand_off(D.segment_holdings(spark, d), "held")
     problems = held.select("portfolio_id").distinct()
-    w = hand_off(A.cvar_minimise(problems, returns, alpha=alpha, ref=held, lam=lam, w_max=cap), "weights")
+    w = hand_off(cvar_least(problems, returns, alpha=alpha, ref=held, lam=lam, w_max=cap), "weights")
     own = w.select("portfolio_id", "ticker", "weight")
     goals = {
         "equal": own.withColumn("goal", 1.0 / F.count(F.lit(1)).over(W.partitionBy("portfolio_id"))),
@@ -502,6 +503,43 @@ def cvar_minimise(spark, d):
     return tidy(sums.join(best, "portfolio_id").select("portfolio_id", "n", "total", "in_box", "no_descent"))
 
 
+@query(
+    "cvar_minimise_universes",
+    sql(
+        [C.SEG_RET_MONTH],
+        "SELECT universe_id, count(DISTINCT ticker) AS n, 1.0 AS total, TRUE AS in_box, TRUE AS solved, TRUE AS beats_equal FROM uret GROUP BY 1",
+        ints=["n"], floats=["total"], plain=["universe_id", "in_box", "solved", "beats_equal"],
+    ),
+)
+def cvar_minimise_universes(spark, d):
+    """One problem per market segment, each on the monthly returns its own customers saw, solved together: a gap to the
+    bound of at most 1e-9, and no more tail loss than equal weights."""
+    alpha, cap = 0.9, 0.2
+    returns = hand_off(D.segment_returns(spark, d, "1mo"), "returns")
+    problems = returns.select("universe_id").distinct().withColumn("portfolio_id", F.col("universe_id"))
+    w = hand_off(cvar_least(problems, returns, alpha=alpha, w_max=cap), "weights")
+    equal = 1.0 / F.count(F.lit(1)).over(W.partitionBy("universe_id"))
+    both = w.select("universe_id", "ticker", "weight").withColumn("even", equal)
+    series = returns.join(both, ["universe_id", "ticker"]).groupBy("universe_id", "date").agg(
+        (-F.sum(F.col("weight") * F.col("ret"))).alias("own"), (-F.sum(F.col("even") * F.col("ret"))).alias("equal")
+    )
+    # The tail mean over dates, the date at the border counted in part.
+    tail = (1 - alpha) * F.count(F.lit(1)).over(W.partitionBy("universe_id"))
+    part = lambda c: F.least(
+        F.greatest(F.col("_tail") - F.row_number().over(W.partitionBy("universe_id").orderBy(F.desc(c))) + 1, F.lit(0.0)), F.lit(1.0)
+    )
+    shares = series.withColumn("_tail", tail).withColumn("_o", part("own")).withColumn("_e", part("equal"))
+    beats = shares.groupBy("universe_id").agg(
+        (F.sum(F.col("own") * F.col("_o")) <= F.sum(F.col("equal") * F.col("_e")) + 1e-9).alias("beats_equal")
+    )
+    sums = w.groupBy("universe_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"),
+        ((F.min("weight") >= -1e-9) & (F.max("weight") <= cap + 1e-9)).alias("in_box"),
+        F.every((F.col("status") == "ok") & (F.col("residual") <= 1e-9)).alias("solved"),
+    )
+    return tidy(sums.join(beats, "universe_id").select("universe_id", "n", "total", "in_box", "solved", "beats_equal"))
+
+
 # --- end-to-end flows ---------------------------------------------------------------------------------------------
 
 WINSOR = """wq AS (

@@ -119,3 +119,4 @@ usigma AS (
   FROM ucentred a JOIN ucentred b ON a.universe_id = b.universe_id AND a.date = b.date
   JOIN (SELECT universe_id, count(DISTINCT date) AS n FROM ucentred GROUP BY 1) t ON t.universe_id = a.universe_id
   GROUP BY 1, 2, 3)"""
+SEG_RET_MONTH = SEG_RET.split(",\nufull")[0].replace("'quarter'", "'month'").replace("3 MONTHS", "1 MONTH")
