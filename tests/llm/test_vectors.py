@@ -80,8 +80,30 @@ def test_large_components_and_few_candidates(spark):
     got = B.top_k(table(spark, rows)).collect()
     assert {(r.query_id, r.vec_id) for r in got} == {(0, 50), (0, 3), (50, 0), (50, 3)}
     scores = {(r.query_id, r.vec_id): r.score for r in got}
-    assert scores[0, 50] == 0 and scores[50, 3] == B.MOST * 192
+    assert scores[0, 50] == 0 and scores[50, 3] == B.MOST_SCORE
     assert V.neighbours(table(spark, rows)).count() == 2
+    # Beyond a long every score is the end of its range, and no candidate is lost.
+    far = [(0, [1e30, 1e30]), (50, [-1e30, -1e30]), (3, [1e30, 0.0])]
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in B.top_k(table(spark, far)).collect()}
+    assert got == {(0, 1, 3, B.MOST_SCORE), (0, 2, 50, -B.MOST_SCORE), (50, 1, 0, -B.MOST_SCORE), (50, 2, 3, -B.MOST_SCORE)}
+
+
+@pytest.mark.parametrize("shard_rows", [8192, 40])
+@pytest.mark.parametrize("sizes", [(1e-3, 1e3, 1e6, 1e9), (2e6, 3e6), (5e5,), (3e9, 1.0)])
+def test_products_of_any_size_are_exact(spark, shard_rows, sizes):
+    rng = np.random.default_rng(len(sizes))
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=4) * rng.choice(sizes))]) for i in range(300)]
+    rows += [(7 * i, rows[i][1]) for i in range(43, 60)] + [(1000, rows[0][1]), (1001, rows[0][1])]
+    scaled = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    got = {}
+    for r in B.top_k(table(spark, rows), shard_rows=shard_rows).collect():
+        got.setdefault(r.query_id, set()).add((r["rank"], r.score, r.vec_id))
+    for q, v in scaled:
+        if q % 50 == 0:
+            others = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in scaled if i != q)[:5]
+            held = {(rank, max(-B.MOST_SCORE, min(B.MOST_SCORE, -s)), i) for rank, (s, i) in enumerate(others, 1)}
+            if all(-s < B.MOST_SCORE for s, _ in others):  # scores that a long holds
+                assert held <= got[q]
 
 
 def test_repeated_rows_and_empty(spark):

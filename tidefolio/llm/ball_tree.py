@@ -7,7 +7,8 @@ smaller id than the kth), and leaves update the kth scores that the next nodes a
 shard are shared with all others (see ``vector_cells``).
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component, and rows without id, take no part;
-scaled components beyond 2**28 are held at that size, which keeps every product inside 64 bits; vectors of different
+products are exact whatever the size of the components: where they may pass 64 bits they are made of Python's integers; a
+score that a long cannot hold is held at its end, and components of 2**54 and more at that size; vectors of different
 lengths are not compared; a query's own row is left out by its id, so rows that share the id are no candidates of each
 other, and each of them is a query of its own; ties go to the smaller vec_id; an empty table gives no rows; other columns
 are not read.
@@ -28,9 +29,11 @@ SCALE = 256
 EVERY = 50
 K = 5
 LEAF = 128
-MOST = 1 << 28
-#: Sums below this are exact in double precision.
-EXACT = float(1 << 53)
+#: Largest scaled component, and largest score that is told apart.
+MOST = 1 << 62
+MOST_SCORE = (1 << 63) - 2
+#: Sums below these are exact in double precision and in 64 bits.
+EXACT, EXACT_LONG = 1 << 53, 1 << 63
 
 
 @dataclass
@@ -80,16 +83,24 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int, limit
     """Best inner products of a block of queries in one shard; scores are kept negated, so that smaller is better."""
     points = queries.astype(np.float64)
     norms = np.sqrt((points**2).sum(axis=1))
-    kept = Kept(len(queries), k, None if limit is None else -limit[: len(queries)])
-    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(tree.rows).max(initial=0)) * queries.shape[1]
-    small = largest < EXACT
-    values = tree.rows.astype(np.float64) if small else tree.rows
-    asked = points if small else queries
+    kept = Kept(len(queries), k, None if limit is None else -limit[: len(queries)], np.int64)
+    values = tree.rows.astype(np.float64)
+    most_asked = np.abs(queries).max(axis=1, initial=0)
+
+    def products(some: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        rows = tree.rows[lo:hi]
+        largest = int(most_asked[some].max()) * int(np.abs(rows).max(initial=0)) * rows.shape[1]
+        if largest < EXACT:
+            return (points[some] @ values[lo:hi].T).astype(np.int64)
+        if largest < EXACT_LONG:
+            return queries[some] @ rows.T
+        wide = queries[some].astype(object) @ rows.T.astype(object)
+        return np.clip(wide, -MOST_SCORE, MOST_SCORE).astype(np.int64)
 
     def bounds(node: int) -> np.ndarray:
         upper = points @ tree.centre[node] + norms * tree.radius[node]
         room = 1e-9 * (1 + np.abs(upper) + norms * np.abs(tree.centre[node]).max())
-        return -np.floor(upper + room)
+        return np.minimum(-np.floor(upper + room), float(MOST_SCORE))
 
     def alive(node: int, low: np.ndarray) -> np.ndarray:
         worst = kept.worst()
@@ -111,13 +122,13 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int, limit
         # Leaves of equal vectors may be long: take them in slices.
         for lo in range(tree.start[node], tree.stop[node], 4 * LEAF):
             hi = min(lo + 4 * LEAF, tree.stop[node])
-            score = -(asked[some] @ values[lo:hi].T).astype(np.float64)
+            score = -products(some, lo, hi)
             own = query_ids[some][:, None] == tree.ids[lo:hi][None, :]
             better = (score <= kept.worst()[some][:, None]) & ~own
             at, place = np.nonzero(better)
             kept.add(some[at], score[at, place], tree.ids[lo:hi][place])
     at, ids, score = kept.results()
-    return at, ids, (-score).astype(np.int64)
+    return at, ids, -score
 
 
 def quantized(vec: Column) -> Column:

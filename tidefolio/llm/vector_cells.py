@@ -69,14 +69,14 @@ def nearest(
     """
     trees = _pack("shard", shard_rows, vectors, make_tree).withColumnRenamed("blob", "tree").withColumnRenamed("groups", "shards")
     blocks = _pack("block", block_rows, queries, lambda ids, rows: SimpleNamespace(ids=ids, rows=rows)).withColumnRenamed("groups", "blocks")
-    kind = pa.int64() if score_type == "long" else pa.float64()
+    kind, number = (pa.int64(), np.int64) if score_type == "long" else (pa.float64(), np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for dim, shard, block, tree, blob, limit in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 asked = SimpleNamespace(**pickle.loads(blob))
                 ids, rows = asked.ids, asked.rows
-                bound = None if limit is None else np.frombuffer(limit, np.float64)
+                bound = None if limit is None else np.frombuffer(limit, number)
                 at, found, score = search(SimpleNamespace(**pickle.loads(tree)), ids, rows, k, bound)
                 n = len(at)
                 arrays = [pa.array([x] * n, t) for x, t in ((dim, pa.int32()), (shard, pa.int64()), (block, pa.int64()))]
@@ -92,15 +92,13 @@ def nearest(
     first = first.select(*cells, "tree", "blob", F.lit(None).cast("binary").alias("limit")).mapInArrow(run, schema)
     first = hand_off(first, "cells-home")
     # The kth score of each query as the limit of its block; a block's rows are bounded.
-    worst = (F.min if best_last else F.max)("score").cast("double")
+    worst = (F.min if best_last else F.max)("score")
     kth = first.groupBy("dim", "block", "at").agg(F.count("*").alias("n"), worst.alias("limit")).filter(F.col("n") >= k)
 
     def pack_limits(key: tuple, rows: pa.Table) -> pa.Table:
-        open_limit = -np.inf if best_last else np.inf
-        out = np.full(block_rows * 4, open_limit)
         at = rows.column("at").to_numpy()
-        if len(at) and at.max() >= len(out):
-            out = np.full(int(at.max()) + 1, open_limit)
+        size = max(block_rows * 4, int(at.max(initial=-1)) + 1)
+        out = np.full(size, -worst_of(number) if best_last else worst_of(number), number)
         out[at] = rows.column("limit").to_numpy()
         return _row(dim=key[0], block=key[1], limit=out.tobytes())
 
@@ -129,14 +127,20 @@ def best_of(at: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(order)) - begin < k]
 
 
+def worst_of(kind: type):
+    """A score that no result has: infinity, or the largest integer."""
+    return np.inf if kind is np.float64 else np.iinfo(np.int64).max
+
+
 class Kept:
-    """The k smallest (score, id) pairs of every query so far; fewer than k are filled with infinities."""
+    """The k smallest (score, id) pairs of every query so far, scores as doubles or as integers; fewer than k are filled with
+    the worst score."""
 
-    def __init__(self, n: int, k: int, limit: np.ndarray | None):
-        self.k = k
-        self.score = np.full((n, k), np.inf)
+    def __init__(self, n: int, k: int, limit: np.ndarray | None, kind: type = np.float64):
+        self.k, self.none = k, worst_of(kind)
+        self.score = np.full((n, k), self.none, kind)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
-        self.limit = np.full(n, np.inf) if limit is None else limit
+        self.limit = np.full(n, self.none, kind) if limit is None else limit
 
     def worst(self) -> np.ndarray:
         """The score that a further result must not exceed."""
@@ -160,6 +164,6 @@ class Kept:
         self.ids[rows] = all_ids[best].reshape(len(rows), self.k)
 
     def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        there = np.isfinite(self.score)
+        there = self.score != self.none
         at = np.nonzero(there)[0]
         return at.astype(np.int32), self.ids[there], self.score[there]
