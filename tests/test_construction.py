@@ -461,3 +461,26 @@ def test_prices_to_weights(spark):
     one = spark.createDataFrame([("p", 0.1)], "portfolio_id string, gamma double")
     w = rows_of(optimise_portfolios(one, model, w_max=0.6, store=hand_off))["p"]
     assert abs(w.sum() - 1) < 1e-12 and w.max() <= 0.6 + 1e-9
+
+
+def test_portfolios_meet_only_their_universe(spark):
+    """Two universes share tickers and portfolio names; each portfolio has its own matrix and means."""
+    sigma = spark.createDataFrame(
+        [("u", "a", "a", 1.0), ("v", "a", "a", 4.0), ("v", "b", "b", 9.0), ("v", "a", "b", 0.0), ("v", "b", "a", 0.0)],
+        "universe_id string, i string, j string, value double",
+    )
+    mu = spark.createDataFrame([("u", "a", 0.1), ("v", "a", 0.2), ("v", "b", 0.3)], "universe_id string, ticker string, mu double")
+    held = spark.createDataFrame([("u", "p", "a", 1.0), ("v", "p", "a", 1.0), ("v", "q", "b", 1.0)], "universe_id string, portfolio_id string, ticker string, weight double")
+    got = {(r.universe_id, r.portfolio_id): (r.mu_p, r.sigma_p) for r in P.portfolio_stats(held, mu, sigma).collect()}
+    assert got == {("u", "p"): (0.1, 1.0), ("v", "p"): (0.2, 2.0), ("v", "q"): (0.3, 3.0)}
+    bench = spark.createDataFrame([("u", "a", 1.0), ("v", "b", 1.0)], "universe_id string, ticker string, weight double")
+    te = {(r.universe_id, r.portfolio_id): r.te for r in P.tracking_error(held, bench, sigma, mu).collect()}
+    assert te[("u", "p")] == 0.0 and te[("v", "q")] == 0.0 and np.isclose(te[("v", "p")], np.sqrt(13.0))
+    shares = {(r.universe_id, r.portfolio_id): r.rc for r in P.risk_contributions(held, sigma, normalize=True).collect()}
+    assert shares == {("u", "p"): 1.0, ("v", "p"): 1.0, ("v", "q"): 1.0}
+    moved = {(r.universe_id, r.portfolio_id): r.l1 for r in P.turnover(held, bench).collect()}
+    assert moved == {("u", "p"): 0.0, ("v", "p"): 2.0, ("v", "q"): 0.0}
+    both = P.te_objective(held, bench, sigma, mu, gamma=1.0).collect()
+    assert len(both) == 3 and {r.universe_id for r in both} == {"u", "v"}
+    with pytest.raises(ValueError, match="universe"):
+        P.portfolio_stats(held.drop("universe_id"), mu, sigma)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any, Tuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import finite
-from ..schema import attach, require
+from ..schema import attach, grouped, require, universe_keys
 from ..session import Store, busy_partitions, lazily
 from .covariance import pack_matrix, unpack
 
@@ -19,10 +20,11 @@ GAP = 1e-12
 
 def portfolio_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
     """Return of each portfolio on each date (missing returns earn 0)."""
+    by = _universe(weights, returns)
     return (
-        weights.select(PID, "ticker", "weight")
-        .join(returns.select("date", "ticker", "ret"), "ticker")
-        .groupBy(PID, "date")
+        weights.select(*by, PID, "ticker", "weight")
+        .join(returns.select(*by, "date", "ticker", "ret"), [*by, "ticker"])
+        .groupBy(*by, PID, "date")
         .agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("ret"))
     )
 
@@ -30,6 +32,15 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
 BLOCK = 512  # portfolios multiplied with the matrix at a time
 
 
+def _universe(weights: DataFrame, *market: DataFrame) -> list[str]:
+    """The universe key, if any: portfolios name theirs and meet only the covariances, means or returns that belong to it."""
+    by = sorted({c for df in (weights, *market) for c in universe_keys(df)})
+    for c in by:
+        if any(c not in df.columns for df in (weights, *market)):
+            raise ValueError(f"several universes: weights and market data all need {c}")
+    return by
+
+
 def _by_blocks(weights: DataFrame, sigma: DataFrame, value: str, make: Callable, schema: str) -> DataFrame:
     """Rows that ``make(ids, names, W, held, S)`` gives for each block of portfolios: their dense weights over the universe,
     which of them are held, and the covariance matrix.
@@ -37,13 +48,15 @@ def _by_blocks(weights: DataFrame, sigma: DataFrame, value: str, make: Callable,
     Portfolios travel as lists of what they hold and the packed matrix once per block, so nothing is made per pair of
     tickers.
     """
-    lists = weights.groupBy(PID).agg(F.collect_list("ticker").alias("tickers"), F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).alias("values"))
-    blocks = weights.agg(F.greatest(F.ceil(F.approx_count_distinct(PID) / BLOCK), F.lit(1)).cast("long").alias("_blocks"))
-    tasks = attach(lists, blocks, []).withColumn("_block", F.pmod(F.xxhash64(PID), F.col("_blocks"))).drop("_blocks")
-    market = attach(pack_matrix(sigma), blocks, []).withColumn(
+    by = _universe(weights, sigma)
+    lists = weights.groupBy(*by, PID).agg(F.collect_list("ticker").alias("tickers"), F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).alias("values"))
+    count = F.greatest(F.ceil(F.approx_count_distinct(PID) / BLOCK), F.lit(1)).cast("long").alias("_blocks")
+    blocks = grouped(weights, by, count)
+    tasks = attach(lists, blocks, by).withColumn("_block", F.pmod(F.xxhash64(PID), F.col("_blocks"))).drop("_blocks")
+    market = attach(pack_matrix(sigma), blocks, by).withColumn(
         "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
     )
-    market = market.select(F.col("_block").alias("_block"), "names", "cells")
+    market = market.select(*[F.col(c).alias(c) for c in (*by, "_block")], "names", "cells")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -61,9 +74,15 @@ def _by_blocks(weights: DataFrame, sigma: DataFrame, value: str, make: Callable,
         held[rows, at[known]] = True
         return make(left[PID].to_numpy(dtype=object), names, dense, held, matrix)
 
-    n = busy_partitions(weights)
-    left, right = tasks.repartition(n, "_block").groupBy("_block"), market.repartition(n, "_block").groupBy("_block")
-    return left.cogroup(right).applyInPandas(run, schema)
+    def named(key: Tuple[Any, ...], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = run(left, right)
+        for k, c in enumerate(by):
+            out.insert(k, c, key[k])
+        return out
+
+    n, keys = busy_partitions(weights), [*by, "_block"]
+    left, right = tasks.repartition(n, *keys).groupBy(*keys), market.repartition(n, *keys).groupBy(*keys)
+    return left.cogroup(right).applyInPandas(named, "".join(f"{c} string, " for c in by) + schema)
 
 
 def _variances(weights: DataFrame, sigma: DataFrame, value: str = "weight") -> DataFrame:
@@ -102,15 +121,16 @@ def unpriced_share(weights: DataFrame, sigma: DataFrame, value: str = "weight")
 
 def _priced_sums(weights: DataFrame, sigma: DataFrame, mu: DataFrame | None, gain: str, value: str = "weight") -> DataFrame:
     """Per portfolio: the sum of weight times mean over its priced tickers, and the unpriced share."""
-    priced = sigma.where(F.col("i") == F.col("j")).select(F.col("i").alias("ticker"), F.lit(True).alias("_priced"))
+    by = _universe(weights, sigma) if mu is None else _universe(weights, sigma, mu)
+    priced = sigma.where(F.col("i") == F.col("j")).select(*by, F.col("i").alias("ticker"), F.lit(True).alias("_priced"))
     if mu is not None:
-        priced = priced.join(mu.select("ticker", "mu"), "ticker", "left")
+        priced = priced.join(mu.select(*by, "ticker", "mu"), [*by, "ticker"], "left")
     else:
         priced = priced.withColumn("mu", F.lit(0.0))
     w = F.coalesce(F.col(value), F.lit(0.0))
     without = F.sum(F.when(F.col("_priced").isNull(), F.abs(w)).otherwise(0.0))
     return (
-        weights.select(PID, "ticker", F.col(value)).join(priced, "ticker", "left").groupBy(PID)
+        weights.select(*by, PID, "ticker", F.col(value)).join(priced, [*by, "ticker"], "left").groupBy(*by, PID)
         .agg(
             F.sum(w * F.coalesce("mu", F.lit(0.0))).alias(gain),
             F.coalesce(F.try_divide(without, F.sum(F.abs(w))), F.lit(0.0)).alias("unpriced"),
@@ -130,17 +150,21 @@ def active_weights(weights: DataFrame, bench: DataFrame) -> DataFrame:
     the universe, is read as a scalar and unfolded per portfolio.
     """
     require(weights, PID, "ticker", "weight")
-    held = weights.select(PID, "ticker", "weight", F.lit(0.0).alias("bench"))
+    by = universe_keys(weights)
+    held = weights.select(*by, PID, "ticker", "weight", F.lit(0.0).alias("bench"))
+    own = [c for c in by if c in bench.columns]
     if PID in bench.columns:
-        against = bench.select(PID, "ticker", F.lit(0.0).alias("weight"), F.col("weight").alias("bench"))
+        if own != by:
+            raise ValueError("a benchmark per portfolio needs the universe too")
+        against = bench.select(*by, PID, "ticker", F.lit(0.0).alias("weight"), F.col("weight").alias("bench"))
     else:
-        listed = bench.agg(F.collect_list(F.struct("ticker", F.col("weight").alias("bench"))).alias("_list"))
+        listed = grouped(bench, own, F.collect_list(F.struct("ticker", F.col("weight").alias("bench"))).alias("_list"))
         against = (
-            attach(weights.select(PID).distinct(), listed, [])
-            .select(PID, F.inline("_list"))
-            .select(PID, "ticker", F.lit(0.0).alias("weight"), "bench")
+            attach(weights.select(*by, PID).distinct(), listed, own)
+            .select(*by, PID, F.inline("_list"))
+            .select(*by, PID, "ticker", F.lit(0.0).alias("weight"), "bench")
         )
-    both = held.unionByName(against).groupBy(PID, "ticker").agg(
+    both = held.unionByName(against).groupBy(*by, PID, "ticker").agg(
         F.sum("weight").alias("weight"), F.sum("bench").alias("bench")
     )
     return both.withColumn("active", F.col("weight") - F.col("bench"))
@@ -151,16 +175,17 @@ def portfolio_stats(weights: DataFrame, mu: DataFrame, sigma: DataFrame, rf: flo
 
     A portfolio without any priced ticker is kept, with NULL for what needs a covariance.
     """
-    both = _priced_sums(weights, sigma, mu, "mu_p").join(_variances(weights, sigma), PID, "left")
+    who = [*_universe(weights, sigma, mu), PID]
+    both = _priced_sums(weights, sigma, mu, "mu_p").join(_variances(weights, sigma), who, "left")
     risk = _root(F.col("_var"))
-    rows = both.select(PID, F.when(F.col("_var").isNotNull(), F.col("mu_p")).alias("mu_p"), risk.alias("sigma_p"), "unpriced")
+    rows = both.select(*who, F.when(F.col("_var").isNotNull(), F.col("mu_p")).alias("mu_p"), risk.alias("sigma_p"), "unpriced")
     sharpe = F.when(F.col("sigma_p") > GAP, (F.col("mu_p") - rf) / F.col("sigma_p"))
-    return rows.select(PID, "mu_p", "sigma_p", sharpe.alias("sharpe"), "unpriced")
+    return rows.select(*who, "mu_p", "sigma_p", sharpe.alias("sharpe"), "unpriced")
 
 
 def portfolio_stats_from_returns(weights: DataFrame, returns: DataFrame, rf: float = 0.0) -> DataFrame:
     """Same from the portfolios' own return series; no matrix is needed."""
-    rows = portfolio_returns(weights, returns).groupBy(PID).agg(
+    rows = portfolio_returns(weights, returns).groupBy(*_universe(weights, returns), PID).agg(
         F.avg("ret").alias("mu_p"), F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("sigma_p")
     )
     return rows.withColumn("sharpe", F.when(F.col("sigma_p") > GAP, (F.col("mu_p") - rf) / F.col("sigma_p")))
@@ -182,30 +207,31 @@ def risk_contributions(
 ) -> DataFrame:
     """w_i (Sigma w)_i, or its share of the portfolio variance."""
     held = sigma_times(weights, sigma).where(F.col("_w").isNotNull())
-    rows = held.select(PID, "ticker", (F.col("_w") * F.col("_sw")).alias("rc"))
+    rows = held.select(*universe_keys(sigma), PID, "ticker", (F.col("_w") * F.col("_sw")).alias("rc"))
     return _as_shares(rows) if normalize else rows
 
 
 def risk_contributions_from_returns(weights: DataFrame, returns: DataFrame, normalize: bool = False) -> DataFrame:
     """w_i cov(r_i, r_p): rows grow with tickers times dates, not with the square of tickers."""
-    held = weights.join(returns.select("date", "ticker", "ret"), "ticker")
+    by = _universe(weights, returns)
+    held = weights.join(returns.select(*by, "date", "ticker", "ret"), [*by, "ticker"])
     rows = (
-        held.join(portfolio_returns(weights, returns).withColumnRenamed("ret", "_rp"), [PID, "date"])
-        .groupBy(PID, "ticker")
+        held.join(portfolio_returns(weights, returns).withColumnRenamed("ret", "_rp"), [*by, PID, "date"])
+        .groupBy(*by, PID, "ticker")
         .agg((F.first("weight") * F.covar_samp("ret", "_rp")).alias("rc"))
     )
     return _as_shares(rows) if normalize else rows
 
 
 def _as_shares(rows: DataFrame) -> DataFrame:
-    total = F.sum("rc").over(W.partitionBy(PID))
+    total = F.sum("rc").over(W.partitionBy(*universe_keys(rows), PID))
     scale = F.when(F.abs(total) > 1e-16, total).otherwise(F.lit(1.0))
     return rows.withColumn("rc", F.col("rc") / scale)
 
 
 def _distance(active: DataFrame, lam: float) -> DataFrame:
     v = F.col("active")
-    return active.groupBy(PID).agg(
+    return active.groupBy(*universe_keys(active), PID).agg(
         F.sum(F.abs(v)).alias("l1"),
         F.sqrt(F.sum(v * v)).alias("l2"),
         (lam * F.sum(F.abs(v))).alias("l1_penalty"),
@@ -220,10 +246,11 @@ def turnover(weights: DataFrame, ref: DataFrame, lam: float = 1.0) -> DataFrame:
 
 def _tracking(active: DataFrame, sigma: DataFrame, mu: DataFrame | None) -> DataFrame:
     """te, active_ret where ``mu`` is given, and unpriced; NULL where nothing of a portfolio is priced."""
-    both = _priced_sums(active, sigma, mu, "active_ret", "active").join(_variances(active, sigma, "active"), PID, "left")
+    who = [*_universe(active, sigma), PID]
+    both = _priced_sums(active, sigma, mu, "active_ret", "active").join(_variances(active, sigma, "active"), who, "left")
     te = _root(F.col("_var")).alias("te")
     gain = [F.when(F.col("_var").isNotNull(), F.col("active_ret")).alias("active_ret")] if mu is not None else []
-    return both.select(PID, te, *gain, "unpriced")
+    return both.select(*who, te, *gain, "unpriced")
 
 
 def tracking_error(
@@ -236,20 +263,22 @@ def tracking_error(
 
 def tracking_error_from_returns(weights: DataFrame, bench: DataFrame, returns: DataFrame) -> DataFrame:
     """Standard deviation of the active return series."""
-    active = active_weights(weights, bench).select(PID, "ticker", F.col("active").alias("weight"))
-    return portfolio_returns(active, returns).groupBy(PID).agg(F.stddev_samp("ret").alias("te"))
+    by = _universe(weights, returns)
+    active = active_weights(weights, bench).select(*by, PID, "ticker", F.col("active").alias("weight"))
+    return portfolio_returns(active, returns).groupBy(*by, PID).agg(F.stddev_samp("ret").alias("te"))
 
 
 def _exposure(active: DataFrame, exposures: DataFrame, lb: float | None, ub: float | None) -> DataFrame:
+    who, by = [*universe_keys(active), PID], [c for c in universe_keys(active) if c in exposures.columns]
     rows = (
-        active.join(exposures.select("factor", "ticker", "exposure"), "ticker")
-        .groupBy(PID, "factor")
+        active.join(exposures.select(*by, "factor", "ticker", "exposure"), [*by, "ticker"])
+        .groupBy(*who, "factor")
         .agg(F.sum(F.col("active") * F.col("exposure")).alias("exposure"))
     )
     above = F.greatest(F.col("exposure") - ub, F.lit(0.0)) if ub is not None else F.lit(0.0)
     below = F.greatest(F.lit(lb) - F.col("exposure"), F.lit(0.0)) if lb is not None else F.lit(0.0)
     return rows.select(
-        PID,
+        *who,
         "factor",
         "exposure",
         above.alias("above"),
@@ -287,14 +316,15 @@ def te_objective(
     active = store(active_weights(weights, bench), "active")
     out = _tracking(active, sigma, mu).withColumn("te2", F.col("te") * F.col("te"))
     away = active if ref is None else active_weights(weights, ref)
-    out = out.join(_distance(away, lam_l2).select(PID, F.col("l2_penalty").alias("reg")), PID, "left")
+    who = [*_universe(active, sigma), PID]
+    out = out.join(_distance(away, lam_l2).select(*who, F.col("l2_penalty").alias("reg")), who, "left")
     if exposures is not None and rho > 0:
-        penalty = _exposure(active, exposures, lb, ub).groupBy(PID).agg(F.sum("penalty").alias("expo_pen"))
-        out = out.join(penalty, PID, "left").withColumn("expo_pen", F.coalesce("expo_pen", F.lit(0.0)))
+        penalty = _exposure(active, exposures, lb, ub).groupBy(*who).agg(F.sum("penalty").alias("expo_pen"))
+        out = out.join(penalty, who, "left").withColumn("expo_pen", F.coalesce("expo_pen", F.lit(0.0)))
     else:
         out = out.withColumn("expo_pen", F.lit(0.0))
     loss = 0.5 * F.col("te2") - gamma * F.col("active_ret") + F.col("reg") + rho * F.col("expo_pen")
-    return out.select(PID, "te", "te2", "active_ret", "reg", "expo_pen", loss.alias("loss"))
+    return out.select(*who, "te", "te2", "active_ret", "reg", "expo_pen", loss.alias("loss"))
 
 
 # --- checks -------------------------------------------------------------------------------------------------------

@@ -518,3 +518,36 @@ def topk_project(spark, d):
 def soft_threshold(spark, d):
     active = P.active_weights(holdings(spark, d), benchmark(spark, d))
     return tidy(active.select("portfolio_id", "ticker", shrink_towards_zero(F.col("active"), 0.02).alias("moved")))
+
+
+@query(
+    "portfolio_stats_universes",
+    sql(
+        [C.SEG_RET, C.SEG,
+         "umu AS (SELECT universe_id, ticker, avg(ret) AS mu FROM ufull GROUP BY 1, 2)",
+         "ubench AS (SELECT universe_id, ticker, 1.0 / count(*) OVER (PARTITION BY universe_id) AS b FROM umu)",
+         """uact AS (
+  SELECT coalesce(s.portfolio_id, b.universe_id) AS universe_id, coalesce(s.ticker, b.ticker) AS ticker, coalesce(weight, 0) AS w, coalesce(weight, 0) - coalesce(b, 0) AS v
+  FROM seg s FULL JOIN ubench b ON s.portfolio_id = b.universe_id AND s.ticker = b.ticker)""",
+         """uvar AS (
+  SELECT a.universe_id, sum(a.w * b.w * s.value) AS var, sum(a.v * b.v * s.value) AS active
+  FROM usigma s JOIN uact a ON a.universe_id = s.universe_id AND a.ticker = s.i JOIN uact b ON b.universe_id = s.universe_id AND b.ticker = s.j
+  GROUP BY 1)""",
+         "ugain AS (SELECT universe_id, sum(w * mu) AS mu_p, sum(v * mu) AS active_ret FROM uact JOIN umu USING (universe_id, ticker) GROUP BY 1)"],
+        """SELECT universe_id, universe_id AS portfolio_id, mu_p, sqrt(greatest(var, 0)) AS sigma_p, sqrt(greatest(active, 0)) AS te, active_ret
+           FROM uvar JOIN ugain USING (universe_id)""",
+        floats=["mu_p", "sigma_p", "te", "active_ret"], plain=["universe_id", "portfolio_id"],
+    ),
+)
+def portfolio_stats_universes(spark, d):
+    """Each segment's spending on the returns its own customers saw, with that segment's covariance: risk, mean, and active
+    risk against equal weights. One portfolio per universe; none meets another's matrix."""
+    returns = hand_off(D.segment_returns(spark, d), "returns")
+    sigma = hand_off(G.covariance(returns, method="sample", annualize=False, store=hand_off), "sigma")
+    mu = hand_off(M.mu_historical(returns, annualize=False), "mu")
+    held = hand_off(D.segment_holdings(spark, d).withColumn("universe_id", F.col("portfolio_id")), "held")
+    size = mu.groupBy("universe_id").agg((1.0 / F.count(F.lit(1))).alias("weight"))
+    bench = mu.select("universe_id", "ticker").join(size, "universe_id")
+    stats = P.portfolio_stats(held, mu, sigma).select("universe_id", "portfolio_id", "mu_p", "sigma_p")
+    active = P.tracking_error(held, bench, sigma, mu, store=hand_off).select("universe_id", "portfolio_id", "te", "active_ret")
+    return tidy(stats.join(active, ["universe_id", "portfolio_id"]))
