@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...operators import covariance as G, mu as M
+from ...operators import covariance as G, leading, mu as M
+from ...schema import attach
 from ...session import hand_off, shared_folder
 from ...sources import artifacts
 from .. import derive as D
@@ -495,3 +496,35 @@ def mu_prior_post(spark, d):
 @query("mu_ranking", sql(BASE, "SELECT ticker, 12 * avg(ret) AS mu FROM full_ret GROUP BY ticker", **MU_COLS))
 def mu_ranking(spark, d):
     return tidy(M.mu_ranking(M.mu_historical(brand_panel(spark, d))))
+
+
+@query(
+    "leading_factors",
+    sql(
+        C.RISK[:-1],
+        "SELECT k, TRUE AS eigenpair, TRUE AS one_long, TRUE AS within_trace, (SELECT sum(value) FROM sigma WHERE i = j) AS trace FROM range(1, 6) r(k)",
+        ints=["k"], floats=["trace"], plain=["eigenpair", "one_long", "within_trace"],
+    ),
+)
+def leading_factors(spark, d):
+    """The five largest eigenpairs without forming the matrix, checked against the matrix itself: covariance times loading is
+    eigenvalue times loading, loadings have length one, and factor model and specific variances add up to the trace."""
+    returns = brand_panel(spark, d)
+    sigma = brand_sigma(spark, d)
+    found = leading.leading_factors(returns, 5)
+    loadings = hand_off(found.loadings, "loadings")
+    turned = sigma.join(loadings.select(F.col("ticker").alias("j"), "k", "loading"), "j").groupBy(F.col("i").alias("ticker"), "k").agg(
+        F.sum(F.col("value") * F.col("loading")).alias("sv")
+    )
+    first = found.eigenvalues.agg(F.max("eigenvalue").alias("largest"))
+    both = attach(turned.join(loadings, ["ticker", "k"]).join(found.eigenvalues, "k"), first, [])
+    gap = F.col("sv") - F.col("eigenvalue") * F.col("loading")
+    checks = both.groupBy("k", "eigenvalue").agg(
+        (F.sqrt(F.sum(gap * gap)) <= 1e-8 * F.max("largest")).alias("eigenpair"),
+        (F.abs(F.sum(F.col("loading") * F.col("loading")) - 1.0) < 1e-9).alias("one_long"),
+    )
+    common = loadings.join(found.eigenvalues, "k").groupBy("ticker").agg(F.sum(F.col("loading") * F.col("loading") * F.col("eigenvalue")).alias("common"))
+    trace = found.specific.join(common, "ticker").agg(
+        F.sum("variance").alias("trace"), (F.max(F.col("common") + F.col("specific") - F.col("variance")) <= 1e-11).alias("within_trace")
+    )
+    return tidy(attach(checks, trace, []).select("k", "eigenpair", "one_long", "within_trace", "trace"))
