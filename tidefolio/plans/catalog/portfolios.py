@@ -534,14 +534,16 @@ def soft_threshold(spark, d):
   FROM usigma s JOIN uact a ON a.universe_id = s.universe_id AND a.ticker = s.i JOIN uact b ON b.universe_id = s.universe_id AND b.ticker = s.j
   GROUP BY 1)""",
          "ugain AS (SELECT universe_id, sum(w * mu) AS mu_p, sum(v * mu) AS active_ret FROM uact JOIN umu USING (universe_id, ticker) GROUP BY 1)"],
-        """SELECT universe_id, universe_id AS portfolio_id, mu_p, sqrt(greatest(var, 0)) AS sigma_p, sqrt(greatest(active, 0)) AS te, active_ret
-           FROM uvar JOIN ugain USING (universe_id)""",
+        """SELECT universe_id, universe_id AS portfolio_id, mu_p, CASE WHEN var IS NOT NULL THEN sqrt(greatest(var, 0)) END AS sigma_p,
+                  CASE WHEN active IS NOT NULL THEN sqrt(greatest(active, 0)) END AS te, active_ret
+           FROM (SELECT DISTINCT portfolio_id AS universe_id FROM seg) LEFT JOIN uvar USING (universe_id) LEFT JOIN ugain USING (universe_id)""",
         floats=["mu_p", "sigma_p", "te", "active_ret"], plain=["universe_id", "portfolio_id"],
     ),
 )
 def portfolio_stats_universes(spark, d):
     """Each segment's spending on the returns its own customers saw, with that segment's covariance: risk, mean, and active
-    risk against equal weights. One portfolio per universe; none meets another's matrix."""
+    risk against equal weights. One portfolio per universe; none meets another's matrix, and one whose universe has no
+    complete dates has no risk rather than another's."""
     returns = hand_off(D.segment_returns(spark, d), "returns")
     sigma = hand_off(G.covariance(returns, method="sample", annualize=False, store=hand_off), "sigma")
     mu = hand_off(M.mu_historical(returns, annualize=False), "mu")
