@@ -45,7 +45,10 @@ def test_every_sequence_has_one_slot(spark, tmp_path, width, length):
     # The same rows give the same order; reading on from a slot gives the rest of it.
     again = {(r.slot, bytes(r.tokens)) for r in O.materialise(df, width=width, length=length, shard_slots=50, pad=7).collect()}
     assert again == {(r.slot, bytes(r.tokens)) for r in got}
-    assert [r.slot for r in O.read_from(spark, path, 60).collect()] == list(range(60, len(got)))
+    assert sorted(r.slot for r in O.read_from(spark, path, 60, shard_slots=50).collect()) == list(range(60, len(got)))
+    for together in (1, 3):
+        turns = [[r.slot for r in x.collect()] for x in O.in_order(spark, path, 60, shard_slots=50, together=together)]
+        assert [s for t in turns for s in t] == list(range(60, len(got))) and all(len(t) <= 50 * together for t in turns)
 
 
 def test_files_hold_ranges_in_order(spark, tmp_path):
@@ -76,11 +79,53 @@ def test_the_query_orders_piece_ids_and_reads_its_shards(spark, documents, tmp_p
     texts = ["one river and a stone " * 900, "short", "", None, "é\U0001f600 \n x"]
     documents(texts).write.parquet(str(tmp_path / "documents.parquet"))
     out = Q.op4_training_order(spark, str(tmp_path))
-    assert all("order-shards" in f for f in out.inputFiles())
+    assert all("/shards/shard=" in f for f in out.inputFiles())
     rows = out.collect()
-    assert [r.slot for r in rows] == list(range(len(rows))) and {len(r.tokens) for r in rows} == {2 * O.LENGTH}
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and {len(r.tokens) for r in rows} == {2 * O.LENGTH}
     codec = load(Q.tokenizer("piece_bpe_32k.model"))
     for i, t in enumerate(texts):
         parts = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.seq_no)
         ids = b"".join(bytes(r.tokens)[: 2 * r.n_tokens] for r in parts)
         assert np.frombuffer(ids, "<u2").tolist() == (np.frombuffer(codec.encode([t])[0], "<i4").tolist() if t else [])
+
+
+def test_each_slot_is_the_permuted_number(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, ids binary").repartition(5)
+    cut = O.cut_sequences(df, width=1, length=16).cache()
+    numbered = sorted((r.task, r.at, r.doc_id, r.seq_no, bytes(r.piece)) for r in cut.collect())
+    assert len({t for t, *_ in numbered}) > 1 and all(sum(n[0] == t for n in numbered) == max(n[1] for n in numbered if n[0] == t) + 1 for t, *_ in numbered)
+    slots = O.Feistel(len(numbered), 5).slots(np.arange(len(numbered)))
+    want = {int(s): (n[2], n[3], n[4]) for s, n in zip(slots, numbered)}
+    got = O.arrange(cut, width=1, length=16, key=5, shard_slots=50).collect()
+    assert {r.slot: (r.doc_id, r.seq_no, bytes(r.tokens)[: r.n_tokens]) for r in got} == want
+    held = {}
+    for _, _, doc, seq, piece in numbered:
+        held[doc, piece, seq] = held.get((doc, piece, seq), 0) + 1
+    for i, b in rows():
+        for k in range(-(-len(b or b"") // 16)):
+            held[i, b[16 * k : 16 * k + 16], k] -= 1
+    assert not any(held.values())
+
+
+def test_ids_pass_one_shuffle_and_reads_none(spark, tmp_path):
+    df = spark.createDataFrame(rows(), "doc_id long, ids binary")
+    path = O.order(df, str(tmp_path), width=1, length=16, shard_slots=50)
+    plan = O.arrange(spark.read.schema(O.CUT).parquet(f"{tmp_path}/cut"), width=1, length=16, shard_slots=50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1
+    read = O.read_from(spark, path, 60, shard_slots=50)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in read and "PartitionFilters: [isnotnull(shard" in read
+
+
+def test_a_failed_write_goes_on(spark, tmp_path):
+    df = spark.createDataFrame(rows(), "doc_id long, ids binary")
+    common = dict(width=1, length=16, shard_slots=50)
+    broken = df.withColumn("ids", F.when(F.col("doc_id") == 500, F.raise_error(F.lit("lost"))).otherwise(F.col("ids")).cast("binary"))
+    with pytest.raises(Exception, match="lost"):
+        O.order(broken, str(tmp_path), **common)
+    path = O.order(df, str(tmp_path), **common)
+    first = sorted((r.slot, bytes(r.tokens)) for r in O.read_from(spark, path, shard_slots=50).collect())
+    # Everything is there: the rows are not read again.
+    assert O.order(broken, str(tmp_path), **common) == path
+    assert sorted((r.slot, bytes(r.tokens)) for r in O.read_from(spark, path, shard_slots=50).collect()) == first
+    with pytest.raises(ValueError, match="was made with"):
+        O.order(df, str(tmp_path), **{**common, "key": 1})

@@ -24,7 +24,7 @@ from tidefolio.llm import (
     vantage_tree,
 )
 from tidefolio.llm.common import table
-from tidefolio.session import hand_off, shared_folder
+from tidefolio.session import shared_folder
 
 #: Where the public tokenizer files are; a parameter of every operator that reads one.
 TOKENIZERS = os.environ.get("TIDEFOLIO_TOKENIZERS", "/opt/tokenizers")
@@ -61,12 +61,11 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' piece ids, two bytes wide, cut, ordered, written as shards and read back in order."""
-    # Read twice by the order (sizes, then ids), encoded once.
-    ids = hand_off(sentencepiece_codec.encode_packed(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")), "order-ids")
-    path = f"{shared_folder(spark)}/tidefolio/order-shards-{uuid.uuid4().hex}"
-    training_order.write_shards(training_order.materialise(ids, width=2), path)
-    return training_order.read_from(spark, path)
+    """The documents' piece ids, two bytes wide, cut, ordered, written as shards and read back."""
+    path = f"{shared_folder(spark)}/tidefolio/order-{uuid.uuid4().hex}"
+    encode = sentencepiece_codec.library_ids(tokenizer("piece_bpe_32k.model"))
+    shards = training_order.order(table(spark, sf_dir, "documents"), path, ids="text", width=2, encode=encode)
+    return training_order.read_from(spark, shards)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

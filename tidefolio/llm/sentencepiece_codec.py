@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -189,6 +189,20 @@ def encode_packed(df: DataFrame, path: str, *, width: int = 2, id_col: str = "do
     return narrow.mapInArrow(per_batch, "doc_id long, ids binary")
 
 
+def library_ids(path: str, width: int = 2) -> Callable[[], Callable[[list[str]], list[bytes]]]:
+    """For tasks that only need the ids, packed in ``width`` bytes: the model's own library, which gives the same ids."""
+
+    def opened() -> Callable[[list[str]], list[bytes]]:
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=path)
+        if model.get_piece_size() > 1 << (8 * width):
+            raise ValueError(f"ids of this model do not fit into {width} bytes")
+        return lambda texts: [np.array(model.encode(t), f"<u{width}").tobytes() for t in texts]
+
+    return opened
+
+
 def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``, the text of its ids (null for null)."""
 
