@@ -116,6 +116,11 @@ KEYS = [
 ]
 KEYS += [KEYS[0].replace("\n", x) for x in ("\r\n", "\\n", " ", "\n-", "\n    ")] + [KEYS[4].replace("\n", x) for x in ("\r\n", "\\n", "\n    ")]
 KEYS += [KEYS[4].replace("q7==", "\n".join(LINES * 1000)), KEYS[0].replace("q7==", "\n-".join(LINES * 1000))]
+# Hundreds of indented lines without END, of dashes inside a quoted key, of armour headers and of lone characters.
+KEYS += ["-----BEGIN EC PRIVATE KEY-----\n" + "".join(f"    {x}\n" for x in LINES * 100)]
+KEYS += ["-----BEGIN PRIVATE KEY-----\n" + "".join(f"- {x} -- é\n" for x in LINES * 200) + "-----END PRIVATE KEY-----"]
+KEYS += ["-----BEGIN PRIVATE KEY-----" + "".join(f"\nComment: part {x}" for x in LINES * 10) + "\n\n" + "\n".join(LINES)]
+KEYS += ["-----BEGIN PRIVATE KEY-----\n" + "-\U0001f600 x" * 50_000 + "\n-----END PRIVATE KEY-----"]
 TOKENS = ["ghp_" + "a1" * 2000, "xoxb-" + "1-b" * 2000, "sk_live_" + "z9" * 2000]
 
 

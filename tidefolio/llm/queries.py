@@ -162,7 +162,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 def _secrets_sql() -> str:
     parts = []
     for rank, rule in enumerate(secrets.RULES):
-        pattern = rule.pattern.replace("'", "''")
+        pattern = secrets.without_possessives(rule.pattern).replace("'", "''")
         hits = f"regexp_extract_all(t, '{pattern}')"
         sized = f"regexp_extract_all(t, '{pattern}', {rule.group})"
         parts.append(f"""

@@ -45,16 +45,16 @@ BASE = (
     # Same matches as runs of any length of which the short ones are dropped.
     SecretRule("hex", r"[0-9a-f]{32,}"),
 )
-#: A key up to its END line: a body without spaces, or any in which no five dashes come between. Each repetition of a group
-#: takes stack, so they are bounded; 200 lone dashes are enough for headers and indented keys quoted in a diff.
+#: A key up to its END line: a body without spaces, or any in which no five dashes come between. Repeated groups are
+#: possessive: nothing in them could match otherwise, and so they take no stack, however often they repeat.
 _END = r"-{5,}END [A-Z0-9 ]*-{0,5}"
-_CLOSED = rf"[A-Za-z0-9+/=_\r\n\\-]*?{_END}|[^-]*(?:-{{1,4}}[^-]+){{0,200}}{_END}"
-#: Without an END line: armour headers, then all base64 lines (also with escaped line ends), then indented ones, the last of
-#: any length. Where such lines stop inside a line, its first word counts as base64.
+_CLOSED = rf"[A-Za-z0-9+/=_\r\n\\-]*?{_END}|[^-]*+(?:-{{1,4}}+[^-]++)*+{_END}"
+#: Without an END line: armour headers, then all base64 lines (also with escaped line ends), then indented ones. Where such
+#: lines stop inside a line, its first word counts as base64.
 _OPEN = (
-    r"(?:[\x20\t\r]*\n[\x20\t]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\n]*){0,20}"
-    # Indented lines have 24 characters at least; spelled out, as repetitions in repetitions are bounded in the SQL's engine.
-    rf"[A-Za-z0-9+/=\r\n\\]*(?:(?:[\x20\t]+{'[A-Za-z0-9+/=]' * 24}[A-Za-z0-9+/=\r\n\\]*){{1,200}}[\x20\t]*[A-Za-z0-9+/=]*)?"
+    r"(?:[\x20\t\r]*+\n[\x20\t]*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\n]*+)*+"
+    # Indented lines have 24 characters at least; spelled out for engines that bound repetitions in repetitions.
+    rf"[A-Za-z0-9+/=\r\n\\]*+(?:(?:[\x20\t]++{'[A-Za-z0-9+/=]' * 24}[A-Za-z0-9+/=\r\n\\]*+)++[\x20\t]*+[A-Za-z0-9+/=]*+)?+"
 )
 ADDED = (
     SecretRule("private_key", rf"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:{_CLOSED}|{_OPEN})"),
@@ -66,6 +66,11 @@ ADDED = (
 RULES = BASE + ADDED
 
 
+def without_possessives(pattern: str) -> str:
+    """The same pattern for engines that do not backtrack; here possessive marks only follow * + ? and }."""
+    return re.sub(r"(?<=[*+?}])\+", "", pattern)
+
+
 def _strings(node) -> set[str] | None:
     """All strings a parsed node can match, lower-cased, or None if they are too many or unbounded."""
     kind, value = node
