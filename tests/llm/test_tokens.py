@@ -121,3 +121,16 @@ def test_words_share_their_prefixes():
     tables = {w: list(last) for w, last, _ in merges.walk(words, codec.vocabulary)}
     alone = {w: list(last) for x in words for w, last, _ in merges.walk([x], codec.vocabulary)}
     assert tables == alone
+
+
+def test_ids_by_distinct_words_are_the_library_s(monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [*samples(300), "w" * 3000, "many words\n" * 4000, "\n", "\n\n a\tb\r\n", "\x00 \x01"] + ["same text"] * 10
+    for cache, together in ((C.CACHE, C.TOGETHER), (3, 2)):
+        monkeypatch.setattr(C, "CACHE", cache)
+        monkeypatch.setattr(C, "TOGETHER", together)
+        encode = C.library_ids(PIECES)()
+        for part in (texts[:100], texts[100:], texts[:20]):
+            assert [np.frombuffer(x, "<u2").tolist() for x in encode(part)] == library.encode(part)
+    with pytest.raises(ValueError, match="do not fit"):
+        C.library_ids(PIECES, width=1)()

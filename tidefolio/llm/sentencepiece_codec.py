@@ -38,6 +38,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: How far an unknown character's score lies below the lowest piece's, a fixed value of the model family.
 UNKNOWN_PENALTY = 10.0
 CACHE = 400_000
+#: Words the library is given at a time; its heap is slow on long texts.
+TOGETHER = 1000
 INT = np.dtype("<i4")
 
 
@@ -190,15 +192,42 @@ def encode_packed(df: DataFrame, path: str, *, width: int = 2, id_col: str = "do
 
 
 def library_ids(path: str, width: int = 2) -> Callable[[], Callable[[list[str]], list[bytes]]]:
-    """For tasks that only need the ids, packed in ``width`` bytes: the model's own library, which gives the same ids."""
+    """For tasks that only need the ids, packed in ``width`` bytes: the model's own library over each distinct word once.
+
+    Words are joined by line ends, which no piece with other characters holds, and the ids cut there again.
+    """
 
     def opened() -> Callable[[list[str]], list[bytes]]:
         from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
-        if model.get_piece_size() > 1 << (8 * width):
+        model, codec = SentencePieceProcessor(model_file=path), load(path)
+        kind = np.dtype(f"<u{width}")
+        if len(codec.surface) > 1 << (8 * width):
             raise ValueError(f"ids of this model do not fit into {width} bytes")
-        return lambda texts: [np.array(model.encode(t), f"<u{width}").tobytes() for t in texts]
+        end = codec._piece_ids("\n")
+        if len(end) > 1 or any("\n" in p and len(p) > 1 for p in codec.ids):
+            return lambda texts: [np.array(model.encode(t), kind).tobytes() for t in texts]
+        known: dict[str, bytes] = {}
+
+        def learn(words: list[str]) -> None:
+            ids = np.array(model.encode("\n" + "\n".join(words)), kind)
+            ends = np.flatnonzero(ids == end[0]) + 1
+            packed, starts = ids.tobytes(), (ends * width).tolist()
+            stops = [*((ends[1:] - 1) * width).tolist(), len(packed)]
+            known.update((w, packed[a:b]) for w, a, b in zip(words, starts, stops, strict=True))
+
+        def packed_ids(texts: list[str]) -> list[bytes]:
+            cut = [codec.words.findall(codec.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
+            words = set().union(*cut)
+            if len(known) > CACHE:
+                known.clear()
+            known["\n"] = np.array(end, kind).tobytes()
+            fresh = list(words.difference(known))
+            for i in range(0, len(fresh), TOGETHER):
+                learn(fresh[i : i + TOGETHER])
+            return [b"".join(map(known.__getitem__, x)) for x in cut]
+
+        return packed_ids
 
     return opened
 
