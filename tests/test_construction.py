@@ -288,6 +288,43 @@ def test_leaf_order_has_the_least_sum_of_neighbour_distances():
         assert length(best) <= length(plain) + 1e-12
 
 
+def greedy_order(d, linkage):
+    """The nearest pair of all clusters, again and again; distances from the leaves themselves."""
+    square = {"ward": lambda x, y: 2 * len(x) * len(y) / (len(x) + len(y)) * gap(x, y)}
+    within = lambda x: (d[np.ix_(x, x)] ** 2).sum() / (2 * len(x) ** 2)
+    gap = lambda x, y: (d[np.ix_(x, y)] ** 2).mean() - within(x) - within(y)
+    far = {"single": np.min, "complete": np.max, "average": np.mean}
+    measure = square.get(linkage) or (lambda x, y: far[linkage](d[np.ix_(x, y)]))
+    trees = {k: [k] for k in range(len(d))}
+    for merge in range(len(d) - 1):
+        a, b = min(((a, b) for a in trees for b in trees if a < b), key=lambda p: measure(trees[p[0]], trees[p[1]]))
+        trees[len(d) + merge] = trees.pop(a) + trees.pop(b)
+    return next(iter(trees.values()))
+
+
+@pytest.mark.parametrize("linkage", ["single", "complete", "average", "ward"])
+@pytest.mark.parametrize("n", [1, 2, 3, 9, 25])
+def test_clusters_are_those_of_the_nearest_pairs(linkage, n):
+    rng = np.random.default_rng(n)
+    for _ in range(4):
+        points = rng.normal(size=(n, 4))
+        d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+        assert S.cluster_order(d, linkage, ordered=False) == greedy_order(d, linkage)
+
+
+@pytest.mark.parametrize("linkage", ["single", "complete", "average", "ward"])
+def test_equal_distances_still_give_every_leaf_once(linkage):
+    for d in (np.zeros((40, 40)), 1.0 - np.eye(40), np.kron(1.0 - np.eye(8), np.ones((5, 5)))):
+        assert sorted(S.cluster_order(d, linkage)) == list(range(40)) == sorted(S.cluster_order(d, linkage, ordered=False))
+
+
+def test_least_sums():
+    rng = np.random.default_rng(4)
+    for n, k, m in ((1, 1, 1), (3, 5, 7), (40, 700, 300)):
+        a, b = rng.normal(size=(n, k)), rng.normal(size=(k, m))
+        assert np.array_equal(S.least_sums(a, b), np.array([(row[:, None] + b).min(axis=0) for row in a]))
+
+
 def cvar(scenarios, w, alpha):
     loss = np.sort(-(scenarios @ w))[::-1]
     tail = (1 - alpha) * len(loss)

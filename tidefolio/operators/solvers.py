@@ -425,92 +425,155 @@ def tail_cuts(scenarios: np.ndarray, w: np.ndarray, v: float, share: float) -> n
 
 # --- hierarchical risk parity -------------------------------------------------------------------------------------
 
-def _least_sums(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """min over k of a[i, k] + b[k, j], and the k."""
-    best, at = np.empty((len(a), b.shape[1])), np.empty((len(a), b.shape[1]), dtype=int)
-    for i, row in enumerate(a):
-        sums = row[:, None] + b
-        at[i] = sums.argmin(axis=0)
-        best[i] = np.take_along_axis(sums, at[i][None, :], axis=0)[0]
-    return best, at
+#: Cells of a temporary array of ``least_sums``: small enough to stay near the core.
+NEAR = 1 << 16
+
+
+def least_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """min over k of a[i, k] + b[k, j]."""
+    across = np.ascontiguousarray(b.T)
+    best = np.empty((len(a), len(across)))
+    step = max(1, NEAR // max(1, a.shape[1]))
+    for j in range(0, len(across), step):
+        part = across[j : j + step]
+        sums = np.empty_like(part)
+        for i, row in enumerate(a):
+            np.add(part, row, out=sums)
+            sums.min(axis=1, out=best[i, j : j + step])
+    return best
+
+
+def spanning_links(distance: np.ndarray) -> list[tuple[float, int, int]]:
+    """(distance, i, j) of a least spanning tree, grown from the first item."""
+    n = len(distance)
+    near, by = distance[0].astype(float), np.zeros(n, dtype=int)
+    outside = np.ones(n, dtype=bool)
+    outside[0] = False
+    links = []
+    for _ in range(n - 1):
+        new = int(np.where(outside, near, np.inf).argmin())
+        links.append((float(near[new]), int(by[new]), new))
+        outside[new] = False
+        closer = outside & (distance[new] < near)
+        near[closer], by[closer] = distance[new][closer], new
+    return links
+
+
+def chain_links(distance: np.ndarray, linkage: str) -> list[tuple[float, int, int]]:
+    """(height, i, j) of the merges by a chain of nearest neighbours: clusters that are each other's nearest are merged,
+    whichever comes first, as complete, average and ward linkage never bring a merged cluster nearer to a third."""
+    n = len(distance)
+    d = distance.astype(float) ** 2 if linkage == "ward" else distance.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    size, alive = np.ones(n), np.ones(n, dtype=bool)
+    links, chain, start = [], [], 0
+    while len(links) < n - 1:
+        if not chain:
+            while not alive[start]:
+                start += 1
+            chain.append(start)
+        tip = chain[-1]
+        to = int(d[tip].argmin())
+        if len(chain) < 2 or d[tip, to] < d[tip, chain[-2]]:
+            chain.append(to)
+            continue
+        a, b = chain.pop(), chain.pop()
+        between = d[a, b]
+        if linkage == "complete":
+            row = np.maximum(d[a], d[b])
+        elif linkage == "average":
+            row = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        else:
+            row = ((size[a] + size) * d[a] + (size[b] + size) * d[b] - size * between) / (size[a] + size[b] + size)
+        size[a] += size[b]
+        alive[b] = False
+        row[~alive], row[a] = np.inf, np.inf
+        d[a], d[:, a] = row, row
+        d[b], d[:, b] = np.inf, np.inf
+        links.append((float(np.sqrt(max(between, 0.0))) if linkage == "ward" else float(between), a, b))
+    return links
 
 
 class _Ends:
-    """A cluster: its leaves, the least sum of neighbour distances for each pair of end leaves, and how it arises."""
+    """A cluster: its leaves and, for an end in the left half and one in the right, the least sum of neighbour distances."""
 
-    def __init__(self, leaves: list[int], cost: np.ndarray, halves: tuple | None = None):
-        self.leaves, self.cost, self.halves = leaves, cost, halves
+    def __init__(self, leaves: list[int], halves: tuple[_Ends, _Ends] | None = None, across: np.ndarray | None = None):
+        self.leaves, self.halves, self.across = leaves, halves, across
 
     @classmethod
-    def joined(cls, left: _Ends, right: _Ends, distance: np.ndarray) -> _Ends:
-        between = distance[np.ix_(left.leaves, right.leaves)]
-        reach, inner = _least_sums(left.cost, between)  # left end i, ... , first leaf k of the right half
-        whole, first = _least_sums(reach, right.cost)
-        n, m = len(left.leaves), len(right.leaves)
-        cost = np.full((n + m, n + m), np.inf)
-        cost[:n, n:], cost[n:, :n] = whole, whole.T
-        return cls(left.leaves + right.leaves, cost, (left, right, inner, first))
-
-    def order(self) -> list[int]:
+    def joined(cls, left: _Ends, right: _Ends, distance: np.ndarray, ordered: bool) -> _Ends:
+        leaves = left.leaves + right.leaves
+        if not ordered:
+            return cls(leaves)
+        reach = left.inward(distance[np.ix_(left.leaves, right.leaves)])
+        return cls(leaves, (left, right), right.inward(reach.T).T)
+
+    def inward(self, beyond: np.ndarray) -> np.ndarray:
+        """For each end leaf: the least way through this cluster to some other end and on, by ``beyond``, to each column."""
+        if self.halves is None:
+            return beyond
+        n = len(self.halves[0].leaves)
+        return np.vstack([least_sums(self.across, beyond[n:]), least_sums(self.across.T, beyond[:n])])
+
+    def ways(self, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the leaves that can be the other end, and the sum to each."""
+        if self.halves is None:
+            return np.zeros(1, dtype=int), np.zeros(1)
+        n = len(self.halves[0].leaves)
+        return (np.arange(n, len(self.leaves)), self.across[end]) if end < n else (np.arange(n), self.across[:, end - n])
+
+    def order(self, distance: np.ndarray) -> list[int]:
         """Leaves in the order of the least sum."""
         if self.halves is None:
             return list(self.leaves)
-        n = len(self.halves[0].leaves)
-        start, end = divmod(int(self.cost[:n, n:].argmin()), len(self.leaves) - n)
+        start, end = divmod(int(self.across.argmin()), self.across.shape[1])
         out: list[int] = []
-        todo = [(self, start, end + n, False)]  # cluster, its first and last leaf, whether to be read backwards
+        todo = [(self, start, end + len(self.across), False)]  # cluster, its first and last leaf, whether to be read backwards
         while todo:
             node, i, j, back = todo.pop()
             if node.halves is None:
                 out.append(node.leaves[0])
                 continue
-            left, right, inner, first = node.halves
+            left, right = node.halves
             n = len(left.leaves)
             if i >= n:
                 i, j, back = j, i, not back
-            k = int(first[i, j - n])
-            parts = [(left, i, int(inner[i, k]), back), (right, k, j - n, back)]
+            inner, so_far = left.ways(i)
+            first, to_end = right.ways(j - n)
+            between = distance[np.ix_([left.leaves[k] for k in inner], [right.leaves[k] for k in first])]
+            k, m = divmod(int((so_far[:, None] + between + to_end).argmin()), len(first))
+            parts = [(left, i, int(inner[k]), back), (right, int(first[m]), j - n, back)]
             todo += parts if back else parts[::-1]
         return out
 
 
 def cluster_order(distance: np.ndarray, linkage: str, ordered: bool = True) -> list[int]:
-    """Leaf order of agglomerative clustering (Lance-Williams updates: single, complete, average, ward).
+    """Leaf order of agglomerative clustering (single, complete, average, ward), the older cluster to the left.
 
-    ``ordered`` turns the clusters so that the distances between neighbouring leaves have the least sum.
+    Merges are found in a time of the square of the names and then taken by height. ``ordered`` turns the clusters so that
+    the distances between neighbouring leaves have the least sum.
     """
-    ends = {k: _Ends([k], np.zeros((1, 1))) for k in range(len(distance))}
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    n = len(d)
-    leaves = {k: [k] for k in range(n)}
-    label = list(range(n))  # cluster id held by each slot; the newer id goes to the right
-    for merge in range(n - 1):
-        a, b = np.unravel_index(np.argmin(d), d.shape)
+    if linkage not in ("single", "complete", "average", "ward"):
+        raise ValueError("linkage must be 'single', 'complete', 'average' or 'ward'")
+    n = len(distance)
+    links = spanning_links(distance) if linkage == "single" else chain_links(distance, linkage)
+    above, label = list(range(n)), list(range(n))
+    clusters = {k: _Ends([k]) for k in range(n)}
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for merge, (_, i, j) in enumerate(sorted(links, key=lambda x: x[0])):
+        a, b = root(i), root(j)
         if label[a] > label[b]:
             a, b = b, a
-        na, nb = len(leaves[a]), len(leaves[b])
-        if linkage == "single":
-            row = np.minimum(d[a], d[b])
-        elif linkage == "complete":
-            row = np.where(np.isinf(d[a]) | np.isinf(d[b]), np.inf, np.maximum(d[a], d[b]))
-        elif linkage == "average":
-            row = (na * d[a] + nb * d[b]) / (na + nb)
-        elif linkage == "ward":
-            size = np.array([len(leaves.get(k, ())) for k in range(n)], dtype=float)
-            with np.errstate(invalid="ignore"):
-                square = ((na + size) * d[a] ** 2 + (nb + size) * d[b] ** 2 - size * d[a, b] ** 2) / (na + nb + size)
-            row = np.sqrt(np.maximum(np.nan_to_num(square, nan=np.inf, posinf=np.inf), 0.0))
-        else:
-            raise ValueError("linkage must be 'single', 'complete', 'average' or 'ward'")
-        d[a], d[:, a] = row, row
-        d[a, a] = np.inf
-        d[b], d[:, b] = np.inf, np.inf
-        leaves[a] = leaves[a] + leaves.pop(b)
-        if ordered:
-            ends[a] = _Ends.joined(ends[a], ends.pop(b), distance)
-        label[a] = n + merge
-    return next(iter(ends.values())).order() if ordered else next(iter(leaves.values()))
+        clusters[a] = _Ends.joined(clusters[a], clusters.pop(b), distance, ordered)
+        above[b], label[a] = a, n + merge
+    (top,) = clusters.values()
+    return top.order(distance) if ordered else list(top.leaves)
 
 
 def hrp(sigma: np.ndarray, linkage: str = "ward", ordered: bool = True) -> np.ndarray:
