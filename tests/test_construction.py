@@ -521,3 +521,28 @@ def test_portfolios_meet_only_their_universe(spark):
     assert len(both) == 3 and {r.universe_id for r in both} == {"u", "v"}
     with pytest.raises(ValueError, match="universe"):
         P.portfolio_stats(held.drop("universe_id"), mu, sigma)
+
+
+def test_shared_benchmark_equals_one_per_portfolio(spark):
+    rng = np.random.default_rng(8)
+    names = [f"t{k}" for k in range(9)]
+    rows = [(u, p, names[k], float(rng.normal())) for u in "uv" for p in "pq" for k in rng.choice(9, 4, replace=False)]
+    rows += [("u", "all", n, 1 / 9) for n in names] + [("w", "p", "t0", 1.0), ("u", "p", "ghost", 0.5), ("u", "p", "t1", 0.25)]
+    held = spark.createDataFrame(rows, "universe_id string, portfolio_id string, ticker string, weight double")
+    bench = spark.createDataFrame([(u, n, 1 / 9) for u in "uv" for n in names], "universe_id string, ticker string, weight double")
+    apart = held.select("universe_id", "portfolio_id").distinct().join(bench, "universe_id")
+    x = spark.createDataFrame([(f, n, float(rng.normal())) for f in ("f", "g") for n in names[:6]], "factor string, ticker string, exposure double")
+
+    def values(df, *keys):
+        return {tuple(r[k] for k in keys): [v for c, v in sorted(r.asDict().items()) if c not in keys] for r in df.collect()}
+
+    who = ("universe_id", "portfolio_id")
+    for a, b in (
+        (values(P.turnover(held, bench, 0.5), *who), values(P.turnover(held, apart, 0.5), *who)),
+        (values(P.active_exposure(held, bench, x, -0.1, 0.1), *who, "factor"), values(P.active_exposure(held, apart, x, -0.1, 0.1), *who, "factor")),
+    ):
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-12) for k in a)
+    assert values(P.turnover(held, bench), *who)[("u", "all")][:2] == [0.0, 0.0]
+    assert P.turnover(held, bench.limit(0)).count() == 6 and P.turnover(held.limit(0), bench).count() == 0
+    plan = P.turnover(held, bench)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan

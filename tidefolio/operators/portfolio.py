@@ -239,9 +239,45 @@ def _distance(active: DataFrame, lam: float) -> DataFrame:
     )
 
 
+def _beside(weights: DataFrame, bench: DataFrame) -> Tuple[DataFrame, DataFrame, list[str]]:
+    """Held tickers with the shared benchmark's weight in ``bench`` (NULL where it holds none), the benchmark with a row per
+    ticker, and its universe key: nothing is made for tickers that a portfolio does not hold."""
+    require(weights, PID, "ticker", "weight")
+    by = universe_keys(weights)
+    own = [c for c in by if c in bench.columns]
+    shared = bench.groupBy(*own, "ticker").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("bench"))
+    held = weights.groupBy(*by, PID, "ticker").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"))
+    return held.join(shared, [*own, "ticker"], "left"), shared, own
+
+
 def turnover(weights: DataFrame, ref: DataFrame, lam: float = 1.0) -> DataFrame:
-    """L1 and L2 distance to the reference weights, and the penalties lam*L1 and lam/2*L2^2."""
-    return _distance(active_weights(weights, ref), lam)
+    """L1 and L2 distance to the reference weights, and the penalties lam*L1 and lam/2*L2^2.
+
+    Of reference weights shared by all portfolios only those of held tickers are met one by one; the others are what is left
+    of their totals.
+    """
+    if PID in ref.columns:
+        return _distance(active_weights(weights, ref), lam)
+    rows, shared, own = _beside(weights, ref)
+    who = [*universe_keys(weights), PID]
+    b = F.col("bench")
+    off = F.col("weight") - F.coalesce(b, F.lit(0.0))
+    met = rows.groupBy(*who).agg(
+        F.sum(F.abs(off)).alias("_off1"), F.sum(off * off).alias("_off2"),
+        F.sum(F.abs(b)).alias("_met1"), F.sum(b * b).alias("_met2"), F.count(b).alias("_met"),
+    )
+    totals = grouped(shared, own, F.sum(F.abs(b)).alias("_all1"), F.sum(b * b).alias("_all2"), F.count(b).alias("_all"))
+    both = met.join(totals, own, "left") if own else attach(met, totals, own)
+
+    def rest(k: int) -> Column:
+        # Exactly nothing where every ticker was met.
+        left = F.greatest(F.col(f"_all{k}") - F.coalesce(F.col(f"_met{k}"), F.lit(0.0)), F.lit(0.0))
+        return F.when(F.col("_met") < F.col("_all"), left).otherwise(0.0)
+
+    l1, square = F.col("_off1") + rest(1), F.col("_off2") + rest(2)
+    return both.select(
+        *who, l1.alias("l1"), F.sqrt(square).alias("l2"), (lam * l1).alias("l1_penalty"), (0.5 * lam * square).alias("l2_penalty")
+    )
 
 
 def _tracking(active: DataFrame, sigma: DataFrame, mu: DataFrame | None) -> DataFrame:
@@ -275,6 +311,10 @@ def _exposure(active: DataFrame, exposures: DataFrame, lb: float | None, ub: flo
         .groupBy(*who, "factor")
         .agg(F.sum(F.col("active") * F.col("exposure")).alias("exposure"))
     )
+    return _outside(rows, who, lb, ub)
+
+
+def _outside(rows: DataFrame, who: list[str], lb: float | None, ub: float | None) -> DataFrame:
     above = F.greatest(F.col("exposure") - ub, F.lit(0.0)) if ub is not None else F.lit(0.0)
     below = F.greatest(F.lit(lb) - F.col("exposure"), F.lit(0.0)) if lb is not None else F.lit(0.0)
     return rows.select(
@@ -290,8 +330,24 @@ def _exposure(active: DataFrame, exposures: DataFrame, lb: float | None, ub: flo
 def active_exposure(
     weights: DataFrame, bench: DataFrame, exposures: DataFrame, lb: float | None = None, ub: float | None = None
 ) -> DataFrame:
-    """Active exposure per factor, its excess over the bounds, and half the squared excess."""
-    return _exposure(active_weights(weights, bench), exposures, lb, ub)
+    """Active exposure per factor, its excess over the bounds, and half the squared excess.
+
+    A shared benchmark's exposures are summed once and taken off each portfolio's own.
+    """
+    if PID in bench.columns:
+        return _exposure(active_weights(weights, bench), exposures, lb, ub)
+    keys = universe_keys(weights)
+    who, by = [*keys, PID], [c for c in keys if c in exposures.columns]
+    own = [c for c in keys if c in bench.columns]
+    x = exposures.select(*by, "factor", "ticker", "exposure")
+    value = F.sum(F.col("weight") * F.col("exposure")).alias("exposure")
+    held = weights.select(*who, "ticker", "weight").join(x, [*by, "ticker"]).groupBy(*who, "factor").agg(value)
+    common = sorted({*own, *by})
+    shared = bench.select(*own, "ticker", "weight").join(x, [*(c for c in by if c in own), "ticker"]).groupBy(*common, "factor").agg(value)
+    listed = grouped(shared, common, F.collect_list(F.struct("factor", (-F.col("exposure")).alias("exposure"))).alias("_list"))
+    against = attach(weights.select(*who).distinct(), listed, common).select(*who, F.inline("_list"))
+    rows = held.unionByName(against).groupBy(*who, "factor").agg(F.sum("exposure").alias("exposure"))
+    return _outside(rows, who, lb, ub)
 
 
 def te_objective(

@@ -15,7 +15,6 @@ from . import ctes as C
 
 # --- sources ----------------------------------------------------------------------------------------------------
 
-ALL_EVENTS = ("click", "error", "purchase", "signup", "view")
 
 
 @query(
@@ -45,7 +44,6 @@ def load_prices_long(spark, d):
                   max(price) FILTER (ticker = 'PURCHASE') AS PURCHASE, max(price) FILTER (ticker = 'SIGNUP') AS SIGNUP,
                   max(price) FILTER (ticker = 'VIEW') AS VIEW
            FROM (SELECT ts AS date, upper(event_type) AS ticker, arg_max(value, event_id) AS price FROM events GROUP BY ALL)
-           WHERE ticker IN ('CLICK', 'ERROR', 'PURCHASE', 'SIGNUP', 'VIEW')
            GROUP BY date""",
         dates=["date"], floats=["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"],
     ),
@@ -53,8 +51,7 @@ def load_prices_long(spark, d):
 def load_prices_wide(spark, d):
     return tidy(
         src.load_prices_wide(
-            spark, f"{d}/events.parquet", tickers=ALL_EVENTS, date="ts", ticker="event_type", price="value",
-            seq="event_id",
+            spark, f"{d}/events.parquet", date="ts", ticker="event_type", price="value", seq="event_id",
         )
     )
 
@@ -315,7 +312,7 @@ def long_to_wide(spark, d):
         .groupBy(F.col("o_orderdate").alias("date"), F.col("o_orderstatus").alias("ticker"))
         .agg(F.sum("o_totalprice").alias("price"))
     )
-    return tidy(panel.long_to_wide(daily, "price", tickers=["F", "O", "P"]), 2)
+    return tidy(panel.long_to_wide(daily, "price"), 2)
 
 
 @query(
@@ -323,7 +320,7 @@ def long_to_wide(spark, d):
     sql(
         [],
         """SELECT o_orderdate AS date, s.ticker, sum(o_totalprice) FILTER (o_orderstatus = s.ticker) AS price
-           FROM orders CROSS JOIN (VALUES ('F'), ('O'), ('P')) s(ticker) GROUP BY 1, 2""",
+           FROM orders CROSS JOIN (SELECT DISTINCT o_orderstatus AS ticker FROM orders) s GROUP BY 1, 2""",
         dates=["date"], floats=["price"], plain=["ticker"], digits=2,
     ),
 )
@@ -333,7 +330,7 @@ def wide_to_long(spark, d):
         .groupBy(F.col("o_orderdate").alias("date"), F.col("o_orderstatus").alias("ticker"))
         .agg(F.sum("o_totalprice").alias("price"))
     )
-    return tidy(panel.wide_to_long(panel.long_to_wide(daily, "price", tickers=["F", "O", "P"]), "price"), 2)
+    return tidy(panel.wide_to_long(panel.long_to_wide(daily, "price"), "price"), 2)
 
 
 @query(

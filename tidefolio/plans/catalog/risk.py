@@ -410,14 +410,19 @@ def bl_views(spark, d):
     "bl_unknown_assets",
     sql(
         [C.HOLD, C.VIEWS],
-        """SELECT portfolio_id, view_id, ticker FROM picks
-           WHERE ticker NOT IN (SELECT DISTINCT p_brand FROM part WHERE p_retailprice > 1990)""",
+        """SELECT portfolio_id, view_id, ticker FROM (
+             SELECT portfolio_id, view_id, ticker FROM picks
+             UNION ALL SELECT portfolio_id, 3, 'Manufacturer#' || substr(top, 7, 1) FROM tops)
+           WHERE ticker NOT IN (SELECT p_brand FROM part WHERE p_brand IS NOT NULL)""",
         ints=["view_id"], plain=["portfolio_id", "ticker"],
     ),
 )
 def bl_unknown_assets(spark, d):
-    dear = D.table(spark, d, "part").where("p_retailprice > 1990").select(F.col("p_brand").alias("ticker"))
-    return M.unknown_view_assets(D.customer_views(spark, d), dear)
+    """A third view sets each first one's brand against its manufacturer, which is no asset."""
+    views = D.customer_views(spark, d)
+    maker = F.concat(F.lit("Manufacturer#"), F.substring("long", 7, 1))
+    third = views.where("view_id = 1").withColumn("view_id", F.lit(3).cast("bigint")).withColumn("short", maker)
+    return M.unknown_view_assets(views.unionByName(third), D.table(spark, d, "part").select(F.col("p_brand").alias("ticker")))
 
 
 VIEW_RISK = """risk AS (

@@ -70,9 +70,9 @@ def load_prices_long(
     return dedupe_keep_last(clean).drop("seq") if seq else clean
 
 
-def load_prices_wide(spark: SparkSession, path: str, *, tickers, **options) -> DataFrame:
-    """Same prices with one column per requested ticker, sorted by date."""
-    names = normalize_names(tickers)
+def load_prices_wide(spark: SparkSession, path: str, *, tickers=None, **options) -> DataFrame:
+    """Same prices with one column per requested ticker, or per ticker of the data, sorted by date."""
+    names = None if tickers is None else normalize_names(tickers)
     return long_to_wide(load_prices_long(spark, path, tickers=tickers, **options), "price", tickers=names)
 
 
