@@ -16,13 +16,13 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     assert set(Q.QUERIES) < set(registry.queries()) and "pipeline" in registry.queries()
-    assert [n.split("_")[0] for n in Q.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in Q.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = Q.QUERIES[name](spark, SF)
     answer = con.execute(Q.ORACLES[name])
