@@ -108,6 +108,17 @@ def test_tiles_of_any_shape(spark, monkeypatch, dates, names):
     assert np.allclose(got, np.cov(x, rowvar=False), atol=1e-14)
 
 
+@pytest.mark.parametrize("dates, summed", [(512, False), (7, True)])
+def test_cells_are_shuffled_only_where_dates_are_dealt_out(spark, monkeypatch, dates, summed):
+    monkeypatch.setattr(G, "TILE_DATES", dates)
+    x = np.random.default_rng(7).normal(size=(40, 8))
+    products = G.cross_products(hand_off(returns(spark, x)).withColumnRenamed("ret", "x"))
+    cells = {(r.i, r.j): r.value for r in products.collect()}
+    names = sorted({i for i, _ in cells})
+    assert np.allclose([cells[i, j] for k, i in enumerate(names) for j in names[k:]], (x.T @ x)[np.triu_indices(8)])
+    assert ("sum(_p" in products._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]) == summed
+
+
 def test_annual_scaling_follows_the_calendar(spark, sample):
     weekly = matrix(G.covariance(returns(spark, sample, step=7), method="sample"))
     assert np.allclose(weekly, 52 * np.cov(sample, rowvar=False))
