@@ -21,15 +21,12 @@ GAP = 1e-12
 def portfolio_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
     """Return of each portfolio on each date (missing returns earn 0)."""
     by = _universe(weights, returns)
-    return (
-        weights.select(*by, PID, "ticker", "weight")
-        .join(returns.select(*by, "date", "ticker", "ret"), [*by, "ticker"])
-        .groupBy(*by, PID, "date")
-        .agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("ret"))
-    )
+    table = returns.select(*by, "ticker", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    return _sum_products(_lists(weights, by), table, by, "date", "ret")
 
 
 BLOCK = 512  # portfolios multiplied with the matrix at a time
+PART_ROWS, PART_KEYS, PART_CELLS = 1 << 20, 1 << 13, 1 << 22  # of a table of returns or exposures that meet a block at a time
 
 
 def _universe(weights: DataFrame, *market: DataFrame) -> list[str]:
@@ -41,17 +38,111 @@ def _universe(weights: DataFrame, *market: DataFrame) -> list[str]:
     return by
 
 
-def _by_blocks(weights: DataFrame, sigma: DataFrame, value: str, make: Callable, schema: str) -> DataFrame:
+def _lists(weights: DataFrame, by: list[str], bench: DataFrame | None = None) -> DataFrame:
+    """Each portfolio's entries in three lists: ``tickers``, ``values`` (NULL as 0) and whether a value is ``given``.
+
+    A benchmark shared by all portfolios follows with its weights taken off, so that a sum over the list is an active one.
+    """
+    require(weights, PID, "ticker", "weight")
+
+    def entries(sign: float) -> Column:
+        value = F.coalesce(F.lit(sign) * F.col("weight"), F.lit(0.0))
+        return F.collect_list(F.struct("ticker", value.alias("value"), F.col("weight").isNotNull().alias("given")))
+
+    held = weights.where(F.col("ticker").isNotNull()) if bench is None else weights
+    rows = held.groupBy(*by, PID).agg(entries(1.0).alias("_list"))
+    if bench is not None:
+        own = [c for c in by if c in bench.columns]
+        shared = grouped(bench, own, entries(-1.0).alias("_shared"))
+        rows = rows.join(shared, own, "left") if own else attach(rows, shared, own)
+        rows = rows.withColumn("_list", F.concat("_list", F.coalesce("_shared", F.array())))
+        rows = rows.withColumn("_list", F.filter("_list", lambda e: e["ticker"].isNotNull()))
+    e = F.col("_list")
+    return rows.select(*by, PID, e["ticker"].alias("tickers"), e["value"].alias("values"), e["given"].alias("given"))
+
+
+def _sum_products(lists: DataFrame, table: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
+    """Sum of weight times ``value`` per portfolio and ``key`` (a date, a factor) of the ``table`` (ticker, key, value).
+
+    There is a row where any entry of the portfolio's list meets one of the table, NULL where no product has both sides.
+    Portfolios travel as lists and the table once per block of them, so nothing is made per portfolio, ticker and key. A
+    large table is cut by its keys, all rows of a key together.
+    """
+    per_block = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(1)).cast("int")
+    blocks = grouped(lists, by, per_block.alias("_blocks"))
+    keys, names = F.approx_count_distinct(key), F.approx_count_distinct("ticker")
+    most = F.greatest(F.count(F.lit(1)) / PART_ROWS, keys / PART_KEYS, keys * names / PART_CELLS)
+    per_part = F.greatest(F.ceil(most), F.lit(1)).cast("int")
+    parts = grouped(table, by, per_part.alias("_parts"))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    tasks = attach(attach(lists, blocks, by), parts, by).select(
+        *by, every("_parts").alias("_part"), F.pmod(F.xxhash64(PID), F.col("_blocks")).cast("int").alias("_block"), PID, "tickers", "values", "given"
+    )
+    cells = attach(attach(table.where(F.col("ticker").isNotNull()), parts, by), blocks, by).select(
+        *by, F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_part"), every("_blocks").alias("_block"),
+        "ticker", F.col(key).alias("_key"), F.coalesce(F.col(value), F.lit(0.0)).alias("_x"), F.col(value).isNotNull().alias("_known"),
+    )
+    # Fresh names, so that weights derived from the same table do not clash with it.
+    cells = cells.select(*[F.col(c).alias(c) for c in cells.columns])
+
+    def run(group: Tuple[Any, ...], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {c: [] for c in (*by, PID, key, value, "_nan")}
+        place, names = pd.factorize(np.concatenate(left["tickers"].to_list()).astype(object)) if len(left) else ([], [])
+        at = pd.Index(names).get_indexer(right["ticker"]) if len(names) else np.full(len(right), -1)
+        right, at = right[at >= 0], at[at >= 0]
+        if len(right):
+            when, dates = pd.factorize(right["_key"], use_na_sentinel=False)
+            known = right["_known"].to_numpy(dtype=bool)
+            there, filled = np.zeros((2, len(names), len(dates)))
+            there[at, when], filled[at[known], when[known]] = 1.0, 1.0
+            # Rows of the same ticker and key add up.
+            x = np.bincount(at * len(dates) + when, right["_x"].to_numpy(dtype=float), there.size).reshape(there.shape)
+            who = np.repeat(np.arange(len(left)), left["tickers"].map(len))
+            given = np.concatenate(left["given"].to_list()).astype(bool)
+            weight = np.concatenate(left["values"].to_list()).astype(float)
+            held, own, w = np.zeros((3, len(left), len(names)))
+            held[who, place], own[who[given], place[given]] = 1.0, 1.0
+            np.add.at(w, (who, place), weight)
+            if np.isfinite(x).all() and np.isfinite(w).all():
+                sums = w @ x
+            else:  # infinite times what is not there must not count
+                sums = np.zeros((len(left), len(dates)))
+                with np.errstate(invalid="ignore"):
+                    for k in range(len(names)):
+                        meet = (own[:, k, None] > 0) & (filled[k] > 0)
+                        sums += np.where(meet, w[:, k, None] * x[k], 0.0)
+            rows, cols = np.nonzero(held @ there)
+            some = (own @ filled)[rows, cols] > 0
+            found = sums[rows, cols]
+            out = {c: group[k] for k, c in enumerate(by)}
+            out |= {PID: left[PID].to_numpy()[rows], key: dates.take(cols), value: np.where(some, found, np.nan), "_nan": some & np.isnan(found)}
+        return pd.DataFrame(out)
+
+    n, keys = busy_partitions(lists), [*by, "_part", "_block"]
+    left, right = tasks.repartition(n, *keys).groupBy(*keys), cells.repartition(n, *keys).groupBy(*keys)
+    kinds = {f.name: f.dataType.simpleString() for f in (*table.schema.fields, *lists.schema.fields)}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*by, PID, key)), f"`{value}` double", "_nan boolean"])
+    sums = left.cogroup(right).applyInPandas(run, schema)
+    # A NaN reaches Spark as NULL.
+    return sums.select(*by, PID, key, F.when(F.col("_nan"), float("nan")).otherwise(F.col(value)).alias(value))
+
+
+def _by_blocks(
+    weights: DataFrame, sigma: DataFrame, value: str, make: Callable, schema: str, portfolios: DataFrame | None = None
+) -> DataFrame:
     """Rows that ``make(ids, names, W, held, S)`` gives for each block of portfolios: their dense weights over the universe,
     which of them are held, and the covariance matrix.
 
     Portfolios travel as lists of what they hold and the packed matrix once per block, so nothing is made per pair of
-    tickers.
+    tickers. ``portfolios``, where given, has the same portfolios and is cheaper to count than ``weights``.
     """
     by = _universe(weights, sigma)
     lists = weights.groupBy(*by, PID).agg(F.collect_list("ticker").alias("tickers"), F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).alias("values"))
     count = F.greatest(F.ceil(F.approx_count_distinct(PID) / BLOCK), F.lit(1)).cast("long").alias("_blocks")
-    blocks = grouped(weights, by, count)
+    blocks = grouped(weights if portfolios is None else portfolios, by, count)
     tasks = attach(lists, blocks, by).withColumn("_block", F.pmod(F.xxhash64(PID), F.col("_blocks"))).drop("_blocks")
     market = attach(pack_matrix(sigma), blocks, by).withColumn(
         "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
@@ -95,7 +186,7 @@ def _variances(weights: DataFrame, sigma: DataFrame, value: str = "weight") -> D
     return _by_blocks(weights, sigma, value, make, "portfolio_id string, _var double")
 
 
-def sigma_times(weights: DataFrame, sigma: DataFrame, value: str = "weight") -> DataFrame:
+def sigma_times(weights: DataFrame, sigma: DataFrame, value: str = "weight", portfolios: DataFrame | None = None) -> DataFrame:
     """(Sigma w) as ``_sw`` per portfolio and ticker of the universe, next to the ticker's own weight ``_w``.
 
     Products are made for blocks of portfolios at a time. Tickers without covariance carry no risk and drop out;
@@ -110,7 +201,7 @@ def sigma_times(weights: DataFrame, sigma: DataFrame, value: str = "weight") ->
             {PID: np.repeat(ids, len(names)), "ticker": np.tile(names, len(ids)), "_sw": (w @ s).ravel() if len(ids) else [], "_w": own.ravel()}
         )
 
-    out = _by_blocks(weights, sigma, value, make, "portfolio_id string, ticker string, _sw double, _w double")
+    out = _by_blocks(weights, sigma, value, make, "portfolio_id string, ticker string, _sw double, _w double", portfolios)
     return out.withColumn("_w", F.nanvl("_w", F.lit(None).cast("double")))
 
 
@@ -151,23 +242,23 @@ def active_weights(weights: DataFrame, bench: DataFrame) -> DataFrame:
     """
     require(weights, PID, "ticker", "weight")
     by = universe_keys(weights)
-    held = weights.select(*by, PID, "ticker", "weight", F.lit(0.0).alias("bench"))
     own = [c for c in by if c in bench.columns]
     if PID in bench.columns:
         if own != by:
             raise ValueError("a benchmark per portfolio needs the universe too")
-        against = bench.select(*by, PID, "ticker", F.lit(0.0).alias("weight"), F.col("weight").alias("bench"))
+        held = weights.select(*by, PID, "ticker", "weight", F.lit(0.0).alias("bench"))
+        both = held.unionByName(bench.select(*by, PID, "ticker", F.lit(0.0).alias("weight"), F.col("weight").alias("bench")))
     else:
-        listed = grouped(bench, own, F.collect_list(F.struct("ticker", F.col("weight").alias("bench"))).alias("_list"))
-        against = (
-            attach(weights.select(*by, PID).distinct(), listed, own)
-            .select(*by, PID, F.inline("_list"))
-            .select(*by, PID, "ticker", F.lit(0.0).alias("weight"), "bench")
+        # Weights are shuffled once, by portfolio: the sums below find the rows of a portfolio together.
+        mine = F.collect_list(F.struct("ticker", "weight", F.lit(0.0).alias("bench")))
+        listed = grouped(
+            bench, own, F.collect_list(F.struct("ticker", F.lit(0.0).alias("weight"), F.col("weight").alias("bench"))).alias("_list")
         )
-    both = held.unionByName(against).groupBy(*by, PID, "ticker").agg(
-        F.sum("weight").alias("weight"), F.sum("bench").alias("bench")
-    )
-    return both.withColumn("active", F.col("weight") - F.col("bench"))
+        lists = weights.groupBy(*by, PID).agg(mine.alias("_mine"))
+        lists = lists.join(listed, own, "left") if own else attach(lists, listed, own)
+        both = lists.select(*by, PID, F.inline(F.concat("_mine", F.coalesce("_list", F.array()))))
+    sums = both.groupBy(*by, PID, "ticker").agg(F.sum("weight").alias("weight"), F.sum("bench").alias("bench"))
+    return sums.withColumn("active", F.col("weight") - F.col("bench"))
 
 
 def portfolio_stats(weights: DataFrame, mu: DataFrame, sigma: DataFrame, rf: float = 0.0) -> DataFrame:
@@ -300,8 +391,13 @@ def tracking_error(
 def tracking_error_from_returns(weights: DataFrame, bench: DataFrame, returns: DataFrame) -> DataFrame:
     """Standard deviation of the active return series."""
     by = _universe(weights, returns)
-    active = active_weights(weights, bench).select(*by, PID, "ticker", F.col("active").alias("weight"))
-    return portfolio_returns(active, returns).groupBy(*by, PID).agg(F.stddev_samp("ret").alias("te"))
+    if PID in bench.columns:
+        active = active_weights(weights, bench).select(*by, PID, "ticker", F.col("active").alias("weight"))
+        series = portfolio_returns(active, returns)
+    else:
+        table = returns.select(*by, "ticker", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+        series = _sum_products(_lists(weights, by, bench), table, by, "date", "ret")
+    return series.groupBy(*by, PID).agg(F.stddev_samp("ret").alias("te"))
 
 
 def _exposure(active: DataFrame, exposures: DataFrame, lb: float | None, ub: float | None) -> DataFrame:
@@ -332,22 +428,17 @@ def active_exposure(
 ) -> DataFrame:
     """Active exposure per factor, its excess over the bounds, and half the squared excess.
 
-    A shared benchmark's exposures are summed once and taken off each portfolio's own.
+    Portfolios with their active weights against a shared benchmark meet the exposures in blocks.
     """
     if PID in bench.columns:
         return _exposure(active_weights(weights, bench), exposures, lb, ub)
     keys = universe_keys(weights)
-    who, by = [*keys, PID], [c for c in keys if c in exposures.columns]
-    own = [c for c in keys if c in bench.columns]
-    x = exposures.select(*by, "factor", "ticker", "exposure")
-    value = F.sum(F.col("weight") * F.col("exposure")).alias("exposure")
-    held = weights.select(*who, "ticker", "weight").join(x, [*by, "ticker"]).groupBy(*who, "factor").agg(value)
-    common = sorted({*own, *by})
-    shared = bench.select(*own, "ticker", "weight").join(x, [*(c for c in by if c in own), "ticker"]).groupBy(*common, "factor").agg(value)
-    listed = grouped(shared, common, F.collect_list(F.struct("factor", (-F.col("exposure")).alias("exposure"))).alias("_list"))
-    against = attach(weights.select(*who).distinct(), listed, common).select(*who, F.inline("_list"))
-    rows = held.unionByName(against).groupBy(*who, "factor").agg(F.sum("exposure").alias("exposure"))
-    return _outside(rows, who, lb, ub)
+    who = [*keys, PID]
+    by = [c for c in keys if c in exposures.columns]
+    if by == keys:
+        lists, table = _lists(weights, keys, bench), exposures.select(*by, "factor", "ticker", "exposure")
+        return _outside(_sum_products(lists, table, keys, "factor", "exposure"), who, lb, ub)
+    return _exposure(active_weights(weights, bench), exposures, lb, ub)
 
 
 def te_objective(
