@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidefolio.operators import quantiles, stats
+from tidefolio.session import hand_off
 
 START = dt.datetime(2020, 1, 1)
 
@@ -105,3 +106,31 @@ def test_histogram_of_one_value(spark):
     df = spark.createDataFrame([(2.0,)] * 5, "loss double")
     got = stats.loss_histogram(df, 4).collect()
     assert sorted((r.bin, r.n, r.probability) for r in got) == [(0, 5, 1.0), (1, 0, 0.0), (2, 0, 0.0), (3, 0, 0.0)]
+
+
+@pytest.mark.parametrize("small", [10**9, 500])
+def test_tails_of_few_large_groups_move_no_rows(spark, monkeypatch, small):
+    monkeypatch.setattr(quantiles, "WHOLE", small)
+    rng = np.random.default_rng(5)
+    data = {"a": rng.normal(size=3_000), "b": np.round(rng.normal(size=2_001), 1), "c": rng.normal(size=7)}
+    rows = pd.concat([pd.DataFrame({"g": k, "loss": v}) for k, v in data.items()])
+    df = hand_off(spark.createDataFrame(rows).unionByName(spark.createDataFrame([("a", None), (None, 1.0)], "g string, loss double")))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = stats.loss_var_es(df, (0.9, 0.99), by=["g"])
+        got = {(r.g, r.alpha): (r["var"], r.es) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan and len(got) == 6
+    low = {r.g: (r["var"], r.cvar) for r in stats.cvar_estimate(df, 0.9, value="loss", by=["g"]).collect()}
+    for g, x in data.items():
+        for alpha in (0.9, 0.99):
+            var = np.quantile(x, alpha)
+            assert np.allclose(got[g, alpha], (var, x[x >= var - 1e-12].mean()), atol=1e-9)
+        var = np.quantile(x, 0.1)
+        assert np.allclose(low[g], (var, x[x <= var + 1e-12].mean()), atol=1e-9)
+    whole = {r.alpha: r["var"] for r in stats.loss_var_es(df.where("g is not null")).collect()}
+    assert abs(whole[0.95] - np.quantile(np.concatenate([*data.values()]), 0.95)) < 1e-12
+    assert [(r["var"], r.es) for r in stats.loss_var_es(df.limit(0)).collect()] == [(None, None)] * 2

@@ -1,6 +1,6 @@
 """Exact order statistics per group, for groups of any size, by one plan that looks at no data beforehand.
 
-Each wanted rank is bracketed by an approximate quantile sketch (bounded state, combined on the map side; the smallest and
+Groups of up to ``WHOLE`` values are sorted as one list each. In larger ones each wanted rank is bracketed by an approximate quantile sketch (bounded state, combined on the map side; the smallest and
 largest value for groups too small for its accuracy). The bracket is cut into equal bins whose counts are combined on the
 map side too; running sums over a group's bins tell which of them hold the wanted ranks, and only the values of those are
 ranked. Values below the bracket are merely counted, those above it are not read on.
@@ -25,8 +25,62 @@ def exact_quantiles(
     ``method`` is ``linear`` (interpolate at p(n-1)) or ``nearest`` (the value at round(p(n-1)), halves up).
     """
     one_of(method, ("linear", "nearest"), "method")
+    small, large = _by_size(df, by, value)
+    sorted_ = grouped(small, by, F.sort_array(F.collect_list("_x")).alias("_s"))
+    few = sorted_.select(*by, *[_picked(p, method).alias(n) for n, p in probs.items()])
+    return _united(few, _sketched(large, by, probs, method), by)
+
+
+def quantiles_with_tails(df: DataFrame, by: list[str], value: str, probs: dict[str, float], upper: bool = True) -> DataFrame:
+    """Interpolated quantiles, each with the mean of the values at or above it (else at or below) as ``<name>_tail``."""
+    small, large = _by_size(df, by, value)
+
+    def beyond(x: Column, name: str) -> Column:
+        return x >= F.col(name) if upper else x <= F.col(name)
+
+    def listed_tail(name: str) -> Column:
+        part = F.filter(F.col("_s").cast("array<double>"), lambda x: beyond(x, name))
+        return F.try_divide(F.aggregate(part, F.lit(0.0), lambda a, x: a + x), F.size(part).cast("double"))
+
+    sorted_ = grouped(small, by, F.sort_array(F.collect_list("_x")).alias("_s"))
+    few = sorted_.select(*by, "_s", *[_picked(p, "linear").alias(n) for n, p in probs.items()])
+    few = few.select(*by, *probs, *[listed_tail(n).alias(n + "_tail") for n in probs])
+    tails = [F.avg(F.when(beyond(F.col("_x"), n), F.col("_x"))).alias(n + "_tail") for n in probs]
+    levels = [F.first(n).alias(n) for n in probs]
+    return _united(few, grouped(_beside(large, _sketched(large, by, probs, "linear"), by), by, *levels, *tails), by)
+
+
+def _by_size(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """The values (not NULL, as ``_x``) of groups of at most ``WHOLE`` of them, which one row can hold, and those of larger
+    groups, of which there are few enough to broadcast what is known of each: no row travels for its group's sake."""
     x = F.col(value)
     data = df.where(x.isNotNull()).select(*by, x.alias("_x"))
+    for c in by:
+        data = data.where(F.col(c).isNotNull())
+    if not by:
+        many = data.agg(F.count("_x")).scalar() > WHOLE
+        return data.where(~many), data.where(many)
+    large = data.groupBy(*by).agg(F.count("_x").alias("_n")).where(F.col("_n") > WHOLE).select(*by)
+    return data.join(F.broadcast(large), by, "left_anti"), data.join(F.broadcast(large), by, "left_semi")
+
+
+def _beside(large: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """Facts about large groups on each of their rows."""
+    return large.join(F.broadcast(facts), by) if by else attach(large, facts, by)
+
+
+def _united(small: DataFrame, large: DataFrame, by: list[str]) -> DataFrame:
+    both = small.unionByName(large)
+    return both if by else both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
+def _picked(p: float, method: str) -> Column:
+    rank, part = _position(p, F.size("_s"), method)
+    at = rank.cast("int")
+    return _between(F.get("_s", at), F.get("_s", at + 1), part)
+
+
+def _sketched(data: DataFrame, by: list[str], probs: dict[str, float], method: str) -> DataFrame:
     margin = 2.0 / SKETCH_ACCURACY
     cuts = sorted({min(max(p + s * margin, 0.0), 1.0) for p in probs.values() for s in (-1, 1)})
     place = {c: i for i, c in enumerate(cuts)}
@@ -53,7 +107,7 @@ def exact_quantiles(
         )
 
     wanted = facts.select(*by, F.array(*[target(n, p) for n, p in probs.items()]).alias("_targets"))
-    probes = attach(data, wanted, by).select(*by, "_x", F.explode("_targets").alias("_t")).where("_x <= _t.hi")
+    probes = _beside(data, wanted, by).select(*by, "_x", F.explode("_targets").alias("_t")).where("_x <= _t.hi")
     width = F.col("_t.hi") - F.col("_t.lo")
     at = F.least(F.floor((F.col("_x") - F.col("_t.lo")) / width * BINS), F.lit(BINS - 1))
     # Infinite ends leave one bin.
@@ -70,7 +124,7 @@ def exact_quantiles(
         .where((F.col("_upto") > F.col("rank")) & (F.col("_before") <= F.col("rank") + 1))
         .select(*key, "_bin", "_before", "rank", "part")
     )
-    values = probes.select(*key, "_bin", "_x").join(holding, [*key, "_bin"]).groupBy(*key, "_bin", "_x").agg(
+    values = probes.select(*key, "_bin", "_x").join(F.broadcast(holding), [*key, "_bin"]).groupBy(*key, "_bin", "_x").agg(
         F.count(F.lit(1)).alias("_c"), F.first("_before").alias("_before"), F.first("rank").alias("rank"), F.first("part").alias("part")
     )
     reached = F.col("_before") + F.sum("_c").over(W.partitionBy(*key, "_bin").orderBy("_x"))

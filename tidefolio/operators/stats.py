@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.numeric import clip
 from ..schema import attach, grouped, require, universe_keys
 from .panel import calendar, date_totals, running, with_halo
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, quantiles_with_tails
 
 ROLL_CHUNK = 4096  # positions of one series per window partition
 
@@ -115,10 +115,7 @@ def rolling_corr_ref(returns: DataFrame, a: str, b: str, window: int = 26) -> Da
 def cvar_estimate(series: DataFrame, alpha: float = 0.95, *, value: str = "ret", by: list[str] | None = None) -> DataFrame:
     """Mean of the returns at or below the (1 - alpha) quantile, per group."""
     by = ["portfolio_id"] if by is None else by
-    clean = series.where(F.col(value).isNotNull())
-    cut = exact_quantiles(clean, by, value, {"var": 1.0 - alpha})
-    tail = F.avg(F.when(F.col(value) <= F.col("var"), F.col(value)))
-    return grouped(attach(clean, cut, by), by, F.first("var").alias("var"), tail.alias("cvar"))
+    return quantiles_with_tails(series, by, value, {"var": 1.0 - alpha}, upper=False).withColumnRenamed("var_tail", "cvar")
 
 
 def loss_var_es(
@@ -126,19 +123,14 @@ def loss_var_es(
 ) -> DataFrame:
     """Value at risk (loss quantile) and expected shortfall (mean of losses at or above it) for several levels."""
     by = by or []
-    clean = losses.where(F.col(value).isNotNull())
     names = {f"_var{i}": a for i, a in enumerate(alphas)}
-    cuts = exact_quantiles(clean, by, value, names)
-    x = F.col(value)
-    tails = [F.avg(F.when(x >= F.col(n), x)).alias(n.replace("var", "es")) for n in names]
-    levels = [F.first(n).alias(n) for n in names]
-    wide = grouped(attach(clean, cuts, by), by, *levels, *tails)
+    wide = quantiles_with_tails(losses, by, value, names)
     rows = F.array(
         *[
             F.struct(
                 F.lit(float(a)).alias("alpha"),
                 F.col(n).alias("var"),
-                F.col(n.replace("var", "es")).alias("es"),
+                F.col(n + "_tail").alias("es"),
             )
             for n, a in names.items()
         ]
