@@ -546,3 +546,52 @@ def test_shared_benchmark_equals_one_per_portfolio(spark):
     assert P.turnover(held, bench.limit(0)).count() == 6 and P.turnover(held.limit(0), bench).count() == 0
     plan = P.turnover(held, bench)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+@pytest.mark.parametrize("block, keys", [(512, 1 << 13), (3, 2)])
+def test_portfolio_series_in_blocks(spark, monkeypatch, block, keys):
+    """Blocks of portfolios and parts of dates give what a join of all rows gives, with NULL, NaN, infinite and repeated ones."""
+    monkeypatch.setattr(P, "BLOCK", block)
+    monkeypatch.setattr(P, "PART_KEYS", keys)
+    rng = np.random.default_rng(9)
+    held = [(f"p{k}", f"t{n}", float(rng.normal())) for k in range(10) for n in rng.choice(6, 3, replace=False)]
+    held += [("p0", "t0", 0.5), ("p1", "t1", None), ("odd", "t2", None), ("odd", None, 1.0), ("far", "ghost", 1.0), ("inf", "t5", float("inf"))]
+    days = [START + dt.timedelta(days=k) for k in range(7)]
+    rets = [(d, f"t{n}", float(rng.normal())) for d in days for n in range(6) if (d.day + n) % 4]
+    rets += [(days[0], "t0", None), (days[1], "t1", float("nan")), (days[2], "t3", 0.25), (days[3], None, 1.0)]
+    w = hand_off(spark.createDataFrame(held, "portfolio_id string, ticker string, weight double"))
+    r = hand_off(spark.createDataFrame(rets, "date timestamp_ntz, ticker string, ret double"))
+    bench = spark.createDataFrame([(f"t{n}", 1 / 5) for n in range(5)], "ticker string, weight double")
+
+    def joined(weights):
+        product = F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0)))
+        return weights.join(r, "ticker").groupBy("portfolio_id", "date").agg(product.alias("ret"))
+
+    def values(df, key, value):
+        return {(x["portfolio_id"], x[key] if key else None): x[value] for x in df.collect()}
+
+    def same(a, b):
+        # One number as text: NaN is a value of its own.
+        text = lambda v: None if v is None else "nan" if v != v else f"{v:.9g}"
+        assert {k: text(v) for k, v in a.items()} == {k: text(v) for k, v in b.items()} and a
+
+    out = P.portfolio_returns(w, r)
+    same(values(out, "date", "ret"), values(joined(w), "date", "ret"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+    active = P.active_weights(w, bench).select("portfolio_id", "ticker", F.col("active").alias("weight"))
+    te = joined(active).groupBy("portfolio_id").agg(F.stddev_samp("ret").alias("te"))
+    same(values(P.tracking_error_from_returns(w, bench, r), None, "te"), values(te, None, "te"))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.booleans(), st.integers(1, 30))
+def test_newton_shift_equals_the_walk(seed, l1, n):
+    rng = np.random.default_rng(seed)
+    z, ref = rng.normal(size=(2, 20, n))
+    lo, hi = np.zeros((20, n)), np.full((20, n), max(0.2, 1.5 / n))
+    t = np.full((20, 1), 0.1 if l1 else 0.0)
+    want = S._walked(z, ref, t, lo, hi, np.ones((20, 1)))
+    assert np.allclose(S._shifted(z, ref, t, lo, hi, np.ones((20, 1))), want, atol=1e-12)
+    found, left = S._by_newton(z, ref, t, lo, hi, np.ones((20, 1)))
+    assert np.allclose(found[~left], want[~left], atol=1e-12)

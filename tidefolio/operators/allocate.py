@@ -18,11 +18,12 @@ from ..session import Store, busy_partitions, lazily
 from .covariance import pack_matrix, unpack
 from .portfolio import PID, active_weights, portfolio_returns, portfolio_stats
 from .projection import project_box_simplex
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, quantiles_with_tails
 from .solvers import Market, inverse_products, optimise
 
 METHODS = ("mv_l2", "mv_l1", "min_te", "mean_te", "te_active", "risk_parity", "hrp", "group_caps")
-PART = 128  # problems per part
+PART = 128  # problems per part, more of them (up to PART_CELLS weights, four times as many) in small universes
+PART_CELLS = 1 << 14
 DEFAULTS = {"gamma": 1.0, "lam": 0.0, "w_min": 0.0, "w_max": 1.0, "rho": 0.0}
 
 
@@ -127,7 +128,10 @@ def solve(
             market = _with_lists(market, table, by, label, "ticker", "weight")
 
     keep = problems.columns
-    counts = grouped(problems, by, F.greatest(F.ceil(F.count(F.lit(1)) / part), F.lit(1)).cast("int").alias("_parts"))
+    sizes = grouped(sigma.where(F.col("i") == F.col("j")), by, F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_names"))
+    counts = attach(grouped(problems, by, F.count(F.lit(1)).alias("_problems")), sizes.select(*[F.col(c).alias(c) for c in sizes.columns]), by)
+    size = F.greatest(F.lit(part), F.least(F.lit(4 * part), F.floor(F.lit(PART_CELLS) / F.col("_names"))))
+    counts = counts.select(*by, F.greatest(F.ceil(F.col("_problems") / size), F.lit(1)).cast("int").alias("_parts"))
     spread = F.pmod(F.xxhash64(*keep), F.col("_parts").cast("bigint")).cast("int")
     tasks = attach(tasks, counts, by).withColumn("_part", spread).drop("_parts")
     market = attach(market, counts, by).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
@@ -362,10 +366,8 @@ def cvar_scores(
 ) -> DataFrame:
     """CVaR of the losses of each candidate portfolio plus lam * L1 turnover against the reference."""
     losses = portfolio_returns(candidates, returns).select(PID, (-F.col("ret")).alias("loss"))
-    losses = store(losses, "losses")  # read three times by the quantile and once by the tail mean
-    cuts = exact_quantiles(losses, [PID], "loss", {"var": alpha})
-    tail = F.avg(F.when(F.col("loss") >= F.col("var"), F.col("loss")))
-    scores = losses.join(cuts, PID).groupBy(PID).agg(F.first("var").alias("var"), tail.alias("cvar"))
+    losses = store(losses, "losses")  # read several times by the quantiles
+    scores = quantiles_with_tails(losses, [PID], "loss", {"var": alpha}).withColumnRenamed("var_tail", "cvar")
     if ref is None or lam_l1 <= 0:
         return scores.withColumn("turnover", F.lit(0.0)).withColumn("score", F.col("cvar"))
     moved = active_weights(candidates, ref).groupBy(PID).agg(F.sum(F.abs("active")).alias("turnover"))

@@ -67,7 +67,7 @@ def _quadratic_gradient(sigma, mu, problems, *, bench=None, lam=0.0, ref=None):
         base = w if bench is None else P.active_weights(w, bench).select(
             "portfolio_id", "ticker", F.col("active").alias("weight")
         )
-        g = P.sigma_times(base, sigma).join(mu.select("ticker", "mu"), "ticker").join(problems, "portfolio_id")
+        g = P.sigma_times(base, sigma, portfolios=w).join(mu.select("ticker", "mu"), "ticker").join(problems, "portfolio_id")
         grad = F.col("_sw") - F.col("gamma") * F.col("mu")
         if ref is not None:
             away = P.active_weights(w, ref).select("portfolio_id", "ticker", F.col("active").alias("_away"))
