@@ -119,6 +119,29 @@ def test_cells_are_shuffled_only_where_dates_are_dealt_out(spark, monkeypatch, d
     assert ("sum(_p" in products._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]) == summed
 
 
+@pytest.mark.parametrize("universes", [False, True])
+def test_wide_panels_take_wide_blocks(spark, monkeypatch, universes):
+    """The cells are the same, and a date travels once per pair of wide blocks."""
+    for name, value in (("TILE_NAMES", 2), ("BLOCK_TILES", 1), ("ENOUGH_BLOCKS", 3), ("MOST_WIDE", 8), ("SIDE_CELLS", 1 << 10)):
+        monkeypatch.setattr(G, name, value, raising=False)
+    x = np.random.default_rng(8).normal(size=(9, 23))
+    panel = returns(spark, x)
+    if universes:
+        narrow = returns(spark, x[:, :3], names=["a", "b", "c"]).withColumn("universe_id", F.lit("n"))
+        panel = panel.withColumn("universe_id", F.lit("w")).unionByName(narrow)
+    full = G.covariance(panel, method="sample", annualize=False, store=hand_off)
+    if universes:
+        assert np.allclose(matrix(full.where("universe_id = 'n'")), np.cov(x[:, :3], rowvar=False), atol=1e-14)
+        full = full.where("universe_id = 'w'")
+    assert full.count() == 23 * 23 and np.allclose(matrix(full), np.cov(x, rowvar=False), atol=1e-14)
+
+    asked, frame = [], type(panel)
+    monkeypatch.setattr(frame, "mapInPandas", lambda self, *a, f=frame.mapInPandas: asked.append(self) or f(self, *a))
+    G.cross_products(hand_off(returns(spark, x)).withColumnRenamed("ret", "x"))
+    # 23 names in blocks of 8 are 3, which make 6 pairs; in blocks of 2 they were 12, which made 78.
+    assert asked[0].count() == 9 * 6
+
+
 def test_annual_scaling_follows_the_calendar(spark, sample):
     weekly = matrix(G.covariance(returns(spark, sample, step=7), method="sample"))
     assert np.allclose(weekly, 52 * np.cov(sample, rowvar=False))

@@ -1,11 +1,12 @@
 """Readers, artifacts and exports."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidefolio.session import CHECKPOINT_CONF, hand_off, runs_here, shared_folder
+from tidefolio.session import CHECKPOINT_CONF, CLEANUP_CONF, hand_off, runs_here, shared_folder
 from tidefolio.sources import artifacts as art, prices as src
 
 
@@ -103,6 +104,24 @@ def test_hand_off_uses_the_named_folder(spark):
     assert stored.count() == 3 and named in stored.inputFiles()[0] and "/tidefolio/numbers-" in stored.inputFiles()[0]
 
 
+def test_hand_off_leaves_no_shuffle_files(spark):
+    """What it has stored is read from there: the shuffles that made it would only fill the disk."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in (str(b) for b in blocks.getAllBlocks().mkString(" ").split()) if f.startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(CLEANUP_CONF, None)
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    stored = hand_off(sums, "sums")
+    for _ in range(50):  # they are dropped in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert stored.count() == 7 and spark.conf.get(CLEANUP_CONF, None) == setting
+
+
 def test_csv_dates_are_filtered_as_dates(spark, tmp_path):
     path = tmp_path / "p.csv"
     path.write_text("date,ticker,price\n2024-01-01,a,1\n2024-01-02,a,2\n2024-01-03,a,x\nnever,a,4\n")
