@@ -67,6 +67,51 @@ def test_projection_bounds_per_portfolio(spark):
     assert np.allclose(got["a"], bisect(np.array(raw["a"]), 0, 0.5)) and np.allclose(got["b"], bisect(np.array(raw["b"]), 0, 0.6))
 
 
+def test_projection_of_rows_in_small_batches(spark):
+    """Portfolios over several batches, keys that are NULL, and weights that are NULL or not finite, in one sort and no window."""
+    rng = np.random.default_rng(3)
+    nan, inf = float("nan"), float("inf")
+    raw = {("u", f"p{k}"): rng.normal(size=n).tolist() for k, n in enumerate((1, 2, 3, 30, 8, 64, 65))}
+    raw |= {(None, "p0"): [0.9, 0.3, -0.2], ("v", None): [0.4, 0.4], (None, None): [2.0, 0.0, 0.0]}
+    odd = {"null": [None, 0.7, 0.1], "all": [None, None], "nan": [nan, 0.2, None], "up": [inf, 0.5, 0.1], "down": [-inf, 0.5, 0.6]}
+    rows = [(u, p, k, x) for (u, p), v in [*raw.items(), *((("odd", p), v) for p, v in odd.items())] for k, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "universe_id string, portfolio_id string, k int, weight double").withColumn("hi", F.lit(1.0))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(setting, "4")
+    try:
+        done = J.project_box_simplex(df, 0.0, "hi", group=("universe_id", "portfolio_id"))
+        assert done.columns == ["universe_id", "portfolio_id", "k", "hi", "weight", "status"]
+        got = {(r.universe_id, r.portfolio_id, r.k): r.weight for r in done.collect() if r.status == "ok"}
+    finally:
+        spark.conf.unset(setting)
+    assert len(got) == len(rows)
+    for (u, p), v in raw.items():
+        assert np.allclose([got[u, p, k] for k in range(len(v))], bisect(np.array(v), 0.0, 1.0), atol=1e-12), (u, p)
+    # A NULL counts as a weight that never falls from hi and is lo in the end; NaN is the largest number.
+    want = {"null": [0, 0, 0], "all": [0, 0], "nan": [1, 1, 0], "up": [1, 0, 0], "down": [0, 0, 0]}
+    assert {p: [got["odd", p, k] for k in range(len(v))] for p, v in odd.items()} == want
+    assert "Window" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("method", ["te_active", "mean_te", "mv_l2", "min_te"])
+def test_smooth_problems_take_few_steps(monkeypatch, method):
+    """Bounds and exposures met follow from linear equations; the weights are those of plain steps."""
+    rng = np.random.default_rng(5)
+    n, rows = 25, 40
+    sigma = np.cov(rng.normal(size=(80, n)) * np.geomspace(0.3, 1.5, n), rowvar=False)
+    market = S.Market(np.arange(n), sigma, rng.normal(size=n) / 5, exposures=np.kron(np.eye(5), np.ones(5)), lb=-0.05, ub=0.05)
+    column = lambda x: np.full((rows, 1), x)
+    common = dict(gamma=rng.uniform(0.01, 0.5, (rows, 1)), lam=column(0.0), lo=column(0.0), hi=column(0.2), rho=column(1.0))
+    common |= dict(bench=np.tile(rng.dirichlet(np.full(n, 30.0)), (rows, 1)), ref=rng.dirichlet(np.ones(n), rows))
+    steps, nearest = [], S.nearest_rows
+    monkeypatch.setattr(S, "nearest_rows", lambda z, *a: steps.append(len(z)) or nearest(z, *a))
+    w, status, residual = S.optimise(market, method, **common)
+    assert set(status) == {"ok"} and residual.max() <= S.RESIDUAL and np.allclose(w.sum(axis=1), 1.0)
+    assert w.min() >= 0.0 and w.max() <= 0.2 and sum(steps) <= 70 * rows
+    plain, _, _ = S.optimise(market, method, iters=100_000, **common)
+    assert np.allclose(w, plain, atol=1e-7)
+
+
 def test_topk(spark):
     got = rows_of(J.topk_project(weights_table(spark, {"p": [0.4, 0.3, 0.2, 0.1]}), 2))
     assert np.allclose(got["p"], bisect(np.array([0.4, 0.3, 0.0, 0.0]), 0.0, 1.0))

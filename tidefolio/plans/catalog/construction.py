@@ -120,7 +120,8 @@ def te_active_bounded(spark, d):
     def gradient(weights):
         held = weights.select("portfolio_id", "ticker", "weight")
         outside = P.active_exposure(held, bench, x, lb, ub).select("portfolio_id", "factor", (F.col("above") - F.col("below")).alias("_out"))
-        push = outside.join(x, "factor").groupBy("portfolio_id", "ticker").agg(F.sum(rho * F.col("_out") * F.col("exposure")).alias("_push"))
+        # What lies inside the bounds pushes nothing.
+        push = outside.where("_out <> 0").join(x, "factor").groupBy("portfolio_id", "ticker").agg(F.sum(rho * F.col("_out") * F.col("exposure")).alias("_push"))
         both = plain(weights).join(push, ["portfolio_id", "ticker"], "left")
         return both.select("portfolio_id", "ticker", (F.col("grad") + F.coalesce("_push", F.lit(0.0))).alias("grad"))
 
